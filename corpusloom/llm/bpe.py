@@ -25,8 +25,9 @@ from corpusloom.llm.storage import table
 
 #: Fixed value: the pattern by which byte-level BPE splits text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words kept in a worker's memory; beyond it the memory is emptied, results stay the same.
-CACHE_WORDS = 300_000
+#: Words of the younger of the two generations in a worker's memory; beyond it the older one is dropped, results stay the same.
+CACHE_WORDS = 250_000
+_NO_RANK = 1 << 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,19 +47,20 @@ class SpeculativeBpe:
         raw = lambda token: bytes(alphabet[c] for c in token)
         self.ids = {raw(token): i for token, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.merges = {}
+        rules = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             a, b = raw(left), raw(right)
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            rules.append((self.ids[a] << 32 | self.ids[b], rank, self.ids[a + b]))
+        self.pair_codes, self.pair_ranks, self.pair_tokens = np.array(sorted(rules), np.int64).T.copy()
         self.bytes_of = {i: token for token, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         size = max(self.bytes_of) + 1
         texts = [self.bytes_of.get(i, b"") for i in range(size)]
         self.token_ends = np.cumsum([len(x) for x in texts])
         self.token_starts = self.token_ends - np.array([len(x) for x in texts])
         self.token_bytes = np.frombuffer(b"".join(texts), np.uint8)
-        self.single = [self.ids.get(bytes([b])) for b in range(256)]
-        reachable = {t: i for t, i in self.ids.items() if self.merge(t) == [i]}
+        self.single = np.array([self.ids.get(bytes([b]), -1) for b in range(256)], np.int64)
+        reachable = {t: i for (t, i), found in zip(self.ids.items(), self.merge(list(self.ids))) if found == [i]}
         self.proposals = reachable
         self.reach: dict[bytes, int] = {}  # longest token by its first two bytes
         for t in reachable:
@@ -68,29 +70,43 @@ class SpeculativeBpe:
         self.splitter = regex.compile(WORD_PATTERN)
         self.special_splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, word: bytes) -> list[int]:
-        """Exact merging: always the pair of lowest rank, leftmost first."""
-        parts = [self.single[b] for b in word]
-        parts = [p for p in parts if p is not None]
-        while len(parts) > 1:
-            best = min((self.merges.get(pair, (1 << 30, 0)) for pair in zip(parts, parts[1:])))
-            if best[0] == 1 << 30:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and self.merges.get((parts[i], parts[i + 1]), (-1, 0))[0] == best[0]:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of many words at once: in each round every word merges its pair of lowest rank, leftmost first."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        tokens = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        owner, tokens = owner[tokens >= 0], tokens[tokens >= 0]
+        done_owner, done_tokens = [], []
+        while len(tokens):
+            code = np.append(np.where(owner[1:] == owner[:-1], tokens[:-1] << 32 | tokens[1:], -1), -1)
+            at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+            rank = np.where(self.pair_codes[at] == code, self.pair_ranks[at], _NO_RANK)
+            heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(owner))))
+            ended = best == _NO_RANK
+            done_owner.append(owner[ended])
+            done_tokens.append(tokens[ended])
+            chosen = np.flatnonzero((rank == best) & ~ended)
+            run = np.flatnonzero(np.concatenate(([True], np.diff(chosen) != 1)))
+            place = np.arange(len(chosen)) - np.repeat(run, np.diff(np.append(run, len(chosen))))
+            chosen = chosen[place % 2 == 0]  # of overlapping pairs every second one
+            tokens = tokens.copy()
+            tokens[chosen] = self.pair_tokens[at[chosen]]
+            left = ~ended
+            left[chosen + 1] = False
+            owner, tokens = owner[left], tokens[left]
+        if not done_owner:
+            return [[] for _ in words]
+        owner, tokens = np.concatenate(done_owner), np.concatenate(done_tokens)
+        order = np.argsort(owner, kind="stable")
+        flat, ends = tokens[order].tolist(), np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
 
     def propose(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        found, at, end, proposals, reach, single = [], 0, len(word), self.proposals, self.reach, self.single
+        found, at, end, proposals, reach = [], 0, len(word), self.proposals, self.reach
         while at < end:
             for stop in range(min(end, at + reach.get(word[at : at + 2], 1)), at + 1, -1):
                 token = proposals.get(word[at:stop])
@@ -99,8 +115,8 @@ class SpeculativeBpe:
                     at = stop
                     break
             else:
-                if single[word[at]] is not None:
-                    found.append(single[word[at]])
+                if self.single[word[at]] >= 0:
+                    found.append(int(self.single[word[at]]))
                 at += 1
         return found
 
@@ -108,7 +124,8 @@ class SpeculativeBpe:
         """Whether each pair of neighbours (left * 2^32 + right) survives exact merging."""
         unseen = np.setdiff1d(np.setdiff1d(pairs, self.good, assume_unique=False), self.bad)
         if len(unseen):
-            verdict = np.array([self.merge(self.bytes_of[p >> 32] + self.bytes_of[p & 0xFFFFFFFF]) == [p >> 32, p & 0xFFFFFFFF] for p in unseen.tolist()])
+            joined = [self.bytes_of[p >> 32] + self.bytes_of[p & 0xFFFFFFFF] for p in unseen.tolist()]
+            verdict = np.array([found == [p >> 32, p & 0xFFFFFFFF] for p, found in zip(unseen.tolist(), self.merge(joined))])
             self.good = np.union1d(self.good, unseen[verdict])
             self.bad = np.union1d(self.bad, unseen[~verdict])
         return np.isin(pairs, self.good)
@@ -123,8 +140,8 @@ class SpeculativeBpe:
         same = owner[1:] == owner[:-1]
         pairs = (flat[:-1] << 32 | flat[1:])[same]
         failing = np.unique(owner[1:][same][~self.compatible(pairs)]) if len(pairs) else []
-        for i in failing:
-            proposed[i] = self.merge(raw[i])
+        for i, exact in zip(failing, self.merge([raw[i] for i in failing])):
+            proposed[i] = exact
         self.known.update(zip(new, map(tuple, proposed)))
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
@@ -137,9 +154,13 @@ class SpeculativeBpe:
             else:
                 pieces.append(split(text))
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         new = {w for words in pieces for w in words if w not in known}
+        if older:
+            kept = new & older.keys()
+            known.update((w, older[w]) for w in kept)
+            new -= kept
         for token, i in self.special.items():
             known[("", token)] = (i,)
             new.discard(("", token))
