@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe
+from corpusloom.llm import bpe, jaccard_join, positional_index
 
 QUERIES = {
+    "op1_decontamination": positional_index.op1_decontamination,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_decontamination": positional_index.OP1_SQL,
+}
