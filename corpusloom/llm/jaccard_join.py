@@ -6,20 +6,23 @@ The Jaccard distance d is a metric, and two documents link when d <= r (0.2 for
 2. Every point lies in the regions of a few shingles: of its |x| - ceil(0.8 |x|) + 1 first ones in an order that all
    points share. Linked points share a region, because two sets that agree in 80 % cannot miss each other in so many
    first shingles. Shingles that many documents share come last in the order, so regions stay small.
-3. A region's pivots are its points of least hash. Exact distances of all other points to the pivots are computed.
-   Pivot regions then take the place of shingle regions: points that met in a shingle region meet in the region of
-   its first pivot, and by the triangle inequality only those whose distances to the pivot differ by r at most, and
+3. A region's pivots are its points of least hash. Distances of all other points to the pivots are computed in a
+   contracted space: a point's profile counts its shingles in about |x| buckets, and the Jaccard distance D of two
+   profiles as multisets is a metric as well and never above d. A pair with D > r cannot link. Every point is tested
+   exactly, on the texts, against its nearest pivot, whose Voronoi cell it is in; pairs that are still apart follow.
+4. Pivot regions then take the place of shingle regions: points that met in a shingle region meet in the region of its
+   first pivot, and by the triangle inequality only those whose distances D to the pivot differ by r at most, and
    whose sizes differ by a fifth at most, can link; a boundary point stays in the window of every such pivot.
-4. Points that links join already need no further test. The other pairs of a window are joined recursively: new
-   pivots are taken from the points outside the first pivot's component, and so on; when few pairs are left, all of
-   them are tested. No pair is left out, so the components are exact.
+5. Points that links join already need no further test. The other pairs of a window are joined recursively: new
+   pivots are taken from the points outside the first pivot's component, and then all pairs that are left are tested.
+   No pair is left out, so the components are exact.
 
 No group of points is ever held in one place: regions are read as sorted streams with the pivots of one region in
 memory.
 
 Defined results: null and empty texts, and texts without words, have no shingles and no link, and are a component of
 their own; a text of fewer than five words is one shingle of all its words; repeated rows are copies of one another;
-null ids never become a component's name unless all its ids are null; an empty table gives an empty result. Columns
+a row without an id is linked as a copy only, and gives a component no name; an empty table gives an empty result. Columns
 other than the key and the text are not read.
 """
 
@@ -29,13 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import vectext
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.storage import cut, discard, table
+from corpusloom.llm.storage import cut, table
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -45,6 +47,8 @@ PIVOTS = 4
 FREQUENT = 1 << 17
 #: Rounds with new pivots before all pairs that are left are tested.
 ROUNDS = 2
+#: Rows of a side that is broadcast, two numbers each; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Rows of one output batch.
 OUT_ROWS = 50_000
 
@@ -66,13 +70,35 @@ def point_of(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(np.array([b]).view(np.int64)[0])
 
 
+def profile(shingles: np.ndarray) -> bytes | None:
+    """Counts of the shingles in the least power of two of buckets above |x|, two to a byte; None if one exceeds 15."""
+    size = 1 << max(3, len(shingles).bit_length())
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return (counts[0::2] | counts[1::2] << 4).astype(np.uint8).tobytes() if counts.max() < 16 else None
+
+
+def _counts(packed: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8)
+    counts = np.empty(2 * len(raw), np.int64)
+    counts[0::2], counts[1::2] = raw & 15, raw >> 4
+    return counts.reshape(-1, size).sum(axis=0)
+
+
+def profile_distance(p: bytes | None, x: bytes | None, m: int, n: int) -> float | None:
+    """D of a pivot of m and a point of n shingles, over half the pivot's buckets, which both profiles can be folded to."""
+    if p is None or x is None or 2 * len(x) < len(p):
+        return None
+    common = int(np.minimum(_counts(p, len(p)), _counts(x, len(p))).sum())
+    return 1 - common / (m + n - common)
+
+
 def needed(m, n):
     """Least intersection with which sets of m and n shingles link."""
     return -(-PERCENT * (m + n) // (100 + PERCENT))
 
 
 def _points(docs: DataFrame, seed: int) -> DataFrame:
-    """(key, node, check, n, frequent): the point of each document, and shingles that are frequent in its slice."""
+    """(key, node, check, n, profile, frequent): the point of each document; shingles that are frequent in its slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in vectext.slices(batches, "text"):
@@ -89,13 +115,14 @@ def _points(docs: DataFrame, seed: int) -> DataFrame:
                     pa.array([i for i, _ in ids], pa.int64()),
                     pa.array([c for _, c in ids], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([profile(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array(frequent, pa.list_(pa.struct([("s", pa.int64()), ("c", pa.int64())]))),
                 ],
-                names=["key", "node", "check", "n", "frequent"],
+                names=["key", "node", "check", "n", "profile", "frequent"],
             )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, node long, check long, n long, frequent array<struct<s:long,c:long>>")
+    return docs.mapInArrow(run, f"key {kind}, node long, check long, n long, profile binary, frequent array<struct<s:long,c:long>>")
 
 
 def _ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -176,8 +203,23 @@ def _to_pivots(regions: DataFrame) -> DataFrame:
     return found.groupBy("pivot", "node").agg(F.max("first").alias("first"), F.max("test").alias("test"))
 
 
-def _distances(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
-    """(a, b, common, m, n) of pairs (a, b): the exact intersection and the sizes. texts: (node, text) of all points.
+def _profile_distances(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The columns of ``pairs`` (a, b, ...) and d, the distance D of the profiles, null where it isn't known."""
+    one = points.select(F.col("node").alias("a"), F.col("profile").alias("__p"), F.col("n").alias("__m"))
+    two = points.select(F.col("node").alias("b"), F.col("profile").alias("__x"), F.col("n").alias("__n"))
+    rows = pairs.join(one, "a").join(two, "b").select(*pairs.columns, "__p", "__x", "__m", "__n")
+    kept = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profile_distance(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("__p", "__x", "__m", "__n")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.float64())], names=[*kept, "d"])
+
+    return rows.mapInArrow(run, pairs.schema.add("d", "double"))
+
+
+def _exact_links(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
+    """The pairs (a, b) that link. texts: (node, text) of all points.
 
     The texts of the points are sent to their partner ``a``; a stream sorted by ``a`` with its own text first holds
     one set at a time.
@@ -195,15 +237,42 @@ def _distances(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
                 if own[i] == 0:
                     held, mine = a[i], s
                 elif a[i] == held:
-                    found.append((a[i], b[i], len(np.intersect1d(mine, s, assume_unique=True)), len(mine), len(s)))
+                    common = len(np.intersect1d(mine, s, assume_unique=True))
+                    if 100 * common >= PERCENT * (len(mine) + len(s) - common):
+                        found.append((a[i], b[i]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b", "common", "m", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     spread = rows.repartition("a").sortWithinPartitions("a", "own")
-    return spread.mapInArrow(run, "a long, b long, common long, m long, n long")
+    return spread.mapInArrow(run, "a long, b long")
 
 
-LINKED = f"100 * common >= {PERCENT} * (m + n - common)"
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose points are in different components."""
+    one = components.select(F.col("node").alias("a"), F.col("component").alias("__a"))
+    two = components.select(F.col("node").alias("b"), F.col("component").alias("__b"))
+    named = pairs.join(one, "a", "left").join(two, "b", "left")
+    return named.where("coalesce(__a, a) <> coalesce(__b, b)").drop("__a", "__b")
+
+
+def _resolve(pairs: DataFrame, links: DataFrame | None, texts: DataFrame, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """All links needed for the components over ``links`` and the pairs (a, b, d), and the components.
+
+    First every b is tested against its nearest a; then all pairs that are still in different components.
+    """
+    near = f"d is null or d <= {1 - PERCENT / 100 + 1e-9}"
+    pairs = cut(pairs.where(near).select("a", "b", F.coalesce("d", F.lit(0.0)).alias("d")), "pairs")
+    nearest = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
+    chosen = nearest
+    for last in (False, True):
+        found = cut(_exact_links(chosen, texts, seed), "links")
+        links = found if links is None else links.union(found)
+        components = cut(connected_components(links), "components")
+        if not last:
+            chosen = cut(_apart(pairs.select("a", "b"), components), "apart")
+            if chosen.isEmpty():
+                break
+    return links, components
 
 
 def _window(points: DataFrame, pivots: int | None) -> DataFrame:
@@ -270,44 +339,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     regions = _regions(docs, seed, frequent)
     near = cut(_to_pivots(regions), "near")
     involved = near.select("node").union(near.select("pivot")).distinct()
-    classes = points.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n"))
-    chosen = classes.join(involved, "node").where("key is not null").select("node", "key")
+    classes = points.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("profile").alias("profile"))
+    chosen = cut(classes.join(involved, "node").where("key is not null").select("node", "key"), "chosen")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in vectext.slices(batches, "text"):
             mine = [len(s) > 0 and point_of(s)[0] == node for s, node in zip(shingle_sets(batch, "text", seed), batch.column("node").to_pylist())]
             yield batch.filter(pa.array(mine)).select(["node", "text"])
 
-    texts = docs.join(chosen, "key").select("node", "text").mapInArrow(checked, "node long, text string")
-    texts = cut(texts.dropDuplicates(["node"]), "texts")  # a key may be given to several texts
+    texts = cut(docs.join(chosen, "key").select("node", "text").mapInArrow(checked, "node long, text string"), "texts")
+    if not texts.groupBy("node").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["node"])  # repeated rows
+    profiles = classes.join(involved, "node").select("node", "n", "profile")
 
-    first = near.where("test").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    measured = cut(_distances(first, texts, seed), "distances")
-    links = measured.where(LINKED).select("a", "b")
-    d = measured.select(F.col("a").alias("region"), F.col("b").alias("node"), F.expr("1 - common / (m + n - common)").alias("d"))
-    members = near.where("first").select(F.col("pivot").alias("region"), "node").join(d, ["region", "node"], "left").join(classes.select("node", "n"), "node")
-    members = cut(members.select("region", "node", "n", F.coalesce("d", F.lit(float("nan"))).alias("d")), "members")
+    pairs = near.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "first", "test")
+    measured = cut(_profile_distances(pairs, profiles), "distances")
+    links, components = _resolve(measured.where("test"), None, texts, seed)
+    members = measured.where("first").select(F.col("a").alias("region"), F.col("b").alias("node"), F.coalesce("d", F.lit(float("nan"))).alias("d"))
+    members = cut(members.join(classes.select("node", "n"), "node").select("region", "node", "n", "d"), "members")
 
-    for step in range(ROUNDS + 1):
-        components = cut(connected_components(links), "components")
-        if not members.take(1):
+    for step in range(ROUNDS):
+        if members.isEmpty():
             break
         named = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         home = spans.where("low < high").join(components.select(F.col("node").alias("region"), F.col("component").alias("home")), "region", "left")
         open_ = named.join(home.select("region", "home"), "region")
         outside = "component <> coalesce(home, region)"
-        if step < ROUNDS:
-            # rank 1 to PIVOTS: the new pivots; one more: all other points
-            picked = open_.where(outside).groupBy("region").agg(F.sort_array(F.collect_set(F.expr("pmod(node, 64)"))).alias("slots"))
-            ranked = open_.join(picked, "region").withColumn("rank", F.expr(f"if({outside} and pmod(node, 64) <= slots[0], 1, {PIVOTS + 1})").cast("long"))
+        if step < ROUNDS - 1:
+            # the new pivots (rank 1) are the points outside that share the least hash slot
+            picked = open_.where(outside).groupBy("region").agg(F.min(F.expr("pmod(node, 64)")).alias("slot"))
+            ranked = open_.join(picked, "region").withColumn("rank", F.expr(f"if({outside} and pmod(node, 64) = slot, 1, 2)").cast("long"))
             pairs = _window(ranked, 1)
         else:
             pairs = _window(open_.withColumn("rank", F.lit(0).cast("long")), None)
-        more = cut(_distances(pairs, texts, seed), "distances").where(LINKED).select("a", "b")
-        if step == ROUNDS:
-            components = cut(connected_components(links.union(more)), "components")
-        links = links.union(more)
+        links, components = _resolve(_profile_distances(pairs, profiles), links, texts, seed)
     named = points.join(components, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
     least = named.where("component is not null").groupBy("component").agg(F.min("key").alias("least"))
     return named.join(least, "component", "left").select(F.col("key").alias(key), "n", F.coalesce("least", "key").alias("component"))
