@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, jaccard_join, positional_index
+from corpusloom.llm import bpe, jaccard_join, ordinal, positional_index, pu_quality
 
 QUERIES = {
     "op1_decontamination": positional_index.op1_decontamination,
+    "op2_quality": pu_quality.op2_quality,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op8_toxicity": ordinal.op8_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
 
