@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from corpusloom.llm import vectext
 from corpusloom.llm.storage import table
@@ -193,7 +194,7 @@ def encoder(path: str) -> SpeculativeBpe:
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """The columns of ``docs`` and the token ids of its text; a column named like ``ids`` is replaced."""
     kept = [c for c in docs.columns if c.lower() != ids.lower()]
-    schema = docs.select(*kept).schema.add(ids, "array<int>")
+    schema = docs.select(*kept).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)

@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", prefix: str
     """The columns of ``docs`` with severity (0 to 3, expected), grade (likeliest) and toxic (severity above 0 with a probability of TOXIC_CUT or more)."""
     added = [prefix + c for c in ("severity", "grade", "toxic")]
     kept = [c for c in docs.columns if c.lower() not in added]
-    schema = docs.select(*kept).schema.add(added[0], "double").add(added[1], "int").add(added[2], "boolean")
+    schema = docs.select(*kept).schema.add(added[0], "double").add(added[1], "integer").add(added[2], "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in vectext.slices(batches, "__text"):
