@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, jaccard_join, ordinal, positional_index, pu_quality
+from corpusloom.llm import bpe, crf_language, jaccard_join, order_minhash, ordinal, positional_index, pu_quality, warc
 
 QUERIES = {
     "op1_decontamination": positional_index.op1_decontamination,
     "op2_quality": pu_quality.op2_quality,
+    "op4_language": crf_language.op4_language,
+    "op6_fingerprints": order_minhash.op6_fingerprints,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_toxicity": ordinal.op8_toxicity,
+    "op9_warc": warc.op9_warc,
     "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": positional_index.OP1_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
