@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, crf_language, jaccard_join, order_minhash, ordinal, positional_index, pu_quality, warc
+from corpusloom.llm import bpe, crf_language, jaccard_join, order_minhash, ordinal, positional_index, pu_quality, quote_links, site_style_tree, warc
 
 QUERIES = {
     "op1_decontamination": positional_index.op1_decontamination,
     "op2_quality": pu_quality.op2_quality,
+    "op3_quote_links": quote_links.op3_quote_links,
     "op4_language": crf_language.op4_language,
+    "op5_main_text": site_style_tree.op5_main_text,
     "op6_fingerprints": order_minhash.op6_fingerprints,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_toxicity": ordinal.op8_toxicity,
@@ -17,5 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": positional_index.OP1_SQL,
+    "op3_quote_links": quote_links.OP3_SQL,
+    "op5_main_text": site_style_tree.OP5_SQL,
     "op9_warc": warc.OP9_SQL,
 }
