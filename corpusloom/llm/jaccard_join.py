@@ -10,12 +10,15 @@ The Jaccard distance d is a metric, and two documents link when d <= r (0.2 for
    contracted space: a point's profile counts its shingles in about |x| buckets, and the Jaccard distance D of two
    profiles as multisets is a metric as well and never above d. A pair with D > r cannot link. Every point is tested
    exactly, on the texts, against its nearest pivot, whose Voronoi cell it is in; pairs that are still apart follow.
-4. Pivot regions then take the place of shingle regions: points that met in a shingle region meet in the region of its
-   first pivot, and by the triangle inequality only those whose distances D to the pivot differ by r at most, and
-   whose sizes differ by a fifth at most, can link; a boundary point stays in the window of every such pivot.
-5. Points that links join already need no further test. The other pairs of a window are joined recursively: new
-   pivots are taken from the points outside the first pivot's component, and then all pairs that are left are tested.
-   No pair is left out, so the components are exact.
+4. Points that links join already need no further test. Pivot regions take the place of shingle regions: points that
+   met in a shingle region meet in the region of its first pivot p. In a small region all pairs in different
+   components are compared by D, unless sizes or the triangle inequality through p tell them apart.
+5. A large region is joined recursively, in the space of differences from p. With r shingles of p that x misses and a
+   ones that p misses, let g = (1 - c) r + c a and c = 0.8 / 1.8. Then x links to p exactly if g(x) <= (1 - 2c) |p|,
+   and x and y link exactly if their differences from p share g(x) + g(y) - (1 - 2c) |p| shingles. So a point apart
+   from p links only to points that share many of its differences, and all of a large group of loose copies falls
+   apart into regions of few first differences, which get pivots of their own, and so on. No pair is left out, so the
+   components are exact.
 
 No group of points is ever held in one place: regions are read as sorted streams with the pivots of one region in
 memory.
@@ -45,8 +48,10 @@ PERCENT = 80
 PIVOTS = 4
 #: Shingles that may be moved to the end of the common order; more would only make regions larger, never wrong.
 FREQUENT = 1 << 17
-#: Rounds with new pivots before all pairs that are left are tested.
-ROUNDS = 2
+#: Points of a region whose pairs are compared directly.
+SMALL = 64
+#: Levels of differences before the pairs of any region that is left are compared directly.
+LEVELS = 4
 #: Rows of a side that is broadcast, two numbers each; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows of one output batch.
@@ -134,8 +139,13 @@ def _ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return shingles[np.argsort(weight, kind="stable")]
 
 
+#: A region's point may be the near one of a pair, the far one, or either.
+NEAR, FAR, BOTH = 1, 2, 3
+REGIONS = "shingle long, node long, size long, roles long"
+
+
 def _regions(docs: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
-    """(shingle, node, size): a point in each region it lies in. size: n * 2^32 + place of the shingle in its order."""
+    """(shingle, node, size, roles): a point in each region it lies in. size: n * 2^32 + place of the shingle in its order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -148,13 +158,11 @@ def _regions(docs: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
                 if len(done) < 1_000_000:
                     done.add(node)
                 k = n - -(-PERCENT * n // 100) + 1
-                parts.append((_ordered(s, frequent)[:k].view(np.int64), np.full(k, node), (n << 32) + np.arange(k)))
+                parts.append((_ordered(s, frequent)[:k].view(np.int64), np.full(k, node), (n << 32) + np.arange(k), np.full(k, BOTH)))
             if parts:
-                columns = [np.concatenate(x) for x in zip(*parts)]
-                for at in range(0, len(columns[0]), OUT_ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + OUT_ROWS]) for c in columns], names=["shingle", "node", "size"])
+                yield from _batch(dict(zip(("shingle", "node", "size", "roles"), (np.concatenate(x) for x in zip(*parts)))))
 
-    return docs.select("text").mapInArrow(run, "shingle long, node long, size long")
+    return docs.select("text").mapInArrow(run, REGIONS)
 
 
 def _batch(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -164,41 +172,43 @@ def _batch(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_pivots(regions: DataFrame) -> DataFrame:
-    """(pivot, node, first, test): each point with the pivots of its shingle regions.
+    """(pivot, node, first, test): each point with the pivots of its shingle regions, near points of least hash.
 
-    first: it lies in the pivot region (the first pivot of the shingle region, and the point is none of its pivots);
-    test: by sizes and places they may link.
+    first: it lies in the pivot region (the first pivot of the shingle region; only where the region has more near
+    points than pivots, and for points that are none of them); test: by sizes, places and roles they may link.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3  # the pivots of the region that is open, from earlier batches
+        held = [np.zeros(0, np.int64)] * 4  # the first points of the region that is open, from earlier batches
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in ("shingle", "node", "size")]
+            new = [batch.column(c).to_numpy() for c in ("shingle", "node", "size", "roles")]
             if not len(new[0]):
                 continue
             skip = len(held[0])
-            s, node, size = (np.concatenate(x) for x in zip(held, new))
+            s, node, size, roles = (np.concatenate(x) for x in zip(held, new))
             keep = np.concatenate(([True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])))  # a point once a region
             fresh = (np.arange(len(s)) >= skip)[keep]
-            s, node, size = s[keep], node[keep], size[keep]
+            s, node, size, roles = s[keep], node[keep], size[keep], roles[keep]
             heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             begin = np.repeat(heads, np.diff(np.append(heads, len(s))))
             place = np.arange(len(s)) - begin
             n, at = size >> 32, size & 0xFFFFFFFF
+            crowded = roles[np.minimum(begin + PIVOTS, len(s) - 1)] & NEAR > 0
             for j in range(PIVOTS):
                 x = np.flatnonzero(fresh & (place > j))
                 p = begin[x] + j
                 least, most = np.minimum(n[x], n[p]), np.maximum(n[x], n[p])
-                may = (100 * least >= PERCENT * most) & (1 + np.minimum(n[x] - at[x], n[p] - at[p]) - 1 >= needed(n[x], n[p]))
-                first = (place[x] >= PIVOTS) & (j == 0)
+                may = (100 * least >= PERCENT * most) & (np.minimum(n[x] - at[x], n[p] - at[p]) >= needed(n[x], n[p]))
+                may &= (roles[x] & (roles[p] << 1) & FAR > 0) | (roles[p] & (roles[x] << 1) & FAR > 0)
+                first = (place[x] >= PIVOTS) & crowded[x] & (j == 0)
                 use = may | first
                 yield from _batch({"pivot": node[p[use]], "node": node[x[use]], "first": first[use], "test": may[use]})
             last = heads[-1]
-            held = [c[last : last + PIVOTS + (len(c) - last > PIVOTS)] for c in (s, node, size)]
-            if len(s) - last > PIVOTS:  # also the last point, to see a copy of it that follows
-                held = [np.append(h[:PIVOTS], c[-1]) for h, c in zip(held, (s, node, size))]
+            kept = np.unique(np.append(np.arange(last, min(last + PIVOTS + 1, len(s))), len(s) - 1))  # the last: a copy may follow
+            held = [c[kept] for c in (s, node, size, roles)]
 
-    spread = regions.repartition("shingle").sortWithinPartitions("shingle", "node")
+    order = F.when(F.col("roles").bitwiseAND(NEAR) > 0, 0).otherwise(1)
+    spread = regions.repartition("shingle").sortWithinPartitions("shingle", order, "node")
     found = spread.mapInArrow(run, "pivot long, node long, first boolean, test boolean")
     return found.groupBy("pivot", "node").agg(F.max("first").alias("first"), F.max("test").alias("test"))
 
@@ -275,51 +285,75 @@ def _resolve(pairs: DataFrame, links: DataFrame | None, texts: DataFrame, seed:
     return links, components
 
 
-def _window(points: DataFrame, pivots: int | None) -> DataFrame:
-    """(a, b): pairs of one pivot region in different components that sizes and the triangle inequality let link.
+def _pairs_within(points: DataFrame) -> DataFrame:
+    """(a, b, d): the pairs of a region, in different components, that D, sizes and the triangle inequality let link.
 
-    points: (region, node, n, d, component, home). With ``pivots`` only pairs with so many points outside the home
-    component (that of the region's pivot), those of least hash; else all pairs.
+    points: (region, node, n, d, component, profile), d being D to the region's pivot. A stream sorted by size holds
+    the points that are large enough for the next one.
     """
-
-    def within(n, d, component, i, js):
-        """Those of the earlier points js that point i may link with."""
-        ok = (100 * n[js] >= PERCENT * n[i]) & (100 * n[i] >= PERCENT * n[js]) & (component[js] != component[i])
-        return js[ok & ~(np.abs(d[js] - d[i]) > 1 - PERCENT / 100 + 1e-9)]
+    radius = 1 - PERCENT / 100 + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("region", "node", "n", "d", "component", "rank")
-        held = [np.zeros(0, np.int64)] * 6
-        held[3] = np.zeros(0, np.float64)
+        region, held = None, []
         for batch in batches:
-            new = [np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in names]
-            skip = len(held[0])
-            region, node, n, d, component, rank = columns = [np.concatenate(x) for x in zip(held, new)]
-            heads = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
-            begin = np.repeat(heads, np.diff(np.append(heads, len(region))))
-            a, b = [], []
-            for i in range(skip, len(region)):
-                js = np.arange(begin[i], i)
-                if pivots is not None:
-                    js = js[rank[js] <= pivots]
-                js = within(n, d, component, i, js)
-                a.append(node[js])
-                b.append(np.full(len(js), node[i]))
-                if sum(map(len, a[-64:])) > OUT_ROWS:
-                    yield from _batch({"a": np.concatenate(a), "b": np.concatenate(b)})
-                    a, b = [], []
-            if a:
-                yield from _batch({"a": np.concatenate(a), "b": np.concatenate(b)})
-            open_ = np.arange(heads[-1], len(region))
-            if pivots is None:
-                open_ = open_[100 * n[open_] >= PERCENT * n[-1]]  # sorted by size: smaller ones are out of reach
-            else:
-                open_ = open_[rank[open_] <= pivots]
-            held = [c[open_] for c in columns]
-
-    order = ("region", "n", "node") if pivots is None else ("region", "rank", "node")
-    spread = points.repartition("region").sortWithinPartitions(*order).select("region", "node", "n", "d", "component", "rank")
-    return spread.mapInArrow(run, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            a, b, distances = [], [], []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("region", "node", "n", "d", "component", "profile"))):
+                if row[0] != region:
+                    region, held = row[0], []
+                _, node, n, d, component, own = row
+                if held and 100 * held[0][1] < PERCENT * n:
+                    held = [h for h in held if 100 * h[1] >= PERCENT * n]
+                for other, m, e, its, theirs in held:
+                    if its != component and not (d is not None and e is not None and abs(d - e) > radius):
+                        found = profile_distance(theirs, own, m, n)
+                        if found is None or found <= radius:
+                            a.append(min(node, other))
+                            b.append(max(node, other))
+                            distances.append(found)
+                held.append((node, n, d, component, own))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(distances, pa.float64())], names=["a", "b", "d"])
+
+    spread = points.repartition("region").sortWithinPartitions("region", "n", "node").select("region", "node", "n", "d", "component", "profile")
+    return spread.mapInArrow(run, "a long, b long, d double").groupBy("a", "b").agg(F.min("d").alias("d"))
+
+
+def _differences(members: DataFrame, texts: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
+    """Regions (as of ``_regions``) of the first differences of points from the pivot of their region.
+
+    members: (region, node). Differences that the pivot misses come before those that the point misses.
+    """
+    rows = members.select("region", "node").withColumn("own", F.lit(1)).union(members.select("region").distinct().select("region", F.col("region").alias("node"), F.lit(0)))
+    rows = rows.join(texts, "node")
+    c = PERCENT / (100 + PERCENT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, pivot = None, np.zeros(0, np.uint64)
+        for batch in vectext.slices(batches, "text"):
+            region, node, own = (batch.column(x).to_pylist() for x in ("region", "node", "own"))
+            parts = []
+            for i, s in enumerate(shingle_sets(batch, "text", seed)):
+                if own[i] == 0:
+                    held, pivot = region[i], s
+                    continue
+                if region[i] != held:
+                    continue
+                missing, more = np.setdiff1d(pivot, s, assume_unique=True), np.setdiff1d(s, pivot, assume_unique=True)
+                size, g, bound = len(missing) + len(more), (1 - c) * len(missing) + c * len(more), (1 - 2 * c) * len(pivot)
+                near = size - max(int(np.ceil(2 * g - bound - 1e-6)), int(np.floor(g - 1e-6)) + 1, 1) + 1
+                over = g - bound
+                # the far point of a pair has the larger g, and the other one g >= over / (1 / c - 1)
+                far = size - max(int(np.ceil(over + over / (1 / c - 1) - 1e-6)), 1) + 1 if over > -1e-6 else 0
+                k = max(near, far, 0)
+                if k:
+                    order = np.concatenate((_ordered(more, frequent), _ordered(missing, frequent)))[:k]
+                    block = vectext.mix(order + vectext.mix(np.array([held]).view(np.uint64))).view(np.int64)
+                    roles = NEAR * (np.arange(k) < near) + FAR * (np.arange(k) < far)
+                    parts.append((block, np.full(k, node[i]), np.full(k, len(s) << 32), roles))
+            if parts:
+                yield from _batch(dict(zip(("shingle", "node", "size", "roles"), (np.concatenate(x) for x in zip(*parts)))))
+
+    spread = rows.repartition("region").sortWithinPartitions("region", "own")
+    return spread.mapInArrow(run, REGIONS)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: int = 1) -> DataFrame:
@@ -353,28 +387,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         texts = texts.dropDuplicates(["node"])  # repeated rows
     profiles = classes.join(involved, "node").select("node", "n", "profile")
 
-    pairs = near.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "first", "test")
-    measured = cut(_profile_distances(pairs, profiles), "distances")
-    links, components = _resolve(measured.where("test"), None, texts, seed)
-    members = measured.where("first").select(F.col("a").alias("region"), F.col("b").alias("node"), F.coalesce("d", F.lit(float("nan"))).alias("d"))
-    members = cut(members.join(classes.select("node", "n"), "node").select("region", "node", "n", "d"), "members")
-
-    for step in range(ROUNDS):
-        if members.isEmpty():
+    links = components = None
+    for level in range(LEVELS + 1):
+        pairs = near.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "first", "test")
+        measured = cut(_profile_distances(pairs, profiles), "distances")
+        links, components = _resolve(measured.where("test").select("a", "b", "d"), links, texts, seed)
+        members = measured.where("first").select(F.col("a").alias("region"), F.col("b").alias("node"), "d")
+        members = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        spans = members.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("points"))
+        open_ = cut(members.join(spans.where("low < high").select("region", "points"), "region"), "open-regions")
+        direct = open_ if level == LEVELS else open_.where(f"points <= {SMALL}")
+        if not direct.isEmpty():
+            links, components = _resolve(_pairs_within(direct.join(profiles, "node")), links, texts, seed)
+        large = open_.where(f"points > {SMALL}")
+        if level == LEVELS or large.isEmpty():
             break
-        named = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        spans = named.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        home = spans.where("low < high").join(components.select(F.col("node").alias("region"), F.col("component").alias("home")), "region", "left")
-        open_ = named.join(home.select("region", "home"), "region")
-        outside = "component <> coalesce(home, region)"
-        if step < ROUNDS - 1:
-            # the new pivots (rank 1) are the points outside that share the least hash slot
-            picked = open_.where(outside).groupBy("region").agg(F.min(F.expr("pmod(node, 64)")).alias("slot"))
-            ranked = open_.join(picked, "region").withColumn("rank", F.expr(f"if({outside} and pmod(node, 64) = slot, 1, 2)").cast("long"))
-            pairs = _window(ranked, 1)
-        else:
-            pairs = _window(open_.withColumn("rank", F.lit(0).cast("long")), None)
-        links, components = _resolve(_profile_distances(pairs, profiles), links, texts, seed)
+        near = cut(_to_pivots(_differences(large, texts, seed, frequent)), "near")
     named = points.join(components, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
     least = named.where("component is not null").groupBy("component").agg(F.min("key").alias("least"))
     return named.join(least, "component", "left").select(F.col("key").alias(key), "n", F.coalesce("least", "key").alias("component"))
