@@ -26,6 +26,8 @@ from corpusloom.llm.storage import table
 GRADES = 4
 #: Bound of the training sample: expected number of labelled rows of each class.
 SAMPLE_ROWS = 2500
+#: Likelihood-ratio statistic of a telling feature; far above what the best of many random features reaches.
+LEAST_GAIN = 24
 #: Features that may get a weight.
 MOST_FEATURES = 4096
 PREFIXES = (4, 5)
@@ -79,7 +81,7 @@ def _select(doc: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> tuple[np.
     part = lambda o, e: o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9))
     gain = 2 * (part(in_toxic, expected) + part(total - in_toxic, total - expected))
     odds = np.log((in_toxic + 0.5) / (pos - in_toxic + 0.5)) - np.log((total - in_toxic + 0.5) / (n - pos - total + in_toxic + 0.5))
-    good = np.flatnonzero((total >= 3) & (gain > 12) & (odds > 1))
+    good = np.flatnonzero((total >= 3) & (gain > LEAST_GAIN) & (odds > 1))
     good = good[np.argsort(-gain[good], kind="stable")[:MOST_FEATURES]]
     good.sort()
     return names[good], odds[good]

@@ -142,24 +142,34 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     return cut(made.mapInArrow(run, "archive string, data binary"), "warc")
 
 
-_RECORD = "record_id string, key string, url string, record_type string, refers_to string, digest string, stated_bytes long, segment int, total long, block binary"
+_RECORD = "record_id string, key string, url string, record_type string, refers_to string, digest string, stated_bytes long, segment int, total long, block binary, payload binary, error string"
+
+
+def _payload(kind: str, block: bytes | None, error: str | None) -> tuple[bytes | None, str | None]:
+    if kind != "response" or error is not None:
+        return None, error
+    try:
+        return http_payload(block), None
+    except ValueError as e:
+        return None, str(e)
 
 
 def read_records(archives: DataFrame) -> DataFrame:
-    """One row a record or segment; segment is null for records in one piece."""
+    """One row a record or segment: segments with their block, records in one piece (segment null) with their payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _RECORD.split(", ")]
-        kinds = [pa.string()] * 6 + [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        kinds = [pa.string()] * 6 + [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
         for batch in batches:
             for data in batch.column("data"):
                 rows = []
                 for h, block in records(data.as_py()):
                     number = h.get("WARC-Segment-Number")
                     total, stated = h.get("WARC-Segment-Total-Length"), h.get("X-Payload-Bytes")
+                    content = (block, None, None) if number else (None, *_payload(h["WARC-Type"], block, None))
                     rows.append((
                         h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), h.get("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], h.get("X-Refers-To-Page-ID"),
-                        h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, stated and int(stated), number and int(number), total and int(total), block,
+                        h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, stated and int(stated), number and int(number), total and int(total), *content,
                     ))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
@@ -185,27 +195,18 @@ def reassemble(parts: DataFrame) -> DataFrame:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """(key, url, record_type, refers_to, stated_digest, stated_bytes, payload, error) of every record, reassembled."""
-    read = read_records(archives)
-    whole = read.where("segment is null").withColumn("error", F.lit(None).cast("string")).drop("segment", "total")
-    rows = whole.unionByName(reassemble(read.where("segment is not null")))
+    """(key, url, record_type, refers_to, digest, stated_bytes, payload, error) of every record, reassembled."""
+    names = ["key", "url", "record_type", "refers_to", "digest", "stated_bytes", "payload", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payloads, errors = [], []
-            for kind, block, error in zip(*(batch.column(c).to_pylist() for c in ("record_type", "block", "error"))):
-                payload = None
-                if kind == "response" and error is None:
-                    try:
-                        payload = http_payload(block)
-                    except ValueError as e:
-                        error = str(e)
-                payloads.append(payload)
-                errors.append(error)
-            kept = [batch.column(c) for c in ("key", "url", "record_type", "refers_to", "digest", "stated_bytes")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(payloads, pa.binary()), pa.array(errors, pa.string())], names=["key", "url", "record_type", "refers_to", "stated_digest", "stated_bytes", "payload", "error"])
-
-    return rows.mapInArrow(run, "key string, url string, record_type string, refers_to string, stated_digest string, stated_bytes long, payload binary, error string")
+            decoded = [_payload(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("record_type", "block", "error")))]
+            columns = [*(batch.column(c) for c in names[:6]), pa.array([p for p, _ in decoded], pa.binary()), pa.array([e for _, e in decoded], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    whole = read_records(archives).where("segment is null").select(names)
+    parts = reassemble(read_records(archives).where("segment is not null"))
+    return whole.unionByName(parts.mapInArrow(run, whole.schema))
 
 
 def base32(hexadecimal: str):
@@ -223,7 +224,7 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     """
     kind = pages.schema[key].dataType.simpleString()
     found = read_archives(write_archives(pages, key, url, html))
-    found = found.withColumn("sha", F.sha1("payload")).select("key", "record_type", "refers_to", "stated_digest", F.octet_length("payload").cast("long").alias("bytes"), base32("sha").alias("digest"))
+    found = found.withColumn("sha", F.sha1("payload")).select("key", "record_type", "refers_to", F.col("digest").alias("stated_digest"), F.octet_length("payload").cast("long").alias("bytes"), base32("sha").alias("digest"))
     found = cut(found, "read")
     responses = found.where("record_type = 'response'")
     direct = responses.select("key", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("string").alias("refers_to"))
