@@ -28,12 +28,14 @@ GRADES = 4
 SAMPLE_ROWS = 2500
 #: Likelihood-ratio statistic of a telling feature; far above what the best of many random features reaches.
 LEAST_GAIN = 24
+#: Log odds ratio of a telling feature between toxic and other rows.
+LEAST_ODDS = 3
 #: Features that may get a weight.
 MOST_FEATURES = 4096
 PREFIXES = (4, 5)
 #: A text is toxic if its severity is above 0 with at least this probability; below a half, as texts without a telling
 #: feature stay far under it, and a missed toxic text is worse than a doubtful one.
-TOXIC_CUT = 0.2
+TOXIC_CUT = 0.3
 
 
 def word_features(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def _select(doc: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> tuple[np.
     part = lambda o, e: o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9))
     gain = 2 * (part(in_toxic, expected) + part(total - in_toxic, total - expected))
     odds = np.log((in_toxic + 0.5) / (pos - in_toxic + 0.5)) - np.log((total - in_toxic + 0.5) / (n - pos - total + in_toxic + 0.5))
-    good = np.flatnonzero((total >= 3) & (gain > LEAST_GAIN) & (odds > 1))
+    good = np.flatnonzero((total >= 3) & (gain > LEAST_GAIN) & (odds > LEAST_ODDS))
     good = good[np.argsort(-gain[good], kind="stable")[:MOST_FEATURES]]
     good.sort()
     return names[good], odds[good]
