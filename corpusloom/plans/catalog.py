@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from corpusloom.plans import retrieval_queries, text_queries
+
+_ALL = text_queries.QUERIES | retrieval_queries.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for name, (query, _) in _ALL.items()}
+ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
+FLAGSHIP = "hybrid_search"
