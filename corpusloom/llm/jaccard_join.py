@@ -47,7 +47,9 @@ PERCENT = 80
 #: Pivots of a region in one round.
 PIVOTS = 4
 #: Shingles that may be moved to the end of the common order; more would only make regions larger, never wrong.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
+#: Cells in which a task counts shingles to tell the frequent ones, of a byte each.
+COUNTERS = 1 << 24
 #: Points of a region whose pairs are compared directly.
 SMALL = 64
 #: Levels of differences before the pairs of any region that is left are compared directly.
@@ -103,15 +105,18 @@ def needed(m, n):
 
 
 def _points(docs: DataFrame, seed: int) -> DataFrame:
-    """(key, node, check, n, profile, frequent): the point of each document; shingles that are frequent in its slice."""
+    """(key, node, check, n, profile, frequent): the point of each document; shingles that are frequent in its task so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.uint8)
         for batch in vectext.slices(batches, "text"):
             sets = list(shingle_sets(batch, "text", seed))
             ids = [point_of(s) if len(s) else (None, None) for s in sets]
             once = {node: s for (node, _), s in zip(ids, sets) if node is not None}
             values, counts = np.unique(np.concatenate([*once.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= 4
+            cells = (values >> np.uint64(8)) & np.uint64(COUNTERS - 1)
+            seen[cells] = np.minimum(seen[cells] + counts, 255)
+            often = seen[cells] >= 4
             frequent: list = [None] * len(sets)
             frequent[0] = [{"s": s, "c": c} for s, c in zip(values[often].view(np.int64).tolist(), counts[often].tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -265,24 +270,25 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return named.where("coalesce(__a, a) <> coalesce(__b, b)").drop("__a", "__b")
 
 
-def _resolve(pairs: DataFrame, links: DataFrame | None, texts: DataFrame, seed: int) -> tuple[DataFrame, DataFrame | None]:
-    """All links needed for the components over ``links`` and the pairs (a, b, d), and the components.
+def _resolve(pairs: DataFrame, components: DataFrame | None, texts: DataFrame, seed: int) -> DataFrame:
+    """The components (node, component) that follow from those known so far and the pairs (a, b, d).
 
     First every b is tested against its nearest a; then all pairs that are still in different components.
     """
     near = f"d is null or d <= {1 - PERCENT / 100 + 1e-9}"
-    pairs = cut(pairs.where(near).select("a", "b", F.coalesce("d", F.lit(0.0)).alias("d")), "pairs")
-    nearest = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
-    chosen = nearest
+    pairs = pairs.where(near).select("a", "b", F.coalesce("d", F.lit(0.0)).alias("d"))
+    pairs = cut(pairs if components is None else _apart(pairs, components), "pairs")
+    chosen = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
     for last in (False, True):
-        found = cut(_exact_links(chosen, texts, seed), "links")
-        links = found if links is None else links.union(found)
+        links = _exact_links(chosen, texts, seed)
+        if components is not None:
+            links = links.union(components.select("node", "component").where("node <> component"))
         components = cut(connected_components(links), "components")
         if not last:
             chosen = cut(_apart(pairs.select("a", "b"), components), "apart")
             if chosen.isEmpty():
                 break
-    return links, components
+    return components
 
 
 def _pairs_within(points: DataFrame) -> DataFrame:
@@ -387,18 +393,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         texts = texts.dropDuplicates(["node"])  # repeated rows
     profiles = classes.join(involved, "node").select("node", "n", "profile")
 
-    links = components = None
+    components = None
     for level in range(LEVELS + 1):
         pairs = near.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "first", "test")
         measured = cut(_profile_distances(pairs, profiles), "distances")
-        links, components = _resolve(measured.where("test").select("a", "b", "d"), links, texts, seed)
+        components = _resolve(measured.where("test").select("a", "b", "d"), components, texts, seed)
         members = measured.where("first").select(F.col("a").alias("region"), F.col("b").alias("node"), "d")
         members = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = members.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("points"))
         open_ = cut(members.join(spans.where("low < high").select("region", "points"), "region"), "open-regions")
         direct = open_ if level == LEVELS else open_.where(f"points <= {SMALL}")
         if not direct.isEmpty():
-            links, components = _resolve(_pairs_within(direct.join(profiles, "node")), links, texts, seed)
+            components = _resolve(_pairs_within(direct.join(profiles, "node")), components, texts, seed)
         large = open_.where(f"points > {SMALL}")
         if level == LEVELS or large.isEmpty():
             break
