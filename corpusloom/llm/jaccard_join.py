@@ -47,7 +47,7 @@ PERCENT = 80
 #: Pivots of a region in one round.
 PIVOTS = 4
 #: Shingles that may be moved to the end of the common order; more would only make regions larger, never wrong.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 17
 #: Cells in which a task counts shingles to tell the frequent ones, of a byte each.
 COUNTERS = 1 << 24
 #: Points of a region whose pairs are compared directly.
@@ -199,6 +199,7 @@ def _to_pivots(regions: DataFrame) -> DataFrame:
             place = np.arange(len(s)) - begin
             n, at = size >> 32, size & 0xFFFFFFFF
             crowded = roles[np.minimum(begin + PIVOTS, len(s) - 1)] & NEAR > 0
+            made = []
             for j in range(PIVOTS):
                 x = np.flatnonzero(fresh & (place > j))
                 p = begin[x] + j
@@ -207,7 +208,13 @@ def _to_pivots(regions: DataFrame) -> DataFrame:
                 may &= (roles[x] & (roles[p] << 1) & FAR > 0) | (roles[p] & (roles[x] << 1) & FAR > 0)
                 first = (place[x] >= PIVOTS) & crowded[x] & (j == 0)
                 use = may | first
-                yield from _batch({"pivot": node[p[use]], "node": node[x[use]], "first": first[use], "test": may[use]})
+                made.append((node[p[use]], node[x[use]], first[use], may[use]))
+            pivot, other, first, may = (np.concatenate(c) for c in zip(*made))
+            if len(pivot):  # pairs that several regions of the batch give are given once
+                order = np.lexsort((other, pivot))
+                pivot, other = pivot[order], other[order]
+                once = np.flatnonzero(np.concatenate(([True], (pivot[1:] != pivot[:-1]) | (other[1:] != other[:-1]))))
+                yield from _batch({"pivot": pivot[once], "node": other[once], "first": np.logical_or.reduceat(first[order], once), "test": np.logical_or.reduceat(may[order], once)})
             last = heads[-1]
             kept = np.unique(np.append(np.arange(last, min(last + PIVOTS + 1, len(s))), len(s) - 1))  # the last: a copy may follow
             held = [c[kept] for c in (s, node, size, roles)]
@@ -371,9 +378,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
             break
         seed += 1  # two different sets got one hash: other hashes
     counts = points.where("frequent is not null").select(F.explode("frequent").alias("f")).groupBy("f.s").agg(F.sum("f.c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "s").limit(FREQUENT).toPandas()
+    top = counts.orderBy(F.desc("c"), "s").limit(FREQUENT).select("s").toArrow().column(0).to_numpy()
     frequent = np.zeros(len(top), dtype=[("s", np.uint64), ("rank", np.int64)])
-    frequent["s"], frequent["rank"] = top["s"].to_numpy(np.int64).view(np.uint64), np.arange(len(top), 0, -1)
+    frequent["s"], frequent["rank"] = top.astype(np.int64).view(np.uint64), np.arange(len(top), 0, -1)
     frequent.sort(order="s")
 
     regions = _regions(docs, seed, frequent)
