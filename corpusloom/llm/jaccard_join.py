@@ -52,6 +52,8 @@ FREQUENT = 1 << 17
 COUNTERS = 1 << 24
 #: Points of a region whose pairs are compared directly.
 SMALL = 64
+#: Pairs that are tested exactly at once.
+TEST_AT_ONCE = 20_000
 #: Levels of differences before the pairs of any region that is left are compared directly.
 LEVELS = 4
 #: Rows of a side that is broadcast, two numbers each; a larger one is joined by a shuffle.
@@ -280,21 +282,30 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
 def _resolve(pairs: DataFrame, components: DataFrame | None, texts: DataFrame, seed: int) -> DataFrame:
     """The components (node, component) that follow from those known so far and the pairs (a, b, d).
 
-    First every b is tested against its nearest a; then all pairs that are still in different components.
+    Many pairs are tested in two steps: first every b against its nearest a, then all pairs that are still in different
+    components. So a group of copies needs about one test a point.
     """
     near = f"d is null or d <= {1 - PERCENT / 100 + 1e-9}"
     pairs = pairs.where(near).select("a", "b", F.coalesce("d", F.lit(0.0)).alias("d"))
     pairs = cut(pairs if components is None else _apart(pairs, components), "pairs")
-    chosen = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
+    count = pairs.count()
+    if not count and components is not None:
+        return components
+    two_steps = count > TEST_AT_ONCE
+    chosen = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b") if two_steps else pairs
     for last in (False, True):
-        links = _exact_links(chosen, texts, seed)
+        links = _exact_links(chosen.select("a", "b"), texts, seed)
         if components is not None:
-            links = links.union(components.select("node", "component").where("node <> component"))
-        components = cut(connected_components(links), "components")
-        if not last:
-            chosen = cut(_apart(pairs.select("a", "b"), components), "apart")
-            if chosen.isEmpty():
+            found = cut(links, "links")
+            if found.isEmpty():
                 break
+            links = found.union(components.select("node", "component").where("node <> component"))
+        components = cut(connected_components(links), "components")
+        if last or not two_steps:
+            break
+        chosen = cut(_apart(pairs.select("a", "b"), components), "apart")
+        if chosen.isEmpty():
+            break
     return components
 
 
@@ -400,20 +411,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         texts = texts.dropDuplicates(["node"])  # repeated rows
     profiles = classes.join(involved, "node").select("node", "n", "profile")
 
-    components = None
+    components = direct = None
     for level in range(LEVELS + 1):
         pairs = near.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "first", "test")
         measured = cut(_profile_distances(pairs, profiles), "distances")
-        components = _resolve(measured.where("test").select("a", "b", "d"), components, texts, seed)
+        tests = measured.where("test").select("a", "b", "d")
+        components = _resolve(tests if direct is None else tests.union(direct), components, texts, seed)
         members = measured.where("first").select(F.col("a").alias("region"), F.col("b").alias("node"), "d")
         members = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
         spans = members.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("points"))
         open_ = cut(members.join(spans.where("low < high").select("region", "points"), "region"), "open-regions")
-        direct = open_ if level == LEVELS else open_.where(f"points <= {SMALL}")
-        if not direct.isEmpty():
-            components = _resolve(_pairs_within(direct.join(profiles, "node")), components, texts, seed)
         large = open_.where(f"points > {SMALL}")
-        if level == LEVELS or large.isEmpty():
+        done = level == LEVELS or large.isEmpty()
+        direct = _pairs_within((open_ if done else open_.where(f"points <= {SMALL}")).join(profiles, "node"))
+        if done:
+            components = _resolve(direct, components, texts, seed)
             break
         near = cut(_to_pivots(_differences(large, texts, seed, frequent)), "near")
     named = points.join(components, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
