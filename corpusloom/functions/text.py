@@ -41,6 +41,11 @@ def _accent_pairs() -> tuple[str, str]:
 _MARKED, _BASE = _accent_pairs()
 
 
+def let(value: Column, body) -> Column:
+    """The body with the value bound to a variable, so that lambdas inside it don't compute the value anew each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_accents(c: Column) -> Column:
     """Letters without their marks; combining marks are dropped."""
     return F.regexp_replace(F.translate(c, _MARKED, _BASE), r"\p{Mn}+", "")
@@ -188,9 +193,7 @@ STEM_RULES = (
 )
 
 
-def stem(token: Column) -> Column:
-    """B24."""
-    t = strip_accents(F.lower(token))
+def _cut_ending(t: Column) -> Column:
     out = None
     for pattern, least in STEM_RULES:
         fits, cut = (F.length(t) >= least) & t.rlike(pattern), F.regexp_replace(t, pattern, "")
@@ -198,11 +201,16 @@ def stem(token: Column) -> Column:
     return out.otherwise(t)
 
 
+def stem(token: Column) -> Column:
+    """B24."""
+    return let(strip_accents(F.lower(token)), _cut_ending)
+
+
 def normalize_terms(terms: Column) -> Column:
     """Stems of the terms that are not neutral, each once, in order of first occurrence."""
     neutral = F.array(*map(F.lit, NEUTRAL_TERMS))
     kept = F.filter(F.transform(terms, lambda x: strip_accents(F.lower(x))), lambda x: ~F.array_contains(neutral, x))
-    return F.array_distinct(F.filter(F.transform(kept, stem), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(kept, _cut_ending), lambda x: x != ""))
 
 
 def distinct_ignoring_case(items: Column) -> Column:

@@ -93,8 +93,7 @@ def failure_class(recall: Column) -> Column:
 
 def evidence_matches(keywords: Column, text: Column) -> Column:
     """The keywords that the normalised text holds."""
-    body = t.retrieval_key(text)
-    return F.filter(keywords, lambda k: F.contains(body, t.retrieval_key(k)))
+    return t.let(t.retrieval_key(text), lambda body: F.filter(keywords, lambda k: F.contains(body, t.retrieval_key(k))))
 
 
 def evidence_coverage(keywords: Column, text: Column) -> Column:
