@@ -1,0 +1,416 @@
+"""Edge cases and brute-force checks of the training-data operators."""
+
+import base64
+import hashlib
+import os
+import random
+import re
+import sys
+import zlib
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+import corpus_pipeline
+from compare import assert_same
+
+from corpusloom.llm import bpe, components, crf_language, jaccard_join, order_minhash, ordinal, positional_index, pu_quality, queries, quote_links, site_style_tree, vectext, warc
+from corpusloom.llm.storage import cut, table
+
+SF = "/root/testdata/sf0.001"
+LONG = "long text " * 40_000
+DOCS = [(1, None), (2, ""), (3, "..."), (4, "one two three"), (4, "one two three"), (None, "uno dos tres"), (5, "The quick brown fox jumps over the lazy dog " * 3), (6, LONG), (7, "naïve café ﬁ 日本語  x")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns whose names clash with the operators' own."""
+    rows = spark.createDataFrame(DOCS, "doc_id long, text string")
+    return rows.withColumns({"ids": F.lit("x"), "n": F.lit(0), "node": F.lit("y"), "key": F.lit("k"), "lang": F.lit("en"), "score": F.lit(1), "source": F.lit(None).cast("string")})
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    assert_same(queries.QUERIES[name](spark, SF), queries.ORACLES[name], SF)
+
+
+# shared primitives
+
+
+def test_words_do_not_cross_documents():
+    raw, offsets = vectext.utf8(pa.array(["ab", "cd", "", " e"], pa.large_string()))
+    starts, ends, at = vectext.words(raw, offsets, vectext.ALNUM)
+    assert [bytes(raw[a:b]) for a, b in zip(starts, ends)] == [b"ab", b"cd", b"e"] and at.tolist() == [0, 1, 2, 2, 3]
+
+
+def test_slices_keep_all_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 10, None, "b" * 100, "c"])], names=["t"])
+    parts = list(vectext.slices([batch, batch.slice(0, 0)], "t", 12))
+    assert [x for p in parts for x in p.column("t").to_pylist()] == ["a" * 10, "", "b" * 100, "c"]
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, 101), (101, 102), (102, 103), (5, 5), (None, 1)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+# 1
+
+
+def brute_hits(text, items, window=13):
+    split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
+    words, hit, found = split(text), set(), set()
+    for item, body in items:
+        w = split(body)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            for j in range(len(words) - n + 1):
+                if words[j : j + n] == w[i : i + n]:
+                    hit.update(range(j, j + n))
+                    found.add(item)
+    return len(words), len(hit), sorted(found)
+
+
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    vocabulary = "a b c É".split()
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate((0, 1, 3, 13, 20))] + [("9", None), ("1", "zz yy")]
+    rows = [(i, ", ".join(rng.choices([*vocabulary, "zz", "yy"], k=rng.randrange(60))).upper()) for i in range(40)] + [(98, None), (99, "")]
+    monkeypatch.setattr(positional_index, "WINDOW", 13)
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    want = {i: brute_hits(text, items) for i, text in rows}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in positional_index.contamination(d, b).collect()}
+    assert got == want
+    monkeypatch.setattr(positional_index, "BLOCK_BYTES", 20)  # several blocks of items
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in positional_index.contamination(d, b).collect()} == want
+
+
+def test_proximity(spark):
+    index = positional_index.build_index(spark.createDataFrame([(1, "a x b y c"), (2, "a b"), (3, "c")], "doc_id long, text string"))
+    phrases = spark.createDataFrame([("p", "a b c")], "item_id string, text string")
+    got = {r["key"]: r["spans"] for r in positional_index.find_phrases(index, phrases, window=0, slop=2).collect()}
+    assert [tuple(s) for s in got[1]] == [(0, 5)] and got[2] == [] and got[3] == []
+    assert all(not r["spans"] for r in positional_index.find_phrases(index, phrases, window=0, slop=1).collect())
+
+
+def test_decontamination_edges(spark, docs):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert positional_index.contamination(docs, empty).where("n_hit > 0").isEmpty()
+    assert positional_index.contamination(docs.limit(0), empty).isEmpty()
+    assert positional_index.contamination(docs, empty).count() == len(DOCS)
+
+
+# 2, 4, 8
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op2_quality"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
+    assert (rows.predicted == rows.quality).mean() > 0.9 and rows.score.between(0, 1).all()
+
+
+def test_quality_edges(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = pu_quality.train(docs, labels)
+    assert {r["score"] for r in pu_quality.score(docs, model, ["doc_id"]).collect()} == {0.0}
+    labels = spark.createDataFrame([(1, 1), (4, 1), (5, 0), (6, None), (7, 1)], "doc_id long, quality int")
+    found = pu_quality.score(docs, pu_quality.train(docs, labels), ["doc_id", "node"]).collect()
+    assert len(found) == len(DOCS) and all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_nonnegative_risk_separates():
+    good, bad = pu_quality.measures(["Some plain words in a row."] * 40), pu_quality.measures(["$$$ %%% ###"] * 20)
+    import numpy as np
+
+    model = pu_quality.fit_pu(good[:20], np.concatenate((good[20:], bad)), 0.5)
+    assert model.score(good).min() > 0.5 > model.score(bad).max()
+
+
+def test_language_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op4_language"](spark, sf).join(table(spark, sf, "documents"), "doc_id").where("held_out").toPandas()
+    assert (rows.lang_pred == rows.lang).mean() > 0.95
+    assert all(zlib.crc32(str(i).encode()) % 3 == 1 for i in rows.doc_id)
+
+
+def test_code_switching(spark):
+    texts, langs = ["der hund und die katze"] * 30 + ["the dog and the cat"] * 30, ["de"] * 30 + ["en"] * 30
+    model = crf_language.fit_crf(texts, langs)
+    rows = spark.createDataFrame([(1, "der hund und die katze the dog and the cat"), (2, None), (3, "123 ---")], "id int, text string")
+    runs = {r["id"]: [(x["first"], x["end"], x["lang"]) for x in r["runs"]] for r in crf_language.label_words(rows, model, ["id"]).collect()}
+    assert runs[1] == [(0, 5, "de"), (5, 10, "en")] and runs[2] == []
+    assert {r["id"]: r["lang_pred"] for r in crf_language.predict(rows, model).collect()} | {1: 0} == {1: 0, 2: "und", 3: "und"}
+
+
+def test_forward_backward_against_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    model = crf_language.Crf(["a", "b"], np.zeros((1, 2)), rng.normal(size=(2, 2)))
+    emissions = rng.normal(size=(5, 2))
+    p, _ = model.marginals(emissions, np.array([0, 0, 5]))
+    total, want = 0, np.zeros((5, 2))
+    for path in itertools.product(range(2), repeat=5):
+        w = np.exp(sum(emissions[i, y] for i, y in enumerate(path)) + sum(model.transitions[a, b] for a, b in zip(path, path[1:])))
+        total += w
+        for i, y in enumerate(path):
+            want[i, y] += w
+    assert np.allclose(p, want / total)
+    long = rng.normal(size=(100, 2))
+    p, _ = model.marginals(long, np.array([0, 100]))
+    alpha = [np.exp(long[0])]
+    for e in long[1:]:
+        alpha.append((alpha[-1] @ np.exp(model.transitions)) * np.exp(e))
+    assert np.allclose(p[-1], alpha[-1] / alpha[-1].sum())
+
+
+def test_language_edges(spark, docs):
+    none = crf_language.fit_crf(*crf_language.training_rows(docs.limit(0)))
+    assert {r["lang_pred"] for r in crf_language.predict(docs, none).collect()} == {"und"}
+    model = crf_language.fit_crf(*crf_language.training_rows(docs))
+    assert {r["lang_pred"] for r in crf_language.predict(docs.where("text is null or text in ('', '...')"), model).collect()} == {"und"}
+    assert crf_language.predict(docs, model).count() == len(DOCS)
+
+
+def test_toxicity_finds_labelled_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op8_toxicity"](spark, sf).join(table(spark, sf, "labels").withColumnRenamed("toxic", "label"), "doc_id").toPandas()
+    assert rows.toxic[rows.label == 1].mean() > 0.8 and rows.toxic[rows.label == 0].mean() < 0.02
+    assert rows.severity.between(0, 3).all()
+
+
+def test_toxicity_grades_are_ordered():
+    texts = ["plain words here"] * 60 + ["you vile thing"] * 20 + ["vile vile awful thing"] * 20 + ["vile awful vile awful vile rotten"] * 20
+    model = ordinal.fit_ordinal(texts, [0] * 60 + [1] * 60)
+    assert list(model.thresholds) == sorted(model.thresholds)
+    batch = pa.RecordBatch.from_arrays([pa.array([texts[0], texts[60], texts[-1]], pa.large_string())], names=["t"])
+    severity = model.above(model.values(*ordinal.word_features(batch, "t"), 3)[0]).sum(axis=1)
+    assert severity[0] < severity[1] < severity[2]
+
+
+def test_toxicity_edges(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = ordinal.fit_ordinal(*ordinal.training_rows(docs, labels))
+    found = ordinal.score(docs, model).collect()
+    assert len(found) == len(DOCS) and not any(r["toxic"] for r in found)
+    assert ordinal.score(docs.limit(0), model).isEmpty()
+
+
+# 3
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "user", "Hello there\nsecond line\n\nThird"), (1, 1, "bot", "On Monday X wrote:\n> Hello there\n> second line\n\nMy answer"), (1, 2, "user", "> > hello THERE\n> > second   line\n> My answer\nThanks"), (1, 3, None, "> unknown\nx"), (1, 4, "user", None), (None, 1, "user", "> Hello there"), (1, 3, None, "> unknown\nx")]
+    got = quote_links.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("hash", F.lit(1)))
+    found = {(r["conv_id"], r["turn"]): (r["text"], r["reply_to"], r["thread"], r["depth"], r["n_quotes"]) for r in got.collect()}
+    assert got.count() == len(rows)
+    assert found[1, 1] == ("My answer", 0, 0, 1, 1) and found[1, 2] == ("Thanks", 1, 0, 2, 2) and found[1, 3] == ("x", None, 3, 0, 1) and found[1, 4][0] == "" and found[None, 1][1] is None
+    assert quote_links.reply_order(got.select("conv_id", "turn", "role", "text").limit(0)).isEmpty()
+
+
+def test_quotes_use_no_python(spark):
+    plan = queries.QUERIES["op3_quote_links"](spark, SF)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# 5
+
+
+def test_main_text():
+    page = """<html><head><title>t</title></head><body><header>no</header><div class="top-menu">no</div><div id="cookie-notice">no</div><article><h1>A &amp; B</h1><p>one <b>two
+    three<br>four<p>five &copy six<aside>no</aside><ul><li>x<li>y</ul><div class=comments>no</div><form>no</form><script>var a="</p>";</script></article><p>outside</p><footer>no</footer>"""
+    assert site_style_tree.main_text(page) == "A & B\none two three four\nfive © six\nx\ny"
+    assert site_style_tree.main_text("<div>a<!-- b --><p>c") == "a\nc" and site_style_tree.main_text("") == ""
+
+
+def test_style_tree_removes_repeated_branches(spark):
+    rows = [(i, "http://H.x/a", f'<div class="body"><p>unique words {i}</p></div><div class="box">same everywhere</div>') for i in range(8)]
+    rows += [(90, None, None), (91, "http://h.x/b", ""), (92, "http://other/", "<div>alone</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    found = {r["page_id"]: r["text"] for r in site_style_tree.extract(pages).collect()}
+    assert found == {**{i: f"unique words {i}" for i in range(8)}, 90: "", 91: "", 92: "alone"}
+    assert site_style_tree.extract(pages.limit(0)).isEmpty()
+
+
+# 6
+
+
+def test_fingerprints(spark, docs):
+    d = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    found = {r["doc_id"]: r for r in order_minhash.edits(d, partitions=3).collect()}
+    texts = {i: t or "" for i, t in DOCS if i is not None}
+    ids = sorted(texts)
+    for i, j in zip(ids, ids[1:] + ids[:1]):
+        n = len(texts[i])
+        edited = texts[i][: n - n // 2] + texts[j][: n // 2]
+        assert found[i]["n_chars"] == n and found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    assert found[1]["near_next"] == 1.0 and found[2]["near_edited"] == 1.0  # empty texts
+    assert order_minhash.edits(docs).count() == len(DOCS) and order_minhash.edits(docs.limit(0)).isEmpty()
+
+
+def test_order_minhash_minds_order():
+    words = [f"w{i}" for i in range(300)]
+    small = words[:150] + ["new"] + words[151:]
+    turned = words[150:] + words[:150]
+    a, b, c, same = order_minhash.sketches(pa.array([" ".join(words), " ".join(small), " ".join(turned), " ".join(words)]))
+    assert order_minhash.likeness(a, same) == 1.0 > order_minhash.likeness(a, b) > order_minhash.likeness(a, c)
+
+
+# 7
+
+
+def brute_components(rows):
+    def sets(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    s = [(i, sets(t)) for i, t in rows]
+    parent = list(range(len(s)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(s)):
+        for b in range(a):
+            x, y = s[a][1], s[b][1]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(s):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return sorted((i, len(x), least[root(k)]) for k, (i, x) in enumerate(s))
+
+
+def loose_copies(n, words, edits, seed):
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(edits)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_jaccard_join_against_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "TEST_AT_ONCE", 10)
+    texts = loose_copies(90, 120, 9, 1) + loose_copies(12, 6, 3, 2) + ["a b", "A  b", "", "the same five words here", "x " * 50]
+    rows = list(enumerate(texts))
+    random.Random(5).shuffle(rows)
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n"], r["component"]) for r in found.collect()) == brute_components(rows)
+
+
+def test_jaccard_join_edges(spark, docs):
+    found = [tuple(r) for r in jaccard_join.near_duplicates(docs).collect()]
+    assert len(found) == len(DOCS) and (4, 1, 4) in found and (1, 0, 1) in found and (None, 1, None) in found
+    assert jaccard_join.near_duplicates(docs.limit(0)).isEmpty()
+
+
+# 9
+
+
+def test_chunked_framing():
+    body = bytes(range(256)) * 50
+    assert warc.unchunked(warc.chunked(body)) == body and warc.unchunked(warc.chunked(b"")) == b""
+    with pytest.raises(ValueError):
+        warc.unchunked(warc.chunked(body)[:-600])
+
+
+def test_warc_segments_and_errors(spark):
+    rows = [(1, "http://a\r\n", "x" * 5000), (2, None, "x" * 5000), (3, "u", None), (4, "u", ""), (5, "u", "y"), (5, "u", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit(1))
+    archives = warc.write_archives(pages, segment=700, archive=1500)
+    assert archives.count() > 1
+    records = {(r["key"], r["record_type"]): r for r in warc.read_archives(archives).collect()}
+    assert records["2", "response"]["payload"] == b"x" * 5000 and records["1", "revisit"]["refers_to"] == "2" and records["4", "response"]["payload"] == b""
+    parts = warc.read_records(archives).where("segment is not null")
+    assert {r["error"] for r in warc.reassemble(parts.where("segment <> 3")).collect()} == {"segments are missing or repeated"}
+    last = parts.groupBy("record_id").agg(F.max("segment").alias("segment"))
+    assert {r["error"] for r in warc.reassemble(parts.join(last, ["record_id", "segment"], "left_anti")).collect()} == {"the total length differs"}
+    found = {(r["page_id"], r["record_type"]): r for r in warc.round_trip(pages).collect()}
+    assert found[1, "revisit"]["payload_bytes"] == 5000 and found[1, "revisit"]["payload_digest"] == base64.b32encode(hashlib.sha1(b"x" * 5000).digest()).decode()
+    assert warc.round_trip(pages).count() == len(rows) and warc.round_trip(pages.limit(0)).isEmpty()
+
+
+# 10
+
+
+def test_bpe_equals_the_library(spark, docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    rng = random.Random(2)
+    texts = [t or "" for _, t in DOCS] + ["<|endoftext|> a<|endoftext|>", "  \n\n\t x", "\x00\x7f", "don't we'll 12345 ½ \U0001f600‍"] + ["".join(rng.choices("abcdeAÉ ñ12!'\n一", k=80)) for _ in range(300)]
+    own = bpe.encoder(bpe.tokenizer_path())
+    ids = own.encode_batch(texts)
+    assert ids == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [own.decode(x) for x in ids] == [library.decode(x, skip_special_tokens=False) for x in ids]
+    assert own.decode([10**6, -1]) == "" and own.encode_batch([]) == []
+    assert bpe.encode(docs, bpe.tokenizer_path()).count() == len(DOCS) and bpe.encode(docs.limit(0), bpe.tokenizer_path()).isEmpty()
+
+
+def test_bpe_query(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    texts = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    for r in queries.QUERIES["op10_bpe"](spark, SF).collect():
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
+# the pipeline
+
+
+def test_pipeline_against_brute_force(spark):
+    rows = {r["doc_id"]: r for r in table(spark, SF, "documents").collect()}
+    docs, kept = table(spark, SF, "documents"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = [r["doc_id"] for r in docs.collect()]
+        docs = cut(stage(spark, docs, SF), "stage")
+        kept[name] = (before, [r["doc_id"] for r in docs.collect()])
+    before, after = kept["near duplicates"]
+    least = {i: c for i, _, c in brute_components([(i, rows[i]["text"]) for i in before])}
+    assert sorted(after) == sorted({least[i] for i in before})
+    before, after = kept["decontamination"]
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    clean = []
+    for i in before:
+        n, hit, _ = brute_hits(rows[i]["text"], items) if len(rows[i]["text"]) < 6000 else (1, 0, [])
+        if len(rows[i]["text"]) >= 6000 and i not in after or not (hit and 20 * hit >= n):
+            clean.append(i)
+    assert set(after) <= set(clean)
+    assert kept["tokens"][0] == kept["decontamination"][1] and len(kept["tokens"][1]) == len(kept["tokens"][0])
+    assert len(kept["language ID"][1]) > 0.9 * len(rows)
+
+
+def test_pipeline_edges(spark, docs):
+    cols = ["doc_id", "text", "lang", "source", "node"]
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs.select(cols), SF)
+        assert stage(spark, docs.select(cols).limit(0), SF).isEmpty()
+        assert name == "tokens" or found.columns == cols
+        found.count()
