@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def activity(events: DataFrame, width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
