@@ -50,8 +50,8 @@ PIVOTS = 4
 FREQUENT = 1 << 17
 #: Cells in which a task counts shingles to tell the frequent ones, of a byte each.
 COUNTERS = 1 << 24
-#: Points of a region whose pairs are compared directly.
-SMALL = 64
+#: Points of a region whose pairs are compared directly, in array operations on at most a few MB of profiles.
+SMALL = 4096
 #: Pairs that are tested exactly at once.
 TEST_AT_ONCE = 20_000
 #: Levels of differences before the pairs of any region that is left are compared directly.
@@ -309,6 +309,50 @@ def _resolve(pairs: DataFrame, components: DataFrame | None, texts: DataFrame, s
     return components
 
 
+class _Held:
+    """Points of a region that a stream has passed, in one table for each length of profile."""
+
+    def __init__(self):
+        self.groups: dict[int | None, dict] = {}
+
+    def add(self, node: int, n: int, d: float, component: int, packed: bytes | None) -> None:
+        key = None if packed is None else len(packed)
+        g = self.groups.setdefault(key, {"size": 0, "rows": np.zeros((16, 2), np.int64), "d": np.zeros(16), "node": np.zeros(16, np.int64), "counts": np.zeros((16, key or 0), np.uint8)})
+        i = g["size"]
+        if i == len(g["node"]):
+            for name in ("rows", "d", "node", "counts"):
+                g[name] = np.concatenate((g[name], np.zeros_like(g[name])))
+        g["rows"][i], g["d"][i], g["node"][i] = (n, component), d, node
+        if key:
+            g["counts"][i] = np.minimum(_counts(packed, key), 255)
+        g["size"] = i + 1
+
+    def drop_below(self, least: float) -> None:
+        """Forget points that are too small for all that follow; they come in order of size."""
+        for g in self.groups.values():
+            first = int(np.searchsorted(g["rows"][: g["size"], 0], least))
+            if first > g["size"] // 2 > 8:
+                for name in ("rows", "d", "node", "counts"):
+                    g[name] = g[name][first:].copy()
+                g["size"] -= first
+
+    def near(self, n: int, d: float, component: int, packed: bytes | None, radius: float) -> Iterator[tuple[np.ndarray, list]]:
+        """Points of other components that size, triangle inequality and D let link, with D (None: not known)."""
+        for key, g in self.groups.items():
+            m, theirs = g["rows"][: g["size"]].T
+            at = np.flatnonzero((theirs != component) & (100 * m >= PERCENT * n) & ~(np.abs(g["d"][: g["size"]] - d) > radius))
+            if not len(at):
+                continue
+            if not key or packed is None or 2 * len(packed) < key:
+                yield g["node"][at], [None] * len(at)
+                continue
+            own = np.minimum(_counts(packed, key), 255).astype(np.uint8)
+            common = np.minimum(g["counts"][at], own).sum(axis=1, dtype=np.int64)
+            distance = 1 - common / (m[at] + n - common)
+            ok = distance <= radius
+            yield g["node"][at[ok]], distance[ok].tolist()
+
+
 def _pairs_within(points: DataFrame) -> DataFrame:
     """(a, b, d): the pairs of a region, in different components, that D, sizes and the triangle inequality let link.
 
@@ -318,23 +362,20 @@ def _pairs_within(points: DataFrame) -> DataFrame:
     radius = 1 - PERCENT / 100 + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, held = None, []
+        region, held = None, _Held()
         for batch in batches:
             a, b, distances = [], [], []
             for row in zip(*(batch.column(c).to_pylist() for c in ("region", "node", "n", "d", "component", "profile"))):
                 if row[0] != region:
-                    region, held = row[0], []
+                    region, held = row[0], _Held()
                 _, node, n, d, component, own = row
-                if held and 100 * held[0][1] < PERCENT * n:
-                    held = [h for h in held if 100 * h[1] >= PERCENT * n]
-                for other, m, e, its, theirs in held:
-                    if its != component and not (d is not None and e is not None and abs(d - e) > radius):
-                        found = profile_distance(theirs, own, m, n)
-                        if found is None or found <= radius:
-                            a.append(min(node, other))
-                            b.append(max(node, other))
-                            distances.append(found)
-                held.append((node, n, d, component, own))
+                d = np.nan if d is None else d
+                held.drop_below(PERCENT * n / 100)
+                for numbers, found in held.near(n, d, component, own, radius):
+                    a += np.minimum(numbers, node).tolist()
+                    b += np.maximum(numbers, node).tolist()
+                    distances += found
+                held.add(node, n, d, component, own)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(distances, pa.float64())], names=["a", "b", "d"])
 
     spread = points.repartition("region").sortWithinPartitions("region", "n", "node").select("region", "node", "n", "d", "component", "profile")
