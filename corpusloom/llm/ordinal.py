@@ -57,29 +57,42 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def cells(self, doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, feature, log2(1 + count)) of the features with a weight."""
+        at = np.minimum(np.searchsorted(self.features, hashes), len(self.features) - 1)
+        here = self.features[at] == hashes
+        found, counts = np.unique((doc[:, None] * len(self.features) + at)[here], return_counts=True)
+        return found // len(self.features), found % len(self.features), np.log2(1 + counts)
+
     def values(self, doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """w.x of each document, x being log2(1 + count) of a feature; and its words with a telling feature."""
         if not len(self.features):
             return np.zeros(n_docs), np.zeros(n_docs, np.int64)
+        row, col, x = self.cells(doc, hashes)
         at = np.minimum(np.searchsorted(self.features, hashes), len(self.features) - 1)
-        here = self.features[at] == hashes
-        telling = np.bincount(doc[(here & (self.weights[at] > 0)).any(axis=1)], minlength=n_docs)
-        cells, counts = np.unique((doc[:, None] * len(self.features) + at)[here], return_counts=True)
-        return np.bincount(cells // len(self.features), np.log2(1 + counts) * self.weights[cells % len(self.features)], minlength=n_docs), telling
+        telling = np.bincount(doc[((self.features[at] == hashes) & (self.weights[at] > 0)).any(axis=1)], minlength=n_docs)
+        return np.bincount(row, x * self.weights[col], minlength=n_docs), telling
 
     def above(self, z: np.ndarray) -> np.ndarray:
         """P(severity > k) for each document and threshold."""
         return 1 / (1 + np.exp(np.clip(self.thresholds - z[:, None], -500, 500)))
 
 
-def _select(doc: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _presence(doc: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, rows with it, toxic rows with it) of one slice."""
+    flat, owner = hashes.ravel(), np.repeat(doc, hashes.shape[1])
+    order = np.lexsort((owner, flat))
+    flat, owner = flat[order], owner[order]
+    once = np.concatenate(([True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])))
+    flat, owner = flat[once], owner[once]
+    heads = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    return flat[heads], np.diff(np.append(heads, len(flat))), np.add.reduceat(toxic[owner].astype(np.int64), heads)
+
+
+def _select(names: np.ndarray, total: np.ndarray, in_toxic: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features whose presence tells the classes apart, by the likelihood-ratio statistic, and their log odds."""
-    flat = np.unique(np.stack((hashes.ravel(), np.repeat(doc, hashes.shape[1]).astype(np.uint64))), axis=1)
-    names, heads, total = np.unique(flat[0], return_index=True, return_counts=True)
-    in_toxic = np.add.reduceat(toxic[flat[1].astype(np.int64)].astype(np.int64), heads)
     n, pos = len(toxic), int(toxic.sum())
-    share = pos / n
-    expected = total * share
+    expected = total * (pos / n)
     part = lambda o, e: o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9))
     gain = 2 * (part(in_toxic, expected) + part(total - in_toxic, total - expected))
     odds = np.log((in_toxic + 0.5) / (pos - in_toxic + 0.5)) - np.log((total - in_toxic + 0.5) / (n - pos - total + in_toxic + 0.5))
@@ -90,32 +103,38 @@ def _select(doc: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> tuple[np.
 
 
 def fit_ordinal(texts: list[str], toxic: np.ndarray, rounds: int = 400) -> OrdinalModel:
-    """Maximum likelihood with a ridge penalty, by gradient steps of adapted length."""
+    """Maximum likelihood with a ridge penalty, by gradient steps of adapted length; one slice of text in memory."""
     toxic = np.asarray(toxic, bool)
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 20.0))
     if not toxic.any():
         return none
-    docs, hashes, base = [], [], 0
-    for part in vectext.slices([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])], "text"):
-        d, h = word_features(part, "text")
-        docs.append(d + base)
-        hashes.append(h)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    parts, base = [], 0
+    for part in vectext.slices([batch], "text"):
+        parts.append((part, base))
         base += part.num_rows
-    doc, hashes = np.concatenate(docs), np.concatenate(hashes)
-    names, odds = _select(doc, hashes, toxic)
+    names, total, in_toxic = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for part, base in parts:
+        doc, hashes = word_features(part, "text")
+        if len(doc):
+            found = _presence(doc + base, hashes, toxic)
+            names, at = np.unique(np.concatenate((names, found[0])), return_inverse=True)
+            total, in_toxic = (np.bincount(at, np.concatenate(x)) for x in ((total, found[1]), (in_toxic, found[2])))
+    names, odds = _select(names, total, in_toxic, toxic)
     if not len(names):
         return none
     model = OrdinalModel(names, odds, np.zeros(GRADES - 1))
-    _, telling = model.values(doc, hashes, len(texts))
+    found, telling = [], []
+    for part, base in parts:
+        doc, hashes = word_features(part, "text")
+        row, col, x = model.cells(doc, hashes)
+        found.append((row + base, col, x))
+        telling.append(model.values(doc, hashes, part.num_rows)[1])
+    row, col, x = (np.concatenate(c) for c in zip(*found))
+    telling = np.concatenate(telling)
     cuts = np.quantile(telling[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic, 1 + np.searchsorted(cuts, telling, side="left"), 0)
-
-    at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-    here = names[at] == hashes
-    cells, counts = np.unique((doc[:, None] * len(names) + at)[here], return_counts=True)
-    row, col, x = cells // len(names), cells % len(names), np.log2(1 + counts)
     w, t = odds / 4, np.arange(1.0, GRADES)
-    more = grade[:, None] > np.arange(GRADES - 1)
     moments = [np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t))]
     level = np.arange(GRADES)
     for step in range(1, rounds + 1):
@@ -130,7 +149,6 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray, rounds: int = 400) -> Ordin
         moments = [0.9 * moments[0] + 0.1 * g, 0.99 * moments[1] + 0.01 * g * g]
         move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
         w, t = w + move[: len(w)], np.sort(t + move[len(w) :])
-    del more
     return OrdinalModel(names, w, t)
 
 
