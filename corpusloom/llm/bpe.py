@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 class SpeculativeBpe:
     """Encoder and decoder of one tokenizer file."""
 
@@ -123,13 +131,14 @@ class SpeculativeBpe:
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
         """Whether each pair of neighbours (left * 2^32 + right) survives exact merging."""
-        unseen = np.setdiff1d(np.setdiff1d(pairs, self.good, assume_unique=False), self.bad)
+        distinct, at = np.unique(pairs, return_inverse=True)
+        unseen = distinct[~_among(distinct, self.good) & ~_among(distinct, self.bad)]
         if len(unseen):
             joined = [self.bytes_of[p >> 32] + self.bytes_of[p & 0xFFFFFFFF] for p in unseen.tolist()]
             verdict = np.array([found == [p >> 32, p & 0xFFFFFFFF] for p, found in zip(unseen.tolist(), self.merge(joined))])
             self.good = np.union1d(self.good, unseen[verdict])
             self.bad = np.union1d(self.bad, unseen[~verdict])
-        return np.isin(pairs, self.good)
+        return _among(distinct, self.good)[at]
 
     def learn(self, new: list[str]) -> None:
         """Encode words not seen before: propose all, test all neighbours at once, merge the failing ones."""
@@ -157,7 +166,7 @@ class SpeculativeBpe:
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = {w for words in pieces for w in words if w not in known}
+        new = set(chain.from_iterable(pieces)).difference(known)
         if older:
             kept = new & older.keys()
             known.update((w, older[w]) for w in kept)
@@ -167,7 +176,7 @@ class SpeculativeBpe:
             new.discard(("", token))
         if new:
             self.learn(list(new))
-        return [[t for w in words for t in known[w]] for words in pieces]
+        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in pieces]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens, gathered at once; special tokens are kept, unknown ids give nothing."""
@@ -217,7 +226,7 @@ def round_trip(docs: DataFrame, path: str, keys: list[str], text: str = "text")
             for ids in bpe.encode_batch(batch.column(text).to_pylist()):
                 decoded = bpe.decode_bytes(np.array(ids, np.int64)).decode("utf-8", errors="replace")
                 counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([shown[i] for i in ids]).encode()).hexdigest())
+                ids_sha.append(hashlib.sha256(",".join(map(shown.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                 length.append(len(decoded))
             columns = [batch.column(k) for k in keys] + [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(length, pa.int64())]
