@@ -321,7 +321,7 @@ class _Held:
         i = g["size"]
         if i == len(g["node"]):
             for name in ("rows", "d", "node", "counts"):
-                g[name] = np.concatenate((g[name], np.zeros_like(g[name])))
+                g[name] = np.concatenate((g[name], np.zeros((max(16, i), *g[name].shape[1:]), g[name].dtype)))
         g["rows"][i], g["d"][i], g["node"][i] = (n, component), d, node
         if key:
             g["counts"][i] = np.minimum(_counts(packed, key), 255)

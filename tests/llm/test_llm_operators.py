@@ -323,6 +323,15 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, small):
     assert sorted((r["doc_id"], r["n"], r["component"]) for r in found.collect()) == brute_components(rows)
 
 
+def test_held_points_grow_after_all_are_dropped():
+    held = jaccard_join._Held()
+    for n in [10] * 16 + [100] * 20 + [1000] * 40 + [10**4]:
+        held.drop_below(0.8 * n)
+        held.add(n, n, 0.0, n, b"\0" * 8)
+    assert [g["size"] for g in held.groups.values()] == [1]
+    assert [x[0].tolist() for x in held.near(9000, 0.1, 1, b"\0" * 8, 2.0)] == [[10**4]]
+
+
 def test_jaccard_join_edges(spark, docs):
     found = [tuple(r) for r in jaccard_join.near_duplicates(docs).collect()]
     assert len(found) == len(DOCS) and (4, 1, 4) in found and (1, 0, 1) in found and (None, 1, None) in found
