@@ -31,6 +31,7 @@ other than the key and the text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,19 +243,35 @@ def _profile_distances(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, pairs.schema.add("d", "double"))
 
 
-def _exact_links(pairs: DataFrame, texts: DataFrame, seed: int) -> DataFrame:
-    """The pairs (a, b) that link. texts: (node, text) of all points.
+def _with_texts(rows: DataFrame, texts: DataFrame, count: int) -> DataFrame:
+    """Join the packed texts of points to rows (node, ...), of which there are at most ``count``."""
+    return texts.join(F.broadcast(rows) if count <= BROADCAST_ROWS else rows, "node")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of a few packed texts at a time, unpacked."""
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        for first in range(0, batch.num_rows, 64):
+            part = batch.slice(first, 64)
+            texts = pa.array([zlib.decompress(x.as_buffer()).decode() for x in part.column("text")], pa.large_string())
+            columns = [texts if i == at else c for i, c in enumerate(part.columns)]
+            yield from vectext.slices(iter([pa.RecordBatch.from_arrays(columns, names=part.schema.names)]), "text")
+
+
+def _exact_links(pairs: DataFrame, texts: DataFrame, seed: int, count: int) -> DataFrame:
+    """The pairs (a, b) that link, of at most ``count``. texts: (node, packed text) of all points.
 
     The texts of the points are sent to their partner ``a``; a stream sorted by ``a`` with its own text first holds
     one set at a time.
     """
     other = pairs.select("a", F.col("b").alias("node")).withColumn("own", F.lit(1))
     own = pairs.select("a").distinct().withColumn("node", F.col("a")).withColumn("own", F.lit(0))
-    rows = other.union(own).join(texts, "node")
+    rows = _with_texts(other.union(own), texts, 2 * count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, mine = None, np.zeros(0, np.uint64)
-        for batch in vectext.slices(batches, "text"):
+        for batch in _unpacked(batches):
             found = []
             a, b, own = (batch.column(c).to_pylist() for c in ("a", "node", "own"))
             for i, s in enumerate(shingle_sets(batch, "text", seed)):
@@ -294,7 +311,7 @@ def _resolve(pairs: DataFrame, components: DataFrame | None, texts: DataFrame, s
     two_steps = count > TEST_AT_ONCE
     chosen = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b") if two_steps else pairs
     for last in (False, True):
-        links = _exact_links(chosen.select("a", "b"), texts, seed)
+        links = _exact_links(chosen.select("a", "b"), texts, seed, count)
         if components is not None:
             found = cut(links, "links")
             if found.isEmpty():
@@ -388,12 +405,12 @@ def _differences(members: DataFrame, texts: DataFrame, seed: int, frequent: np.n
     members: (region, node). Differences that the pivot misses come before those that the point misses.
     """
     rows = members.select("region", "node").withColumn("own", F.lit(1)).union(members.select("region").distinct().select("region", F.col("region").alias("node"), F.lit(0)))
-    rows = rows.join(texts, "node")
+    rows = _with_texts(rows, texts, rows.count())
     c = PERCENT / (100 + PERCENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pivot = None, np.zeros(0, np.uint64)
-        for batch in vectext.slices(batches, "text"):
+        for batch in _unpacked(batches):
             region, node, own = (batch.column(x).to_pylist() for x in ("region", "node", "own"))
             parts = []
             for i, s in enumerate(shingle_sets(batch, "text", seed)):
@@ -445,9 +462,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in vectext.slices(batches, "text"):
             mine = [len(s) > 0 and point_of(s)[0] == node for s, node in zip(shingle_sets(batch, "text", seed), batch.column("node").to_pylist())]
-            yield batch.filter(pa.array(mine)).select(["node", "text"])
+            kept = batch.filter(pa.array(mine))
+            packed = [zlib.compress(t.encode(), 1) for t in kept.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([kept.column("node"), pa.array(packed, pa.binary())], names=["node", "text"])
 
-    texts = cut(docs.join(chosen, "key").select("node", "text").mapInArrow(checked, "node long, text string"), "texts")
+    texts = cut(docs.join(chosen, "key").select("node", "text").mapInArrow(checked, "node long, text binary"), "texts")
     if not texts.groupBy("node").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["node"])  # repeated rows
     profiles = classes.join(involved, "node").select("node", "n", "profile")

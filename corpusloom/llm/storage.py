@@ -15,7 +15,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's bound of Arrow batches to BATCH_BYTES, if it is higher."""
-    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
         spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
