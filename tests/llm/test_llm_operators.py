@@ -51,7 +51,9 @@ def test_slices_keep_all_rows():
     assert [x for p in parts for x in p.column("t").to_pylist()] == ["a" * 10, "", "b" * 100, "c"]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [200_000, 0])
+def test_components(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(components, "TASK_LINKS", in_one_task)
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, 101), (101, 102), (102, 103), (5, 5), (None, 1)]
     parent = {}
