@@ -113,7 +113,7 @@ def in_sequence(docs: DataFrame, key: str, partitions: int) -> DataFrame:
     Keys are dealt into ranges by quantiles; each bucket ends with a copy (tail) of the first document of the next
     one, the last with that of the first. Only the least key of each bucket reaches the driver.
     """
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col("key").cast("double"), F.lit(float("-inf"))).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
     quantiles = rows.where("key is not null").agg(F.percentile_approx("at", [i / partitions for i in range(1, partitions)], 10_000)).first()[0] if partitions > 1 else []
     inner = sorted(set(quantiles or []))
     dealt = Bucketizer(splits=[float("-inf"), *(inner or [0.0]), float("inf")], inputCol="at", outputCol="bucket").transform(rows)
