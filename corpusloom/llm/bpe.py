@@ -178,6 +178,11 @@ class SpeculativeBpe:
             self.learn(list(new))
         return [list(chain.from_iterable(map(known.__getitem__, words))) for words in pieces]
 
+    def rest(self) -> None:
+        """Give memory back at the end of a task: the worker may next run something else."""
+        self.older = {}
+        pa.default_memory_pool().release_unused()
+
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens, gathered at once; special tokens are kept, unknown ids give nothing."""
         ids = ids[(ids >= 0) & (ids < len(self.token_ends))]
@@ -210,6 +215,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         for batch in vectext.slices(batches, text):
             found = bpe.encode_batch(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, ids])
+        bpe.rest()
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -231,6 +237,7 @@ def round_trip(docs: DataFrame, path: str, keys: list[str], text: str = "text")
                 length.append(len(decoded))
             columns = [batch.column(k) for k in keys] + [pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha), pa.array(length, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        bpe.rest()
 
     return docs.select(*keys, text).mapInArrow(run, schema)
 

@@ -33,6 +33,8 @@ SAMPLE_ROWS = 500
 BUCKETS = 1 << 16
 AFFIXES = (1, 2, 3, 4)
 CHUNK = 32
+#: Bytes of text labelled at a time; forward-backward holds many numbers a word.
+SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
 
@@ -207,7 +209,7 @@ def label_words(docs: DataFrame, model: Crf, keys: list[str], text: str = "text"
     schema = docs.select(*keys).schema.add("runs", T.ArrayType(T.StructType().add("first", "integer").add("end", "integer").add("lang", "string").add("p", "double")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in vectext.slices(batches, "__text"):
+        for batch in vectext.slices(batches, "__text", SLICE_BYTES):
             p, at, _, _ = _label(model, batch, "__text") if model.languages else (np.zeros((0, 1)), np.zeros(batch.num_rows + 1, int), None, None)
             best = p.argmax(axis=1) if len(p) else np.zeros(0, int)
             rows = []
@@ -227,7 +229,7 @@ def predict(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     schema = docs.select(*kept).schema.add(added[0], "string").add(added[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in vectext.slices(batches, "__text"):
+        for batch in vectext.slices(batches, "__text", SLICE_BYTES):
             n = batch.num_rows
             names, scores = [UNKNOWN] * n, np.zeros(n)
             if model.languages:
