@@ -7,13 +7,15 @@ presentation, the entropy of the sequences of child styles that the pages have t
 branch weighs both. Branches of low importance are removed from each page, as are those that by their tag, role or
 class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
 
-A page's article or main element, where it has one, is its main text; its inner branches are not judged by importance,
-since an article that several pages of a host repeat is still their article.
+In a page with an article or main element the branches within that element and those outside it are judged alike. An
+article that several pages of a host repeat is still their article: pages of equal article text count as one page, and
+an article whose own branch is of low importance, as where all are near copies, is kept whole.
 
 Defined results: null and empty html give an empty text; a null url is a host of its own; unclosed and misnested tags
 are closed as browsers do for p and li, a page cut off is read to its end; ``br`` is white space; repeated rows get
-equal results; hosts of fewer than ``LEAST_PAGES`` pages lose no branch by importance; if low branches are all of a
-page, it keeps them. Only key, url and html are read.
+equal results and count as one page; hosts of fewer than ``LEAST_PAGES`` different pages are not judged: their pages lose
+no branch by importance, and an article or main element, where there is one, is the main text; if low branches are all
+of a page or of its article, it keeps them. Only key, url and html are read.
 """
 
 from __future__ import annotations
@@ -158,17 +160,22 @@ def style_trees(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                rows = []
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                hosts, ids, features = [], [], []
                 for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                     blocks, elements = parse(html or "")
-                    found = {(b.path, 0, hash64(b.text)) for b in blocks} | {(path, 1, hash64(children)) for path, children in elements}
-                    rows += [(host, *x) for x in found]
-                    rows.append((host, "", 2, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["host", "path", "kind", "feature"])
-
-    seen = pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, path string, kind int, feature long")
+                    page = hash64("\n".join(b.text for b in blocks if b.landmark and not b.boilerplate) or html or "")
+                    found = {(b.path, 0, hash64(b.text)) for b in blocks} | {(path, 1, hash64(children)) for path, children in elements} | {("", 2, 0)}
+                    hosts.append(host)
+                    ids.append(page)
+                    features.append([dict(zip(("path", "kind", "feature"), x)) for x in sorted(found)])
+                kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(features, kind)], names=["host", "page", "features"])
+
+    found = pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, page long, features array<struct<path:string,kind:int,feature:long>>")
+    # of pages of equal article text the one of greatest features
+    seen = found.groupBy("host", "page").agg(F.max("features").alias("features")).select("host", F.inline("features"))
     counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"))
     log = lambda c: F.expr(f"{c} * ln({c})")
     nodes = cut(
@@ -190,29 +197,46 @@ def hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
-    """The main text of one page, given the paths of low branches of its host."""
+def _landmark_path(path: str) -> str:
+    """The path of the outermost article or main element on a path."""
+    styles = path.split("/")
+    return "/".join(styles[: next(i for i, style in enumerate(styles) if style.split(".")[0] in _LANDMARKS) + 1])
+
+
+def main_text(html: str, low: frozenset[str] | None = None) -> str:
+    """The main text of one page, given the paths of low branches of its host (None: the host is not judged)."""
     blocks, _ = parse(html)
     kept = [b for b in blocks if not b.boilerplate]
-    if any(b.landmark for b in kept):
-        kept = [b for b in kept if b.landmark]
-    elif low:
-        above = [b for b in kept if not any(b.path == p or b.path.startswith(p + "/") for p in low)]
-        kept = above or kept
-    return "\n".join(b.text for b in kept)
+    inner = [b for b in kept if b.landmark]
+    if low is None:
+        return "\n".join(b.text for b in inner or kept)
+
+    def is_low(block: Block) -> bool:
+        styles = block.path.split("/")
+        above = ["/".join(styles[:i]) for i in range(2, len(styles) + 1)]
+        if block.landmark:
+            whole = _landmark_path(block.path)
+            if any(p in low for p in above[: above.index(whole) + 1]):
+                return False
+        return any(p in low for p in above)
+
+    important = {id(b) for b in kept if not is_low(b)}
+    if inner and not any(id(b) in important for b in inner):
+        important |= {id(b) for b in inner}
+    return "\n".join(b.text for b in kept if id(b) in important or not important)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
     tree = style_trees(rows)
-    low = cut(tree.where(f"importance < {LOW}").groupBy("host").agg(F.collect_set("path").alias("low")), "low-branches")
+    low = cut(tree.groupBy("host").agg(F.expr(f"collect_set(CASE WHEN importance < {LOW} THEN path END)").alias("low")), "low-branches")
     size = low.agg(F.sum(F.expr("octet_length(host) + aggregate(low, 0, (a, p) -> a + octet_length(p))"))).first()[0] or 0
     joined = rows.withColumn("host", _host()).join(F.broadcast(low) if size <= BROADCAST_BYTES else low, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h or "", frozenset(p or ())) for h, p in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
+            texts = [main_text(h or "", None if p is None else frozenset(p)) for h, p in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
     kind = pages.schema[key].dataType.simpleString()

@@ -251,6 +251,23 @@ def test_style_tree_removes_repeated_branches(spark):
     assert site_style_tree.extract(pages.limit(0)).isEmpty()
 
 
+def test_importance_decides_inside_and_outside_articles(spark):
+    article = "<article><h1>Title {0}</h1><p>unique words {0}</p><div class=\"box\">same everywhere</div></article>"
+    rows = [(i, "http://h/a", f'{article.format(i)}<div class="more">more words {i}</div><div class="line">same line</div>') for i in range(8)]
+    rows += [(10 + i, "http://copies/", f"<article><h1>Title</h1><p>one text</p></article><p>{i}</p>") for i in range(8)]
+    rows += [(20, "http://other/", article.format(20) + "<p>outside</p>")]
+    found = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(8)] == [f"Title {i}\nunique words {i}\nmore words {i}" for i in range(8)]
+    assert {found[10 + i] for i in range(8)} == {"Title\none text"} and found[20] == "Title 20\nunique words 20\nsame everywhere"
+
+
+def test_low_articles_are_kept_whole():
+    page = "<body><article><p>a</p><div>b</div></article><p>c</p></body>"
+    assert site_style_tree.main_text(page, frozenset(["/body/article", "/body/article/p"])) == "a\nb\nc"
+    assert site_style_tree.main_text(page, frozenset(["/body/article/p", "/body/p"])) == "b"
+    assert site_style_tree.main_text(page, frozenset(["/body/article/p", "/body/article/div", "/body/p"])) == "a\nb"
+
+
 # 6
 
 
