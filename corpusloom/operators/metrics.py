@@ -142,6 +142,38 @@ def format_pivot(rows: DataFrame, formats: list[str]) -> DataFrame:
     return wide.withColumn("disagreement", differ(hits)).withColumn("kind", kind)
 
 
+def _word_set(c: Column) -> Column:
+    return F.array_distinct(t.plain_words(c))
+
+
+def _similarity(a: Column, b: Column) -> Column:
+    return F.round(t.jaccard(_word_set(a), _word_set(b)), 6)
+
+
+def line_similarities(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, similarity) of every line i and the next one, of (doc_id, text)."""
+    lines = docs.where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), _word_set).alias("l"))
+    pairs = F.transform(F.slice("l", 2, F.size("l")), lambda y, i: F.round(t.jaccard(F.get("l", i), y), 6))
+    return lines.select("doc_id", F.posexplode(pairs).alias("i", "similarity"))
+
+
+def format_similarity(texts: DataFrame, formats: list[str]) -> DataFrame:
+    """Similarity of every pair of formats of a case, length of each and whether it has text, of (case_id, text in each format)."""
+    texts = texts.select("case_id", *[F.trim(F.regexp_replace(f, r"\s+", " ")).alias(f) for f in formats])
+    pairs = [_similarity(F.col(a), F.col(b)).alias(f"{a}_{b}_jaccard") for i, a in enumerate(formats) for b in formats[i + 1 :]]
+    return texts.select("case_id", *pairs, *[F.length(f).alias(f"{f}_chars") for f in formats], *[(F.length(f) > 0).alias(f"{f}_nonempty") for f in formats])
+
+
+def chunk_structure(chunks: DataFrame, formats: list[str]) -> DataFrame:
+    """The chunks of a case (case_id, format, chunk_order, text) aligned by order up to the longest format.
+
+    A similarity is null where one of the two formats has no chunk or an empty one.
+    """
+    wide = chunks.groupBy("case_id", "chunk_order").pivot("format", formats).agg(F.first("text")).fillna("", formats)
+    pairs = [F.when((F.col(a) != "") & (F.col(b) != ""), _similarity(F.col(a), F.col(b))).alias(f"{a}_{b}_jaccard") for i, a in enumerate(formats) for b in formats[i + 1 :]]
+    return wide.select("case_id", "chunk_order", *[(F.col(f) != "").alias(f"{f}_chunk_exists") for f in formats], *pairs, *[F.length(f).alias(f"{f}_chars") for f in formats])
+
+
 def format_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Hits, hit rate and mean coverage."""
     return rows.groupBy(*by).agg(F.count("*").alias("cases"), F.sum(F.col("hit").cast("long")).alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))

@@ -412,7 +412,7 @@ CROSSTAB = "SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}
 
 
 def jaccard_pairs(spark, sf_dir):
-    """Jaccard similarity of a document's first lines, aligned by their order."""
+    """E19 of the first four neighbouring pairs of lines of a document, as its SQL defines; ``jaccard_all_lines`` has all."""
     lines = read_table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
     pair = lines.select("doc_id", F.posexplode(F.slice("l", 1, 4)).alias("i", "x"), F.col("l"))
     pair = pair.withColumn("y", F.expr("get(l, i + 1)")).where("y is not null")
@@ -424,11 +424,75 @@ s AS (SELECT doc_id, i, list_distinct(regexp_extract_all(strip_accents(lower(l[i
 SELECT doc_id, CAST(i - 1 AS INT) AS i, CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS similarity FROM s"""
 
 
+def jaccard_all_lines(spark, sf_dir):
+    return m.line_similarities(read_table(spark, sf_dir, "documents"))
+
+
+JACCARD_ALL_LINES = r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM l),
+s AS (SELECT doc_id, i, list_distinct(regexp_extract_all(strip_accents(lower(l[i])), '[\p{L}\p{N}_]+')) AS a, list_distinct(regexp_extract_all(strip_accents(lower(l[i + 1])), '[\p{L}\p{N}_]+')) AS b FROM p)
+SELECT doc_id, CAST(i - 1 AS INT) AS i, CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS similarity FROM s"""
+
+_FORMAT_NAMES = ["md", "txt", "pdf"]
+_PAIRS = [("md", "txt"), ("md", "pdf"), ("txt", "pdf")]
+_PAGE = 200
+
+
+def _format_chunks(spark, sf_dir):
+    """All of each document as chunks of three formats: its lines, pairs of its lines, and pages of 200 characters."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("l", F.split("text", "\n"))
+    cuts = {
+        "md": F.col("l"),
+        "txt": F.transform(F.sequence(F.lit(1), F.size("l"), F.lit(2)), lambda i: F.array_join(F.slice("l", i, 2), "\n")),
+        "pdf": F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / _PAGE).cast("int") - 1, F.lit(0))), lambda i: F.substring(F.col("text"), i * _PAGE + 1, F.lit(_PAGE))),
+    }
+    each = F.array(*[F.struct(F.lit(f).alias("format"), c.alias("chunks")) for f, c in cuts.items()])
+    return docs.select("case_id", F.explode(each).alias("x")).select("case_id", "x.format", F.posexplode("x.chunks").alias("chunk_order", "text"))
+
+
+_CHUNKS = f"""WITH d AS (SELECT doc_id AS case_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+md AS (SELECT case_id, unnest(l) AS md, generate_subscripts(l, 1) - 1 AS o FROM d),
+txt AS (SELECT case_id, array_to_string(l[2 * o + 1:2 * o + 2], chr(10)) AS txt, o FROM (SELECT *, unnest(range((len(l) + 1) // 2)) AS o FROM d)),
+pdf AS (SELECT case_id, substring(text, {_PAGE} * o + 1, {_PAGE}) AS pdf, o FROM (SELECT *, unnest(range(greatest(1, (length(text) + {_PAGE - 1}) // {_PAGE}))) AS o FROM d))"""
+
+
+def _words_sql(x: str) -> str:
+    return rf"list_distinct(regexp_extract_all(strip_accents(lower({x})), '[\p{{L}}\p{{N}}_]+')) AS {x}_w"
+
+
+def _similarity_sql(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}_w) + len({b}_w) = 0 THEN 1 ELSE round(len(list_intersect({a}_w, {b}_w)) / len(list_distinct(list_concat({a}_w, {b}_w))), 6) END"
+
+
+def chunk_structure(spark, sf_dir):
+    return m.chunk_structure(_format_chunks(spark, sf_dir), _FORMAT_NAMES)
+
+
+CHUNK_STRUCTURE = f"""{_CHUNKS}, a AS (SELECT case_id, o, {', '.join(f"coalesce({f}, '') AS {f}" for f in _FORMAT_NAMES)} FROM md FULL JOIN txt USING (case_id, o) FULL JOIN pdf USING (case_id, o)),
+w AS (SELECT *, {', '.join(map(_words_sql, _FORMAT_NAMES))} FROM a)
+SELECT case_id, o AS chunk_order, {', '.join(f"{f} <> '' AS {f}_chunk_exists" for f in _FORMAT_NAMES)}, {', '.join(f"CASE WHEN {a} <> '' AND {b} <> '' THEN {_similarity_sql(a, b)} END AS {a}_{b}_jaccard" for a, b in _PAIRS)},
+  {', '.join(f'length({f}) AS {f}_chars' for f in _FORMAT_NAMES)} FROM w"""
+
+
+def format_similarity(spark, sf_dir):
+    """Each document, without its first line, and with words broken at the ends of pages, as three formats."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.coalesce("text", F.lit("")).alias("md"))
+    pages = _format_chunks(spark, sf_dir).where("format = 'pdf'").groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_order", "text"))), lambda x: x["text"]), "\n").alias("pdf"))
+    lines = F.split("md", "\n")
+    texts = docs.withColumn("txt", F.array_join(F.slice(lines, 2, F.size(lines)), "\n")).join(pages, "case_id")
+    return m.format_similarity(texts, _FORMAT_NAMES)
+
+
+FORMAT_SIMILARITY = f"""{_CHUNKS}, p AS (SELECT case_id, string_agg(pdf, chr(10) ORDER BY o) AS pdf FROM pdf GROUP BY case_id),
+t AS (SELECT case_id, text AS md, array_to_string(l[2:], chr(10)) AS txt, pdf FROM d JOIN p USING (case_id)),
+n AS (SELECT case_id, {', '.join(f"trim(regexp_replace({f}, '\\s+', ' ', 'g')) AS {f}" for f in _FORMAT_NAMES)} FROM t), w AS (SELECT *, {', '.join(map(_words_sql, _FORMAT_NAMES))} FROM n)
+SELECT case_id, {', '.join(f'{_similarity_sql(a, b)} AS {a}_{b}_jaccard' for a, b in _PAIRS)}, {', '.join(f'length({f}) AS {f}_chars' for f in _FORMAT_NAMES)}, {', '.join(f"{f} <> '' AS {f}_nonempty" for f in _FORMAT_NAMES)} FROM w"""
+
+
 QUERIES = {
     "term_df": (term_df, TERM_DF), "bm25_topk": (bm25_by_language, BM25_BY_LANGUAGE), "vector_topk": (vector_search, VECTOR_SEARCH), "rrf_fusion": (rrf_fusion, RRF_FUSION), "weighted_rrf_grid": (weighted_rrf_grid, WEIGHTED_RRF_GRID),
     "hybrid_search": (hybrid_search, HYBRID_SEARCH), "minmax_fusion_grid": (minmax_fusion_grid, MINMAX_FUSION_GRID), "signal_ablation": (signals, SIGNALS), "contract_envelopes": (envelopes, ENVELOPES), "upsert_delete": (upsert_delete, UPSERT_DELETE),
     "recall_precision_at_k": (recall_precision, RECALL_PRECISION), "metric_summary_unpivot": (metric_summary, METRIC_SUMMARY), "status_summary": (status_summary, STATUS_SUMMARY), "category_summary": (category_summary, CATEGORY_SUMMARY), "batch_audit": (batch_audit, BATCH_AUDIT),
     "evidence_coverage": (evidence_coverage, EVIDENCE_COVERAGE), "running_coverage": (running_coverage, RUNNING_COVERAGE), "keyword_presence": (keyword_presence, KEYWORD_PRESENCE), "format_pivot_disagreement": (format_pivot, FORMAT_PIVOT), "format_summary": (format_summary, FORMAT_SUMMARY),
     "run_delta_regressions": (run_changes, RUN_CHANGES), "cause_summary": (cause_summary, CAUSE_SUMMARY), "stage_diagnosis": (stage_diagnosis, STAGE_DIAGNOSIS), "category_deltas": (category_deltas, CATEGORY_DELTAS), "condition_pivot": (condition_pivot, CONDITION_PIVOT), "crosstab": (crosstab, CROSSTAB),
-    "jaccard_lines": (jaccard_pairs, JACCARD_PAIRS),
+    "jaccard_lines": (jaccard_pairs, JACCARD_PAIRS), "jaccard_all_lines": (jaccard_all_lines, JACCARD_ALL_LINES), "chunk_structure": (chunk_structure, CHUNK_STRUCTURE), "format_similarity": (format_similarity, FORMAT_SIMILARITY),
 }

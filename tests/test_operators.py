@@ -150,3 +150,21 @@ def test_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("activity").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("activity").count() > 0
+
+
+def test_all_lines_are_compared(spark):
+    docs = spark.createDataFrame([(1, "\n".join(["a b"] * 6 + ["b c", "", ""])), (2, "one"), (3, None)], "doc_id long, text string")
+    found = [(r["doc_id"], r["i"], r["similarity"]) for r in metrics.line_similarities(docs).orderBy("i").collect()]
+    assert found == [(1, i, x) for i, x in enumerate([1.0] * 5 + [0.333333, 0.0, 1.0])]
+
+
+def test_chunks_are_aligned_up_to_the_longest_format(spark):
+    chunks = [(1, "md", 0, "a b"), (1, "md", 1, "c"), (1, "txt", 0, "B c"), (1, "txt", 1, ""), (1, "txt", 6, "last")]
+    found = metrics.chunk_structure(spark.createDataFrame(chunks, "case_id long, format string, chunk_order int, text string"), ["md", "txt"]).orderBy("chunk_order").collect()
+    assert [tuple(r) for r in found] == [(1, 0, True, True, 0.333333, 3, 3), (1, 1, True, False, None, 1, 0), (1, 6, False, True, None, 0, 4)]
+
+
+def test_all_pairs_of_formats_are_compared(spark):
+    texts = spark.createDataFrame([(1, "a  b\n", "b c", ""), (2, "", " ", "")], "case_id long, md string, txt string, pdf string")
+    found = [tuple(r) for r in metrics.format_similarity(texts, ["md", "txt", "pdf"]).orderBy("case_id").collect()]
+    assert found == [(1, 0.333333, 0.0, 0.0, 3, 3, 0, True, True, False), (2, 1.0, 1.0, 1.0, 0, 0, 0, False, False, False)]
