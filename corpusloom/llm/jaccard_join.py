@@ -452,11 +452,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     frequent["s"], frequent["rank"] = top.astype(np.int64).view(np.uint64), np.arange(len(top), 0, -1)
     frequent.sort(order="s")
 
-    regions = _regions(docs, seed, frequent)
+    # a point that only rows without an id hold links to no other, so it must not become a pivot
+    regions = _regions(docs.where("key is not null"), seed, frequent)
     near = cut(_to_pivots(regions), "near")
     involved = near.select("node").union(near.select("pivot")).distinct()
     classes = points.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("profile").alias("profile"))
-    chosen = cut(classes.join(involved, "node").where("key is not null").select("node", "key"), "chosen")
+    chosen = cut(classes.join(involved, "node").select("node", "key"), "chosen")
     chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

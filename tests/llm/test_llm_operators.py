@@ -342,6 +342,18 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, small):
     assert sorted((r["doc_id"], r["n"], r["component"]) for r in found.collect()) == brute_components(rows)
 
 
+def test_jaccard_join_without_ids_of_least_points(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    texts = loose_copies(60, 120, 14, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    nodes = [jaccard_join.point_of(s)[0] for s in jaccard_join.shingle_sets(batch, "text", 1)]
+    least = set(sorted(nodes)[:20])
+    rows = [(None if node in least else i, text) for i, (node, text) in enumerate(zip(nodes, texts))]
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n"], r["component"]) for r in found.where("doc_id is not null").collect()) == brute_components([r for r in rows if r[0] is not None])
+    assert {r["component"] for r in found.where("doc_id is null").collect()} == {None}
+
+
 def test_held_points_grow_after_all_are_dropped():
     held = jaccard_join._Held()
     for n in [10] * 16 + [100] * 20 + [1000] * 40 + [10**4]:
