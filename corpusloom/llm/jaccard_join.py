@@ -23,6 +23,9 @@ The Jaccard distance d is a metric, and two documents link when d <= r (0.2 for
 No group of points is ever held in one place: regions are read as sorted streams with the pivots of one region in
 memory.
 
+The result is the exact components only. Pairs whose points are already joined are skipped, so neither the links nor
+the number of links of a document can be had from it.
+
 Defined results: null and empty texts, and texts without words, have no shingles and no link, and are a component of
 their own; a text of fewer than five words is one shingle of all its words; repeated rows are copies of one another;
 a row without an id is linked as a copy only, and gives a component no name; an empty table gives an empty result. Columns
