@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from corpusloom.llm import bpe, crf_language, jaccard_join, ordinal, positional_index
 from corpusloom.llm.storage import cut, table
 
-#: Share of a text's words that must be of its language; texts in two languages stay.
+#: Share that the best of the learned languages must have; with three or fewer it always has. Texts in two stay.
 LEAST_LANGUAGE_SHARE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with letters whose words are mostly of one learned language."""
+    """Drop texts without letters, and those of which no learned language has the least share.
+
+    The share is the largest among the learned languages, so with three or fewer it is never below 1/3. It does not
+    measure whether a text fits none of them: such a text stays.
+    """
     model = crf_language.fit_crf(*crf_language.training_rows(docs))
     found = crf_language.predict(docs, model)
     return found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SHARE)).select(docs.columns)
