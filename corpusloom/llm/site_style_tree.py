@@ -1,27 +1,36 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree of styles: an element's style is its tag and classes, its place the path
-of styles from the body. A node of the tree is important if pages differ in it. For its content that is one less the
-mean entropy of its text blocks over the host's m pages (a block on c pages has the entropy log_m c); for its
-presentation, the entropy of the sequences of child styles that the pages have there. The composite importance of a
-branch weighs both. Branches of low importance are removed from each page, as are those that by their tag, role or
-class are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
-
-In a page with an article or main element the branches within that element and those outside it are judged alike. An
-article that several pages of a host repeat is still their article: pages of equal article text count as one page, and
-an article whose own branch is of low importance, as where all are near copies, is kept whole.
-
-Defined results: null and empty html give an empty text; a null url is a host of its own; unclosed and misnested tags
-are closed as browsers do for p and li, a page cut off is read to its end; ``br`` is white space; repeated rows get
-equal results and count as one page; hosts of fewer than ``LEAST_PAGES`` different pages are not judged: their pages lose
-no branch by importance, and an article or main element, where there is one, is the main text; if low branches are all
-of a page or of its article, it keeps them. Only key, url and html are read.
+The pages of a host are merged into one tree of styles: an element's style is its tag, its classes and whether it is
+marked, its place the path of styles from the root. A node of the tree is important if pages differ in it. For its
+content that is one less the mean entropy of its text blocks over the host's m pages (a block on c pages has the
+entropy log_m c); for its presentation, the entropy of the sequences of child styles that the pages have there. The
+composite importance of a branch weighs both. A host's pages are joined by ``PRIOR_PAGES`` imagined ones, on which a
+branch has the importance that its marks let expect, so a host of one page is judged like any other:
+
+- a branch that is marked by tag, role, class or id as a menu, header, footer, sidebar, notice or advert has 0 there. It
+  is judged as a whole and must reach ``HIGH``: one element of text never does, a branch does whose content and
+  presentation differ on almost all pages, as of a container of the text that only has such a name;
+- a branch in an article or main element has 1 there, any other a half. It goes if it and all branches in it stay below
+  ``LOW``.
+
+What the tree does not remove stays. Only what is no text of the page (scripts, styles, the head, forms and their
+controls) and reader comments, which differ from page to page as the article does, so that no entropy can tell the two
+apart, go by tag, class or id alone.
+
+An article that several pages of a host repeat is still their article: pages of equal article text count as one page,
+and an article all of whose blocks, or that as a whole, would go is kept.
+
+Defined results: null and empty html give an empty text, as does a page without article of which all branches are low; a
+null url is a host of its own; unclosed and misnested tags are closed as browsers do for p and li; a tag that never ends
+goes, a page cut off is read to its end; elements nested deeper than ``NESTING`` belong to the innermost open one; ``br``
+is white space; repeated rows get equal results and count as one page. Only key, url and html are read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,132 +40,177 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.storage import cut, table
 
-#: Composite importance below which a branch is removed.
-LOW = 0.25
+#: Importance that a branch must reach, and that a marked one must.
+LOW, HIGH = 0.25, 0.9
+#: Imagined pages of a host, of the importance that marks let expect.
+PRIOR_PAGES = 2
 #: Share that each child style takes from the weight of a node's presentation.
 DECAY = 0.9
-LEAST_PAGES = 4
-#: Bytes of the table of low branches that are broadcast; a larger one is joined by a shuffle.
+#: Open elements at a time, as in browsers; levels of the style tree, deeper elements have the path of the last one.
+NESTING, LEVELS = 512, 64
+#: Bytes of the table of low branches that are broadcast; a larger one is joined by a shuffle over salted hosts.
 BROADCAST_BYTES = 8 << 20
+SALTS = 64
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>|[^<]+|<""", re.S)
-_CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_COMMENT = re.compile(r"<!--(.*?)(?:-->|\Z)", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")
+_TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_BOILERPLATE_TAGS = frozenset("nav footer aside form button select dialog menu svg object head".split())
-_BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-_BOILERPLATE_WORDS = frozenset(
+_HOLDS_P = frozenset("ul ol div article section td body main".split())
+_NO_TEXT = frozenset("form button select dialog svg object head".split())
+_READERS = frozenset("comment comments reply replies respond disqus".split())
+_MARKED_TAGS = frozenset("nav footer aside menu".split())
+_MARKED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+_MARKED_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices notification alert
     popup modal overlay newsletter subscribe subscription share sharing social sidebar menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager
-    comment comments reply replies respond disqus related footer header masthead toolbar widget widgets login signup""".split()
+    related footer header masthead toolbar widget widgets login signup""".split()
 )
 _LANDMARKS = frozenset(("article", "main"))
+#: End of a marked style; a class has no blank.
+_MARK = " !"
 
 
 class Block:
-    __slots__ = ("path", "text", "landmark", "boilerplate")
-
-    def __init__(self, path: str, text: str, landmark: bool, boilerplate: bool):
-        self.path, self.text, self.landmark, self.boilerplate = path, text, landmark, boilerplate
-
-
-def _marks(tag: str, attributes: str, inside_landmark: bool) -> tuple[str, bool]:
-    """Style of an element, and whether it begins boilerplate."""
-    if not attributes or "=" not in attributes:
-        return tag, tag in _BOILERPLATE_TAGS or tag == "header" and not inside_landmark
-    classes, words, roles = [], set(), set()
-    for name, *values in _CLASS.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        if name.lower() == "role":
-            roles.add(value)
-            continue
-        if name.lower() == "class":
-            classes += value.split()
-        words.update(re.split(r"[^a-z]+", value))
-    style = tag + "".join("." + c for c in sorted(classes))
-    kept = tag in _LANDMARKS or tag in ("body", "html")
-    bad = tag in _BOILERPLATE_TAGS or tag == "header" and not inside_landmark or bool(roles & _BOILERPLATE_ROLES)
-    return style, bad or not kept and bool(words & _BOILERPLATE_WORDS)
+    __slots__ = ("path", "text")
+
+    def __init__(self, path: str, text: str):
+        self.path, self.text = path, text
+
+
+def _style(tag: str, attributes: str, inside_landmark: bool) -> tuple[str, bool]:
+    """Style of an element, and whether its text is none of the page's."""
+    marked, none = tag in _MARKED_TAGS or tag == "header" and not inside_landmark, tag in _NO_TEXT
+    classes: list[str] = []
+    if "=" in attributes:
+        words, roles = set(), set()
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), next((v for v in values if v), "").lower()
+            if name == "role":
+                roles.add(value)
+            elif name in ("class", "id"):
+                words.update(re.split(r"[^a-z]+", value))
+                if name == "class":
+                    classes += value.replace("/", "|").split()
+        if tag not in _LANDMARKS and tag not in ("body", "html"):
+            marked |= bool(words & _MARKED_WORDS)
+            none |= bool(words & _READERS)
+        marked |= bool(roles & _MARKED_ROLES)
+    return tag + "".join("." + c for c in sorted(classes)) + (_MARK if marked else ""), none
+
+
+def _token(html: str, at: int, last: int) -> tuple[str, bool, str, str, int]:
+    """Text, or of a tag whether it ends an element, its name and attributes; and the place after it.
+
+    last: place of the last ``>``. Whatever a search passes over belongs to the token, so a page is read about once.
+    """
+    if html[at] != "<":
+        stop = html.find("<", at)
+        stop = len(html) if stop < 0 else stop
+        return html[at:stop], False, "", "", stop
+    if found := _COMMENT.match(html, at):
+        return "", False, "", "", found.end()
+    if found := _TAG_NAME.match(html, at):
+        if at > last:
+            return "", False, "", "", len(html)  # it never ends
+        # if a quote in it is not closed the tag ends at the first >
+        tag = _TAG.match(html, at)
+        stop = tag.end() if tag else html.index(">", at) + 1
+        return "", bool(found.group(1)), found.group(2).lower(), html[found.end() : stop - 1], stop
+    if html[at + 1 : at + 2] in ("!", "?", "/"):
+        return "", False, "", "", html.index(">", at) + 1 if at < last else len(html)
+    return "<", False, "", "", at + 1
+
+
+def _raw_end(html: str, tag: str, at: int) -> int:
+    """Where the end tag of an element without markup ends."""
+    found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+    return html.find(">", found.end()) + 1 or len(html) if found else len(html)
 
 
 def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     """The text blocks of a page in order, and its elements as (path, child styles)."""
     blocks: list[Block] = []
     elements: list[tuple[str, str]] = []
-    # an open element: tag, path, in a landmark, in boilerplate, child styles
-    stack: list[tuple[str, str, bool, bool, list[str]]] = [("", "", False, False, [])]
+    # an open element: tag, path, its level, in a landmark, without text of the page, child styles
+    stack: list[tuple[str, str, int, bool, bool, list[str]]] = [("", "", 0, False, False, [])]
+    count: Counter[str] = Counter()
     text: list[str] = []
 
     def flush() -> None:
         if text:
-            if joined := " ".join(unescape("".join(text)).split()):
-                _, path, landmark, bad, _ = stack[-1]
-                blocks.append(Block(path, joined, landmark, bad))
+            if not stack[-1][4] and (joined := " ".join(unescape("".join(text)).split())):
+                blocks.append(Block(stack[-1][1], joined))
             text.clear()
 
     def close(depth: int) -> None:
         flush()
         while len(stack) > depth:
-            _, path, _, _, children = stack.pop()
-            elements.append((path, ",".join(children)))
-
-    at, end = 0, len(html)
-    while at < end:
-        token = _TOKEN.match(html, at)
-        at = token.end()
-        slash, tag, attributes = token.groups()
-        if tag is None:
-            if html[token.start()] != "<" or token.end() - token.start() == 1:
-                text.append(token.group())
-            continue
-        tag = tag.lower()
-        if slash:
-            if tag in _INLINE or tag == "br":
-                if tag == "br":
-                    text.append(" ")
-                continue
+            tag, path, _, _, none, children = stack.pop()
+            count[tag] -= 1
+            if not none:
+                elements.append((path, ",".join(children)))
+
+    def close_last(tag: str, within: frozenset[str] = frozenset()) -> None:
+        """Close the innermost open element of a tag, unless one of the given tags is open inside it."""
+        if count[tag]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
-                    close(depth)
-                    break
-            continue
-        if tag == "br":
-            text.append(" ")
-            continue
-        if tag in _INLINE:
-            continue
-        if tag in _CLOSES_P or tag == "li":
-            for depth in range(len(stack) - 1, 0, -1):
-                open_ = stack[depth][0]
-                if open_ == ("li" if tag == "li" else "p"):
-                    close(depth)
-                    break
-                if open_ in ("ul", "ol", "div", "article", "section", "td", "body", "main"):
-                    break
-        flush()
-        parent = stack[-1]
-        style, bad = _marks(tag, attributes, parent[2])
-        parent[4].append(style)
-        if tag in _RAW:
-            found = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = found.end() if found else end
-            continue
-        if tag in _VOID or attributes.endswith("/") and tag in ("path", "circle", "rect"):
+                    return close(depth)
+                if stack[depth][0] in within:
+                    return None
+
+    at, end, last = 0, len(html), html.rfind(">")
+    while at < end:
+        said, ends, tag, attributes, at = _token(html, at, last)
+        if not tag or tag == "br":
+            text.append(" " if tag else said)
+        elif tag in _INLINE:
             continue
-        stack.append((tag, f"{parent[1]}/{style}", parent[2] or tag in _LANDMARKS, parent[3] or bad, []))
+        elif ends:
+            close_last(tag)
+        else:
+            if tag == "li" or tag in _CLOSES_P:
+                close_last("li" if tag == "li" else "p", _HOLDS_P)
+            flush()
+            _, path, level, landmark, none, children = stack[-1]
+            if tag in _RAW:
+                at = _raw_end(html, tag, at)
+            elif len(stack) < NESTING:
+                style, hidden = _style(tag, attributes, landmark)
+                children.append(style)
+                if tag not in _VOID and not (attributes.endswith("/") and tag in ("path", "circle", "rect")):
+                    shown = level < LEVELS
+                    stack.append((tag, f"{path}/{style}" if shown else path, level + shown, landmark or tag in _LANDMARKS, none or hidden, []))
+                    count[tag] += 1
     close(1)
     flush()
     return blocks, elements
 
 
+def _landmark(path: str) -> str | None:
+    """The path of the outermost article or main element on a path."""
+    styles = path.split("/")
+    at = next((i for i, style in enumerate(styles) if style.partition(".")[0].removesuffix(_MARK) in _LANDMARKS), None)
+    return None if at is None else "/".join(styles[: at + 1])
+
+
+def _marked(path: str) -> str | None:
+    """The path of the outermost marked element on a path."""
+    at = f"{path}/".find(_MARK + "/")
+    return None if at < 0 else path[: at + len(_MARK)]
+
+
 def _host():
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, path, importance, pages): the merged trees of all hosts. pages: (url, html)."""
+    """(host, path, importance, pages): the merged trees of all hosts, without the imagined pages. pages: (url, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,10 +219,10 @@ def style_trees(pages: DataFrame) -> DataFrame:
                 hosts, ids, features = [], [], []
                 for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
                     blocks, elements = parse(html or "")
-                    page = hash64("\n".join(b.text for b in blocks if b.landmark and not b.boilerplate) or html or "")
+                    article = "\n".join(b.text for b in blocks if _landmark(b.path) and not _marked(b.path))
                     found = {(b.path, 0, hash64(b.text)) for b in blocks} | {(path, 1, hash64(children)) for path, children in elements} | {("", 2, 0)}
                     hosts.append(host)
-                    ids.append(page)
+                    ids.append(hash64(article or html or ""))
                     features.append([dict(zip(("path", "kind", "feature"), x)) for x in sorted(found)])
                 kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.int32()), ("feature", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(features, kind)], names=["host", "page", "features"])
@@ -179,64 +233,64 @@ def style_trees(pages: DataFrame) -> DataFrame:
     counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"))
     log = lambda c: F.expr(f"{c} * ln({c})")
     nodes = cut(
-        counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(log("c")).alias("nlog"), F.count("*").alias("features")), "style-nodes"
+        counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.expr("ln(c)")).alias("logs"), F.sum(log("c")).alias("nlog"), F.count("*").alias("features")), "style-nodes"
     )
     sizes = nodes.where("kind = 2").select("host", F.col("n").alias("pages"))
-    own = nodes.where("kind = 0")
-    up = F.expr("transform(sequence(2, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
-    content = own.where("path <> ''").select("host", F.explode(up).alias("path"), "n", "nlog", F.lit(1).alias("one"))
-    content = content.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("nlog").alias("nlog"), F.sum("one").alias("leaves"))
+    content = nodes.where("kind = 0 and path <> ''").select("host", F.explode(F.expr(_PREFIXES)).alias("path"), "features", "logs")
+    content = content.groupBy("host", "path").agg(F.sum("features").alias("n"), F.sum("logs").alias("logs"), F.count("*").alias("leaves"))
     look = nodes.where("kind = 1").select("host", "path", F.expr("ln(n) - nlog / n").alias("entropy"))
-    tree = content.join(look, ["host", "path"], "left").join(sizes, "host").where(f"pages >= {LEAST_PAGES}")
+    tree = content.join(look, ["host", "path"], "left").join(sizes, "host")
     weight = f"pow({DECAY}, leaves)"
-    importance = f"{weight} * (1 - nlog / n / ln(pages)) + (1 - {weight}) * least(1, coalesce(entropy, 0) / ln(pages))"
+    importance = f"if(pages = 1, 1, {weight} * (1 - logs / n / ln(pages)) + (1 - {weight}) * least(1, coalesce(entropy, 0) / ln(pages)))"
     return tree.select("host", "path", F.expr(importance).alias("importance"), "pages")
 
 
-def hash64(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+#: The paths of a node and all above it.
+_PREFIXES = "transform(sequence(2, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))"
 
 
-def _landmark_path(path: str) -> str:
-    """The path of the outermost article or main element on a path."""
-    styles = path.split("/")
-    return "/".join(styles[: next(i for i, style in enumerate(styles) if style.split(".")[0] in _LANDMARKS) + 1])
+def low_branches(tree: DataFrame) -> DataFrame:
+    """(host, low): the paths that decide what goes: outermost marked branches below HIGH, and others that are below LOW with all branches in them."""
+    marked = F.expr(f"locate('{_MARK}/', concat(path, '/'))")
+    article = " OR ".join(f"path rlike '/{tag}([./ ]|$)'" for tag in sorted(_LANDMARKS))
+    prior = F.when(marked > 0, 0.0).when(F.expr(article), 1.0).otherwise(0.5)
+    found = tree.withColumn("t", (F.col("importance") * F.col("pages") + prior * PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES))
+    whole = found.where((marked == F.length("path") - len(_MARK) + 1) & (F.col("t") < HIGH)).select("host", "path")
+    plain = found.where(marked == 0)
+    most = plain.select("host", F.explode(F.expr(_PREFIXES)).alias("path"), "t").groupBy("host", "path").agg(F.max("t").alias("t"))
+    return whole.union(most.where(F.col("t") < LOW).select("host", "path")).groupBy("host").agg(F.collect_set("path").alias("low"))
+
+
+def hash64(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def main_text(html: str, low: frozenset[str] | None = None) -> str:
-    """The main text of one page, given the paths of low branches of its host (None: the host is not judged)."""
+def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
+    """The main text of one page, given the paths of low branches of its host."""
     blocks, _ = parse(html)
-    kept = [b for b in blocks if not b.boilerplate]
-    inner = [b for b in kept if b.landmark]
-    if low is None:
-        return "\n".join(b.text for b in inner or kept)
-
-    def is_low(block: Block) -> bool:
-        styles = block.path.split("/")
-        above = ["/".join(styles[:i]) for i in range(2, len(styles) + 1)]
-        if block.landmark:
-            whole = _landmark_path(block.path)
-            if any(p in low for p in above[: above.index(whole) + 1]):
-                return False
-        return any(p in low for p in above)
-
-    important = {id(b) for b in kept if not is_low(b)}
-    if inner and not any(id(b) in important for b in inner):
-        important |= {id(b) for b in inner}
-    return "\n".join(b.text for b in kept if id(b) in important or not important)
+    landmarks = {path: _landmark(path) for path in {b.path for b in blocks}}
+    deciding = {path: _marked(path) or path for path in landmarks}
+    # an article in a marked branch is decided on with it
+    inner = [b for b in blocks if landmarks[b.path] and deciding[b.path] == b.path]
+    whole = not any(b.path not in low for b in inner) or any(landmarks[b.path] in low for b in inner)
+    kept = {id(b) for b in blocks if deciding[b.path] not in low} | {id(b) for b in inner if whole}
+    return "\n".join(b.text for b in blocks if id(b) in kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
-    tree = style_trees(rows)
-    low = cut(tree.groupBy("host").agg(F.expr(f"collect_set(CASE WHEN importance < {LOW} THEN path END)").alias("low")), "low-branches")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("host", _host())
+    low = cut(low_branches(style_trees(rows)), "low-branches")
     size = low.agg(F.sum(F.expr("octet_length(host) + aggregate(low, 0, (a, p) -> a + octet_length(p))"))).first()[0] or 0
-    joined = rows.withColumn("host", _host()).join(F.broadcast(low) if size <= BROADCAST_BYTES else low, "host", "left")
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(low), "host", "left")
+    else:  # pages of one host go to many tasks
+        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h or "", None if p is None else frozenset(p)) for h, p in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
+            texts = [main_text(h or "", frozenset(p or ())) for h, p in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "url", "text", "n_chars"])
 
     kind = pages.schema[key].dataType.simpleString()
