@@ -1,13 +1,19 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
 P(severity > k) = sigmoid(w.x - t_k): the weights are shared by all ordered thresholds t_0 < t_1 < ... . Features are
-the words of a text and their beginnings of 4 and 5 bytes, hashed; only those that separate the classes in the
-training rows get a weight. The labels only tell toxic from not toxic, so the grades of the toxic training rows (1
-mild, 2 marked, 3 severe) are the thirds of their number of words with a telling feature; grade 0 is not toxic.
-
-Defined results: null and empty texts, and texts without a telling feature, get the expected severity of a text
-without features; without any toxic training row all texts get severity 0; labels that are null are no labels; several
-labels of one document count as toxic if any is; repeated rows get equal results. Only key and text are read.
+the words of a text and their beginnings of 4 and 5 bytes, hashed; evidence only adds to severity, so weights are not
+negative. A label is an interval of grades (0 not toxic, 1 mild, 2 marked, 3 severe), and the model maximises the
+likelihood that the severities lie in their intervals. A table whose labels only tell toxic from not toxic is censored:
+toxic means from 1 to 3. Its labels say nothing on the thresholds between the toxic grades, so these are put where the
+toxic training rows fall into the grades in equal shares; where labels are grades they are learned like the first one.
+
+Features are chosen by penalties that grow with the number of features tried: those are tried jointly whose own gain in
+likelihood exceeds its risk inflation penalty, 2 ln p a feature, and those get a weight that a lasso at the universal
+threshold keeps; their weights are then fitted without it.
+
+Defined results: null and empty texts, and texts without a feature of the model, get the expected severity of a text
+without features; without any toxic training row all texts get severity 0; labels that are null are no labels; of several
+labels of one document the greatest counts; repeated rows get equal results. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -24,18 +30,14 @@ from corpusloom.llm import vectext
 from corpusloom.llm.storage import table
 
 GRADES = 4
-#: Bound of the training sample: expected number of labelled rows of each class.
+#: Bounds of the training sample: expected number of labelled rows of each class, and bytes of a text to be learned from.
 SAMPLE_ROWS = 2500
-#: Likelihood-ratio statistic of a telling feature; far above what the best of many random features reaches.
-LEAST_GAIN = 24
-#: Log odds ratio of a telling feature between toxic and other rows.
-LEAST_ODDS = 3
-#: Features that may get a weight.
-MOST_FEATURES = 4096
+SAMPLE_TEXT_BYTES = 1 << 16
 PREFIXES = (4, 5)
-#: A text is toxic if its severity is above 0 with at least this probability; below a half, as texts without a telling
-#: feature stay far under it, and a missed toxic text is worse than a doubtful one.
-TOXIC_CUT = 0.3
+#: Weight of the ridge in the last fit.
+RIDGE = 0.5
+#: A text is toxic if its severity is above 0 with at least this probability.
+TOXIC_CUT = 0.5
 
 
 def word_features(batch: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -64,14 +66,12 @@ class OrdinalModel:
         found, counts = np.unique((doc[:, None] * len(self.features) + at)[here], return_counts=True)
         return found // len(self.features), found % len(self.features), np.log2(1 + counts)
 
-    def values(self, doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """w.x of each document, x being log2(1 + count) of a feature; and its words with a telling feature."""
+    def values(self, doc: np.ndarray, hashes: np.ndarray, n_docs: int) -> np.ndarray:
+        """w.x of each document, x being log2(1 + count) of a feature."""
         if not len(self.features):
-            return np.zeros(n_docs), np.zeros(n_docs, np.int64)
+            return np.zeros(n_docs)
         row, col, x = self.cells(doc, hashes)
-        at = np.minimum(np.searchsorted(self.features, hashes), len(self.features) - 1)
-        telling = np.bincount(doc[((self.features[at] == hashes) & (self.weights[at] > 0)).any(axis=1)], minlength=n_docs)
-        return np.bincount(row, x * self.weights[col], minlength=n_docs), telling
+        return np.bincount(row, x * self.weights[col], minlength=n_docs)
 
     def above(self, z: np.ndarray) -> np.ndarray:
         """P(severity > k) for each document and threshold."""
@@ -89,23 +89,56 @@ def _presence(doc: np.ndarray, hashes: np.ndarray, toxic: np.ndarray) -> tuple[n
     return flat[heads], np.diff(np.append(heads, len(flat))), np.add.reduceat(toxic[owner].astype(np.int64), heads)
 
 
-def _select(names: np.ndarray, total: np.ndarray, in_toxic: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features whose presence tells the classes apart, by the likelihood-ratio statistic, and their log odds."""
-    n, pos = len(toxic), int(toxic.sum())
+def _gain(total: np.ndarray, in_toxic: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """Likelihood-ratio statistic of each feature whose presence goes with toxic rows; 0 for the others."""
     expected = total * (pos / n)
     part = lambda o, e: o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9))
-    gain = 2 * (part(in_toxic, expected) + part(total - in_toxic, total - expected))
-    odds = np.log((in_toxic + 0.5) / (pos - in_toxic + 0.5)) - np.log((total - in_toxic + 0.5) / (n - pos - total + in_toxic + 0.5))
-    good = np.flatnonzero((total >= 3) & (gain > LEAST_GAIN) & (odds > LEAST_ODDS))
-    good = good[np.argsort(-gain[good], kind="stable")[:MOST_FEATURES]]
-    good.sort()
-    return names[good], odds[good]
-
-
-def fit_ordinal(texts: list[str], toxic: np.ndarray, rounds: int = 400) -> OrdinalModel:
-    """Maximum likelihood with a ridge penalty, by gradient steps of adapted length; one slice of text in memory."""
-    toxic = np.asarray(toxic, bool)
-    none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 20.0))
+    return np.where(in_toxic > expected, 2 * (part(in_toxic, expected) + part(total - in_toxic, total - expected)), 0)
+
+
+def likelihood(z: np.ndarray, thresholds: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood that each severity lies in [low, high], and its gradients by z and by the thresholds."""
+    above = 1 / (1 + np.exp(np.clip(np.concatenate(([-np.inf], thresholds, [np.inf])) - z[:, None], -500, 500)))
+    above[:, 0], above[:, -1] = 1, 0
+    rows, slope = np.arange(len(z)), above * (1 - above)
+    inside = np.maximum(above[rows, low] - above[rows, high + 1], 1e-12)
+    upper, lower = slope[rows, low] / inside, slope[rows, high + 1] / inside
+    edges = np.bincount(high + 1, lower, minlength=above.shape[1]) - np.bincount(low, upper, minlength=above.shape[1])
+    return float(np.log(inside).sum()), upper - lower, edges[1:-1]
+
+
+def _ascend(cells: tuple, low: np.ndarray, high: np.ndarray, w: np.ndarray, t: np.ndarray, lasso: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximise the penalised likelihood over weights of at least 0, by gradient steps of adapted length."""
+    row, col, x = cells
+    moments = [np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t))]
+    for step in range(1, rounds + 1):
+        _, dz, dt = likelihood(np.bincount(row, x * w[col], minlength=len(low)), t, low, high)
+        g = np.concatenate((np.bincount(col, x * dz[row], minlength=len(w)) - lasso - ridge * w, dt))
+        moments = [0.9 * moments[0] + 0.1 * g, 0.99 * moments[1] + 0.01 * g * g]
+        move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
+        w, t = np.maximum(0, w + move[: len(w)]), np.maximum.accumulate(t + move[len(w) :])
+    return w, t
+
+
+def _shared_out(z: np.ndarray, t: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The thresholds; those that no label bounds are put where the toxic rows fall into the grades in equal shares."""
+    t, toxic = t.copy(), z[low > 0]
+    first = 1 / (1 + np.exp(t[0] - toxic))
+    for k in range(1, len(t)):
+        if not ((low == k + 1) | (high == k)).any():
+            least, most = -100.0, 100.0
+            for _ in range(60):
+                middle = (least + most) / 2
+                beyond = (1 / (1 + np.exp(np.clip(middle - toxic, -500, 500)))).sum() / first.sum()
+                least, most = (middle, most) if beyond > 1 - k / len(t) else (least, middle)
+            t[k] = least
+    return np.maximum.accumulate(t)
+
+
+def fit_ordinal(texts: list[str], low: np.ndarray, high: np.ndarray, rounds: int = 400) -> OrdinalModel:
+    """Fit to texts whose grades lie in [low, high]; one slice of text in memory."""
+    low, high = np.asarray(low, np.int64), np.asarray(high, np.int64)
+    none, toxic = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 20.0)), low > 0
     if not toxic.any():
         return none
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
@@ -120,48 +153,47 @@ def fit_ordinal(texts: list[str], toxic: np.ndarray, rounds: int = 400) -> Ordin
             found = _presence(doc + base, hashes, toxic)
             names, at = np.unique(np.concatenate((names, found[0])), return_inverse=True)
             total, in_toxic = (np.bincount(at, np.concatenate(x)) for x in ((total, found[1]), (in_toxic, found[2])))
-    names, odds = _select(names, total, in_toxic, toxic)
-    if not len(names):
+    tried = _gain(total, in_toxic, len(texts), int(toxic.sum())) > 2 * np.log(max(2, len(names)))
+    if not tried.any():
         return none
-    model = OrdinalModel(names, odds, np.zeros(GRADES - 1))
-    found, telling = [], []
+    model = OrdinalModel(names[tried], np.zeros(tried.sum()), np.zeros(GRADES - 1))
+    found = []
     for part, base in parts:
-        doc, hashes = word_features(part, "text")
-        row, col, x = model.cells(doc, hashes)
+        row, col, x = model.cells(*word_features(part, "text"))
         found.append((row + base, col, x))
-        telling.append(model.values(doc, hashes, part.num_rows)[1])
-    row, col, x = (np.concatenate(c) for c in zip(*found))
-    telling = np.concatenate(telling)
-    cuts = np.quantile(telling[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, telling, side="left"), 0)
-    w, t = odds / 4, np.arange(1.0, GRADES)
-    moments = [np.zeros(len(w) + len(t)), np.zeros(len(w) + len(t))]
-    level = np.arange(GRADES)
-    for step in range(1, rounds + 1):
-        z = np.bincount(row, x * w[col], minlength=len(texts))
-        p = np.concatenate((np.ones((len(z), 1)), 1 / (1 + np.exp(t - z[:, None])), np.zeros((len(z), 1))), axis=1)
-        slope = p * (1 - p)
-        likely = np.maximum((p[:, :-1] - p[:, 1:])[np.arange(len(z)), grade], 1e-9)
-        upper, lower = slope[np.arange(len(z)), grade], slope[np.arange(len(z)), grade + 1]
-        dz = (upper - lower) / likely
-        dt = np.array([(np.where(grade == k, lower, 0) / likely - np.where(grade == k + 1, upper, 0) / likely).sum() for k in level[:-1]])
-        g = np.concatenate((np.bincount(col, x * dz[row], minlength=len(w)) - 0.5 * w, dt))
-        moments = [0.9 * moments[0] + 0.1 * g, 0.99 * moments[1] + 0.01 * g * g]
-        move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-        w, t = w + move[: len(w)], np.sort(t + move[len(w) :])
-    return OrdinalModel(names, w, t)
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of an expected ``sample_rows`` rows of each class, chosen by a hash of the document id."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    share = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, sample_rows / n))]) if sizes else None
-    if share is None:
-        return [], np.zeros(0, bool)
-    chosen = marks.where(F.expr("pmod(xxhash64(doc_id, 'toxicity'), 1000000) / 1e6") < share[F.col("toxic")])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
-    return rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), dtype=float) > 0
+    cells = row, col, x = tuple(np.concatenate(c) for c in zip(*found))
+    share = toxic.mean()
+    lasso = np.sqrt(2 * np.log(len(names)) * share * (1 - share) * np.bincount(col, x * x, minlength=len(model.features)))
+    start = np.log((1 - share + 1e-6) / share) + np.arange(GRADES - 1.0)
+    w, _ = _ascend(cells, low, high, model.weights, start, lasso, 0.0, rounds)
+    chosen = w > 1e-3
+    if not chosen.any():
+        return none
+    here = chosen[col]
+    cells = row[here], (np.cumsum(chosen) - 1)[col[here]], x[here]
+    w, t = _ascend(cells, low, high, w[chosen], start, np.zeros(chosen.sum()), RIDGE, rounds)
+    z = np.bincount(cells[0], cells[2] * w[cells[1]], minlength=len(texts))
+    return OrdinalModel(model.features[chosen], w, _shared_out(z, t, low, high))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts of an expected ``sample_rows`` rows of each class, chosen by a hash of the document id, and the bounds of their grades.
+
+    Grades are told apart only where a label is above 1. Texts above ``SAMPLE_TEXT_BYTES`` are not learned from.
+    """
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("grade"))
+    marks = marks.select("doc_id", F.expr(f"cast(greatest(0, least({GRADES - 1}, ceil(grade))) as int)").alias("grade"))
+    sizes = {r["grade"]: r["count"] for r in marks.groupBy("grade").count().collect()}
+    if not sizes:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    toxic = sum(n for grade, n in sizes.items() if grade)
+    chance = F.expr("pmod(xxhash64(doc_id, 'toxicity'), 1000000) / 1e6")
+    chosen = marks.where(chance < F.when(F.col("grade") > 0, min(1.0, sample_rows / max(1, toxic))).otherwise(min(1.0, sample_rows / max(1, sizes.get(0, 0)))))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").toArrow()
+    low = rows.column("grade").to_numpy().astype(np.int64)
+    high = low if max(sizes) > 1 else np.where(low > 0, GRADES - 1, 0)
+    return rows.column("text").to_pylist(), low, high
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", prefix: str = "") -> DataFrame:
@@ -172,7 +204,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", prefix: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in vectext.slices(batches, "__text"):
-            z, _ = model.values(*word_features(batch, "__text"), batch.num_rows)
+            z = model.values(*word_features(batch, "__text"), batch.num_rows)
             above = model.above(z)
             steps = np.concatenate((np.ones((len(z), 1)), above, np.zeros((len(z), 1))), axis=1)
             grade = np.argmax(steps[:, :-1] - steps[:, 1:], axis=1)

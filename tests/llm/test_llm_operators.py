@@ -2,12 +2,15 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
 import sys
+import time
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -137,8 +140,6 @@ def test_quality_edges(spark, docs):
 
 def test_nonnegative_risk_separates():
     good, bad = pu_quality.measures(["Some plain words in a row."] * 40), pu_quality.measures(["$$$ %%% ###"] * 20)
-    import numpy as np
-
     model = pu_quality.fit_pu(good[:20], np.concatenate((good[20:], bad)), 0.5)
     assert model.score(good).min() > 0.5 > model.score(bad).max()
 
@@ -162,8 +163,6 @@ def test_code_switching(spark):
 def test_forward_backward_against_enumeration():
     import itertools
 
-    import numpy as np
-
     rng = np.random.default_rng(0)
     model = crf_language.Crf(["a", "b"], np.zeros((1, 2)), rng.normal(size=(2, 2)))
     emissions = rng.normal(size=(5, 2))
@@ -200,11 +199,41 @@ def test_toxicity_finds_labelled_rows(spark):
 
 def test_toxicity_grades_are_ordered():
     texts = ["plain words here"] * 60 + ["you vile thing"] * 20 + ["vile vile awful thing"] * 20 + ["vile awful vile awful vile rotten"] * 20
-    model = ordinal.fit_ordinal(texts, [0] * 60 + [1] * 60)
-    assert list(model.thresholds) == sorted(model.thresholds)
-    batch = pa.RecordBatch.from_arrays([pa.array([texts[0], texts[60], texts[-1]], pa.large_string())], names=["t"])
-    severity = model.above(model.values(*ordinal.word_features(batch, "t"), 3)[0]).sum(axis=1)
-    assert severity[0] < severity[1] < severity[2]
+    batch = pa.RecordBatch.from_arrays([pa.array([texts[0], texts[60], texts[80], texts[-1]], pa.large_string())], names=["t"])
+    graded = np.repeat([0, 1, 2, 3], [60, 20, 20, 20])
+    for low, high in ((np.minimum(graded, 1), np.where(graded > 0, 3, 0)), (graded, graded)):
+        model = ordinal.fit_ordinal(texts, low, high)
+        assert list(model.thresholds) == sorted(model.thresholds) and model.weights.min() > 0
+        severity = model.above(model.values(*ordinal.word_features(batch, "t"), 4)).sum(axis=1)
+        assert severity[0] < severity[1:].min()
+    assert list(severity) == sorted(severity)
+    assert np.abs(severity - [0, 1, 2, 3]).max() < 0.7  # grades that are told are met
+
+
+def test_ordinal_likelihood_and_its_gradients():
+    rng = np.random.default_rng(1)
+    z, t = rng.normal(size=30), np.array([-0.5, 0.4, 1.5])
+    low = rng.integers(0, 4, 30)
+    high = np.maximum(low, rng.integers(0, 4, 30))
+    value, dz, dt = ordinal.likelihood(z, t, low, high)
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    grade = lambda k, v, t: (sigmoid(v - t[k - 1]) if k else 1) - (sigmoid(v - t[k]) if k < 3 else 0)
+    plain = lambda z, t: sum(math.log(sum(grade(k, v, t) for k in range(a, b + 1))) for v, a, b in zip(z, low, high))
+    assert value == pytest.approx(plain(z, t))
+    for i in range(30):
+        step = np.eye(30)[i] * 1e-5
+        assert dz[i] == pytest.approx((plain(z + step, t) - plain(z - step, t)) / 2e-5, abs=1e-5)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-5
+        assert dt[k] == pytest.approx((plain(z, t + step) - plain(z, t - step)) / 2e-5, abs=1e-4)
+
+
+def test_unknown_thresholds_share_out_the_toxic_rows():
+    rng = np.random.default_rng(2)
+    z, low = rng.normal(size=300) * 3, (np.arange(300) < 90) * 1
+    t = ordinal._shared_out(z, np.array([0.0, 1.0, 2.0]), low, np.where(low > 0, 3, 0))
+    above = 1 / (1 + np.exp(t - z[low > 0][:, None]))
+    assert np.allclose(above.sum(axis=0) / above[:, 0].sum(), [1, 2 / 3, 1 / 3], atol=1e-6)
 
 
 def test_toxicity_edges(spark, docs):
@@ -235,19 +264,95 @@ def test_quotes_use_no_python(spark):
 # 5
 
 
+MARKED = ["/html/body/header !", "/html/body/div.top-menu !", "/html/body/div !", "/html/body/article/aside !", "/html/body/footer !"]
+
+
 def test_main_text():
     page = """<html><head><title>t</title></head><body><header>no</header><div class="top-menu">no</div><div id="cookie-notice">no</div><article><h1>A &amp; B</h1><p>one <b>two
     three<br>four<p>five &copy six<aside>no</aside><ul><li>x<li>y</ul><div class=comments>no</div><form>no</form><script>var a="</p>";</script></article><p>outside</p><footer>no</footer>"""
-    assert site_style_tree.main_text(page) == "A & B\none two three four\nfive © six\nx\ny"
+    assert site_style_tree.main_text(page, frozenset([*MARKED, "/html/body/p"])) == "A & B\none two three four\nfive © six\nx\ny"
+    assert site_style_tree.main_text(page).count("no") == 5  # without a tree nothing that is text goes
     assert site_style_tree.main_text("<div>a<!-- b --><p>c") == "a\nc" and site_style_tree.main_text("") == ""
+    assert site_style_tree.main_text("a <b>b</b <p title='class=\"ad\"'>c</p><p class='x") == "a bc"
+    assert site_style_tree.main_text("<p>a < b <a href=\"x>y</p>z") == "a < b y\nz"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<!", "<a href=\"x>", "<script>", "</script", "<li>", "<", "<div class=\"", "<x></y>", "<p><td><foo><h1></h1>"])
+def test_long_broken_pages_are_read_once(piece):
+    start = time.process_time()
+    site_style_tree.parse(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 10
+
+
+def plain_style_trees(pages):
+    """{(host, path): importance after the imagined pages} from the blocks of all pages, kept in dictionaries."""
+    sites = {}
+    for host, html in pages:
+        blocks, elements = site_style_tree.parse(html)
+        sites.setdefault(host, {})[html] = (blocks, elements)
+    out = {}
+    for host, of in sites.items():
+        m = len(of)
+        texts, looks = {}, {}
+        for page, (blocks, elements) in enumerate(of.values()):
+            for b in blocks:
+                texts.setdefault(b.path, {}).setdefault(b.text, set()).add(page)
+            for path, children in elements:
+                looks.setdefault(path, {}).setdefault(children, set()).add(page)
+        for node in {path[:i] for path in texts for i in range(1, len(path) + 1) if path[i : i + 1] in ("", "/")}:
+            under = [t for path, t in texts.items() if f"{path}/".startswith(node + "/")]
+            log = lambda n: math.log(n) / math.log(m)
+            content = 1 - sum(log(len(p)) for t in under for p in t.values()) / sum(map(len, under)) if m > 1 else 1
+            seen = [len(p) for p in looks.get(node, {}).values()]
+            look = -sum(n / sum(seen) * log(n / sum(seen)) for n in seen) if m > 1 and seen else 0
+            share = site_style_tree.DECAY ** len(under)
+            importance = share * content + (1 - share) * min(1, look) if m > 1 else 1
+            prior = 0 if " !" in node else 0.5
+            out[host, node] = (importance * m + prior * site_style_tree.PRIOR_PAGES) / (m + site_style_tree.PRIOR_PAGES)
+    return out
 
 
-def test_style_tree_removes_repeated_branches(spark):
+def test_pages_without_landmarks_against_a_plain_style_tree(spark):
+    rng = random.Random(4)
+    pages = []
+    for i in range(60):
+        host = f"h{rng.choice([0, 0, 0, 1, 1, 2])}" if i else "alone"
+        nav = "".join(f"<li>item {rng.randrange(3)}</li>" for _ in range(rng.randrange(1, 5)))
+        parts = [f"<div class='menu'><ul>{nav}</ul></div>", f"<div class='t{host}'><h2>Head {rng.randrange(40)}</h2><p>words {rng.random()}</p>{'<p>always the same</p>' * rng.randrange(2)}</div>", "<div class='box'><span>same</span> box</div>", f"<div class='side'><p>teaser {rng.randrange(2)}</p></div>", f"<section class='widget'>{'<p>' * rng.randrange(9)}<b>{rng.random()}</b></section>"]
+        pages.append((host, "<body>" + "".join(x for x in parts if rng.random() < 0.9)))
+    tree = plain_style_trees(pages)
+    want = {}
+    for i, (host, html) in enumerate(pages):
+        kept = []
+        for b in site_style_tree.parse(html)[0]:
+            head = b.path.split("/")
+            marks = [k for k, style in enumerate(head) if style.endswith(" !")]
+            if marks:
+                gone = tree[host, "/".join(head[: marks[0] + 1])] < site_style_tree.HIGH
+            else:
+                gone = max(t for (h, path), t in tree.items() if h == host and " !" not in path and f"{path}/".startswith(b.path + "/")) < site_style_tree.LOW
+            kept += [] if gone else [b.text]
+        want[i] = "\n".join(kept)
+    rows = spark.createDataFrame([(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in site_style_tree.extract(rows).collect()} == want
+    assert len({len(x.split("\n")) for x in want.values()}) > 2 and not any("same box" in x for i, x in want.items() if pages[i][0] == "h0")
+
+
+def test_the_tree_decides_on_the_data(spark):
+    pages = table(spark, SF, "pages")
+    found = {r["page_id"]: r["text"] for r in site_style_tree.extract(pages).collect()}
+    without = {r["page_id"]: site_style_tree.main_text(r["html"]) for r in pages.collect()}
+    assert all(len(found[i]) < len(without[i]) for i in found)
+
+
+def test_style_tree_removes_repeated_branches(spark, monkeypatch):
     rows = [(i, "http://H.x/a", f'<div class="body"><p>unique words {i}</p></div><div class="box">same everywhere</div>') for i in range(8)]
-    rows += [(90, None, None), (91, "http://h.x/b", ""), (92, "http://other/", "<div>alone</div>")]
+    rows += [(90, None, None), (91, "http://h.x/b", ""), (92, "http://other/", "<nav>menu</nav><div>alone</div>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
-    found = {r["page_id"]: r["text"] for r in site_style_tree.extract(pages).collect()}
-    assert found == {**{i: f"unique words {i}" for i in range(8)}, 90: "", 91: "", 92: "alone"}
+    want = {**{i: f"unique words {i}" for i in range(8)}, 90: "", 91: "", 92: "alone"}
+    assert {r["page_id"]: r["text"] for r in site_style_tree.extract(pages).collect()} == want
+    monkeypatch.setattr(site_style_tree, "BROADCAST_BYTES", 0)
+    assert {r["page_id"]: r["text"] for r in site_style_tree.extract(pages).collect()} == want
     assert site_style_tree.extract(pages.limit(0)).isEmpty()
 
 
@@ -258,7 +363,8 @@ def test_importance_decides_inside_and_outside_articles(spark):
     rows += [(20, "http://other/", article.format(20) + "<p>outside</p>")]
     found = {r["page_id"]: r["text"] for r in site_style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [found[i] for i in range(8)] == [f"Title {i}\nunique words {i}\nmore words {i}" for i in range(8)]
-    assert {found[10 + i] for i in range(8)} == {"Title\none text"} and found[20] == "Title 20\nunique words 20\nsame everywhere"
+    assert [found[10 + i] for i in range(8)] == [f"Title\none text\n{i}" for i in range(8)]
+    assert found[20] == "Title 20\nunique words 20\nsame everywhere\noutside"  # one page: the tree knows too little
 
 
 def test_low_articles_are_kept_whole():
