@@ -5,7 +5,10 @@ The classifier g, a small network on measures of a text's form, minimises
     prior * E_positive[l(g, +1)] + max(0, E_unlabelled[l(g, -1)] - prior * E_positive[l(g, -1)])
 
 with the logistic loss l. Positives are the rows labelled as good, unlabelled are any texts of the corpus; rows
-labelled as bad are used only to estimate the prior, the share of good rows among the labelled ones.
+labelled as bad are not used at all. The prior, the share of good rows among the unlabelled, is estimated from the two
+samples: of two networks that tell positives from unlabelled each scores the half of the rows that it has not seen. If
+u(c) of the unlabelled and p(c) of the positives score at least c, the prior is at most u(c) / p(c); the cut c is taken
+where that bound is tightest with its sampling error.
 
 Defined results: null and empty texts are scored as the text without words; without any positive training row all
 texts get the score 0; null labels are no labels; several labels of a document count as good if all are; repeated rows
@@ -14,7 +17,7 @@ get equal scores; rows with a null id are held out. Only key and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,30 +86,36 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(self.hidden(x) @ self.layers[2] + self.layers[3][0], -500, 500)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.01, seed: int = 7) -> PuModel:
-    """Minimise the non-negative risk; where its second part turns negative, the step goes against it instead."""
-    if not len(positive) or not len(unlabelled):
-        return PuModel(np.zeros(1), np.ones(1), [], False)
+def pu_risk(g: np.ndarray, n: int, prior: float) -> tuple[float, float, np.ndarray]:
+    """Both parts of the risk of scores g, the first n of positives, and the gradient of the step: of the risk, or where
+    the second part is negative, against that part."""
+    p, m = 1 / (1 + np.exp(-g)), len(g) - n
+    loss_negative = np.logaddexp(0, g)
+    first = prior * np.logaddexp(0, -g[:n]).mean()
+    rest = loss_negative[n:].mean() - prior * loss_negative[:n].mean()
+    d_rest = np.concatenate((-prior * p[:n] / n, p[n:] / m))
+    d_first = np.concatenate((prior * (p[:n] - 1) / n, np.zeros(m)))
+    return first, rest, d_first + d_rest if rest >= 0 else -d_rest
+
+
+def tell_apart(g: np.ndarray, n: int, prior: float = 0.5) -> tuple[float, float, np.ndarray]:
+    """The same for telling the first n from the rest, each half of the weight."""
+    p, m = 1 / (1 + np.exp(-g)), len(g) - n
+    return np.logaddexp(0, -g[:n]).mean() / 2, np.logaddexp(0, g[n:]).mean() / 2, np.concatenate(((p[:n] - 1) / n, p[n:] / m)) / 2
+
+
+def _network(positive: np.ndarray, unlabelled: np.ndarray, risk: Callable, prior: float, steps: int, rate: float, seed: int) -> PuModel:
     random = np.random.default_rng(seed)
     width = positive.shape[1]
     scale = unlabelled.std(axis=0)
     model = PuModel(unlabelled.mean(axis=0), np.maximum(scale, 1e-3), [random.normal(0, width**-0.5, (width, HIDDEN)), np.zeros(HIDDEN), random.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in model.layers]
-    x = np.concatenate((positive, unlabelled))
-    n = len(positive)
-    standard = (x - model.mean) / model.scale
+    standard = (np.concatenate((positive, unlabelled)) - model.mean) / model.scale
     for step in range(1, steps + 1):
         h = np.tanh(standard @ model.layers[0] + model.layers[1])
-        g = np.clip(h @ model.layers[2] + model.layers[3][0], -30, 30)
-        p = 1 / (1 + np.exp(-g))
-        loss_negative = np.logaddexp(0, g)
-        rest = loss_negative[n:].mean() - prior * loss_negative[:n].mean()
-        d_rest = np.concatenate((-prior * p[:n] / n, p[n:] / len(unlabelled)))
-        d_positive = np.concatenate((prior * (p[:n] - 1) / n, np.zeros(len(unlabelled))))
-        d = d_positive + d_rest if rest >= 0 else -d_rest
+        _, _, d = risk(np.clip(h @ model.layers[2] + model.layers[3][0], -30, 30), len(positive), prior)
         dh = d[:, None] * model.layers[2] * (1 - h * h)
-        grads = [standard.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
-        for layer, gradient, m in zip(model.layers, grads, moments):
+        for layer, gradient, m in zip(model.layers, (standard.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])), moments):
             gradient = gradient + 1e-4 * layer
             m[0] = 0.9 * m[0] + 0.1 * gradient
             m[1] = 0.999 * m[1] + 0.001 * gradient**2
@@ -114,24 +123,64 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     return model
 
 
+def tightest_bound(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The prior from scores of both samples: u(c) / p(c) at the cut where it and its sampling error are least."""
+    cuts = np.unique(positive)
+    p = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    u = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    error = 0.5 / np.sqrt(len(positive)) + 0.5 / np.sqrt(len(unlabelled))
+    best = np.argmin((u + error) / p)
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 60, rate: float = 0.01, seed: int = 3) -> float:
+    """Share of positives among the unlabelled; the networks stop early, before they learn rows by heart."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    scores = []
+    for half in (0, 1):
+        model = _network(positive[half::2], unlabelled[half::2], tell_apart, 0.5, steps, rate, seed)
+        scores.append((model.score(positive[1 - half :: 2]), model.score(unlabelled[1 - half :: 2])))
+    return tightest_bound(*(np.concatenate(x) for x in zip(*scores)))
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.01, seed: int = 7) -> PuModel:
+    """Minimise the non-negative risk; where its second part turns negative, the step goes against it instead."""
+    if not len(positive) or not len(unlabelled):
+        return PuModel(np.zeros(1), np.ones(1), [], False)
+    return _network(positive, unlabelled, pu_risk, prior, steps, rate, seed)
+
+
 def fold(key: str = "doc_id"):
     """crc32 of the id as text, modulo 5; null for a null id."""
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(5))
 
 
+def _measured(rows: DataFrame) -> np.ndarray:
+    """The measures of a bounded number of texts, taken where the texts are: only numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in vectext.slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(_measures(batch, "text")), pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>").orderBy("doc_id", "x").select("x").toArrow().column(0)
+    return np.array(found.to_pylist(), float).reshape(-1, len(SIGNS) + 13)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> PuModel:
     """Fit on a sample bounded by ``sample_rows``, chosen by a hash of the id, of rows that are not held out."""
-    marks = labels.where("quality is not null").where(fold() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    total, good = marks.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("quality") > 0, 1)), F.lit(0))).first()
+    marks = labels.where("quality is not null").where(fold() != 0).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality > 0")
+    good = marks.count()
     if not good:
         return fit_pu(np.zeros((0, 1)), np.zeros((0, 1)), 0.5)
     chance = lambda salt: F.expr(f"pmod(xxhash64(doc_id, '{salt}'), 1000000) / 1e6")
-    chosen = marks.where("quality > 0").where(chance("positive") < min(1.0, sample_rows / good)).select("doc_id")
+    chosen = marks.where(chance("positive") < min(1.0, sample_rows / good)).select("doc_id")
     rows = docs.select("doc_id", "text").where(fold() != 0)
     n_rows = rows.select("doc_id").count()
-    positive = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").toArrow().column(0).to_pylist()
-    unlabelled = rows.where(chance("unlabelled") < min(1.0, sample_rows / max(1, n_rows))).select("text").toArrow().column(0).to_pylist()
-    return fit_pu(measures(positive), measures(unlabelled), good / total)
+    positive = _measured(rows.join(F.broadcast(chosen), "doc_id", "left_semi"))
+    unlabelled = _measured(rows.where(chance("unlabelled") < min(1.0, sample_rows / max(1, n_rows))))
+    return fit_pu(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: PuModel, keys: list[str], text: str = "text") -> DataFrame:
