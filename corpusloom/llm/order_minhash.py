@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import vectext
 from corpusloom.llm.storage import table
@@ -31,6 +32,8 @@ PLACES = 64
 PICKED = 2
 #: k-mers hashed at a time.
 BLOCK = 1 << 14
+#: Keys that are no numbers of which the ranges of documents are told; it changes no result.
+SAMPLE_KEYS = 10_000
 
 _seeds = vectext.mix(np.arange(1, 2 * PLACES + 1, dtype=np.uint64)).reshape(2, PLACES, 1)
 _FACTORS, _SHIFTS = _seeds[0] | np.uint64(1), _seeds[1]
@@ -70,7 +73,7 @@ def _sketch(kmers: np.ndarray) -> np.ndarray:
     out = _SHIFTS[:, 0].copy()
     for j in range(PICKED):
         out = vectext.mix(out + np.where(where[:, j] >= 0, numbered[where[:, j]], np.uint64(0)))
-    return (out >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+    return np.maximum((out >> np.uint64(48)).astype(np.uint16), np.uint16(1))
 
 
 def sketches(texts: pa.Array) -> np.ndarray:
@@ -110,14 +113,27 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
 def in_sequence(docs: DataFrame, key: str, partitions: int) -> DataFrame:
     """(bucket, tail, key, text) sorted within partitions so that each row is followed by the next document.
 
-    Keys are dealt into ranges by quantiles; each bucket ends with a copy (tail) of the first document of the next
-    one, the last with that of the first. Only the least key of each bucket reaches the driver.
+    Keys are dealt into ranges by quantiles, those that are no numbers by about ``SAMPLE_KEYS`` of them; each bucket ends
+    with a copy (tail) of the first document of the next one, the last with that of the first. Only the least key of each
+    bucket and that sample reach the driver.
     """
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    quantiles = rows.where("key is not null").agg(F.percentile_approx("at", [i / partitions for i in range(1, partitions)], 10_000)).first()[0] if partitions > 1 else []
-    inner = sorted(set(quantiles or []))
-    dealt = Bucketizer(splits=[float("-inf"), *(inner or [0.0]), float("inf")], inputCol="at", outputCol="bucket").transform(rows)
-    dealt = dealt.withColumn("bucket", F.col("bucket").cast("int")).withColumn("tail", F.lit(0)).drop("at")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    named = rows.where("key is not null")
+    if partitions < 2:
+        dealt = rows.withColumn("bucket", F.lit(0))
+    elif isinstance(docs.schema[key].dataType, T.NumericType):
+        quantiles = named.agg(F.percentile_approx(F.col("key").cast("double"), [i / partitions for i in range(1, partitions)], 10_000)).first()[0]
+        at = rows.withColumn("at", F.coalesce(F.col("key").cast("double"), F.lit(float("-inf"))))
+        splits = [float("-inf"), *(sorted(set(quantiles or [])) or [0.0]), float("inf")]
+        dealt = Bucketizer(splits=splits, inputCol="at", outputCol="bucket").transform(at).withColumn("bucket", F.col("bucket").cast("int")).drop("at")
+    else:
+        share = SAMPLE_KEYS / max(1, named.count())
+        found = sorted({r[0] for r in named.where(F.expr("pmod(xxhash64(key), 1000000) / 1e6") < share).select("key").limit(4 * SAMPLE_KEYS).collect()})
+        inner = sorted({found[len(found) * i // partitions] for i in range(1, partitions)}) if found else []
+        kind = f"array<{docs.schema[key].dataType.simpleString()}>"
+        dealt = rows.withColumn("bucket", F.coalesce(F.size(F.filter(F.lit(inner).cast(kind), lambda s: s <= F.col("key"))), F.lit(0))) if inner else rows.withColumn("bucket", F.lit(0))
+        dealt = dealt.withColumn("bucket", F.when(F.col("key").isNull(), 0).otherwise(F.col("bucket")))
+    dealt = dealt.withColumn("tail", F.lit(0))
     first = sorted((r["bucket"], r["some"], r["k"]) for r in dealt.groupBy("bucket").agg(F.max(F.col("key").isNull()).alias("some"), F.min("key").alias("k")).collect())
     if not first:
         return dealt
