@@ -21,7 +21,7 @@ The Jaccard distance d is a metric, and two documents link when d <= r (0.2 for
    components are exact.
 
 No group of points is ever held in one place: regions are read as sorted streams with the pivots of one region in
-memory.
+memory, and a large region that is left after the last level is compared in blocks of points, two at a time.
 
 The result is the exact components only. Pairs whose points are already joined are skipped, so neither the links nor
 the number of links of a document can be had from it.
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import vectext
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.storage import cut, table
+from corpusloom.llm.storage import cut, discard, table
 
 SHINGLE_WORDS = 5
 PERCENT = 80
@@ -326,9 +326,19 @@ def _resolve(pairs: DataFrame, components: DataFrame | None, texts: DataFrame, s
         chosen = cut(_apart(pairs.select("a", "b"), components), "apart")
         if chosen.isEmpty():
             break
+    discard(pairs)
     return components
 
 
+def _in_blocks(points: DataFrame) -> DataFrame:
+    """Large regions of points (region, node, points, ...) as one region for every two blocks of about ``SMALL`` points."""
+    blocks = F.ceil(F.col("points") / SMALL).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    both = F.xxhash64("region", F.least("__own", "__other"), F.greatest("__own", "__other"))
+    spread = points.withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return spread.withColumn("region", F.when(F.col("points") > SMALL, both).otherwise(F.col("region"))).drop("__own", "__other")
+
+
 class _Held:
     """Points of a region that a stream has passed, in one table for each length of profile."""
 
@@ -459,9 +469,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     regions = _regions(docs.where("key is not null"), seed, frequent)
     near = cut(_to_pivots(regions), "near")
     involved = near.select("node").union(near.select("pivot")).distinct()
-    classes = points.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("profile").alias("profile"))
+    classes = points.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n"), F.first("profile").alias("profile"), F.count("*").alias("copies"))
     chosen = cut(classes.join(involved, "node").select("node", "key"), "chosen")
-    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    chosen = _small(chosen)
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in vectext.slices(batches, "text"):
@@ -487,14 +497,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
         open_ = cut(members.join(spans.where("low < high").select("region", "points"), "region"), "open-regions")
         large = open_.where(f"points > {SMALL}")
         done = level == LEVELS or large.isEmpty()
-        direct = _pairs_within((open_ if done else open_.where(f"points <= {SMALL}")).join(profiles, "node"))
+        direct = _pairs_within((_in_blocks(open_) if done else open_.where(f"points <= {SMALL}")).join(profiles, "node"))
         if done:
             components = _resolve(direct, components, texts, seed)
             break
         near = cut(_to_pivots(_differences(large, texts, seed, frequent)), "near")
-    named = points.join(components, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("key").alias("least"))
-    return named.join(least, "component", "left").select(F.col("key").alias(key), "n", F.coalesce("least", "key").alias("component"))
+    # names of points that have copies or links; tables of their own, so that a join by a hot one can be split
+    known = cut(classes.where("copies > 1").select("node", "key").join(components, "node", "full").join(classes.select("node", F.col("key").alias("own")), "node").select("node", F.coalesce("component", "node").alias("component"), "own"), "known")
+    least = cut(known.groupBy("component").agg(F.min("own").alias("least")), "least")
+    names = cut(known.join(_small(least), "component").select("node", "least"), "names")
+    return points.join(_small(names), "node", "left").select(F.col("key").alias(key), "n", F.coalesce("least", "key").alias("component"))
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of two numbers a row, broadcast if it has at most ``BROADCAST_ROWS``."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
