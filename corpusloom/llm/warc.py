@@ -11,7 +11,9 @@ shared folder: executors cannot write plain files to a store that only Spark rea
 
 Defined results: a null html is an empty payload; of repeated pages each row is written; of equal payloads the row of
 the largest id is the response (of several such rows the one that comes first), null ids come last; a segment that
-is missing, repeated or out of length makes ``error`` not null and the payload null; an empty table gives no archive.
+is missing, repeated or out of length makes ``error`` not null and the payload null, as does a payload that has not the
+stated digest; an archive that is cut off or damaged gives the records before that place and one of type ``damaged`` with
+the error; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -82,13 +84,18 @@ def record(headers: dict[str, object], block: bytes) -> bytes:
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of every record of an archive."""
-    while archive:
+    view = memoryview(archive)
+    while len(view):
         member = zlib.decompressobj(31)
-        raw = member.decompress(archive)
-        archive = member.unused_data
-        head, rest = raw.split(b"\r\n\r\n", 1)
+        raw = member.decompress(view)
+        if not member.eof:
+            raise ValueError("a record is cut off")
+        view = view[len(view) - len(member.unused_data) :]
+        head, end, rest = raw.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        yield headers, rest[: int(headers["Content-Length"])]
+        if not head.startswith(b"WARC/") or not end or len(rest) != int(headers["Content-Length"]) + 4:
+            raise ValueError("the length of a record differs")
+        yield headers, rest[:-4]
 
 
 def segments(uid: str, headers: dict[str, object], block: bytes, size: int = SEGMENT_BYTES) -> Iterator[bytes]:
@@ -109,7 +116,7 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
     """Write one record a page; returns the table (archive, data) in the shared folder."""
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "UTF-8")))).withColumn("large", F.octet_length("html") >= least)
-    newest = rows.where("large").groupBy("sha").agg(F.max("key").alias("newest")).withColumn("large", F.lit(True))
+    newest = rows.where("large").groupBy("sha").agg(F.max("key").alias("newest"), F.max_by("url", "key").alias("newest_url")).withColumn("large", F.lit(True))
     rows = rows.join(newest, ["sha", "large"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +126,13 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
             return pa.RecordBatch.from_arrays([pa.array([f"{task:06d}-{number:06d}.warc.gz"]), pa.array([b"".join(held)], pa.binary())], names=["archive", "data"])
 
         for batch in batches:
-            for k, link, text, refers in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html", "newest"))):
+            for k, link, text, refers, target in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "html", "newest", "newest_url"))):
                 payload = text.encode()
                 uid = f"{task}.{n}"
                 n += 1
                 headers = {"WARC-Target-URI": link, "X-Page-ID": k, "WARC-Payload-Digest": "sha1:" + digest(payload)}
                 if refers is not None and refers != k:
-                    own = {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-ID": refers, "X-Payload-Bytes": len(payload)}
+                    own = {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Target-URI": target, "WARC-Refers-To-Date": DATE, "X-Refers-To-Page-ID": refers, "X-Payload-Bytes": len(payload)}
                     parts = segments(uid, own | headers, b"HTTP/1.1 200 OK\r\n\r\n", segment)
                 else:
                     parts = segments(uid, {"WARC-Type": "response", "Content-Type": "application/http;msgtype=response"} | headers, http_block(payload), segment)
@@ -138,20 +145,30 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
         if held:
             yield full()
 
-    made = rows.select("key", F.regexp_replace("url", "[\\r\\n]", "").alias("url"), "html", "newest")
+    line = lambda c: F.regexp_replace(c, "[\\r\\n]", "").alias(c)
+    made = rows.select("key", line("url"), "html", "newest", line("newest_url"))
     return cut(made.mapInArrow(run, "archive string, data binary"), "warc")
 
 
 _RECORD = "record_id string, key string, url string, record_type string, refers_to string, digest string, stated_bytes long, segment int, total long, block binary, payload binary, error string"
 
 
-def _payload(kind: str, block: bytes | None, error: str | None) -> tuple[bytes | None, str | None]:
+def _payload(kind: str, block: bytes | None, error: str | None, stated: str | None) -> tuple[bytes | None, str | None]:
     if kind != "response" or error is not None:
         return None, error
     try:
-        return http_payload(block), None
+        payload = http_payload(block)
     except ValueError as e:
         return None, str(e)
+    return (payload, None) if stated in (None, digest(payload)) else (None, "the digest differs")
+
+
+def _readable(archive: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The records up to the first damage, then one of type damaged that holds the error."""
+    try:
+        yield from records(archive)
+    except (ValueError, KeyError, zlib.error) as e:
+        yield {"WARC-Type": "damaged", "WARC-Record-ID": None, "error": f"{e}"}, None
 
 
 def read_records(archives: DataFrame) -> DataFrame:
@@ -163,15 +180,17 @@ def read_records(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for data in batch.column("data"):
                 rows = []
-                for h, block in records(data.as_py()):
+                for h, block in _readable(data.as_py() or b""):
                     number = h.get("WARC-Segment-Number")
                     total, stated = h.get("WARC-Segment-Total-Length"), h.get("X-Payload-Bytes")
-                    content = (block, None, None) if number else (None, *_payload(h["WARC-Type"], block, None))
+                    own = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+                    content = (block, None, None) if number else (None, *_payload(h["WARC-Type"], block, h.get("error"), own))
                     rows.append((
                         h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), h.get("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], h.get("X-Refers-To-Page-ID"),
-                        h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, stated and int(stated), number and int(number), total and int(total), *content,
+                        own, stated and int(stated), number and int(number), total and int(total), *content,
                     ))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return archives.select("data").mapInArrow(run, _RECORD)
 
@@ -184,7 +203,7 @@ def reassemble(parts: DataFrame) -> DataFrame:
         F.max("total").alias("total"),
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("s"),
     )
-    block = F.expr("aggregate(s, cast('' as binary), (a, x) -> concat(a, x.block))")
+    block = F.expr("unhex(array_join(transform(s, x -> hex(x.block)), ''))")  # joined at once, not one after the other
     whole = groups.withColumn("block", block).withColumn(
         "error",
         F.when(F.expr("transform(s, x -> x.segment) <> sequence(1, size(s))"), "segments are missing or repeated").when(
@@ -200,7 +219,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            decoded = [_payload(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("record_type", "block", "error")))]
+            decoded = [_payload(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("record_type", "block", "error", "digest")))]
             columns = [*(batch.column(c) for c in names[:6]), pa.array([p for p, _ in decoded], pa.binary()), pa.array([e for _, e in decoded], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
