@@ -26,8 +26,10 @@ from corpusloom.llm import vectext
 from corpusloom.llm.storage import cut, table
 
 SEGMENT_BYTES = 1 << 20
-#: Bytes of phrase text in one broadcast block; a larger benchmark is searched in several blocks.
+#: Bytes of phrase text in one broadcast block; a larger benchmark is searched in several blocks, one after the other.
 BLOCK_BYTES = 16 << 20
+#: Windows whose terms are looked up at a time.
+WINDOWS_AT_ONCE = 1 << 16
 WINDOW = 13
 
 
@@ -133,32 +135,39 @@ class Segment:
 
 
 class Phrases:
-    """A block of phrases: for each length a matrix of terms, with the item of each row."""
+    """A block of phrases: the terms of its words, and for each length of window where its windows begin and their items."""
 
     def __init__(self, items: list[str], texts: list[str | None], window: int):
         self.items = items
         raw, offsets = vectext.utf8(pa.array(["" if t is None else t for t in texts], pa.large_string()))
         hashes, at = term_hashes(raw, offsets)
         self.terms, codes = np.unique(hashes, return_inverse=True)
+        self.codes = codes.astype(np.int32)
         found: dict[int, list] = {}
         for item, (first, last) in enumerate(zip(at[:-1], at[1:])):
             n = int(last - first)
             size = min(n, window) if window else n
             if n:
-                rows = np.lib.stride_tricks.sliding_window_view(codes[first:last], size)
-                found.setdefault(size, []).append((rows, np.full(len(rows), item)))
-        self.groups = {n: (np.concatenate([r for r, _ in x]), np.concatenate([i for _, i in x])) for n, x in found.items()}
+                begins = np.arange(first, last - size + 1, dtype=np.int32)
+                found.setdefault(size, []).append((begins, np.full(len(begins), item, np.int32)))
+        self.groups = {n: tuple(map(np.concatenate, zip(*x))) for n, x in found.items()}
 
+    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, terms of the windows, their items), a bounded number at a time."""
+        for n, (begins, owners) in self.groups.items():
+            for at in range(0, len(begins), WINDOWS_AT_ONCE):
+                yield n, self.codes[begins[at : at + WINDOWS_AT_ONCE, None] + np.arange(n)], owners[at : at + WINDOWS_AT_ONCE]
 
-def phrase_blocks(phrases: DataFrame, item: str, text: str, window: int) -> Iterator[Phrases]:
-    """The phrases in blocks of at most about BLOCK_BYTES; the number of blocks follows the measured size."""
+
+def phrase_blocks(phrases: DataFrame, item: str, text: str, window: int) -> Iterator[tuple[int, Phrases]]:
+    """The number of blocks, by the measured size, and each of them, of at most about BLOCK_BYTES of phrases."""
     rows = phrases.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     count = -(-size // BLOCK_BYTES) or 1
     for block in range(count):
         part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == block)
         got = part.toArrow()
-        yield Phrases(got.column("i").to_pylist(), got.column("t").to_pylist(), window)
+        yield count, Phrases(got.column("i").to_pylist(), got.column("t").to_pylist(), window)
 
 
 def find_phrases(index: DataFrame, phrases: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -179,7 +188,7 @@ def find_phrases(index: DataFrame, phrases: DataFrame, item: str = "item_id", te
                     begins = np.array(batch.column("doc_starts")[i].as_py(), np.int64)
                     ranks, sizes = segment.ranks(block.terms)
                     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                    for n, (codes, owners) in block.groups.items():
+                    for n, codes, owners in block.windows():
                         if slop is None:
                             row, start = segment.exact(ranks[codes], sizes[codes])
                             hits.append((owners[row], start, start + n))
@@ -216,12 +225,13 @@ def find_phrases(index: DataFrame, phrases: DataFrame, item: str = "item_id", te
 
         return index.mapInArrow(run, schema)
 
-    found = [search(block) for block in phrase_blocks(phrases, item, text, window)]
-    if len(found) == 1:
-        return found[0].drop("segment", "ordinal")
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
+    union = None
+    for count, block in phrase_blocks(phrases, item, text, window):
+        if count == 1:
+            return search(block).drop("segment", "ordinal")
+        # written before the next block comes: the driver holds one at a time
+        found = cut(search(block).where("size(spans) > 0" if union is not None else "true"), "matches")
+        union = found if union is None else union.unionByName(found)
     return (
         union.groupBy("segment", "ordinal")
         .agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
