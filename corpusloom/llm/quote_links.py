@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.storage import cut, table
+from corpusloom.llm.storage import cut, discard, table
 
 #: Line ends, quote marks, and the line that announces a quotation in English, French, German, Spanish.
 LINE_END = r"\r\n|\n|\r"
 QUOTE_MARK = r"^((?:[ \t]*>)*)"
-ANNOUNCES = r"^.{0,200}(?:wrote|a écrit|schrieb|escribió)[ \t]*:$"
+ANNOUNCES = r"^.*(?:wrote|a écrit|schrieb|escribió)[ \t]*:$"
 
 #: One fold over the lines (the blank line at the end closes the last passage), with what is kept of level 0.
 PASSAGES = r"""
@@ -77,12 +77,32 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
 def threads(links: DataFrame) -> DataFrame:
     """(conv_id, turn, reply_to, n_linked, thread, depth): the first message of each reply's thread, and the steps to it."""
     links = cut(links.withColumn("thread", F.col("reply_to")).withColumn("depth", F.lit(1).cast("long")), "replies")
+    before = None
     while True:
         above = links.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"), F.col("depth").alias("more"))
         if links.join(above, ["conv_id", "thread"], "left_semi").isEmpty():
             return links
         joined = links.join(above, ["conv_id", "thread"], "left")
-        links = cut(joined.select("conv_id", "turn", "reply_to", "n_linked", F.coalesce("next", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "replies")
+        before, links = links, cut(joined.select("conv_id", "turn", "reply_to", "n_linked", F.coalesce("next", "thread").alias("thread"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "replies")
+        discard(before)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """The rows and their ``position`` in the order within their group; a group may lie in many tasks.
+
+    Rows are dealt in ranges of the whole order, numbered in each range, and the rows of a group in earlier ranges are
+    added. A group lies in neighbouring ranges, so the table of those in several ranges has two rows a range at most.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows.repartitionByRange(ranges, group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order)).cast("long"))
+    counts = rows.groupBy(group, "__range").agg(F.count("*").alias("__rows"))
+    many = counts.groupBy(group).agg(F.collect_list(F.struct("__range", "__rows")).alias("__all")).where("size(__all) > 1")
+    before = many.select(F.col(group).alias("__group"), F.explode("__all").alias("__own"), "__all").select(
+        "__group", F.col("__own.__range").alias("__of"), F.expr("aggregate(filter(__all, x -> x.__range < __own.__range), 0L, (s, x) -> s + x.__rows)").alias("__before")
+    )
+    joined = rows.join(F.broadcast(before), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__of")), "left")
+    return joined.withColumn("position", F.col("__place") + F.coalesce("__before", F.lit(0))).drop("__range", "__place", "__group", "__of", "__before")
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
@@ -95,7 +115,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", "text", "n_quotes", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"), "reply_to",
         F.coalesce("thread", "turn").alias("thread"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
     )
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("thread", "turn", "role", "text")).cast("long"))
+    return numbered(rows, "conv_id", ["thread", "turn", "role", "text"])
 
 
 def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +127,7 @@ WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, st
 l AS (SELECT rid, conv_id, turn, role, unnest(raw) AS raw, generate_subscripts(raw, 1) AS i FROM m),
 l2 AS (SELECT *, length(regexp_replace(regexp_extract(raw, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level, trim(regexp_replace(raw, '^((?:[ \t]*>)*)', ''), ' ') AS line FROM l),
 l3 AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY rid ORDER BY i), 0) AS nxt FROM l2),
-k AS (SELECT * FROM l3 WHERE NOT (level = 0 AND nxt > 0 AND regexp_matches(line, '^.{0,200}(?:wrote|a écrit|schrieb|escribió)[ \t]*:$'))),
+k AS (SELECT * FROM l3 WHERE NOT (level = 0 AND nxt > 0 AND regexp_matches(line, '^.*(?:wrote|a écrit|schrieb|escribió)[ \t]*:$'))),
 g AS (SELECT *, CASE WHEN line = '' OR lag(line) OVER w IS NULL OR lag(line) OVER w = '' OR lag(level) OVER w <> level THEN 1 ELSE 0 END AS fresh FROM k WINDOW w AS (PARTITION BY rid ORDER BY i)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM g),
 p AS (SELECT rid, conv_id, turn, run, level, string_agg(line, chr(10) ORDER BY i) AS text FROM r WHERE line <> '' GROUP BY ALL),
