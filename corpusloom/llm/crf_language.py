@@ -27,8 +27,12 @@ from pyspark.sql import types as T
 from corpusloom.llm import vectext
 from corpusloom.llm.storage import table
 
-#: Bound of the training sample: expected number of rows of each language.
+#: Bounds of the training sample: expected number of rows of each language and of all, bytes of a text to be learned
+#: from, and languages, those of the most rows; the chain works on products of as many by as many numbers.
 SAMPLE_ROWS = 500
+SAMPLE_ALL = 8000
+SAMPLE_TEXT_BYTES = 1 << 16
+MOST_LANGUAGES = 32
 #: Weights are held in a table of this many rows.
 BUCKETS = 1 << 16
 AFFIXES = (1, 2, 3, 4)
@@ -181,13 +185,17 @@ def fit_crf(texts: list[str], languages: list[str], epochs: int = 4, seed: int =
 
 
 def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """Whole texts and languages of an expected ``sample_rows`` rows a language, chosen by a hash of the id."""
+    """Whole texts and languages of an expected ``sample_rows`` rows a language, chosen by a hash of the id.
+
+    Learned are the ``MOST_LANGUAGES`` languages of the most rows, from texts of at most ``SAMPLE_TEXT_BYTES``.
+    """
     learn = docs.where("lang is not null and text is not null").where(fold() != 1)
-    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return [], []
-    share = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, min(1.0, sample_rows / n))])
-    rows = learn.where(F.expr("pmod(xxhash64(doc_id, 'language'), 1000000) / 1e6") < share[F.col("lang")]).select("text", "lang").toArrow()
+    wanted = min(sample_rows, SAMPLE_ALL / len(sizes))
+    share = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, min(1.0, wanted / n))])
+    rows = learn.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).where(F.expr("pmod(xxhash64(doc_id, 'language'), 1000000) / 1e6") < share[F.col("lang")]).select("text", "lang").toArrow()
     return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
 
 
@@ -222,9 +230,9 @@ def label_words(docs: DataFrame, model: Crf, keys: list[str], text: str = "text"
     return docs.select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def predict(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with lang_pred and lang_score; columns of these names are replaced."""
-    added = ["lang_pred", "lang_score"]
+def predict(docs: DataFrame, model: Crf, text: str = "text", prefix: str = "") -> DataFrame:
+    """The columns of ``docs`` with lang_pred and lang_score, both with the prefix; columns of these names are replaced."""
+    added = [prefix + "lang_pred", prefix + "lang_score"]
     kept = [c for c in docs.columns if c.lower() not in added]
     schema = docs.select(*kept).schema.add(added[0], "string").add(added[1], "double")
 
