@@ -20,11 +20,16 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of spark.checkpoint.dir; a local one is made only where the session names none, as in tests."""
+    """Folder of spark.checkpoint.dir. Only a session of one machine, as in tests, gets a local one if it names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        if held.isDefined():
+            folder = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 

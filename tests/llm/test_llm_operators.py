@@ -79,15 +79,17 @@ def test_components(spark, monkeypatch, in_one_task):
 
 def brute_hits(text, items, window=13):
     split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
-    words, hit, found = split(text), set(), set()
+    words, hit, found, windows = split(text), set(), set(), {}
     for item, body in items:
         w = split(body)
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            for j in range(len(words) - n + 1):
-                if words[j : j + n] == w[i : i + n]:
-                    hit.update(range(j, j + n))
-                    found.add(item)
+            windows.setdefault(n, {}).setdefault(tuple(w[i : i + n]), set()).add(item)
+    for n, of in windows.items():
+        for j in range(len(words) - n + 1):
+            if owners := of.get(tuple(words[j : j + n])):
+                hit.update(range(j, j + n))
+                found |= owners
     return len(words), len(hit), sorted(found)
 
 
@@ -144,6 +146,28 @@ def test_nonnegative_risk_separates():
     assert model.score(good).min() > 0.5 > model.score(bad).max()
 
 
+@pytest.mark.parametrize("shift", [3.0, -3.0])
+def test_nonnegative_risk_against_numeric_gradients(shift):
+    rng = np.random.default_rng(0)
+    g, n, prior = rng.normal(size=12) + np.where(np.arange(12) < 5, 2, shift), 5, 0.7
+    plain = lambda g: (prior * np.mean([math.log1p(math.exp(-v)) for v in g[:n]]), np.mean([math.log1p(math.exp(v)) for v in g[n:]]) - prior * np.mean([math.log1p(math.exp(v)) for v in g[:n]]))
+    first, rest, d = pu_quality.pu_risk(g, n, prior)
+    assert (first, rest) == pytest.approx(plain(g)) and (rest < 0) == (shift < 0)
+    aim = lambda g: sum(plain(g)) if rest >= 0 else -plain(g)[1]
+    for i in range(12):
+        step = np.eye(12)[i] * 1e-5
+        assert d[i] == pytest.approx((aim(g + step) - aim(g - step)) / 2e-5, abs=1e-6)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_of_mixtures(prior):
+    rng = np.random.default_rng(5)
+    good, bad = (lambda n: rng.normal(size=(n, 3))), (lambda n: rng.normal(size=(n, 3)) + [4, 0, 0])
+    n = 3000
+    mixed = np.concatenate((good(int(n * prior)), bad(n - int(n * prior))))
+    assert abs(pu_quality.estimate_prior(good(n), rng.permutation(mixed)) - prior) < 0.06
+
+
 def test_language_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.QUERIES["op4_language"](spark, sf).join(table(spark, sf, "documents"), "doc_id").where("held_out").toPandas()
@@ -256,6 +280,21 @@ def test_quotes(spark):
     assert quote_links.reply_order(got.select("conv_id", "turn", "role", "text").limit(0)).isEmpty()
 
 
+def test_positions_of_a_conversation_in_many_ranges(spark):
+    rows = [(1, i // 3, "user", f"text {i % 3}") for i in range(300)] + [(2, 0, None, "a"), (None, 5, "bot", "b"), (None, None, None, None)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    found = quote_links.numbered(d.withColumn("thread", F.col("turn")), "conv_id", ["thread", "turn", "role", "text"]).collect()
+    assert sorted(r["position"] for r in found if r["conv_id"] == 1) == list(range(1, 301))
+    assert all(r["position"] == 3 * r["turn"] + int(r["text"][-1]) + 1 for r in found if r["conv_id"] == 1)
+    assert sorted((r["position"], r["turn"]) for r in found if r["conv_id"] is None) == [(1, None), (2, 5)] and len(found) == len(rows)
+
+
+def test_long_announcing_lines_go(spark):
+    rows = [(1, 0, "a", "hello there"), (1, 1, "b", "x" * 400 + " wrote:\n> hello there\nyes")]
+    found = quote_links.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn = 1").first()
+    assert found["text"] == "yes" and found["reply_to"] == 0
+
+
 def test_quotes_use_no_python(spark):
     plan = queries.QUERIES["op3_quote_links"](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -398,6 +437,43 @@ def test_order_minhash_minds_order():
     assert order_minhash.likeness(a, same) == 1.0 > order_minhash.likeness(a, b) > order_minhash.likeness(a, c)
 
 
+def plain_sketch(text):
+    """Order MinHash by its definition, over the numbered k-mers of a text."""
+    raw, offsets = vectext.utf8(pa.array([text], pa.large_string()))
+    starts, ends, words = vectext.words(raw, offsets, vectext.NON_SPACE)
+    kmers = vectext.shingles(vectext.Hasher(raw).spans(starts, ends), words, order_minhash.KMER_WORDS)[0].tolist()
+    mask, seen, numbered = 2**64 - 1, {}, []
+    for k in kmers:
+        seen[k] = seen.get(k, -1) + 1
+        numbered.append(int(vectext.mix(np.array([(k + seen[k] * 0x9E3779B97F4A7C15) & mask], np.uint64))[0]))
+    places = []
+    for factor, shift in zip(order_minhash._FACTORS[:, 0].tolist(), order_minhash._SHIFTS[:, 0].tolist()):
+        least = sorted(range(len(numbered)), key=lambda i: (numbered[i] * factor + shift) & mask)[: order_minhash.PICKED]
+        out, chosen = shift, [*[0] * (order_minhash.PICKED - len(least)), *(numbered[i] for i in sorted(least))]
+        for k in chosen:
+            out = int(vectext.mix(np.array([(out + k) & mask], np.uint64))[0])
+        places.append(max(1, out >> 48))
+    return places if kmers else [0] * order_minhash.PLACES
+
+
+def test_sketches_against_plain_order_minhash(monkeypatch):
+    rng = random.Random(6)
+    texts = ["", "a", "a b", "a b c", "x x x x x x x", " ".join(rng.choices("abcdefgh", k=300)), "ä " * 40, " ".join(f"w{rng.randrange(90)}" for _ in range(500))]
+    want = [plain_sketch(t) for t in texts]
+    for block in (1 << 14, 37, 1):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
+        assert order_minhash.sketches(pa.array(texts)).tolist() == want
+
+
+def test_fingerprints_of_documents_with_other_ids(spark):
+    rows = [(f"doc_{i:04d}", f"text number {i} " * (i % 7)) for i in range(80)] + [(None, "none")]
+    want = [r for r in sorted(rows, key=lambda r: r[0] or "")]
+    for partitions in (1, 5):
+        found = {r["doc_id"]: r for r in order_minhash.edits(spark.createDataFrame(rows, "doc_id string, text string"), partitions=partitions).collect()}
+        for (i, a), (_, b) in zip(want, want[1:] + want[:1]):
+            assert found[i]["edited_sha256"] == hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+
+
 # 7
 
 
@@ -448,6 +524,15 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch, small):
     assert sorted((r["doc_id"], r["n"], r["component"]) for r in found.collect()) == brute_components(rows)
 
 
+def test_jaccard_join_of_large_last_regions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    monkeypatch.setattr(jaccard_join, "LEVELS", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    rows = list(enumerate(loose_copies(80, 120, 14, 9) + loose_copies(30, 60, 8, 3) + ["same text"] * 9 + [None, ""]))
+    found = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["n"], r["component"]) for r in found.collect()) == brute_components(rows)
+
+
 def test_jaccard_join_without_ids_of_least_points(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 3)
     texts = loose_copies(60, 120, 14, 1)
@@ -501,6 +586,28 @@ def test_warc_segments_and_errors(spark):
     assert warc.round_trip(pages).count() == len(rows) and warc.round_trip(pages.limit(0)).isEmpty()
 
 
+def test_damaged_archives_give_errors(spark):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>" * 900) for i in range(6)], "page_id long, url string, html string")
+    data = warc.write_archives(pages.coalesce(1)).first()["data"]
+    whole = list(warc.records(data))
+    assert len(whole) == 6
+    other = bytearray(data)
+    other[len(other) // 2] ^= 255
+    for part in (data[: len(data) // 2], data[:-3], bytes(other)):
+        found = warc.read_archives(spark.createDataFrame([("x", bytearray(part))], "archive string, data binary")).collect()
+        assert sum(r["record_type"] == "damaged" and r["error"] is not None for r in found) == 1
+        assert {r["key"] for r in found if r["payload"] is not None} < {h["X-Page-ID"] for h, _ in whole}
+    headers = {"WARC-Type": "response", "WARC-Record-ID": "<x>", "WARC-Payload-Digest": "sha1:" + warc.digest(b"a")}
+    wrong = warc.record(headers, warc.http_block(b"b"))
+    found = warc.read_archives(spark.createDataFrame([("x", bytearray(wrong)), ("y", bytearray()), ("z", None)], "archive string, data binary")).collect()
+    assert [(r["payload"], r["error"]) for r in found] == [(None, "the digest differs")]
+
+
+def test_long_payloads_are_joined_at_once(spark):
+    pages = spark.createDataFrame([(1, "u", "x" * 8_000_000)], "page_id long, url string, html string")
+    assert [r["payload_bytes"] for r in warc.round_trip(pages).collect()] == [8_000_000]
+
+
 # 10
 
 
@@ -543,20 +650,38 @@ def test_pipeline_against_brute_force(spark):
     assert sorted(after) == sorted({least[i] for i in before})
     before, after = kept["decontamination"]
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
-    clean = []
-    for i in before:
-        n, hit, _ = brute_hits(rows[i]["text"], items) if len(rows[i]["text"]) < 6000 else (1, 0, [])
-        if len(rows[i]["text"]) >= 6000 and i not in after or not (hit and 20 * hit >= n):
-            clean.append(i)
-    assert set(after) <= set(clean)
+    hits = {i: brute_hits(rows[i]["text"], items) for i in before}
+    assert sorted(after) == sorted(i for i, (n, hit, _) in hits.items() if not (hit and 20 * hit >= n))
     assert kept["tokens"][0] == kept["decontamination"][1] and len(kept["tokens"][1]) == len(kept["tokens"][0])
-    assert len(kept["language ID"][1]) > 0.9 * len(rows)
+    # the learned stages against their operators' decisions on each row
+    docs = table(spark, SF, "documents")
+    found = crf_language.predict(docs, crf_language.fit_crf(*crf_language.training_rows(docs))).collect()
+    assert sorted(kept["language ID"][1]) == sorted(r["doc_id"] for r in found if r["lang_pred"] != "und" and r["lang_score"] >= 0.3)
+    docs = docs.where(F.col("doc_id").isin(kept["language ID"][1]))
+    found = ordinal.score(docs, ordinal.fit_ordinal(*ordinal.training_rows(docs, table(spark, SF, "labels")))).collect()
+    assert sorted(kept["toxicity"][1]) == sorted(r["doc_id"] for r in found if not r["toxic"])
+
+
+def test_pipeline_decides_on_each_row(spark):
+    item = table(spark, SF, "benchmark").orderBy(F.desc(F.length("text"))).first()["text"]
+    clean = " ".join(f"some clean words of number {i} and more" for i in range(30))
+    rows = [(None, item), (1, item), (2, clean), (2, item), (None, clean + " end"), (3, clean + " end"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("lang_pred", F.lit("MINE"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    found = corpus_pipeline.decontamination_stage(spark, docs, SF)
+    assert sorted([tuple(r)[:2] for r in found.collect()], key=key) == sorted([r for r in rows if r[1] != item], key=key)
+    found = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert sorted([tuple(r)[:2] for r in found.collect()], key=key) == sorted([(1, item), (2, clean), (4, None), (5, "")], key=key)
+    twice = docs.unionByName(docs)
+    assert corpus_pipeline.near_duplicate_stage(spark, twice, SF).count() == 4
 
 
 def test_pipeline_edges(spark, docs):
-    cols = ["doc_id", "text", "lang", "source", "node"]
+    cols = ["doc_id", "text", "lang", "source", "node", "lang_pred", "Key"]
+    docs = docs.drop("key").withColumn("lang_pred", F.lit("MINE")).withColumn("Key", F.lit(None).cast("string"))
     for name, stage in corpus_pipeline.STAGES:
         found = stage(spark, docs.select(cols), SF)
         assert stage(spark, docs.select(cols).limit(0), SF).isEmpty()
-        assert name == "tokens" or found.columns == cols
+        if name != "tokens":
+            assert found.columns == cols and {r["lang_pred"] for r in found.collect()} == {"MINE"}
         found.count()
