@@ -3,8 +3,9 @@
 Each stage function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the docs of the next one. All stages but the last return the columns of ``documents``.
 
-Defined results: nulls in any column and extra columns are carried through; null and empty texts have no language and
-go in the first stage; an empty table stays empty. Columns that the operators add are dropped again.
+Every row is decided on by its own text, so rows without an id, and rows that share an id but not the text, have their
+own fate. Defined results: nulls in any column and extra columns, whatever their names, are carried through; null and
+empty texts have no language and go in the first stage; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     measure whether a text fits none of them: such a text stays.
     """
     model = crf_language.fit_crf(*crf_language.training_rows(docs))
-    found = crf_language.predict(docs, model)
-    return found.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("lang_score") >= LEAST_LANGUAGE_SHARE)).select(docs.columns)
+    found = crf_language.predict(docs, model, prefix="__")
+    return found.where((F.col("__lang_pred") != crf_language.UNKNOWN) & (F.col("__lang_score") >= LEAST_LANGUAGE_SHARE)).select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,19 +38,23 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents keep the one of least id; texts without words and rows without an id stay."""
-    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # rows that share an id are copies if their texts are equal
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    """Of each group of linked documents keep the one of least id; one without an id only if none has one.
+
+    Texts without words stay, but for repeated rows; of rows of one id and text one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    found = jaccard_join.near_duplicates(docs.select(key.alias("key"), "text"), "key")
+    gone = found.where("key <> component").select("key").distinct()
+    kept = docs.withColumn("__key", key).join(gone, F.col("__key") == gone["key"], "left_anti")
+    return kept.dropDuplicates(["__key"]).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which 5 % or more of the words lie in a window of a benchmark item."""
-    found = positional_index.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    dirty = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(docs.columns)
+    text = F.sha2("text", 256)
+    found = positional_index.contamination(docs.select(text.alias("key"), "text"), table(spark, sf_dir, "benchmark"), "key")
+    dirty = found.where("contaminated").select("key").distinct()
+    return docs.withColumn("__key", text).join(dirty, F.col("__key") == dirty["key"], "left_anti").select(docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
