@@ -107,7 +107,7 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 def reply_order(messages: DataFrame) -> DataFrame:
     """All messages without quotations: conv_id, turn, role, text, n_quotes, n_linked, reply_to, thread, depth, position."""
-    parsed = parse_quotes(messages)
+    parsed = cut(parse_quotes(messages), "parsed")
     found = threads(link_quotes(parsed))
     rows = parsed.select("conv_id", "turn", "role", "text", F.expr("size(filter(passages, p -> p.level > 0))").cast("long").alias("n_quotes"))
     rows = rows.join(found, ["conv_id", "turn"], "left")
