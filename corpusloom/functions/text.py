@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from functools import reduce
+from itertools import zip_longest
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that results depend on: phrases, word lists, code signs and thresholds of the evaluated systems.
@@ -32,13 +35,29 @@ MIN_CLAIM, MAX_CLAIM = 8, 600
 TITLE_KEYS = ("filename", "file_name", "source", "title")
 
 
-def _accent_pairs() -> tuple[str, str]:
-    """Latin letters with marks and their base letters, from the canonical decompositions."""
-    marked = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
-    return "".join(marked), "".join(unicodedata.normalize("NFD", c)[0] for c in marked)
+def _unmarked(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
-_MARKED, _BASE = _accent_pairs()
+def _rewrites(form) -> tuple[str, str, dict[str, str]]:
+    """Characters that a normal form turns into one other and those others (into none: last), and a map of those that it turns into several.
+
+    Marks of their own and Hangul syllables, whose parts are no marks, are left out.
+    """
+    changed = {chr(c): form(chr(c)) for c in (*range(0x80, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)) if not unicodedata.combining(chr(c))}
+    changed = {c: x for c, x in changed.items() if x != c}
+    one = {c: x for c, x in changed.items() if len(x) == 1} | {c: x for c, x in changed.items() if not x}
+    return "".join(one), "".join(one.values()), {c: x for c, x in changed.items() if len(x) > 1}
+
+
+_MARKED, _BASE, _SPREAD = _rewrites(_unmarked)
+_COMPATIBLE, _PLAIN_FORM, _SEVERAL = _rewrites(lambda c: unicodedata.normalize("NFKC", c))
+#: A letter with one mark after it, and the one character of both.
+_COMPOSED = {
+    "".join(chr(int(x, 16)) for x in parts): chr(c)
+    for c in range(0xC0, 0x3100)
+    if len(parts := unicodedata.decomposition(chr(c)).split()) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", chr(c)) == chr(c)
+}
 
 
 def let(value: Column, body) -> Column:
@@ -46,9 +65,61 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with columns that are computed once, however many later expressions and filters use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _ascii(c: Column) -> Column:
+    return F.length(c) == F.octet_length(c)
+
+
+def _by_parts(c: Column, pattern: str, table: dict[str, str]) -> Column:
+    """The text with each of the parts that the pattern finds replaced by the table; only for texts that have such parts."""
+    known = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?:{pattern})|."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+
+
+def _one_of(characters) -> str:
+    """A class of characters, by their runs of code points."""
+    points = sorted(map(ord, characters))
+    runs = [p for p, before in zip(points, [-2, *points]) if p != before + 1], [p for p, after in zip(points, [*points[1:], -2]) if after != p + 1]
+    return "[" + "".join(f"\\x{{{p:X}}}-\\x{{{q:X}}}" for p, q in zip(*runs)) + "]"
+
+
+def _rewritten(c: Column, one: str, others: str, several: dict[str, str], then) -> Column:
+    """Characters rewritten one by one; texts of Latin letters alone, as most are, by a table of those."""
+    small = [(x, y) for x, y in zip_longest(one, others) if ord(x) < _LATIN]
+    small.sort(key=lambda xy: xy[1] is None)
+    latin = "[^" + _one_of(set(map(chr, range(_LATIN))) - set(several))[1:-1] + "\\x{2012}-\\x{2015}\\x{2018}-\\x{201F}]"
+
+    def all_of(x: Column) -> Column:
+        parts = F.when(x.rlike(_one_of(several)), _by_parts(x, _one_of(several), several)).otherwise(x)
+        return then(F.translate(parts, one, others))
+
+    fast = lambda x: F.translate(x, "".join(k for k, _ in small), "".join(v for _, v in small if v is not None))
+    return let(c, lambda x: F.when(_ascii(x), x).when(~x.rlike(latin), fast(x)).otherwise(all_of(x)))
+
+
+#: Code points of the Latin blocks, which have no marks of their own.
+_LATIN = 0x250
+
+
 def strip_accents(c: Column) -> Column:
-    """Letters without their marks; combining marks are dropped."""
-    return F.regexp_replace(F.translate(c, _MARKED, _BASE), r"\p{Mn}+", "")
+    """Compatible characters decomposed, without marks. Hangul syllables stay as they are."""
+    return _rewritten(c, _MARKED, _BASE, _SPREAD, lambda x: F.regexp_replace(x, r"\p{M}+", ""))
+
+
+def compose(c: Column) -> Column:
+    """NFKC: compatible characters replaced, and letters joined with the marks that follow, up to three in their order."""
+    pairs = _one_of({d[0] for d in _COMPOSED}) + _one_of({d[1] for d in _COMPOSED})
+
+    def join(x: Column) -> Column:
+        for _ in range(3):
+            x = let(x, lambda y: F.when(y.rlike(r"\p{M}"), _by_parts(y, pairs, _COMPOSED)).otherwise(y))
+        return x
+
+    return _rewritten(c, _COMPATIBLE, _PLAIN_FORM, _SEVERAL, join)
 
 
 def strip(c: Column) -> Column:
@@ -60,8 +131,13 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s+", " "))
 
 
+def clean_text(c: Column) -> Column:
+    """B1: composed compatible characters and line feeds; white space stays, null is empty."""
+    return normalize_newlines(compose(F.coalesce(c, F.lit(""))))
+
+
 def normalize_newlines(c: Column) -> Column:
-    """B1 (line ends), B6."""
+    """Line feeds as line ends; null is empty."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
 
 
@@ -114,13 +190,12 @@ def clean_markdown_line(c: Column) -> Column:
 
 def is_code(c: Column) -> Column:
     """B8."""
-    return reduce(Column.__or__, [F.startswith(strip(c), F.lit(s)) for s in CODE_SIGNS])
+    return strip(c).rlike("^(?:" + "|".join(re.escape(s) for s in CODE_SIGNS) + ")")
 
 
 def is_noise(c: Column) -> Column:
     """B9."""
-    bare = strip(c)
-    return (bare == "") | bare.rlike(r"^[-=_#*`~\s]+$") | bare.rlike(r"^(https?://|www\.)")
+    return strip(c).rlike(r"^(?:$|[-=_#*`~\s]+$|https?://|www\.)")
 
 
 def valid_length(c: Column, least: int = MIN_CLAIM, most: int = MAX_CLAIM) -> Column:
@@ -144,8 +219,8 @@ def dedup_key(c: Column) -> Column:
 
 
 def overlap_key(c: Column) -> Column:
-    """Lower case, single spaces, none before punctuation; marks and punctuation stay."""
-    return F.regexp_replace(squeeze(F.lower(c)), r"\s+([,.;:!?])", "$1")
+    """Composed compatible characters, lower case, single spaces, none before punctuation; the rest stays."""
+    return F.regexp_replace(squeeze(F.lower(compose(c))), r"\s+([,.;:!?])", "$1")
 
 
 def retrieval_key(c: Column) -> Column:
@@ -182,9 +257,9 @@ def significant_words(c: Column) -> Column:
 
 def singular(token: Column) -> Column:
     """A token without marks and other signs, and without its plural ending."""
-    t = F.regexp_replace(strip_accents(F.lower(strip(token))), r"[^a-z0-9_áéíóúñü]+", "")
-    n = F.length(t)
-    return F.when((n > 5) & t.endswith("es"), t.substr(F.lit(1), n - 2)).when((n > 4) & t.endswith("s"), t.substr(F.lit(1), n - 1)).otherwise(t)
+    bare = F.regexp_replace(strip_accents(F.lower(strip(token))), r"[^a-z0-9_áéíóúñü]+", "")
+    # an ending of a token that keeps at least four characters of it
+    return F.regexp_replace(bare, r"(?s)^(.{4,})es$|^(.{4,})s$", "$1$2")
 
 
 #: Endings in their order, with the least length of the token; the first that fits is cut off.

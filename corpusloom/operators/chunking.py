@@ -94,9 +94,9 @@ def expand_claims(units: DataFrame) -> DataFrame:
 
 def literal_candidates(lines: DataFrame) -> DataFrame:
     """Sentences of clean lines (source_domain, seq, line_no, line), first of each normalised text."""
-    clean = lines.withColumn("line", t.clean_markdown_line(F.col("line"))).where(~t.is_noise(F.col("line")) & ~t.is_code(F.col("line")))
-    rows = clean.select("source_domain", "seq", "line_no", F.posexplode(t.split_sentences(F.col("line"))).alias("sentence_no", "claim_text"))
-    rows = rows.where(t.valid_length(F.col("claim_text"))).withColumn("norm", t.dedup_key(F.col("claim_text"))).where("norm <> ''")
+    clean = t.bind(lines, clean=t.clean_markdown_line(F.col("line"))).where(~t.is_noise(F.col("clean")) & ~t.is_code(F.col("clean")))
+    rows = clean.select("source_domain", "seq", "line_no", F.posexplode(t.split_sentences(F.col("clean"))).alias("sentence_no", "claim_text"))
+    rows = t.bind(rows.where(t.valid_length(F.col("claim_text"))), norm=t.dedup_key(F.col("claim_text"))).where("norm <> ''")
     # the first by an aggregate with map-side combining, not by a window that would hold every copy
     order = F.struct("seq", "line_no", "sentence_no")
     first = rows.groupBy("norm").agg(F.min(order).alias("o"), F.min_by(F.struct("source_domain", "claim_text"), order).alias("c"))

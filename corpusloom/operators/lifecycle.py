@@ -122,3 +122,23 @@ def library_search(rows: DataFrame, query: str, fields: list[str], category: Col
 def timeline(evaluations: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Versions of each key in their order."""
     return evaluations.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def newest_first(documents: DataFrame) -> DataFrame:
+    """Documents (document_id, created_at), the newest first; equals by id."""
+    return documents.orderBy(F.desc("created_at"), "document_id")
+
+
+def active_documents(documents: DataFrame) -> DataFrame:
+    """Documents (status, is_active) that are stored and active."""
+    return documents.where((F.col("status") == "stored") & F.coalesce("is_active", F.lit(False)))
+
+
+def busy_formats(history: DataFrame, requested: DataFrame) -> DataFrame:
+    """(document_id, formats): requested formats (document_id, format_type) with an attempt that is still processing.
+
+    A new attempt may begin only for documents that are not among them; formats are sorted and joined by ", ".
+    """
+    active = history.where("status = 'processing'").select("document_id", "format_type").distinct()
+    found = active.join(requested.select("document_id", "format_type"), ["document_id", "format_type"], "left_semi")
+    return found.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("format_type")), ", ").alias("formats"))

@@ -42,7 +42,7 @@ def evaluate_cases(payloads: DataFrame, truth: DataFrame) -> DataFrame:
     """
     known = truth.withColumn("copies", F.count("*").over(Window.partitionBy("case_id"))).dropDuplicates(["case_id"])
     rows = payloads.join(known, "case_id", "left")
-    found = F.when(F.col("status") == "success", F.col("retrieved")).otherwise(F.array().cast("array<bigint>"))
+    found = F.when(F.col("status") == "success", F.col("retrieved")).otherwise(F.array().cast(payloads.schema["retrieved"].dataType))
     eligible = (F.col("status") != "error") & F.coalesce(F.col("copies") == 1, F.lit(False))
     metric = lambda f, k: F.when(eligible, F.round(f(F.col("relevant"), found, k), 6))
     return rows.select(
@@ -261,3 +261,42 @@ def confusion_metrics(rows: DataFrame, by: list[str] | None = None) -> DataFrame
     return c.select(
         "*", _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _ratio(tn, tn + fp).alias("specificity"), _ratio(tp + tn, n).alias("accuracy"), _ratio(tp + fp, n).alias("review_rate")
     )
+
+
+def diagnostic_signals(cases: DataFrame) -> DataFrame:
+    """Cases (case_id, query, document_id, expected_text, keywords, results: array of struct document_id, text) with signals and a cause."""
+    overlap = lambda text: lexical_overlap(F.col("query"), text)
+    rows = t.bind(
+        cases, same_document=F.size(F.filter("results", lambda r: r.document_id == F.col("document_id"))), expected_overlap=F.round(overlap(F.col("expected_text")), 6),
+        best_overlap=F.round(F.coalesce(F.array_max(F.transform("results", lambda r: overlap(r.text))), F.lit(0.0)), 6), query_tokens=F.size(t.diagnosis_tokens(F.col("query"))),
+    )
+    technical = F.exists("keywords", lambda k: F.lower(t.strip(k)).rlike(r"[./@_]|\.py\b"))
+    cause = (
+        F.when(F.col("same_document") == 0, "document_filter").when((F.col("same_document") >= 3) & (F.col("best_overlap") >= F.col("expected_overlap")), "competing_chunks")
+        .when(technical, "exact_entity").when(F.col("query_tokens") <= 5, "short_query").otherwise("manual_review")
+    )
+    return rows.select("case_id", "same_document", "expected_overlap", "best_overlap", "query_tokens", cause.alias("suggestion"))
+
+
+def batch_findings(batch: DataFrame, truth: DataFrame, filter_mode: str, size: int | None = None) -> DataFrame:
+    """(case_id, finding) of all that a batch (case_id, contract_version, top_k, score_type, status, query, filter_mode) must not have.
+
+    truth: (case_id, query). A finding on the whole batch has a null case_id.
+    """
+    known = batch.join(truth.select("case_id", F.col("query").alias("__query"), F.lit(True).alias("__known")), "case_id", "left")
+    rules = {
+        "unknown": F.col("__known").isNotNull(), "contract_version": F.col("contract_version") == "2.0", "top_k": F.col("top_k") == 5, "score_type": F.col("score_type") == "cross_encoder",
+        "status": F.col("status") == "success", "query": F.col("__known").isNull() | (t.strip(F.col("query")) == t.strip(F.col("__query"))), "filter_mode": F.col("filter_mode") == filter_mode,
+    }
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    found = known.select("case_id", F.explode(broken).alias("finding")).distinct()
+    found = found.unionByName(batch_audit(batch, truth).where("finding <> 'extra'"))
+    if size is not None:
+        wrong = batch.agg(F.count("*").alias("n")).where(F.col("n") != size).select(F.lit(None).cast(batch.schema["case_id"].dataType).alias("case_id"), F.lit("size").alias("finding"))
+        found = found.unionByName(wrong)
+    return found
+
+
+def focus(rows: DataFrame, ids: list, key: str = "case_id") -> DataFrame:
+    """The rows of a fixed list of ids."""
+    return rows.where(F.col(key).isin(*ids))

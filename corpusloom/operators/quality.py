@@ -60,15 +60,16 @@ def relevance_score(ratio: Column) -> Column:
 
 def heuristic_scores(contents: DataFrame) -> DataFrame:
     """adds the four scores and the flag to (content_text, factual_text, source_text, context, profile, detail_level)."""
-    context = F.array_distinct(t.significant_words(F.coalesce(F.col("context"), F.lit(""))))
-    content = t.significant_words(F.col("content_text"))
-    overlap = F.when(F.size(context) > 0, F.size(F.array_intersect(context, content)) / F.size(context))
+    words = lambda c: t.significant_words(F.coalesce(F.col(c), F.lit("")))
+    rows = t.bind(contents, __context=F.array_distinct(words("context")), __content=words("content_text"), __factual=words("factual_text"), __source=F.array_distinct(words("source_text")))
+    context = F.col("__context")
+    overlap = F.when(F.size(context) > 0, F.size(F.array_intersect(context, F.col("__content"))) / F.size(context))
     n = F.length("content_text")
     profile, detail = F.lower(F.coalesce("profile", F.lit(""))), F.lower(F.coalesce("detail_level", F.lit("")))
     adaptation = F.when(profile.isin("principiante", "beginner") & (n > BEGINNER_CHARS), 3).when(detail.isin("alto", "high") & (n < DETAIL_CHARS), 2).otherwise(5)
-    rows = contents.withColumn("ratio", support_ratio(t.significant_words(F.col("factual_text")), F.array_distinct(t.significant_words(F.col("source_text")))))
+    rows = t.bind(rows, ratio=support_ratio(F.col("__factual"), F.col("__source")), __relevance=relevance_score(overlap))
     return rows.select(
-        "*", relevance_score(overlap).alias("relevance"), F.when(F.length(t.strip(F.col("content_text"))) > COHERENT_CHARS, 5).otherwise(2).alias("coherence"),
+        *contents.columns, "ratio", F.col("__relevance").alias("relevance"), F.when(F.length(t.strip(F.col("content_text"))) > COHERENT_CHARS, 5).otherwise(2).alias("coherence"),
         adaptation.alias("adaptation"), support_score(F.col("ratio")).alias("support"), unsupported(F.col("ratio")).alias("unsupported"),
     )
 
@@ -167,7 +168,7 @@ def overlay_misses(rows: DataFrame, corrections: DataFrame, keys: list[str]) ->
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
-    """(key, violations) of the rows that break a rule; a rule that is null is broken."""
+    """(key, violations) of the rows that break a rule; a rule that is null is broken."""
     broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
     return rows.select(key, broken.alias("violations")).where(F.size("violations") > 0)
 
@@ -222,3 +223,83 @@ def evidence_rules() -> dict[str, Column]:
     """Rows (document_id, chunks: array of struct chunk_id, document_id, rank)."""
     ids, ranks = F.transform("chunks", lambda c: c.chunk_id), F.transform("chunks", lambda c: c.rank)
     return {"chunk_ids": all_distinct(ids), "ranks": all_distinct(ranks), "documents": F.forall("chunks", lambda c: c.document_id == F.col("document_id"))}
+
+
+def set_rules() -> dict[str, Column]:
+    """V5, V7: sets of questions or cards (items: array of struct id, ...)."""
+    return {"ids": all_distinct(F.transform("items", lambda x: x.id))}
+
+
+def card_rules() -> dict[str, Column]:
+    """V6: cards (front, back)."""
+    return {"sides": t.strip(F.col("front")) != t.strip(F.col("back"))}
+
+
+def status_rules() -> dict[str, Column]:
+    """V9: evaluations (the four scores, unsupported, verdict): the verdict must be the one that follows from them."""
+    derived = F.when(_rule().isin("unsupported", "low"), "rechazado").when(_rule() == "regular", "requiere_revision").otherwise("aprobado")
+    return {"verdict": F.col("verdict") == derived}
+
+
+def signal_rules() -> dict[str, Column]:
+    """(has_heuristic, semantic_status, verdict): no verdict without a signal."""
+    return {"signal": F.col("verdict").isNull() | F.col("has_heuristic") | (F.coalesce(F.col("semantic_status"), F.lit("")) == "success")}
+
+
+def text_list_rules(*columns: str) -> dict[str, Column]:
+    """Arrays of texts that are not blank."""
+    return {c: F.forall(c, lambda x: t.strip(F.coalesce(x, F.lit(""))) != "") for c in columns}
+
+
+def candidate_rules(buckets: list[str], formats: list[str]) -> dict[str, Column]:
+    """Candidates (claim_id, claim_text, bucket, format, selection_status)."""
+    filled = lambda c: F.coalesce(t.strip(F.col(c)) != "", F.lit(False))
+    return {
+        "claim_id": filled("claim_id"), "claim_text": filled("claim_text"), "bucket": F.col("bucket").isin(*buckets), "format": F.col("format").isin(*formats),
+        "selection_status": F.col("selection_status") == "candidate", "normalized": t.dedup_key(F.col("claim_text")) != "",
+    }
+
+
+def two_score_verdict(relevance: Column, support: Column, unsupported: Column) -> Column:
+    """the verdict where coherence and adaptation are taken as full."""
+    low = F.least(relevance, support)
+    return F.when(unsupported | (low <= 2), "rechazado").when(low == 3, "requiere_revision").otherwise("aprobado")
+
+
+def term_reasons(contents: DataFrame, key: str, presentation: list[str]) -> DataFrame:
+    """(key, term, n, reason) of the distinct terms of contents (factual_text, source_text, context).
+
+    reason: ``source`` for a term of the source, else ``context``, ``presentation`` (words of the form), or ``unsupported``.
+    """
+    words = lambda c: t.significant_words(F.coalesce(F.col(c), F.lit("")))
+    form = F.array(*map(F.lit, presentation)).cast("array<string>")
+    terms = t.bind(contents.select(key, "factual_text", "source_text", "context"), __own=words("factual_text"), __source=F.array_distinct(words("source_text")), __context=F.array_distinct(words("context")))
+    # sets are told by hashed differences; each term is then looked up among the few that are left
+    sets = t.bind(terms.select(key, "__own", "__source", "__context"), __missing=F.array_except("__own", "__source"))
+    sets = t.bind(sets, __alone=F.array_except("__missing", "__context"))
+    each = sets.select(key, "__missing", "__alone", F.explode("__own").alias("term")).groupBy(key, "term", "__missing", "__alone").agg(F.count("*").alias("n"))
+    reason = F.when(~F.array_contains("__missing", F.col("term")), "source").when(~F.array_contains("__alone", F.col("term")), "context").when(F.array_contains(form, F.col("term")), "presentation").otherwise("unsupported")
+    return each.select(key, "term", "n", reason.alias("reason"))
+
+
+def variant_ratios(reasons: DataFrame, key: str) -> DataFrame:
+    """(key, terms, baseline, improved): unsupported shares of the occurrences, context and form allowed in the second."""
+    count = lambda *of: F.sum(F.when(F.col("reason").isin(*of), F.col("n")).otherwise(0))
+    n = F.sum("n")
+    return reasons.groupBy(key).agg(n.alias("terms"), F.round(count("context", "presentation", "unsupported") / n, 6).alias("baseline"), F.round(count("unsupported") / n, 6).alias("improved"))
+
+
+def revision_feedback(evaluations: DataFrame) -> DataFrame:
+    """evaluations (verdict, observations, recommendations, unsupported: arrays) that ask for a revision and say why."""
+    said = [F.coalesce(F.size(c), F.lit(0)) > 0 for c in ("observations", "recommendations", "unsupported")]
+    return evaluations.where(F.col("verdict").isin("requires_revision", "rejected") & reduce(Column.__or__, said))
+
+
+def disagreements(rows: DataFrame) -> DataFrame:
+    """(human, semantic, status): judged rows in which the two differ."""
+    return rows.where((F.col("status") == "success") & ~F.col("human").eqNullSafe(F.col("semantic")))
+
+
+def review_manifest(rows: DataFrame, labels: tuple[str, ...] = ("supported", "partially_supported", "unsupported")) -> DataFrame:
+    """Claims flagged for review (needs_review) that people gave a definite label."""
+    return rows.where(F.col("needs_review") & F.col("human").isin(*labels))

@@ -104,9 +104,10 @@ FROM k
 def tokenize_stats(spark, sf_dir):
     c = F.col("text")
     join = lambda x: F.md5(F.array_join(x, " "))
-    return _docs(spark, sf_dir).select(
-        "doc_id", F.size(t.words(c)).alias("n_words"), join(t.words(c)).alias("words_md5"), join(t.plain_words(c)).alias("plain_md5"), F.size(t.significant_words(c)).alias("n_significant"),
-        F.size(t.diagnosis_tokens(c)).alias("n_diagnosis"), join(F.transform(t.plain_words(c), t.singular)).alias("singular_md5"), join(t.normalize_terms(t.significant_words(c))).alias("terms_md5"),
+    rows = t.bind(_docs(spark, sf_dir), words=t.words(c), plain=t.plain_words(c), significant=t.significant_words(c))
+    return rows.select(
+        "doc_id", F.size("words").alias("n_words"), join("words").alias("words_md5"), join("plain").alias("plain_md5"), F.size("significant").alias("n_significant"),
+        F.size(t.diagnosis_tokens(c)).alias("n_diagnosis"), join(F.transform("plain", t.singular)).alias("singular_md5"), join(t.normalize_terms(F.col("significant"))).alias("terms_md5"),
     )
 
 
