@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as t
 
 EVIDENCE_HIT = 0.5
+#: Fixed value: the depth to which a diagnosis follows a ranking.
+DIAGNOSTIC_K = 25
 METRICS = ("recall_at_3", "recall_at_5", "precision_at_3", "precision_at_5")
 
 
@@ -116,20 +118,38 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 def running_coverage(rankings: DataFrame) -> DataFrame:
     """Coverage of the joined texts up to each rank, and the first ranks with any and with enough.
 
-    rankings: (case_id, rank, text, keywords). The texts are joined before they are searched, so a keyword that spans
-    two of them counts. Rankings are short lists, so a window of their texts is small.
+    rankings: (case_id, rank, text, keywords), the keywords those of the case. The texts are joined before they are
+    searched, so a keyword that spans two of them counts: each keyword is looked up once in all the texts, and is held
+    by those ranks at which its first occurrence has ended. A case's ranking is one row meanwhile, as one document is.
     """
-    w = Window.partitionBy("case_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = F.array_join(F.collect_list("text").over(w), "\n\n")
-    rows = rankings.withColumn("__so_far", so_far)
-    rows = rows.withColumn("coverage", F.round(evidence_coverage(F.col("keywords"), F.col("text")), 6)).withColumn("running", F.round(evidence_coverage(F.col("keywords"), F.col("__so_far")), 6)).drop("__so_far")
-    whole = Window.partitionBy("case_id")
-    return rows.withColumn("first_any", F.min(F.when(F.col("coverage") > 0, F.col("rank"))).over(whole)).withColumn("first_enough", F.min(F.when(F.col("running") >= EVIDENCE_HIT, F.col("rank"))).over(whole))
+    others = [c for c in rankings.columns if c not in ("case_id", "rank")]
+    key = lambda c: F.coalesce(t.retrieval_key(c), F.lit(""))
+    rows = rankings.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", *others))).alias("__r"), F.first("keywords").alias("__keywords"))
+    rows = t.bind(rows, __k=F.transform("__keywords", t.retrieval_key), __t=F.transform("__r", lambda r: key(r.text)))
+    last = lambda e: F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0))
+    step = lambda e, x: F.array_append(e, last(e) + F.length(x) + ((last(e) > 0) & (x != "")).cast("int"))
+    whole = F.array_join(F.filter("__t", lambda x: x != ""), " ")
+    rows = t.bind(rows, __to=F.aggregate("__t", F.array().cast("array<int>"), step), __whole=whole)
+    found = F.transform("__k", lambda k: F.struct(F.instr("__whole", k).alias("at"), F.length(k).alias("n")))
+    rows = t.bind(rows, __ends=F.transform(F.filter(found, lambda x: x.at > 0), lambda x: x.at + x.n - 1))
+    share = lambda held: F.when(F.size("__k") > 0, F.round(F.size(held) / F.size("__k"), 6)).otherwise(0.0)
+    scored = F.transform("__r", lambda r, i: F.struct(
+        *[r[c].alias(c) for c in ("rank", *others)], share(F.filter("__k", lambda k: F.contains(F.get("__t", i), k))).alias("coverage"),
+        share(F.filter("__ends", lambda e: e <= F.get("__to", i))).alias("running"),
+    ))
+    rows = t.bind(rows.select("case_id", "__r", "__k", "__t", "__to", "__ends"), __s=scored)
+    first = lambda held: F.array_min(F.transform(F.filter("__s", held), lambda x: x.rank))
+    return rows.select("case_id", first(lambda x: x.coverage > 0).alias("first_any"), first(lambda x: x.running >= EVIDENCE_HIT).alias("first_enough"), F.explode("__s").alias("__x")).select(
+        "case_id", "__x.*", "first_any", "first_enough"
+    )
 
 
 def keyword_presence(keywords: DataFrame, chunks: DataFrame, by: list[str]) -> DataFrame:
     """(by, keyword, chunk_ids): the chunks of the same group that hold a keyword, sorted."""
-    pairs = keywords.join(chunks, by).where(F.contains(t.retrieval_key(F.col("text")), t.retrieval_key(F.col("keyword"))))
+    # normalised before they meet: a text and a keyword are in many pairs
+    asked = t.bind(keywords.select(*by, "keyword"), __keyword=t.retrieval_key(F.col("keyword")))
+    held = t.bind(chunks.select(*by, "chunk_id", "text"), __body=t.retrieval_key(F.col("text"))).drop("text")
+    pairs = asked.join(held, by).where(F.contains("__body", "__keyword"))
     return pairs.groupBy(*by, "keyword").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
 
 

@@ -22,13 +22,13 @@ def _pairs(spark, sf_dir):
     nxt = F.lead("text").over(Window.partitionBy("source", "lang").orderBy("doc_id"))
     return docs.select(
         "doc_id", "source", "lang", F.col("text").alias("content_text"), F.col("text").alias("factual_text"), F.concat(F.col("text").substr(F.lit(1), (F.length("text") * 3 / 4).cast("int")), F.lit(" "), F.coalesce(nxt, F.lit(""))).alias("source_text"),
-        F.when(F.col("lang") == "en", F.substring("text", 1, 60)).otherwise("generic niche words").alias("context"), F.when(F.col("doc_id") % 2 == 0, "Principiante").otherwise("experto").alias("profile"), F.when(F.col("doc_id") % 3 == 0, "high").alias("detail_level"),
+        F.when(F.col("lang") == "en", F.coalesce(nxt, F.lit(""))).otherwise("generic niche words").alias("context"), F.when(F.col("doc_id") % 2 == 0, "Principiante").otherwise("experto").alias("profile"), F.when(F.col("doc_id") % 3 == 0, "high").alias("detail_level"),
     )
 
 
 _SIG = r"list_filter(regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 3 AND x NOT IN (" + ", ".join(f"'{x}'" for x in t.STOPWORDS) + "))"
 _SCORED = f"""WITH d AS (SELECT doc_id, source, lang, text, left(text, CAST(floor(length(text) * 3 / 4) AS INT)) || ' ' || coalesce(lead(text) OVER (PARTITION BY source, lang ORDER BY doc_id), '') AS src,
-  CASE WHEN lang = 'en' THEN left(text, 60) ELSE 'generic niche words' END AS context, CASE WHEN doc_id % 2 = 0 THEN 'principiante' ELSE 'experto' END AS profile, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE '' END AS detail FROM documents),
+  CASE WHEN lang = 'en' THEN coalesce(lead(text) OVER (PARTITION BY source, lang ORDER BY doc_id), '') ELSE 'generic niche words' END AS context, CASE WHEN doc_id % 2 = 0 THEN 'principiante' ELSE 'experto' END AS profile, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE '' END AS detail FROM documents),
 w AS (SELECT *, {_SIG.format('text')} AS terms, list_distinct({_SIG.format('src')}) AS st, list_distinct({_SIG.format('context')}) AS ct FROM d),
 x AS (SELECT *, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda x: NOT list_contains(st, x))) / len(terms) END AS ratio, CASE WHEN len(ct) > 0 THEN len(list_filter(ct, lambda x: list_contains(terms, x))) / len(ct) END AS rel FROM w),
 s AS (SELECT doc_id, source, lang, ratio, CASE WHEN rel IS NULL OR rel >= 0.5 THEN 5 WHEN rel >= 0.25 THEN 4 ELSE 3 END AS relevance, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 50 THEN 5 ELSE 2 END AS coherence,
@@ -217,7 +217,7 @@ CONTRACT_VIOLATIONS = """SELECT doc_id, v AS violations FROM (SELECT doc_id, con
 def generation_graph(spark, sf_dir):
     """Retrieved context, fan-out over requested formats, outcomes with their reducer."""
     requests = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("quiz"), F.lit("tldr"), F.lit("poem"))).otherwise(F.array(F.lit("flashcards"))).alias("formats_requested"))
-    found = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.posexplode(F.slice(F.split("text", "\n"), 1, 3)).alias("i", "text")).where("request_id % 5 <> 0").select("request_id", (F.col("i") + 1).alias("rank"), "text")
+    found = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.posexplode(F.split("text", "\n")).alias("i", "text")).where("request_id % 5 <> 0").select("request_id", (F.col("i") + 1).alias("rank"), "text")
     return g.outcomes(g.fan_out(requests, g.contexts(found))).select("request_id", "n_outcomes", "succeeded", "failed", "outcome", "trace")
 
 

@@ -251,20 +251,20 @@ UNION ALL SELECT case_id, 'duplicated' FROM p GROUP BY case_id HAVING count(*) >
 
 
 def _evidence(spark, sf_dir):
-    """Each document as its own evidence: its first distinct long words as keywords, its lines as ranked texts."""
+    """Each document as its own evidence: its distinct long words as keywords, its lines as ranked texts."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    keywords = F.slice(F.array_distinct(F.filter(t.plain_words(F.col("text")), lambda x: F.length(x) > 6)), 1, 6)
+    keywords = F.array_distinct(F.filter(t.plain_words(F.col("text")), lambda x: F.length(x) > 6))
     return docs.select(F.col("doc_id").alias("case_id"), "source", "text", keywords.alias("keywords"))
 
 
 _EVIDENCE = r"""WITH k AS (SELECT doc_id AS case_id, source, text, string_split(text, chr(10)) AS lines, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}_]+'), lambda x: length(x) > 6) AS w FROM documents),
-kd AS (SELECT case_id, string_agg(v, chr(1) ORDER BY i) AS ks FROM (SELECT case_id, v, i, row_number() OVER (PARTITION BY case_id ORDER BY i) AS rn FROM (SELECT case_id, v, min(i) AS i FROM (SELECT case_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM k) GROUP BY ALL)) WHERE rn <= 6 GROUP BY case_id),
+kd AS (SELECT case_id, string_agg(v, chr(1) ORDER BY i) AS ks FROM (SELECT case_id, v, min(i) AS i FROM (SELECT case_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM k) GROUP BY ALL) GROUP BY case_id),
 ev AS (SELECT k.case_id, source, text, lines, coalesce(string_split(ks, chr(1)), []) AS keywords FROM k LEFT JOIN kd USING (case_id))"""
 
 
 def evidence_coverage(spark, sf_dir):
-    """E11, E12, E30 of the second line of a document as a retrieved text."""
-    rows = _evidence(spark, sf_dir).withColumn("got", F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")))
+    """E11, E12, E30 of all lines of a document but the first as a retrieved text."""
+    rows = _evidence(spark, sf_dir).withColumn("got", F.array_join(F.slice(F.split("text", "\n"), 2, F.greatest(F.size(F.split("text", "\n")), F.lit(0))), "\n"))
     return rows.select(
         "case_id", F.round(m.evidence_coverage(F.col("keywords"), F.col("got")), 6).alias("coverage"), F.round(m.token_recall(F.col("text"), F.col("got")), 6).alias("token_recall"),
         F.round(m.lexical_overlap(F.col("got"), F.col("text")), 6).alias("overlap"),
@@ -273,25 +273,30 @@ def evidence_coverage(spark, sf_dir):
 
 _NORM = r"regexp_replace(strip_accents(lower({})), '\s+', ' ', 'g')"
 _DIAG = "list_distinct(list_filter(string_split(trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9_./@+-]+', ' ', 'g')), ' '), lambda x: length(x) > 2 AND x NOT IN (" + ", ".join(f"'{x}'" for x in t.DIAGNOSIS_STOPWORDS) + ")))"
-EVIDENCE_COVERAGE = rf"""{_EVIDENCE}, g AS (SELECT *, coalesce(lines[2], '') AS got FROM ev),
+EVIDENCE_COVERAGE = rf"""{_EVIDENCE}, g AS (SELECT *, array_to_string(lines[2:], chr(10)) AS got FROM ev),
 d AS (SELECT case_id, keywords, got, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(strip_accents(lower(got)), '[\p{{L}}\p{{N}}_]+')) AS b, {_DIAG.format('got')} AS q, {_DIAG.format('text')} AS tt FROM g)
-SELECT case_id, CASE WHEN len(keywords) > 0 THEN round(len(list_filter(keywords, lambda x: contains({_NORM.format('got')}, x))) / len(keywords), 6) ELSE 0 END AS coverage,
+SELECT case_id, list_transform([{_NORM.format('got')}], lambda body: CASE WHEN len(keywords) > 0 THEN round(len(list_filter(keywords, lambda x: contains(body, x))) / len(keywords), 6) ELSE 0 END)[1] AS coverage,
   CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 6) ELSE 0 END AS token_recall, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, tt)) / len(q), 6) ELSE 0 END AS overlap FROM d"""
 
 
 def running_coverage(spark, sf_dir):
-    """E22-E24, E29 of the first five lines of each document."""
-    rows = _evidence(spark, sf_dir).select("case_id", "keywords", F.posexplode(F.slice(F.split("text", "\n"), 1, 5)).alias("i", "text"))
+    """E22-E24, E29 of the lines of each document."""
+    rows = _evidence(spark, sf_dir).select("case_id", "keywords", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     found = m.running_coverage(rows.withColumn("rank", F.col("i") + 1))
     return found.select("case_id", "rank", "coverage", "running", "first_any", "first_enough")
 
 
 def _cov(text: str) -> str:
-    return f"CASE WHEN len(keywords) > 0 THEN round(len(list_filter(keywords, lambda x: contains({_NORM.format(text)}, x))) / len(keywords), 6) ELSE 0 END"
+    return f"list_transform([{_NORM.format(text)}], lambda body: CASE WHEN len(keywords) > 0 THEN round(len(list_filter(keywords, lambda x: contains(body, x))) / len(keywords), 6) ELSE 0 END)[1]"
 
 
-RUNNING_COVERAGE = f"""{_EVIDENCE}, r AS (SELECT case_id, keywords, lines, unnest(range(1, least(5, len(lines)) + 1)) AS rank FROM ev),
-c AS (SELECT case_id, rank, {_cov('lines[rank]')} AS coverage, {_cov("array_to_string(lines[1:rank], chr(10) || chr(10))")} AS running FROM r)
+# ranks are told by where a keyword first ends in all the lines together
+_RANKS = f"""{_EVIDENCE}, li AS (SELECT case_id, keywords, unnest(lines) AS line, generate_subscripts(lines, 1) AS rank FROM ev), ln AS (SELECT *, trim({_NORM.format('line')}) AS body FROM li),
+lt AS (SELECT case_id, rank, {_cov('line')} AS coverage, len(keywords) AS n, coalesce(sum(length(body) + 1) FILTER (body <> '') OVER (PARTITION BY case_id ORDER BY rank), 1) - 1 AS upto FROM ln),
+fu AS (SELECT case_id, string_agg(body, ' ' ORDER BY rank) FILTER (body <> '') AS body FROM ln GROUP BY case_id),
+en AS (SELECT case_id, strpos(body, k) + length(k) - 1 AS ends FROM (SELECT case_id, unnest(keywords) AS k FROM ev) JOIN fu USING (case_id) WHERE contains(body, k)),
+c AS (SELECT lt.case_id, rank, any_value(coverage) AS coverage, CASE WHEN any_value(n) > 0 THEN round(count(ends) / any_value(n), 6) ELSE 0 END AS running FROM lt LEFT JOIN en ON en.case_id = lt.case_id AND ends <= upto GROUP BY ALL)"""
+RUNNING_COVERAGE = f"""{_RANKS}
 SELECT case_id, CAST(rank AS INT) AS rank, coverage, running, CAST(min(CASE WHEN coverage > 0 THEN rank END) OVER w AS INT) AS first_any, CAST(min(CASE WHEN running >= 0.5 THEN rank END) OVER w AS INT) AS first_enough FROM c WINDOW w AS (PARTITION BY case_id)"""
 
 
@@ -303,21 +308,21 @@ def keyword_presence(spark, sf_dir):
     return found.select("case_id", "keyword", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunk_ids"))
 
 
-KEYWORD_PRESENCE = f"""{_EVIDENCE}, l AS (SELECT case_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM ev), w AS (SELECT case_id, unnest(keywords) AS keyword FROM ev)
-SELECT case_id, keyword, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS chunk_ids FROM w JOIN l USING (case_id) WHERE contains({_NORM.format('line')}, keyword) GROUP BY ALL"""
+KEYWORD_PRESENCE = f"""{_EVIDENCE}, lx AS (SELECT case_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM ev), l AS MATERIALIZED (SELECT case_id, i, {_NORM.format('line')} AS body FROM lx), w AS (SELECT case_id, unnest(keywords) AS keyword FROM ev)
+SELECT case_id, keyword, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS chunk_ids FROM w JOIN l USING (case_id) WHERE contains(body, keyword) GROUP BY ALL"""
 
 
 def _format_rows(spark, sf_dir):
-    """Coverage of each document's keywords by three cuts of it, as three formats of one case."""
+    """Coverage of each document's keywords by its odd lines, its even lines and the text without its first line, as three formats of one case."""
     rows = _evidence(spark, sf_dir)
     lines = F.split("text", "\n")
-    cuts = {"md": F.array_join(F.slice(lines, 1, 2), "\n"), "txt": F.array_join(F.slice(lines, 2, 2), "\n"), "pdf": F.substring("text", 1, 200)}
+    cuts = {"md": F.array_join(F.filter(lines, lambda x, i: i % 2 == 0), "\n"), "txt": F.array_join(F.filter(lines, lambda x, i: i % 2 == 1), "\n"), "pdf": F.array_join(F.filter(lines, lambda x, i: i > 0), "\n")}
     each = F.array(*[F.struct(F.lit(f).alias("format"), F.round(m.evidence_coverage(F.col("keywords"), c), 6).alias("coverage")) for f, c in cuts.items()])
     return rows.select("case_id", F.col("source").alias("category"), F.explode(each).alias("x")).select("case_id", "category", "x.*").withColumn("hit", F.col("coverage") >= m.EVIDENCE_HIT)
 
 
-_FORMATS = f"""{_EVIDENCE}, fr AS (SELECT case_id, source AS category, 'md' AS format, {_cov("array_to_string(lines[1:2], chr(10))")} AS coverage FROM ev
-UNION ALL SELECT case_id, source, 'txt', {_cov("array_to_string(lines[2:3], chr(10))")} FROM ev UNION ALL SELECT case_id, source, 'pdf', {_cov("left(text, 200)")} FROM ev), fh AS (SELECT *, coverage >= 0.5 AS hit FROM fr)"""
+_FORMATS = f"""{_EVIDENCE}, fr AS (SELECT case_id, source AS category, 'md' AS format, {_cov("array_to_string(list_filter(lines, lambda y, i: i % 2 = 1), chr(10))")} AS coverage FROM ev
+UNION ALL SELECT case_id, source, 'txt', {_cov("array_to_string(list_filter(lines, lambda y, i: i % 2 = 0), chr(10))")} FROM ev UNION ALL SELECT case_id, source, 'pdf', {_cov("array_to_string(lines[2:], chr(10))")} FROM ev), fh AS (SELECT *, coverage >= 0.5 AS hit FROM fr)"""
 
 
 def format_pivot(spark, sf_dir):
@@ -349,15 +354,14 @@ FROM fh a JOIN fh b ON a.case_id = b.case_id AND a.format = 'txt' AND b.format =
 def cause_summary(spark, sf_dir):
     """Root causes of the md cut, from the first sufficient rank of the lines."""
     rows = _evidence(spark, sf_dir).select("case_id", "source", "text", "keywords", F.split("text", "\n").alias("lines"))
-    ranks = m.running_coverage(rows.select("case_id", "keywords", F.posexplode(F.slice("lines", 1, 8)).alias("i", "text")).withColumn("rank", F.col("i") + 1)).groupBy("case_id").agg(F.min("first_enough").alias("first_enough"))
+    ranks = m.running_coverage(rows.select("case_id", "keywords", F.posexplode("lines").alias("i", "text")).withColumn("rank", F.col("i") + 1)).groupBy("case_id").agg(F.min(F.when(F.col("first_enough") <= m.DIAGNOSTIC_K, F.col("first_enough"))).alias("first_enough"))
     top = m.evidence_coverage(F.col("keywords"), F.array_join(F.slice("lines", 1, 5), "\n\n"))
     joined = rows.join(ranks, "case_id").withColumn("cov", m.evidence_coverage(F.col("keywords"), F.col("text"))).withColumn("top", top)
     cause = m.root_cause(F.col("cov") == 0, F.col("cov"), F.col("first_enough"), 5, F.col("top"), F.col("top"), F.col("top") >= m.EVIDENCE_HIT)
     return m.cause_summary(joined.withColumn("cause", cause).withColumn("case_id", F.lpad(F.col("case_id").cast("string"), 9, "0")), "cause", "case_id", "source")
 
 
-CAUSE_SUMMARY = f"""{_EVIDENCE}, r AS (SELECT case_id, keywords, lines, unnest(range(1, least(8, len(lines)) + 1)) AS rank FROM ev),
-fe AS (SELECT case_id, min(CASE WHEN {_cov("array_to_string(lines[1:rank], chr(10) || chr(10))")} >= 0.5 THEN rank END) AS first_enough FROM r GROUP BY case_id),
+CAUSE_SUMMARY = f"""{_RANKS.replace("c AS (SELECT lt", "rc AS (SELECT lt")}, fe AS (SELECT case_id, min(CASE WHEN running >= 0.5 AND rank <= {m.DIAGNOSTIC_K} THEN rank END) AS first_enough FROM rc GROUP BY case_id),
 c AS (SELECT lpad(CAST(case_id AS VARCHAR), 9, '0') AS case_id, source, {_cov('text')} AS cov, {_cov("array_to_string(lines[1:5], chr(10) || chr(10))")} AS top, first_enough FROM ev JOIN fe USING (case_id)),
 d AS (SELECT *, CASE WHEN cov = 0 THEN 'evidence_absent_after_extraction_cleaning_chunking' WHEN cov < 0.5 THEN 'insufficient_evidence_present_in_document_chunks' WHEN first_enough IS NULL THEN 'evidence_present_but_not_retrieved_within_diagnostic_top_k'
   WHEN first_enough > 5 THEN 'ranking_issue_evidence_below_top5' WHEN top >= 0.5 THEN 'top5_contains_sufficient_evidence' ELSE 'top5_contains_partial_evidence_below_threshold' END AS cause FROM c)
@@ -412,14 +416,14 @@ CROSSTAB = "SELECT source, " + ", ".join(f"count(*) FILTER (lang = '{x}') AS {x}
 
 
 def jaccard_pairs(spark, sf_dir):
-    """E19 of the first four neighbouring pairs of lines of a document, as its SQL defines; ``jaccard_all_lines`` has all."""
+    """E19 of all neighbouring pairs of lines, a pair a row."""
     lines = read_table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    pair = lines.select("doc_id", F.posexplode(F.slice("l", 1, 4)).alias("i", "x"), F.col("l"))
+    pair = lines.select("doc_id", F.posexplode("l").alias("i", "x"), F.col("l"))
     pair = pair.withColumn("y", F.expr("get(l, i + 1)")).where("y is not null")
     return pair.select("doc_id", "i", F.round(t.jaccard(F.array_distinct(t.plain_words(F.col("x"))), F.array_distinct(t.plain_words(F.col("y")))), 6).alias("similarity"))
 
 
-JACCARD_PAIRS = r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, l, unnest(range(1, least(4, len(l) - 1) + 1)) AS i FROM l),
+JACCARD_PAIRS = r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), p AS (SELECT doc_id, l, unnest(range(1, len(l))) AS i FROM l),
 s AS (SELECT doc_id, i, list_distinct(regexp_extract_all(strip_accents(lower(l[i])), '[\p{L}\p{N}_]+')) AS a, list_distinct(regexp_extract_all(strip_accents(lower(l[i + 1])), '[\p{L}\p{N}_]+')) AS b FROM p)
 SELECT doc_id, CAST(i - 1 AS INT) AS i, CASE WHEN len(a) + len(b) = 0 THEN 1 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS similarity FROM s"""
 

@@ -68,17 +68,17 @@ def content_violations(spark, sf_dir):
         "doc_id", F.array(item(c("source")), item(F.when(c("lang") == "en", c("source")).otherwise(c("lang")))).alias("items"), F.concat(F.lit(" "), c("lang")).alias("front"),
         F.when(c("source") == "src1", c("lang")).otherwise(c("source")).alias("back"), (c("n_chars") % 5 + 1).cast("int").alias("relevance"), F.lit(5).alias("coherence"), F.lit(4).alias("adaptation"), F.lit(5).alias("support"),
         (c("lang") == "de").alias("unsupported"), F.when(c("n_chars") % 2 == 0, "rechazado").otherwise("aprobado").alias("verdict"), (c("lang") == "fr").alias("has_heuristic"), F.when(c("lang") == "es", "success").alias("semantic_status"),
-        F.array(c("lang"), F.when(c("source") == "src2", "  ").otherwise("x")).alias("goals"), c("source").alias("claim_id"), F.substring("text", 1, 40).alias("claim_text"), c("lang").alias("bucket"), F.lit("quiz").alias("format"),
+        F.array(c("lang"), F.when(c("source") == "src2", "  ").otherwise("x")).alias("goals"), c("source").alias("claim_id"), F.col("text").alias("claim_text"), c("lang").alias("bucket"), F.lit("quiz").alias("format"),
         F.when(c("source") == "src3", "done").otherwise("candidate").alias("selection_status"),
     )
     rules = q.set_rules() | q.card_rules() | q.status_rules() | q.signal_rules() | q.text_list_rules("goals") | q.candidate_rules(["en", "de", "fr"], ["quiz", "flashcards"])
     return q.violations(rows, "doc_id", rules).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
-CONTENT_VIOLATIONS = r"""WITH d AS (SELECT *, n_chars % 5 + 1 AS rel, CASE WHEN n_chars % 2 = 0 THEN 'rechazado' ELSE 'aprobado' END AS verdict, trim(regexp_replace(regexp_replace(strip_accents(lower(left(text, 40))), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s]', '', 'g')) AS norm FROM documents),
+CONTENT_VIOLATIONS = r"""WITH d AS (SELECT *, n_chars % 5 + 1 AS rel, CASE WHEN n_chars % 2 = 0 THEN 'rechazado' ELSE 'aprobado' END AS verdict, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'), '[^\p{L}\p{N}_\s]', '', 'g')) AS norm FROM documents),
 v AS (SELECT doc_id, concat_ws(',', CASE WHEN lang = 'en' THEN 'ids' END, CASE WHEN source = 'src1' THEN 'sides' END,
   CASE WHEN verdict <> CASE WHEN lang = 'de' OR rel <= 2 THEN 'rechazado' WHEN rel = 3 THEN 'requiere_revision' ELSE 'aprobado' END THEN 'verdict' END,
-  CASE WHEN lang <> 'fr' AND lang <> 'es' THEN 'signal' END, CASE WHEN source = 'src2' THEN 'goals' END, CASE WHEN trim(regexp_replace(left(text, 40), '\s', '', 'g')) = '' THEN 'claim_text' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'bucket' END,
+  CASE WHEN lang <> 'fr' AND lang <> 'es' THEN 'signal' END, CASE WHEN source = 'src2' THEN 'goals' END, CASE WHEN trim(regexp_replace(text, '\s', '', 'g')) = '' THEN 'claim_text' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'bucket' END,
   CASE WHEN source = 'src3' THEN 'selection_status' END, CASE WHEN norm = '' THEN 'normalized' END) AS violations FROM d)
 SELECT * FROM v WHERE violations <> ''"""
 PRESENTATION = ["generic", "niche", "words"]
