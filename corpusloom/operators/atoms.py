@@ -87,3 +87,43 @@ def confusion_pairs(truth: DataFrame, predicted: DataFrame, column: str) -> Data
     """(expected, found, n) of the cases that differ, most frequent first by rank."""
     rows = truth.select("case_id", F.col(column).alias("expected")).join(predicted.select("case_id", F.col(column).alias("found")), "case_id", "left")
     return rows.where("not (expected <=> found)").groupBy("expected", "found").agg(F.count("*").alias("n"))
+
+
+def truth_totals(cases: DataFrame, atoms: DataFrame, buckets: list[str], expected: dict[str, int]) -> DataFrame:
+    """H9: (check, found, expected) of the totals of a ground truth that are not as expected.
+
+    cases: (case_id, bucket, review_status, expected_atoms), atoms: one row an atom. Checks: cases, distinct, valid,
+    non_propositional, case_atoms, atom_rows as named in ``expected``; foreign_buckets and unreviewed must be 0.
+    """
+    bucket, none = F.col("bucket"), F.lit(False)
+    totals = cases.agg(
+        F.count("*").alias("cases"), F.countDistinct("case_id").alias("distinct"), F.count_if(~F.coalesce(bucket.isin(*buckets), none)).alias("foreign_buckets"), F.count_if(~F.coalesce(F.col("review_status") == "reviewed", none)).alias("unreviewed"),
+        F.count_if(~bucket.eqNullSafe("non_propositional")).alias("valid"), F.count_if(bucket == "non_propositional").alias("non_propositional"), F.coalesce(F.sum("expected_atoms"), F.lit(0)).cast("long").alias("case_atoms"),
+    )
+    totals = totals.crossJoin(atoms.agg(F.count("*").alias("atom_rows")))  # one row each
+    wanted = {"foreign_buckets": 0, "unreviewed": 0} | expected
+    each = F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).alias("found"), F.lit(n).cast("long").alias("expected")) for name, n in wanted.items()])
+    return totals.select(F.inline(each)).where("found <> expected")
+
+
+def case_findings(cases: DataFrame, frozen: DataFrame, fixed: list[str], bucket_counts: dict[str, int]) -> DataFrame:
+    """(case_id, finding) of the cases (case_id, bucket, review_status, expected_atoms as text, fixed columns) that may not be merged.
+
+    Findings: duplicated, unreviewed, atom_count (no number), missing or unexpected against the frozen cases,
+    changed:column of those both have, and atoms:bucket where the number of atoms does not suit the bucket. A bucket
+    whose size is not as expected is a finding count:bucket without a case.
+    """
+    n, bucket = F.col("expected_atoms").try_cast("int"), F.col("bucket")
+    suits = F.when(bucket.isin("atomic", "relational"), n == 1).when(bucket == "compound", n >= 2).when(bucket == "non_propositional", n == 0).otherwise(True)
+    old = frozen.select("case_id", F.lit(True).alias("__frozen"), *[F.col(c).alias(f"__{c}") for c in fixed]).dropDuplicates(["case_id"])
+    rows = cases.withColumn("__case", F.lit(True)).join(old, "case_id", "full")
+    here, both = F.col("__case").isNotNull(), F.col("__case").isNotNull() & F.col("__frozen").isNotNull()
+    rules = {
+        "unreviewed": here & ~F.coalesce(F.col("review_status") == "reviewed", F.lit(False)), "atom_count": here & n.isNull(), "missing": F.col("__case").isNull(), "unexpected": F.col("__frozen").isNull(),
+    } | {f"changed:{c}": both & ~F.col(c).eqNullSafe(F.col(f"__{c}")) for c in fixed}
+    found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()], F.when(here & ~suits, F.concat(F.lit("atoms:"), bucket))))
+    found = rows.select("case_id", F.explode(found).alias("finding")).distinct()
+    twice = cases.groupBy("case_id").count().where("count > 1").select("case_id", F.lit("duplicated").alias("finding"))
+    sizes = cases.agg(*[F.count_if(bucket == b).alias(b) for b in bucket_counts])
+    wrong = F.array_compact(F.array(*[F.when(F.col(b) != k, F.lit(f"count:{b}")) for b, k in bucket_counts.items()]))
+    return found.unionByName(twice).unionByName(sizes.select(F.lit(None).cast(cases.schema["case_id"].dataType).alias("case_id"), F.explode(wrong).alias("finding")))

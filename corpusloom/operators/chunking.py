@@ -158,3 +158,21 @@ def recursive_chunks(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CH
 
     made = pages.select("document_id", "page", "text").mapInPandas(run, "document_id string, page int, chunk_index int, text string")
     return made.select(F.concat_ws("_", "document_id", F.col("page").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "document_id", "page", "chunk_index", "text")
+
+
+def manifest_chunks(files: DataFrame, manifest: DataFrame, fmt: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """Chunks of the files that a manifest (document_id, category, <fmt>_file) names for a format, with its metadata.
+
+    files: (path, page, text), read by the sources. The join is on the path, so only named files are cleaned and
+    chunked; see ``manifest_gaps`` for those that are not there.
+    """
+    named = manifest.select("document_id", "category", F.col(f"{fmt}_file").alias("path"))
+    pages = files.join(named, "path").select("document_id", "page", t.clean_text(F.col("text")).alias("text"))
+    about = manifest.select("document_id", "category", F.lit(fmt).alias("controlled_format"))
+    return recursive_chunks(pages, size, overlap).join(about, "document_id")
+
+
+def manifest_gaps(files: DataFrame, manifest: DataFrame, fmt: str) -> DataFrame:
+    """(document_id, path) of the manifest for which there is no file; must be empty before a build."""
+    named = manifest.select("document_id", F.col(f"{fmt}_file").alias("path"))
+    return named.join(files.select("path").distinct(), "path", "left_anti").select("document_id", "path")

@@ -121,3 +121,21 @@ def reference_check(truth: DataFrame, chunks: DataFrame, ids: str = "relevant",
 def quota_violations(rows: DataFrame, by: str, expected: int) -> DataFrame:
     """Groups that do not have exactly the expected number of rows."""
     return rows.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") != expected)
+
+
+def consolidation_findings(rows: DataFrame, buckets: list[str], size: int) -> DataFrame:
+    """(claim_id, finding) of reviewed claims (claim_id, review_status, bucket, relation_subtype, text) that may not be merged.
+
+    Nulls count as blank. Findings: unreviewed, bucket, subtype_missing, subtype_foreign, text, duplicated; and size,
+    without a claim, if the rows are not as many as expected.
+    """
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    relational = F.col("bucket").eqNullSafe("relational")
+    rules = {
+        "unreviewed": ~F.col("review_status").eqNullSafe("reviewed"), "bucket": ~F.coalesce(F.col("bucket").isin(*buckets), F.lit(False)), "subtype_missing": relational & blank("relation_subtype"),
+        "subtype_foreign": ~relational & ~blank("relation_subtype"), "text": blank("text"),
+    }
+    found = rows.select("claim_id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()]))).alias("finding")).distinct()
+    twice = rows.groupBy("claim_id").count().where("count > 1").select("claim_id", F.lit("duplicated").alias("finding"))
+    wrong = rows.agg(F.count("*").alias("n")).where(F.col("n") != size).select(F.lit(None).cast(rows.schema["claim_id"].dataType).alias("claim_id"), F.lit("size").alias("finding"))
+    return found.unionByName(twice).unionByName(wrong)

@@ -132,7 +132,7 @@ def running_coverage(rankings: DataFrame) -> DataFrame:
     rows = t.bind(rows, __to=F.aggregate("__t", F.array().cast("array<int>"), step), __whole=whole)
     found = F.transform("__k", lambda k: F.struct(F.instr("__whole", k).alias("at"), F.length(k).alias("n")))
     rows = t.bind(rows, __ends=F.transform(F.filter(found, lambda x: x.at > 0), lambda x: x.at + x.n - 1))
-    share = lambda held: F.when(F.size("__k") > 0, F.round(F.size(held) / F.size("__k"), 6)).otherwise(0.0)
+    share = lambda held: F.when(F.size("__k") > 0, F.size(held) / F.size("__k")).otherwise(0.0)
     scored = F.transform("__r", lambda r, i: F.struct(
         *[r[c].alias(c) for c in ("rank", *others)], share(F.filter("__k", lambda k: F.contains(F.get("__t", i), k))).alias("coverage"),
         share(F.filter("__ends", lambda e: e <= F.get("__to", i))).alias("running"),

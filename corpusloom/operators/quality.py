@@ -303,3 +303,51 @@ def disagreements(rows: DataFrame) -> DataFrame:
 def review_manifest(rows: DataFrame, labels: tuple[str, ...] = ("supported", "partially_supported", "unsupported")) -> DataFrame:
     """Claims flagged for review (needs_review) that people gave a definite label."""
     return rows.where(F.col("needs_review") & F.col("human").isin(*labels))
+
+
+def evaluation_response(rows: DataFrame, evaluator_version: str, rubric_version: str) -> DataFrame:
+    """(document_id, response) of (document_id, format, the four scores, heuristic, semantic), a verdict each or null.
+
+    The response is nested: heuristic_scores is null where no heuristic verdict is; both signals stay apart, and
+    the verdict is that of ``decide``.
+    """
+    scores = F.when(F.col("heuristic").isNotNull(), F.struct(*SCORES))
+    signal = F.struct(F.when(F.col("semantic").isNull(), "unavailable").otherwise("success").alias("status"), F.col("semantic").alias("verdict"))
+    response = F.struct(
+        "document_id", "format", decide(F.col("heuristic"), F.col("semantic")).alias("verdict"), scores.alias("heuristic_scores"), signal.alias("semantic_evaluation"),
+        F.lit(evaluator_version).alias("evaluator_version"), F.lit(rubric_version).alias("rubric_version"),
+    )
+    return rows.select("document_id", response.alias("response"))
+
+
+def route_claims(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """Claims (case_id, claim_id, role, text) with the ratio, status and review flag of two routers: legacy and normalized.
+
+    sources: (case_id, source_text). Terms are rows, looked up among the distinct terms of the case's source by a
+    join, so neither a case of many claims nor a long source is held at once; legacy counts the occurrences of a
+    term, normalized its distinct stems. A claim without terms, or of null text, has no ratio and is supported; in a
+    case without a source nothing is supported.
+    """
+    def both(column: str):
+        words = t.significant_words(F.coalesce(F.col(column), F.lit("")))
+        return t.let(words, lambda x: F.array(F.struct(F.lit("legacy").alias("router"), x.alias("terms")), F.struct(F.lit("normalized").alias("router"), t.normalize_terms(x).alias("terms"))))
+
+    def terms(df: DataFrame, column: str, *keys: str) -> DataFrame:
+        return df.select(*keys, F.explode(both(column)).alias("x")).select(*keys, "x.router", F.explode("x.terms").alias("term"))
+
+    known = terms(sources, "source_text", "case_id").distinct().withColumn("known", F.lit(True))
+    own = terms(claims, "text", "case_id", "claim_id").groupBy("case_id", "claim_id", "router", "term").agg(F.count("*").alias("n"))
+    share = lambda router: F.sum(F.when((F.col("router") == router) & F.col("known").isNull(), F.col("n"))) / F.sum(F.when(F.col("router") == router, F.col("n")))
+    has = lambda router: F.count_if(F.col("router") == router) > 0
+    ratios = own.join(known, ["case_id", "router", "term"], "left").groupBy("case_id", "claim_id").agg(*[F.when(has(r), F.coalesce(share(r), F.lit(0.0))).alias(f"{r}_ratio") for r in ("legacy", "normalized")])
+    rows = claims.join(ratios, ["case_id", "claim_id"], "left")
+    for router in ("legacy", "normalized"):
+        status = lexical_status(F.col(f"{router}_ratio"))
+        rows = rows.withColumn(f"{router}_status", status).withColumn(f"{router}_review", F.coalesce(requires_review(F.col("role"), F.col(f"{router}_status")), F.lit(False)))
+    return rows
+
+
+def route_cases(routed: DataFrame) -> DataFrame:
+    """The claims of each case counted, and whether a router wants any of them reviewed."""
+    flags = [F.count_if(f"{r}_review").alias(f"{r}_review_claims") for r in ("legacy", "normalized")] + [F.bool_or(f"{r}_review").alias(f"{r}_case_review") for r in ("legacy", "normalized")]
+    return routed.groupBy("case_id").agg(F.count("*").alias("total_claims"), F.count_if(F.col("role") == "factual").alias("factual_claims"), *flags)

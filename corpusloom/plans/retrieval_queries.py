@@ -286,16 +286,20 @@ def running_coverage(spark, sf_dir):
     return found.select("case_id", "rank", "coverage", "running", "first_any", "first_enough")
 
 
+def _share(text: str) -> str:
+    return f"list_transform([{_NORM.format(text)}], lambda body: CASE WHEN len(keywords) > 0 THEN len(list_filter(keywords, lambda x: contains(body, x))) / len(keywords) ELSE 0 END)[1]"
+
+
 def _cov(text: str) -> str:
-    return f"list_transform([{_NORM.format(text)}], lambda body: CASE WHEN len(keywords) > 0 THEN round(len(list_filter(keywords, lambda x: contains(body, x))) / len(keywords), 6) ELSE 0 END)[1]"
+    return f"round({_share(text)}, 6)"
 
 
 # ranks are told by where a keyword first ends in all the lines together
 _RANKS = f"""{_EVIDENCE}, li AS (SELECT case_id, keywords, unnest(lines) AS line, generate_subscripts(lines, 1) AS rank FROM ev), ln AS (SELECT *, trim({_NORM.format('line')}) AS body FROM li),
-lt AS (SELECT case_id, rank, {_cov('line')} AS coverage, len(keywords) AS n, coalesce(sum(length(body) + 1) FILTER (body <> '') OVER (PARTITION BY case_id ORDER BY rank), 1) - 1 AS upto FROM ln),
+lt AS (SELECT case_id, rank, {_share('line')} AS coverage, len(keywords) AS n, coalesce(sum(length(body) + 1) FILTER (body <> '') OVER (PARTITION BY case_id ORDER BY rank), 1) - 1 AS upto FROM ln),
 fu AS (SELECT case_id, string_agg(body, ' ' ORDER BY rank) FILTER (body <> '') AS body FROM ln GROUP BY case_id),
 en AS (SELECT case_id, strpos(body, k) + length(k) - 1 AS ends FROM (SELECT case_id, unnest(keywords) AS k FROM ev) JOIN fu USING (case_id) WHERE contains(body, k)),
-c AS (SELECT lt.case_id, rank, any_value(coverage) AS coverage, CASE WHEN any_value(n) > 0 THEN round(count(ends) / any_value(n), 6) ELSE 0 END AS running FROM lt LEFT JOIN en ON en.case_id = lt.case_id AND ends <= upto GROUP BY ALL)"""
+c AS (SELECT lt.case_id, rank, any_value(coverage) AS coverage, CASE WHEN any_value(n) > 0 THEN count(ends) / any_value(n) ELSE 0 END AS running FROM lt LEFT JOIN en ON en.case_id = lt.case_id AND ends <= upto GROUP BY ALL)"""
 RUNNING_COVERAGE = f"""{_RANKS}
 SELECT case_id, CAST(rank AS INT) AS rank, coverage, running, CAST(min(CASE WHEN coverage > 0 THEN rank END) OVER w AS INT) AS first_any, CAST(min(CASE WHEN running >= 0.5 THEN rank END) OVER w AS INT) AS first_enough FROM c WINDOW w AS (PARTITION BY case_id)"""
 

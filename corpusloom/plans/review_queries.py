@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
-from corpusloom.operators import failures, lifecycle
+from corpusloom.operators import atoms, chunking, datasets, failures, lifecycle
 from corpusloom.operators import metrics as m
 from corpusloom.operators import quality as q
 from corpusloom.operators import retrieval as r
-from corpusloom.plans.evaluation_queries import _SCORED, _pairs
+from corpusloom.plans.evaluation_queries import _SCORED, _SIG, _STATUS, _pairs, _stems
 from corpusloom.plans.retrieval_queries import _DIAG
 from corpusloom.sources.tables import read_table
 
@@ -219,8 +219,83 @@ SELECT doc_id, md5(regexp_replace(composed, '\r\n?', chr(10), 'g')) AS clean_md5
   md5(regexp_replace(regexp_replace(regexp_replace(lower(composed), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([,.;:!?])', '\1', 'g')) AS overlap_md5, md5(plain) AS retrieval_md5,
   md5(trim(regexp_replace(plain, '[^a-z0-9_./@+-]+', ' ', 'g'))) AS diagnosis_md5 FROM k"""
 
+
+def evaluation_responses(spark, sf_dir):
+    """the nested response of each document as JSON; every ninth has no heuristic, documents without a label no semantic signal."""
+    rows = q.rubric(q.heuristic_scores(_pairs(spark, sf_dir)))
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", q.semantic_verdict([2.0 + 3.0 * F.col("quality"), 4.5 - 0.6 * F.col("toxic")]).alias("semantic"))
+    rows = rows.join(labels, "doc_id", "left").select(F.col("doc_id").alias("document_id"), F.lit("tldr").alias("format"), *q.SCORES, F.when(F.col("doc_id") % 9 != 0, q.english_verdict(F.col("verdict"))).alias("heuristic"), "semantic")
+    return q.evaluation_response(rows, "2.0", "1.0").select("document_id", F.to_json("response", {"ignoreNullFields": "false"}).alias("response"))
+
+
+_V2 = "CASE verdict WHEN 'aprobado' THEN 'approved' WHEN 'rechazado' THEN 'rejected' ELSE 'requires_revision' END"
+EVALUATION_RESPONSES = f"""{_SCORED}, h AS (SELECT *, CASE WHEN doc_id % 9 <> 0 THEN {_V2} END AS heuristic FROM r),
+m AS (SELECT doc_id, CASE WHEN least(2.0 + 3.0 * quality, 4.5 - 0.6 * toxic) <= 2 THEN 'rejected' WHEN least(2.0 + 3.0 * quality, 4.5 - 0.6 * toxic) < 4 THEN 'requires_revision' ELSE 'approved' END AS semantic FROM labels)
+SELECT doc_id AS document_id, CAST(to_json(struct_pack(document_id := doc_id, format := 'tldr', verdict := CASE WHEN semantic IS NULL THEN heuristic WHEN heuristic IS NULL OR heuristic = semantic THEN semantic ELSE 'requires_revision' END,
+  heuristic_scores := CASE WHEN heuristic IS NOT NULL THEN struct_pack(relevance := relevance, coherence := coherence, adaptation := adaptation, support := support) END,
+  semantic_evaluation := struct_pack(status := CASE WHEN semantic IS NULL THEN 'unavailable' ELSE 'success' END, verdict := semantic), evaluator_version := '2.0', rubric_version := '1.0')) AS VARCHAR) AS response FROM h LEFT JOIN m USING (doc_id)"""
+
+
+def routed_cases(spark, sf_dir):
+    """The lines of each document as claims, every fifth a prompt, against its source text."""
+    pairs = _pairs(spark, sf_dir).select(F.col("doc_id").alias("case_id"), "content_text", "source_text")
+    claims = pairs.select("case_id", F.posexplode(F.split("content_text", "\n")).alias("claim_id", "text")).withColumn("role", F.when(F.col("claim_id") % 5 == 0, "prompt").otherwise("factual"))
+    return q.route_cases(q.route_claims(claims, pairs.select("case_id", "source_text")))
+
+
+ROUTED_CASES = f"""{_SCORED}, cl AS (SELECT doc_id, st, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM w),
+ct AS (SELECT doc_id, i, st, {_SIG.format('line')} AS terms FROM cl), cn AS (SELECT doc_id, i, terms, st, {_stems('terms')} AS a, {_stems('st')} AS b FROM ct),
+cr AS (SELECT doc_id, i, CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda x: NOT list_contains(st, x))) / len(terms) END AS legacy, CASE WHEN len(a) > 0 THEN (len(a) - len(list_intersect(a, b))) / len(a) END AS normalized FROM cn),
+cs AS (SELECT doc_id, i % 5 <> 0 AS f, {_STATUS.format('legacy')} IN ('lexically_suspicious', 'critical_lexical') AND i % 5 <> 0 AS lr, {_STATUS.format('normalized')} IN ('lexically_suspicious', 'critical_lexical') AND i % 5 <> 0 AS nr FROM cr)
+SELECT doc_id AS case_id, count(*) AS total_claims, count(*) FILTER (f) AS factual_claims, count(*) FILTER (lr) AS legacy_review_claims, count(*) FILTER (nr) AS normalized_review_claims, bool_or(lr) AS legacy_case_review, bool_or(nr) AS normalized_case_review FROM cs GROUP BY doc_id"""
+
+
+def truth_audit(spark, sf_dir):
+    """Documents as cases: totals, findings against the frozen ones (ids not divisible by 11), and before a merge."""
+    c = F.col
+    cases = read_table(spark, sf_dir, "documents").select(
+        c("doc_id").alias("case_id"), F.element_at(F.create_map(*[F.lit(x) for x in ("en", "atomic", "de", "compound", "fr", "relational", "es", "non_propositional")]), c("lang")).alias("bucket"), F.when(c("doc_id") % 13 == 0, "pending").otherwise("reviewed").alias("review_status"),
+        F.when(c("doc_id") % 17 == 0, "many").otherwise((c("doc_id") % 3).cast("string")).alias("expected_atoms"), "text", F.when(c("source") == "src1", "cause").otherwise(" ").alias("relation_subtype"),
+    )
+    frozen = cases.where("case_id % 11 <> 0").withColumn("bucket", F.when(c("case_id") % 7 == 0, "atomic").otherwise(c("bucket"))).unionByName(cases.where("case_id % 50 = 1").withColumn("case_id", -c("case_id")))
+    again = cases.unionByName(cases.where("case_id % 19 = 0"))
+    totals = atoms.truth_totals(again.withColumn("expected_atoms", c("expected_atoms").try_cast("int")), cases, ["atomic", "compound", "non_propositional"], {"cases": 100, "distinct": 100, "valid": 75, "non_propositional": 25, "case_atoms": 90, "atom_rows": 90})
+    found = [
+        totals.select(F.lit("totals").alias("part"), F.lit(None).cast("long").alias("case_id"), F.concat_ws(":", "check", c("found").cast("string"), c("expected").cast("string")).alias("finding")),
+        atoms.case_findings(again, frozen, ["text", "bucket"], {"atomic": 50, "compound": 30}).select(F.lit("cases").alias("part"), "case_id", "finding"),
+        datasets.consolidation_findings(again.withColumnRenamed("case_id", "claim_id"), ["atomic", "compound", "relational"], 100).select(F.lit("merge").alias("part"), c("claim_id").alias("case_id"), "finding"),
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+TRUTH_AUDIT = """WITH d AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'atomic' WHEN 'de' THEN 'compound' WHEN 'fr' THEN 'relational' WHEN 'es' THEN 'non_propositional' END AS b, doc_id % 13 <> 0 AS ok, CASE WHEN doc_id % 17 <> 0 THEN doc_id % 3 END AS n, text, source = 'src1' AS sub FROM documents),
+a AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE id % 19 = 0),
+s AS (SELECT count(*) AS cases, count(DISTINCT id) AS dis, count(*) FILTER (b IS NULL OR b NOT IN ('atomic', 'compound', 'non_propositional')) AS fb, count(*) FILTER (NOT ok) AS ur, count(*) FILTER (b IS DISTINCT FROM 'non_propositional') AS va, count(*) FILTER (b = 'non_propositional') AS np, coalesce(sum(n), 0) AS ca, (SELECT count(*) FROM d) AS ar FROM a),
+t AS (SELECT unnest(['foreign_buckets', 'unreviewed', 'cases', 'distinct', 'valid', 'non_propositional', 'case_atoms', 'atom_rows']) AS k, unnest([fb, ur, cases, dis, va, np, ca, ar]) AS v, unnest([0, 0, 100, 100, 75, 25, 90, 90]) AS e FROM s)
+SELECT 'totals' AS part, NULL::BIGINT AS case_id, k || ':' || CAST(CAST(v AS BIGINT) AS VARCHAR) || ':' || e AS finding FROM t WHERE v <> e
+UNION ALL SELECT 'cases', id, 'unreviewed' FROM d WHERE NOT ok UNION ALL SELECT 'cases', id, 'atom_count' FROM d WHERE n IS NULL UNION ALL SELECT 'cases', id, 'unexpected' FROM d WHERE id % 11 = 0
+UNION ALL SELECT 'cases', -id, 'missing' FROM d WHERE id % 50 = 1 UNION ALL SELECT 'cases', id, 'changed:bucket' FROM d WHERE id % 11 <> 0 AND id % 7 = 0 AND b IS DISTINCT FROM 'atomic'
+UNION ALL SELECT 'cases', id, 'atoms:' || b FROM d WHERE (b IN ('atomic', 'relational') AND n <> 1) OR (b = 'compound' AND n < 2) OR (b = 'non_propositional' AND n <> 0)
+UNION ALL SELECT p, id, 'duplicated' FROM d, (SELECT unnest(['cases', 'merge']) AS p) WHERE id % 19 = 0
+UNION ALL SELECT 'cases', NULL, 'count:' || k FROM (SELECT unnest(['atomic', 'compound']) AS k, unnest([50, 30]) AS e) WHERE (SELECT count(*) FROM a WHERE b = k) <> e
+UNION ALL SELECT 'merge', id, 'unreviewed' FROM d WHERE NOT ok UNION ALL SELECT 'merge', id, 'bucket' FROM d WHERE b IS NULL OR b = 'non_propositional' UNION ALL SELECT 'merge', id, 'subtype_missing' FROM d WHERE b = 'relational' AND NOT sub
+UNION ALL SELECT 'merge', id, 'subtype_foreign' FROM d WHERE b IS DISTINCT FROM 'relational' AND sub UNION ALL SELECT 'merge', id, 'text' FROM d WHERE trim(coalesce(text, '')) = ''
+UNION ALL SELECT 'merge', NULL, 'size' FROM (SELECT count(*) AS n FROM a) WHERE n <> 100"""
+
+
+def manifest_build(spark, sf_dir):
+    """Documents as files, those of even ids named by a manifest, and what the manifest misses."""
+    d = read_table(spark, sf_dir, "documents")
+    files = d.select(F.concat(F.lit("md/"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("page"), "text")
+    manifest = d.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("category"), F.concat(F.lit("md/"), F.when(F.col("doc_id") % 20 == 0, F.lit("none")).otherwise(F.lit("")), F.col("doc_id").cast("string")).alias("md_file"))
+    chunks = chunking.manifest_chunks(files, manifest, "md").select("document_id", "chunk_id", "category", F.md5("text").alias("chunk_md5"))
+    gaps = chunking.manifest_gaps(files, manifest, "md").select("document_id", F.lit(None).cast("string").alias("chunk_id"), F.lit("no file").alias("category"), F.lit(None).cast("string").alias("chunk_md5"))
+    return chunks.unionByName(gaps)
+
+
 QUERIES = {
     "error_codes": (error_codes, ERROR_CODES), "batch_outcomes": (batch_outcomes, BATCH_OUTCOMES), "content_violations": (content_violations, CONTENT_VIOLATIONS), "support_variants": (support_variants, SUPPORT_VARIANTS),
     "term_classes": (term_classes, TERM_CLASSES), "revision_reviews": (revision_reviews, REVISION_REVIEWS), "diagnostic_signals": (diagnostic_signals, DIAGNOSTIC_SIGNALS), "batch_findings": (batch_findings, BATCH_FINDINGS),
     "active_listing": (active_listing, ACTIVE_LISTING), "string_ids": (string_ids, STRING_IDS), "unicode_keys": (unicode_keys, UNICODE_KEYS),
+    "evaluation_responses": (evaluation_responses, EVALUATION_RESPONSES), "routed_cases": (routed_cases, ROUTED_CASES), "truth_audit": (truth_audit, TRUTH_AUDIT), "manifest_build": (manifest_build, None),
 }

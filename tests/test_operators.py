@@ -33,7 +33,8 @@ def test_text_edges(spark):
 
 def test_recursive_chunks(spark):
     parts = chunking.split_recursively("aa bb cc dd", 5, 2)
-    assert parts == ["aa bb", "cc dd"] or all(len(p) <= 5 for p in parts)
+    assert parts == ["aa bb", "cc", "dd"]
+    assert chunking.split_recursively("aa bb\n\ncc dd ee", 8, 0) == ["aa bb", "cc dd", "ee"]
     assert "".join(chunking.split_recursively("x" * 25, 10, 0)) == "x" * 25
     with pytest.raises(ValueError):
         chunking.recursive_chunks(None, 10, 10)
@@ -168,3 +169,31 @@ def test_all_pairs_of_formats_are_compared(spark):
     texts = spark.createDataFrame([(1, "a  b\n", "b c", ""), (2, "", " ", "")], "case_id long, md string, txt string, pdf string")
     found = [tuple(r) for r in metrics.format_similarity(texts, ["md", "txt", "pdf"]).orderBy("case_id").collect()]
     assert found == [(1, 0.333333, 0.0, 0.0, 3, 3, 0, True, True, False), (2, 1.0, 1.0, 1.0, 0, 0, 0, False, False, False)]
+
+
+def test_manifest_build(spark):
+    files = spark.createDataFrame([("a.md", 1, " Aa\r\nbb \n\n" + "word " * 400), ("b.md", 1, "short"), ("c.md", 1, None), ("other.md", 1, "not named")], "path string, page int, text string")
+    manifest = spark.createDataFrame([("d1", "x", "a.md"), ("d2", "y", "b.md"), ("d3", "y", "c.md"), ("d4", "z", "gone.md")], "document_id string, category string, md_file string")
+    got = chunking.manifest_chunks(files, manifest, "md").collect()
+    clean = files.join(manifest, files["path"] == manifest["md_file"]).select("document_id", "category", t.clean_text(F.col("text")).alias("text")).collect()
+    want = {(r.document_id, r.category, i, part) for r in clean for i, part in enumerate(chunking.split_recursively(r.text or "", chunking.CHUNK_SIZE, chunking.CHUNK_OVERLAP))}
+    assert {(r.document_id, r.category, r.chunk_index, r.text) for r in got} == want and len(got) == len(want) > 2
+    assert {r.controlled_format for r in got} == {"md"}
+    assert [tuple(r) for r in chunking.manifest_gaps(files, manifest, "md").collect()] == [("d4", "gone.md")]
+
+
+def test_running_coverage_of_ties_and_gaps(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, "", ["red", "blue sky"]), ("a", 2, "The blue", ["red", "blue sky"]), ("a", 3, " Sky  RED", ["red", "blue sky"]), ("b", 1, None, ["x"]), ("c", 1, "x", [])], "case_id string, rank int, text string, keywords array<string>"
+    )
+    got = {(r.case_id, r.rank): (r.coverage, r.running, r.first_any, r.first_enough) for r in metrics.running_coverage(rows).collect()}
+    assert got == {("a", 1): (0, 0, 3, 3), ("a", 2): (0, 0, 3, 3), ("a", 3): (0.5, 1, 3, 3), ("b", 1): (0, 0, None, None), ("c", 1): (0, 0, None, None)}
+
+
+def test_routers_of_claims_without_terms_or_source(spark):
+    claims = spark.createDataFrame([("a", 1, "factual", "planets circle stars"), ("a", 2, "factual", ""), ("a", 3, "prompt", "unknown matter"), ("b", 1, "factual", "planets"), ("b", 2, "factual", None)], "case_id string, claim_id int, role string, text string")
+    sources = spark.createDataFrame([("a", "planets and stars circle"), ("c", "unused")], "case_id string, source_text string")
+    routed = quality.route_claims(claims, sources)
+    got = {(r.case_id, r.claim_id): (r.legacy_ratio, r.legacy_review) for r in routed.collect()}
+    assert got == {("a", 1): (0.0, False), ("a", 2): (None, False), ("a", 3): (1.0, False), ("b", 1): (1.0, True), ("b", 2): (None, False)}
+    assert {r.case_id: (r.total_claims, r.factual_claims, r.legacy_review_claims, r.normalized_case_review) for r in quality.route_cases(routed).collect()} == {"a": (3, 2, 0, False), "b": (2, 2, 1, True)}
