@@ -75,9 +75,12 @@ def _ascii(c: Column) -> Column:
 
 
 def _by_parts(c: Column, pattern: str, table: dict[str, str]) -> Column:
-    """The text with each of the parts that the pattern finds replaced by the table; only for texts that have such parts."""
+    """The text with each of the parts that the pattern finds replaced by the table; only for texts that have such parts.
+
+    What lies between two of them is one part, as each part is looked for in the whole table.
+    """
     known = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?:{pattern})|."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?:{pattern})|(?:(?!{pattern}).)++"), F.lit(0)), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
 
 
 def _one_of(characters) -> str:

@@ -295,12 +295,12 @@ def _cov(text: str) -> str:
 
 
 # ranks are told by where a keyword first ends in all the lines together
-_RANKS = f"""{_EVIDENCE}, li AS (SELECT case_id, keywords, unnest(lines) AS line, generate_subscripts(lines, 1) AS rank FROM ev), ln AS (SELECT *, trim({_NORM.format('line')}) AS body FROM li),
+_LINE_RANKS = f"""{_EVIDENCE}, li AS (SELECT case_id, keywords, unnest(lines) AS line, generate_subscripts(lines, 1) AS rank FROM ev), ln AS (SELECT *, trim({_NORM.format('line')}) AS body FROM li),
 lt AS (SELECT case_id, rank, {_share('line')} AS coverage, len(keywords) AS n, coalesce(sum(length(body) + 1) FILTER (body <> '') OVER (PARTITION BY case_id ORDER BY rank), 1) - 1 AS upto FROM ln),
 fu AS (SELECT case_id, string_agg(body, ' ' ORDER BY rank) FILTER (body <> '') AS body FROM ln GROUP BY case_id),
 en AS (SELECT case_id, strpos(body, k) + length(k) - 1 AS ends FROM (SELECT case_id, unnest(keywords) AS k FROM ev) JOIN fu USING (case_id) WHERE contains(body, k)),
 c AS (SELECT lt.case_id, rank, any_value(coverage) AS coverage, CASE WHEN any_value(n) > 0 THEN count(ends) / any_value(n) ELSE 0 END AS running FROM lt LEFT JOIN en ON en.case_id = lt.case_id AND ends <= upto GROUP BY ALL)"""
-RUNNING_COVERAGE = f"""{_RANKS}
+RUNNING_COVERAGE = f"""{_LINE_RANKS}
 SELECT case_id, CAST(rank AS INT) AS rank, coverage, running, CAST(min(CASE WHEN coverage > 0 THEN rank END) OVER w AS INT) AS first_any, CAST(min(CASE WHEN running >= 0.5 THEN rank END) OVER w AS INT) AS first_enough FROM c WINDOW w AS (PARTITION BY case_id)"""
 
 
@@ -365,7 +365,7 @@ def cause_summary(spark, sf_dir):
     return m.cause_summary(joined.withColumn("cause", cause).withColumn("case_id", F.lpad(F.col("case_id").cast("string"), 9, "0")), "cause", "case_id", "source")
 
 
-CAUSE_SUMMARY = f"""{_RANKS.replace("c AS (SELECT lt", "rc AS (SELECT lt")}, fe AS (SELECT case_id, min(CASE WHEN running >= 0.5 AND rank <= {m.DIAGNOSTIC_K} THEN rank END) AS first_enough FROM rc GROUP BY case_id),
+CAUSE_SUMMARY = f"""{_LINE_RANKS.replace("c AS (SELECT lt", "rc AS (SELECT lt")}, fe AS (SELECT case_id, min(CASE WHEN running >= 0.5 AND rank <= {m.DIAGNOSTIC_K} THEN rank END) AS first_enough FROM rc GROUP BY case_id),
 c AS (SELECT lpad(CAST(case_id AS VARCHAR), 9, '0') AS case_id, source, {_cov('text')} AS cov, {_cov("array_to_string(lines[1:5], chr(10) || chr(10))")} AS top, first_enough FROM ev JOIN fe USING (case_id)),
 d AS (SELECT *, CASE WHEN cov = 0 THEN 'evidence_absent_after_extraction_cleaning_chunking' WHEN cov < 0.5 THEN 'insufficient_evidence_present_in_document_chunks' WHEN first_enough IS NULL THEN 'evidence_present_but_not_retrieved_within_diagnostic_top_k'
   WHEN first_enough > 5 THEN 'ranking_issue_evidence_below_top5' WHEN top >= 0.5 THEN 'top5_contains_sufficient_evidence' ELSE 'top5_contains_partial_evidence_below_threshold' END AS cause FROM c)
