@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 #: Bytes of one Arrow batch between the JVM and Python; texts and archives are large, so the default would fill memory.
 BATCH_BYTES = 8 << 20
@@ -54,3 +55,17 @@ def discard(df: DataFrame) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a table, as JSON, that are broadcast; of a larger one each row goes to as many places as there are salts.
+BROADCAST_BYTES, SALTS = 16 << 20, 32
+
+
+def join_measured(rows: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows, of which any number can share a key, with a written table of one row a key: broadcast if its measured size is small, else salted."""
+    size = other.agg(F.sum(F.octet_length(F.to_json(F.struct(*other.columns))))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(other), list(on), how)
+    salted = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", place).join(salted, [*on, "__salt"], how).drop("__salt")
