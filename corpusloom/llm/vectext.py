@@ -109,6 +109,15 @@ def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def distinct_words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-cased words, which of them each occurrence is, and the n + 1 word offsets of the documents."""
+    low = LOWER[raw]
+    starts, ends, at = words(low, offsets, table)
+    bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int64)
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(low[table[low]])).dictionary_encode()
+    return found.dictionary.cast(pa.string()), np.asarray(found.indices).astype(np.int64), at
+
+
 class Hasher:
     """Hashes of any byte spans of one buffer."""
 
