@@ -265,30 +265,48 @@ def singular(token: Column) -> Column:
     return F.regexp_replace(bare, r"(?s)^(.{4,})es$|^(.{4,})s$", "$1$2")
 
 
+#: Stands between the words of a list that is rewritten as one text; no word has it.
+_BETWEEN = "\x1f"
+
+
+def _over_words(words: Column, rewrite) -> Column:
+    """A list of words after a rewriting that keeps their borders: one pass over all of them, not one a word."""
+    joined = F.array_join(F.filter(words, lambda x: x.isNotNull()), _BETWEEN)
+    return F.when(F.size(words) > 0, F.split(rewrite(joined), _BETWEEN)).when(words.isNotNull(), F.array().cast("array<string>"))
+
+
+def singular_words(words: Column) -> Column:
+    """B23 of all words of a list."""
+    bare = lambda c: F.regexp_replace(strip_accents(F.lower(c)), rf"[^a-z0-9_áéíóúñü{_BETWEEN}]+", "")
+    whole = rf"(?<![^{_BETWEEN}])([^{_BETWEEN}]{{4,}})"
+    return _over_words(words, lambda c: F.regexp_replace(bare(c), rf"{whole}es(?![^{_BETWEEN}])|{whole}s(?![^{_BETWEEN}])", "$1$2"))
+
+
 #: Endings in their order, with the least length of the token; the first that fits is cut off.
 STEM_RULES = (
-    (r"(adas|ados|idos|idas)$", 8), (r"(ada|ado|ida|ido)$", 7), (r"(an|en)$", 6), (r"(amos|emos|imos)$", 8), (r"(ar|er|ir)$", 6), (r"es$", 7), (r"s$", 6), (r"[ae]$", 6),
+    (("adas", "ados", "idos", "idas"), 8), (("ada", "ado", "ida", "ido"), 7), (("an", "en"), 6), (("amos", "emos", "imos"), 8), (("ar", "er", "ir"), 6), (("es",), 7), (("s",), 6), (("a", "e"), 6),
 )
 
 
-def _cut_ending(t: Column) -> Column:
-    out = None
-    for pattern, least in STEM_RULES:
-        fits, cut = (F.length(t) >= least) & t.rlike(pattern), F.regexp_replace(t, pattern, "")
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
-    return out.otherwise(t)
+def _cut_endings(c: Column) -> Column:
+    """Words in one text without their endings; the alternatives are tried in the order of the rules."""
+    word = rf"[^{_BETWEEN}]"
+    rules = "|".join(f"({word}{{{least - len(endings[0])},}})(?:{'|'.join(endings)})" for endings, least in STEM_RULES)
+    kept = "".join(f"${i}" for i in range(1, len(STEM_RULES) + 1))
+    return F.regexp_replace(c, rf"(?<!{word})(?:{rules})(?!{word})", kept)
 
 
 def stem(token: Column) -> Column:
     """B24."""
-    return let(strip_accents(F.lower(token)), _cut_ending)
+    return _cut_endings(strip_accents(F.lower(token)))
 
 
 def normalize_terms(terms: Column) -> Column:
     """Stems of the terms that are not neutral, each once, in order of first occurrence."""
     neutral = F.array(*map(F.lit, NEUTRAL_TERMS))
-    kept = F.filter(F.transform(terms, lambda x: strip_accents(F.lower(x))), lambda x: ~F.array_contains(neutral, x))
-    return F.array_distinct(F.filter(F.transform(kept, _cut_ending), lambda x: x != ""))
+    plain = _over_words(terms, lambda c: strip_accents(F.lower(c)))
+    kept = F.filter(plain, lambda x: ~F.array_contains(neutral, x))
+    return F.array_distinct(F.filter(_over_words(kept, _cut_endings), lambda x: x != ""))
 
 
 def distinct_ignoring_case(items: Column) -> Column:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
+from corpusloom.sources.staging import join_measured, staged
+
+#: Parts of a stratum that are cut to size on their own before they meet.
+PARTS = 64
 
 
 def stable_rank(*parts: Column, seed: str = "") -> Column:
@@ -26,10 +30,10 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def repeated_texts(rows: DataFrame, key: Column, id_column: str) -> DataFrame:
-    """(norm, ids, n) of the normalised texts that several rows share. The ids are joined sorted."""
+    """(norm, n, id) of the rows whose normalised text n rows share, one row each, so that a group has no bound."""
     named = rows.select(key.alias("norm"), F.col(id_column).alias("id"))
     many = named.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1")
-    return named.join(many, "norm").groupBy("norm", "n").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return join_measured(named, staged(many, "repeated-texts"), ["norm"]).select("norm", "n", "id")
 
 
 def without_overlap(candidates: DataFrame, previous: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +51,14 @@ def union_keys(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, stratum: str, id_column: str, n: int | Column, seed: str = "") -> DataFrame:
-    """The n rows of least stable rank of each stratum; n may be a column, as for deficits."""
-    ranked = rows.withColumn("pick", F.row_number().over(Window.partitionBy(stratum).orderBy(stable_rank(F.col(id_column), seed=seed), id_column)))
-    return ranked.where(F.col("pick") <= n)
+    """The n rows of least stable rank of each stratum; n may be a column, as for deficits.
+
+    Parts of a stratum are cut to n rows each before they meet, so no task ranks a whole stratum.
+    """
+    order = [stable_rank(F.col(id_column), seed=seed), F.col(id_column)]
+    part = F.pmod(F.xxhash64(id_column), F.lit(PARTS))
+    cut = rows.withColumn("__part", part).withColumn("pick", F.row_number().over(Window.partitionBy(stratum, "__part").orderBy(*order))).where(F.col("pick") <= n).drop("__part", "pick")
+    return cut.withColumn("pick", F.row_number().over(Window.partitionBy(stratum).orderBy(*order))).where(F.col("pick") <= n)
 
 
 def round_robin_sample(rows: DataFrame, bucket: str, domain: str, id_column: str, n: int, seed: str = "") -> DataFrame:
@@ -65,14 +74,24 @@ def effective_text(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(t.strip(c), F.lit("")) for c in columns])
 
 
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with ``position``, from 0, in a global order, which should have no ties.
+
+    The rows are dealt into ranges once, sorted in them and written; the place in a range and the sizes of the ranges
+    before it are both read from that table, so no task gets all rows and no other sampling of ranges can disagree.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    kept = staged(ranged, "positions")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
+    # one row a range
+    before = staged(sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).drop("__size"), "ranges")
+    return join_measured(kept.withColumn("__part", part), before, ["__part"]).withColumn("position", F.col("__before") + place).drop("__part", "__before", "__at")
+
+
 def numbered(rows: DataFrame, order: list[str], pattern: str) -> DataFrame:
-    """Ids by a global order. Ranges are numbered on their own and moved by the sizes of those before them, so no
-    task gets all rows."""
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    inner = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = inner.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).drop("__size")
-    return inner.join(F.broadcast(before), "__part").withColumn("candidate_id", F.format_string(pattern, F.col("__n") + F.col("__before"))).drop("__part", "__n", "__before")
+    """Ids of a pattern by a global order."""
+    return positions(rows, order).withColumn("candidate_id", F.format_string(pattern, F.col("position") + 1)).drop("position")
 
 
 def target_balance(counts: DataFrame, target: int) -> DataFrame:
@@ -81,10 +100,17 @@ def target_balance(counts: DataFrame, target: int) -> DataFrame:
 
 
 def batches(rows: DataFrame, group: str, id_column: str, size: int) -> DataFrame:
-    """Sequential batches of a fixed size in each group, with their first and last id."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(id_column))
-    placed = rows.withColumn("batch", (F.floor((n - 1) / size) + 1).cast("long"))
-    return placed.groupBy(group, "batch").agg(F.min(id_column).alias("first_id"), F.max(id_column).alias("last_id"), F.count("*").alias("rows"))
+    """Sequential batches of a fixed size in each group, with their first and last id.
+
+    A group begins at its least global position, so it is numbered in as many tasks as it fills.
+    """
+    placed = staged(positions(rows.select(group, id_column), [group, id_column]), "batches")
+    begins = staged(placed.groupBy(group).agg(F.min("position").alias("__begin")), "group-begins").withColumnRenamed(group, "__group")
+    same = placed.withColumn("__group", F.col(group))
+    known = join_measured(same.where(F.col(group).isNotNull()), begins.where("__group IS NOT NULL"), ["__group"]).drop("__group")
+    unnamed = same.where(F.col(group).isNull()).drop("__group").withColumn("__begin", F.lit(begins.where("__group IS NULL").agg(F.min("__begin")).first()[0]).cast("long"))
+    numbered_rows = known.unionByName(unnamed).withColumn("batch", F.expr(f"(position - __begin) div {size} + 1"))
+    return numbered_rows.groupBy(group, "batch").agg(F.min(id_column).alias("first_id"), F.max(id_column).alias("last_id"), F.count("*").alias("rows"))
 
 
 def partition_integrity(source: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
@@ -113,6 +139,18 @@ def counts_by(rows: DataFrame, columns: list[str]) -> DataFrame:
     return stacked.groupBy("x.dimension", "x.value").agg(F.count("*").alias("rows"))
 
 
+def build_manifest(raw: DataFrame, final: DataFrame, columns: list[str], config: dict[str, object]) -> DataFrame:
+    """One row: raw_count, final_count, duplicate_count (raw rows that are not in the final ones), counts and run_config.
+
+    ``counts`` is a JSON object of each dimension's values of the final rows, ``run_config`` the parameters of the run.
+    """
+    told = counts_by(final, columns).where("value IS NOT NULL").groupBy("dimension").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "rows")))).alias("values"))
+    counts = told.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "values"))))).alias("counts"))
+    sizes = raw.agg(F.count("*").alias("raw_count")).crossJoin(final.agg(F.count("*").alias("final_count"))).crossJoin(counts)  # one row each
+    run_config = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(config.items())]))
+    return sizes.select("raw_count", "final_count", (F.col("raw_count") - F.col("final_count")).alias("duplicate_count"), "counts", run_config.alias("run_config"))
+
+
 def reference_check(truth: DataFrame, chunks: DataFrame, ids: str = "relevant", chunk: str = "chunk_id") -> DataFrame:
     """Ids of the truth that no chunk has."""
     return truth.select("case_id", F.explode(ids).alias(chunk)).join(chunks.select(chunk), chunk, "left_anti")

@@ -1,13 +1,20 @@
-"""Model providers behind small interfaces, with offline defaults."""
+"""Model providers behind small interfaces, with offline defaults (D2, D7, F11, F12, H2), and calls of them."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as NotInTime
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import failures
+
 #: Texts to vectors.
 Embedder = Callable[[list[str]], list[list[float]]]
 #: Result of a judge: status success, failed or unavailable.
@@ -42,3 +49,144 @@ def unavailable_judge(rows: DataFrame) -> DataFrame:
 def replay(rows: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
     """H2: answers of a recorded run in place of a model."""
     return rows.join(predictions, key, "left")
+
+
+class ApiError(Exception):
+    """An answer of the provider that is an error."""
+
+    def __init__(self, status: int | None = None, state: str = "", message: str = ""):
+        super().__init__(message)
+        self.status, self.state = status, state
+
+
+class OutputError(ValueError):
+    """An answer that cannot be used."""
+
+
+#: A client answers a text with a string, within a number of seconds; it raises ApiError, OutputError or any other exception.
+Client = Callable[[str, float], str]
+# States of the provider that another try can mend.
+RETRYABLE_STATUS, RETRYABLE_STATES = (429, 500, 502, 503, 504), ("RESOURCE_EXHAUSTED", "UNAVAILABLE", "DEADLINE_EXCEEDED", "INTERNAL")
+_CALLED = "answer string, kind string, name string, upstream int, state string, message string, calls int, latency_ms long"
+
+
+@dataclass(frozen=True)
+class Policy:
+    """Calls at a time in a task, seconds for one, tries, and the wait before the second try, which doubles after each."""
+
+    concurrency: int = 8
+    timeout_s: float = 30.0
+    tries: int = 3
+    backoff_s: float = 0.5
+
+
+def _told(error: BaseException | None) -> tuple:
+    """(kind, name, upstream, state, message) of a failure."""
+    if error is None:
+        return None, None, None, None, None
+    kind = "output" if isinstance(error, OutputError) else "api" if isinstance(error, ApiError) else "other"
+    name = "timeout" if isinstance(error, (TimeoutError, NotInTime)) else type(error).__name__
+    return kind, name, getattr(error, "status", None) if kind == "api" else None, getattr(error, "state", None) if kind == "api" else None, str(error)
+
+
+def _worth_another(error: BaseException) -> bool:
+    if isinstance(error, ApiError):
+        return error.status in RETRYABLE_STATUS or error.state in RETRYABLE_STATES
+    return isinstance(error, (OutputError, TimeoutError, ConnectionError))
+
+
+def _tried(client: Client, text: str, policy: Policy) -> tuple:
+    """(answer, failure fields, calls, milliseconds) of one request."""
+    began, error = time.perf_counter(), None
+    for call in range(1, policy.tries + 1):
+        try:
+            answer = client(text, policy.timeout_s)
+            if not isinstance(answer, str):
+                raise OutputError(f"answer of type {type(answer).__name__}")
+            return answer, *_told(None), call, int((time.perf_counter() - began) * 1000)
+        except Exception as wrong:  # any failure of a provider is a row
+            error = wrong
+            if call == policy.tries or not _worth_another(wrong):
+                return None, *_told(error), call, int((time.perf_counter() - began) * 1000)
+            time.sleep(policy.backoff_s * 2 ** (call - 1))
+    return None, *_told(error), 0, 0
+
+
+def call_provider(rows: DataFrame, make_client: Callable[[], Client | None], text: str = "text", policy: Policy = Policy()) -> DataFrame:
+    """Adds status, answer, error_code, retryable, calls and latency_ms; every row has exactly one status.
+
+    ``make_client`` is called once a task; without a client (none is configured) all its rows are ``unavailable``. A task
+    has at most ``policy.concurrency`` calls under way. A client that does not keep its time is given up after twice the time of
+    all its tries, its row has timed out, and the task goes on with new threads. Null texts are sent as empty ones.
+    A task that runs again calls again, so write the result once before it is used twice.
+    """
+    added = ["answer", "kind", "name", "upstream", "state", "message", "calls", "latency_ms"]
+    kept = [c for c in rows.columns if c not in (*added, "status", "error_code", "retryable")]
+    patience = 2 * policy.tries * (policy.timeout_s + policy.backoff_s * 2**policy.tries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = make_client()
+        pool = ThreadPoolExecutor(policy.concurrency)
+        for batch in batches:
+            results: list[tuple] = []
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            for first in range(0, len(texts), policy.concurrency):
+                part = texts[first : first + policy.concurrency]
+                if client is None:
+                    results += [(None,) * 6 + (0, 0)] * len(part)
+                    continue
+                asked = [pool.submit(_tried, client, one, policy) for one in part]
+                end, late = time.monotonic() + patience, False
+                for one in asked:
+                    try:
+                        results.append(one.result(max(0.0, end - time.monotonic())))
+                    except NotInTime:
+                        late = True
+                        results.append((None, *_told(TimeoutError("no answer in time")), policy.tries, int(patience * 1000)))
+                if late:  # the hung threads are left behind
+                    pool.shutdown(wait=False, cancel_futures=True)
+                    pool = ThreadPoolExecutor(policy.concurrency)
+            kinds = [pa.string()] * 3 + [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+            columns = list(zip(*results)) if results else [()] * len(added)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=[*kept, *added])
+        pool.shutdown(wait=False, cancel_futures=True)
+
+    from pyspark.sql.types import StructType
+
+    schema = StructType([*rows.select(*kept).schema.fields, *StructType.fromDDL(_CALLED).fields])
+    found = rows.select(*kept).mapInArrow(run, schema)
+    code = failures.error_code(*map(F.col, ("kind", "name", "upstream", "state", "message")))
+    status = F.when(F.col("answer").isNotNull(), "success").when(F.col("kind").isNotNull(), "failed").otherwise("unavailable")
+    error = F.when(F.col("kind").isNotNull(), code).when(F.col("answer").isNull(), "not_configured")
+    retryable = F.when(F.col("kind").isNotNull(), failures.described(code, F.col("message"), F.col("upstream")).retryable)
+    return found.select(*kept, status.alias("status"), "answer", error.alias("error_code"), retryable.alias("retryable"), "calls", "latency_ms")
+
+
+#: Rank error of a latency sketch falls with this size; a group of fewer calls has exact quantiles.
+SKETCH_SIZE = 800
+
+
+def latency_sketches(calls: DataFrame, by: list[str], latency: str = "latency_ms") -> DataFrame:
+    """(by, calls, total_ms, low_ms, high_ms, sketch): a summary of each group that can be merged with others."""
+    ms = F.col(latency).cast("long")
+    return calls.where(ms.isNotNull()).groupBy(*by).agg(
+        F.count("*").alias("calls"), F.sum(ms).alias("total_ms"), F.min(ms).alias("low_ms"), F.max(ms).alias("high_ms"), F.kll_sketch_agg_bigint(ms, F.lit(SKETCH_SIZE)).alias("sketch")
+    )
+
+
+def merged_latencies(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """The sketches of several periods or tasks as one a group."""
+    return sketches.groupBy(*by).agg(
+        F.sum("calls").alias("calls"), F.sum("total_ms").alias("total_ms"), F.min("low_ms").alias("low_ms"), F.max("high_ms").alias("high_ms"), F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_SIZE)).alias("sketch")
+    )
+
+
+def latencies(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Mean, least, greatest and quantiles of the latency of each group of sketches."""
+    shown = [F.kll_sketch_get_quantile_bigint("sketch", F.lit(q)).alias(f"p{round(100 * q)}_ms") for q in quantiles]
+    return sketches.select(*[c for c in sketches.columns if c not in ("sketch", "total_ms")], F.round(F.col("total_ms") / F.col("calls"), 6).alias("mean_ms"), *shown)
+
+
+def auto_accepted(claims: DataFrame, review: Column) -> DataFrame:
+    """The claims that the lexical gate would accept without a review; a null verdict of the gate is no acceptance."""
+    return claims.where(~F.coalesce(review, F.lit(True)))

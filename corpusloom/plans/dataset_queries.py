@@ -32,12 +32,13 @@ EXACT_DEDUPE = f"SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source
 
 
 def dup_groups(spark, sf_dir):
+    """The documents that share their normalised text."""
     found = d.repeated_texts(_docs(spark, sf_dir, "doc_id", "text"), t.overlap_key(F.col("text")), "doc_id")
-    return found.select(F.sha2("norm", 256).alias("norm_sha256"), "n", F.length("ids").alias("ids_length"))
+    return found.select(F.sha2("norm", 256).alias("norm_sha256"), "n", F.col("id").alias("doc_id"))
 
 
-DUP_GROUPS = r"""SELECT sha256(k) AS norm_sha256, count(*) AS n, CAST(length(string_agg(CAST(doc_id AS VARCHAR), ',')) AS INT) AS ids_length FROM (
-  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([,.;:!?])', '\1', 'g') AS k FROM documents) GROUP BY k HAVING count(*) > 1"""
+DUP_GROUPS = r"""SELECT sha256(k) AS norm_sha256, count(*) OVER (PARTITION BY k) AS n, doc_id FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([,.;:!?])', '\1', 'g') AS k FROM documents) QUALIFY n > 1"""
 
 
 def _sentences(spark, sf_dir, name, key):
@@ -124,6 +125,21 @@ def numbered_ids(spark, sf_dir):
 NUMBERED_IDS = "SELECT doc_id, format('CAND-{:06d}', row_number() OVER (ORDER BY source, doc_id)) AS candidate_id FROM documents"
 
 
+def build_manifest(spark, sf_dir):
+    """Counts of the documents before and after their texts are made unique, and the parameters of the run."""
+    raw = _docs(spark, sf_dir, "doc_id", "text", "lang", "source")
+    final = d.first_of_each(raw, t.overlap_key(F.col("text")), ["doc_id"])
+    return d.build_manifest(raw, final, ["lang", "source"], {"min_length": 8, "max_length": 600, "version": "v1"})
+
+
+BUILD_MANIFEST = r"""WITH n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([,.;:!?])', '\1', 'g') AS k FROM documents),
+f AS (SELECT * FROM n WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1),
+v AS (SELECT 'lang' AS d, lang AS v, count(*) AS c FROM f GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM f GROUP BY source),
+j AS (SELECT d, string_agg('"' || v || '":' || c, ',' ORDER BY v) AS o FROM v GROUP BY d)
+SELECT (SELECT count(*) FROM documents) AS raw_count, (SELECT count(*) FROM f) AS final_count, (SELECT count(*) FROM documents) - (SELECT count(*) FROM f) AS duplicate_count,
+  (SELECT '{' || string_agg('"' || d || '":{' || o || '}', ',' ORDER BY d) || '}' FROM j) AS counts, '{"max_length":600,"min_length":8,"version":"v1"}' AS run_config"""
+
+
 def manifest_counts(spark, sf_dir):
     """Counts by dimension, and whether a quota is met."""
     return d.counts_by(_docs(spark, sf_dir, "lang", "source"), ["lang", "source"]).withColumn("quota_met", F.col("rows") == 50)
@@ -287,6 +303,7 @@ SELECT r_name, n_name, count(*) AS orders, round(coalesce(sum(revenue), 0), 2) A
 
 
 QUERIES = {
+    "build_manifest": (build_manifest, BUILD_MANIFEST),
     "exact_dedupe": (exact_dedupe, EXACT_DEDUPE), "dup_groups": (dup_groups, DUP_GROUPS), "overlap_audit": (overlap_audit, OVERLAP_AUDIT), "overlap_split": (overlap_split, OVERLAP_SPLIT), "stratified_hash_sample": (stratified_sample, STRATIFIED_SAMPLE),
     "round_robin_sample": (round_robin_sample, ROUND_ROBIN_SAMPLE), "balanced_deficit": (balanced_deficit, BALANCED_DEFICIT), "partition_integrity": (partition_integrity, PARTITION_INTEGRITY), "batch_export": (batch_export, BATCH_EXPORT), "numbered_ids": (numbered_ids, NUMBERED_IDS),
     "manifest_counts": (manifest_counts, MANIFEST_COUNTS), "reference_check": (reference_check, REFERENCE_CHECK), "current_version": (current_version, CURRENT_VERSION), "stable_version": (stable_version, STABLE_VERSION), "aggregate_status": (aggregate_status, AGGREGATE_STATUS),

@@ -100,8 +100,8 @@ def _rrf(wv: str, wb: str, cut: str = "") -> str:
 _RANKS = ["vector_rank", "bm25_rank", "rrf_rank"]
 
 
-def _fused(df):
-    return df.select("query_id", "chunk_id", *[F.col(c).cast("long").alias(c) for c in _RANKS], "rrf_score")
+def _fused(df, *more):
+    return df.select("query_id", "chunk_id", *[F.col(c).cast("long").alias(c) for c in _RANKS], "rrf_score", *more)
 
 
 def rrf_fusion(spark, sf_dir):
@@ -113,13 +113,12 @@ CONFIGS = ((0.5, 0.5), (0.6, 0.4), (0.7, 0.3), (0.8, 0.2))
 
 
 def weighted_rrf_grid(spark, sf_dir):
-    """All configurations over the same two rankings, which Spark computes once and reuses."""
-    vector, bm25 = _legs(spark, sf_dir)
-    out = None
+    """All configurations over the same two rankings, which are joined once."""
+    found = r.rrf_grid(*_legs(spark, sf_dir), CONFIGS)
+    config = F.when(F.lit(False), "")
     for wv, wb in CONFIGS:
-        one = _fused(r.rrf(vector, bm25, wv, wb)).withColumn("config", F.lit(f"{wv:g}/{wb:g}"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        config = config.when((F.col("vector_weight") == wv) & (F.col("bm25_weight") == wb), f"{wv:g}/{wb:g}")
+    return _fused(found.withColumn("config", config), "config")
 
 
 WEIGHTED_RRF_GRID = _LEGS + " UNION ALL ".join(f" SELECT *, '{wv:g}/{wb:g}' AS config FROM ({_rrf(str(wv), str(wb))})" for wv, wb in CONFIGS)

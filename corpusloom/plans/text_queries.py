@@ -107,7 +107,7 @@ def tokenize_stats(spark, sf_dir):
     rows = t.bind(_docs(spark, sf_dir), words=t.words(c), plain=t.plain_words(c), significant=t.significant_words(c))
     return rows.select(
         "doc_id", F.size("words").alias("n_words"), join("words").alias("words_md5"), join("plain").alias("plain_md5"), F.size("significant").alias("n_significant"),
-        F.size(t.diagnosis_tokens(c)).alias("n_diagnosis"), join(F.transform("plain", t.singular)).alias("singular_md5"), join(t.normalize_terms(F.col("significant"))).alias("terms_md5"),
+        F.size(t.diagnosis_tokens(c)).alias("n_diagnosis"), join(t.singular_words(F.col("plain"))).alias("singular_md5"), join(t.normalize_terms(F.col("significant"))).alias("terms_md5"),
     )
 
 

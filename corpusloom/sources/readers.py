@@ -1,4 +1,4 @@
-"""Sources (A1-A6, A9-A11): documents by suffix, chunk CSV, retrieval batches."""
+"""Sources (A1, A3-A6, A9-A11): documents by suffix, chunk CSV, retrieval batches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
+from corpusloom.sources.pdf import read_pdf
 
 KINDS = {".pdf": "pdf", ".md": "markdown", ".txt": "text"}
 CHUNK_COLUMNS = ("chunk_id", "document_id", "chunk_text")
@@ -21,31 +22,20 @@ def suffix(path: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(document_id, source, page, file_type, text) of all files below a folder, and the rejected ones.
+    """(document_id, source, page, file_type, text) of all files below a folder, and (path, reason) of the rejected ones.
 
-    Markdown and text files are one page each. PDF files need a reader that is given to ``read_pdf``; here they are
-    rejected with their reason, as any other suffix is.
+    Markdown and text files are one page each, PDF files one row a page. Files of any other suffix, PDF files that cannot
+    be read, and pages of which that is true are rejected with their reason.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[suffix(F.col("path"))]
     rows = files.withColumn("file_type", kind)
     name = F.regexp_extract("path", r"([^/]+?)(\.[^./]+)?$", 1)
     good = rows.where("file_type in ('markdown', 'text')").select(name.alias("document_id"), F.col("path").alias("source"), F.lit(1).alias("page"), "file_type", F.decode("content", "UTF-8").alias("text"))
-    bad = rows.where("file_type is null or file_type = 'pdf'").select("path", F.when(F.col("file_type") == "pdf", "no PDF reader").otherwise("unsupported suffix").alias("reason"))
-    return good, bad
-
-
-def read_pdf(spark: SparkSession, path: str, pages_of) -> DataFrame:
-    """A2: one row a page, numbered from 1, of PDF files; ``pages_of`` turns the bytes of a file into its page texts."""
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            rows = [(p, i, text or "") for p, content in frame.itertuples(index=False) for i, text in enumerate(pages_of(content), 1)]
-            yield pd.DataFrame(rows, columns=["source", "page", "text"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(path)
-    return files.select("path", "content").mapInPandas(run, "source string, page int, text string")
+    bad = rows.where("file_type is null").select("path", F.lit("unsupported suffix").alias("reason"))
+    pages = read_pdf(spark, path)
+    good = good.unionByName(pages.where("error is null").drop("error"))
+    return good, bad.unionByName(pages.where("error is not null").select(F.col("source").alias("path"), F.col("error").alias("reason")))
 
 
 def read_chunks_csv(spark: SparkSession, path: str) -> DataFrame:

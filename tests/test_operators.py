@@ -131,7 +131,7 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_html_markdown():
     page = "<body><nav><p>no</p></nav><main><h2>T</h2><p>a <b>b</b></p><ul><li>c</li></ul><pre>x\n y</pre><script>no</script></main><p>out</p></body>"
-    assert html.markdown(page) == "## T\n\na b\n\n- c\n\n```\nx\n y\n```"
+    assert html.markdown(page) == "## T\n\na b\n\n- c\n\n```text\nx\n y\n```"
     assert html.markdown(None) == ""
 
 
