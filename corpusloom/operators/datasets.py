@@ -145,7 +145,8 @@ def build_manifest(raw: DataFrame, final: DataFrame, columns: list[str], config:
     ``counts`` is a JSON object of each dimension's values of the final rows, ``run_config`` the parameters of the run.
     """
     told = counts_by(final, columns).where("value IS NOT NULL").groupBy("dimension").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "rows")))).alias("values"))
-    counts = told.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dimension", "values"))))).alias("counts"))
+    each = F.concat(F.lit('"'), "dimension", F.lit('":'), F.to_json("values"))  # one row a dimension
+    counts = told.agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(each)), ","), F.lit("}")).alias("counts"))
     sizes = raw.agg(F.count("*").alias("raw_count")).crossJoin(final.agg(F.count("*").alias("final_count"))).crossJoin(counts)  # one row each
     run_config = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sorted(config.items())]))
     return sizes.select("raw_count", "final_count", (F.col("raw_count") - F.col("final_count")).alias("duplicate_count"), "counts", run_config.alias("run_config"))

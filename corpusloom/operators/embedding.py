@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,17 +100,31 @@ def merge_chunks(changes: DataFrame, path: str, embed: Callable[[DataFrame], Dat
     return count
 
 
-def _gap(q: Column, text: Column, i: Column) -> Column:
-    """Least distance from the i-th word of the query to a later occurrence of the next one; null if there is none."""
-    first, second = q[i], q[i + 1]
-    none = F.lit(None).cast("int")
-    state = F.struct(none.alias("last"), F.lit(0).alias("at"), none.alias("best"))
-
-    def step(s, word):
-        found = F.when((word == second) & s.last.isNotNull(), F.least(s.best, s.at - s.last)).otherwise(s.best)
-        return F.struct(F.when(word == first, s.at).otherwise(s.last).alias("last"), (s.at + 1).alias("at"), found.alias("best"))
-
-    return F.aggregate(text, state, step, lambda s: s.best)
+def alignment(query: list[str], text: list[str]) -> float:
+    """Score of the words of one query in the words of one text, as ``alignment_scorer`` says."""
+    if not len(query):
+        return 0.0
+    places: dict[str, list[int]] = {word: [] for word in query}
+    for at, word in enumerate(text):
+        if word in places:
+            places[word].append(at)
+    score = COVERAGE * sum(bool(places[word]) for word in query) / len(query)
+    if len(query) == 1:
+        return round(score, 6)
+    gaps = []
+    for first, second in zip(query, query[1:]):
+        here, there = places[first], places[second]
+        if here and there:
+            after = np.searchsorted(there, here, side="right")
+            found = after < len(there)
+            if found.any():
+                gaps.append(int((np.asarray(there)[after[found]] - np.asarray(here)[found]).min()))
+    return round(score + (ORDER * len(gaps) + NEARNESS * sum(1 / g for g in gaps)) / (len(query) - 1), 6)
+
+
+@F.pandas_udf(T.DoubleType())
+def _aligned(query: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([alignment(q, t) for q, t in zip(query, text)], dtype="float64")
 
 
 def alignment_scorer(query: Column, text: Column) -> Column:
@@ -117,11 +132,6 @@ def alignment_scorer(query: Column, text: Column) -> Column:
 
     The share of the query's words that the text has, half the share of neighbouring words that it has in that order, and
     half the mean of one over their least distance. A query of one word has the first part only, one of none scores 0.
+    Words are found in the JVM and go to Python in Arrow batches; a pair costs as much as its text is long.
     """
-    q, words = t.words(F.coalesce(query, F.lit(""))), t.words(F.coalesce(text, F.lit("")))
-    n = F.size(q)
-    had = F.size(F.filter(q, lambda w: F.array_contains(words, w)))
-    gaps = F.filter(F.transform(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>")), lambda i: _gap(q, words, i)), lambda g: g.isNotNull())
-    nearness = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + 1.0 / g)
-    pairs = F.when(n > 1, (ORDER * F.size(gaps) + NEARNESS * nearness) / (n - 1)).otherwise(0.0)
-    return F.round(F.when(n == 0, 0.0).otherwise(COVERAGE * had / n + pairs), 6)
+    return _aligned(t.words(F.coalesce(query, F.lit(""))), t.words(F.coalesce(text, F.lit(""))))
