@@ -9,7 +9,9 @@ branch has the importance that its marks let expect, so a host of one page is ju
 
 - a branch that is marked by tag, role, class or id as a menu, header, footer, sidebar, notice or advert has 0 there. It
   is judged as a whole and must reach ``HIGH``: one element of text never does, a branch does whose content and
-  presentation differ on almost all pages, as of a container of the text that only has such a name;
+  presentation differ on almost all pages, as of a container of the text that only has such a name. A name is a mark if
+  its first or last part is one of the words, unless a part of it tells a state (``has-sidebar``, ``menu-open``). A mark
+  above an article or main element says nothing about what is in it, and a header in one belongs to it;
 - a branch in an article or main element has 1 there, any other a half. It goes if it and all branches in it stay below
   ``LOW``.
 
@@ -70,6 +72,9 @@ _MARKED_WORDS = frozenset(
     popup modal overlay newsletter subscribe subscription share sharing social sidebar menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager
     related footer header masthead toolbar widget widgets login signup""".split()
 )
+#: Parts of names that tell how something else looks.
+_STATES = frozenset("has no with without is not on off hide hidden show shown open opened closed close fixed sticky visible enabled disabled active collapsed expanded left right full wide js layout page".split())
+_HEADS = frozenset("header masthead".split())
 _LANDMARKS = frozenset(("article", "main"))
 #: End of a marked style; a class has no blank.
 _MARK = " !"
@@ -82,6 +87,12 @@ class Block:
         self.path, self.text = path, text
 
 
+def _words(name: str) -> set[str]:
+    """The first and last part of a class or id, if none tells a state."""
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    return set() if not parts or len(parts) > 1 and _STATES.intersection(parts) else {parts[0], parts[-1]}
+
+
 def _style(tag: str, attributes: str, inside_landmark: bool) -> tuple[str, bool]:
     """Style of an element, and whether its text is none of the page's."""
     marked, none = tag in _MARKED_TAGS or tag == "header" and not inside_landmark, tag in _NO_TEXT
@@ -93,11 +104,12 @@ def _style(tag: str, attributes: str, inside_landmark: bool) -> tuple[str, bool]
             if name == "role":
                 roles.add(value)
             elif name in ("class", "id"):
-                words.update(re.split(r"[^a-z]+", value))
+                for one in value.split():
+                    words |= _words(one)
                 if name == "class":
                     classes += value.replace("/", "|").split()
         if tag not in _LANDMARKS and tag not in ("body", "html"):
-            marked |= bool(words & _MARKED_WORDS)
+            marked |= bool(words & (_MARKED_WORDS - _HEADS if inside_landmark else _MARKED_WORDS))
             none |= bool(words & _READERS)
         marked |= bool(roles & _MARKED_ROLES)
     return tag + "".join("." + c for c in sorted(classes)) + (_MARK if marked else ""), none
@@ -200,8 +212,10 @@ def _landmark(path: str) -> str | None:
 
 
 def _marked(path: str) -> str | None:
-    """The path of the outermost marked element on a path."""
-    at = f"{path}/".find(_MARK + "/")
+    """The path of the outermost marked element on a path, in its article or main element if it has one."""
+    begin = len(_landmark(path) or "")
+    begin -= len(_MARK) if path[:begin].endswith(_MARK) else 0
+    at = f"{path}/".find(_MARK + "/", begin)
     return None if at < 0 else path[: at + len(_MARK)]
 
 
@@ -250,13 +264,16 @@ _PREFIXES = "transform(sequence(2, size(split(path, '/'))), i -> array_join(slic
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    """(host, low): the paths that decide what goes: outermost marked branches below HIGH, and others that are below LOW with all branches in them."""
-    marked = F.expr(f"locate('{_MARK}/', concat(path, '/'))")
-    article = " OR ".join(f"path rlike '/{tag}([./ ]|$)'" for tag in sorted(_LANDMARKS))
-    prior = F.when(marked > 0, 0.0).when(F.expr(article), 1.0).otherwise(0.5)
-    found = tree.withColumn("t", (F.col("importance") * F.col("pages") + prior * PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES))
-    whole = found.where((marked == F.length("path") - len(_MARK) + 1) & (F.col("t") < HIGH)).select("host", "path")
-    plain = found.where(marked == 0)
+    """(host, low): the paths that decide what goes: marked branches below HIGH, and others that are below LOW with all branches in them."""
+    # a mark counts from the outermost article or main element on
+    landmark = "|".join(sorted(_LANDMARKS))
+    begin = F.expr(f"regexp_instr(path, '/({landmark})([./ ]|$)')")
+    own = F.when(begin > 0, F.expr(f"substring(path, regexp_instr(path, '/({landmark})([./ ]|$)'))")).otherwise(F.col("path"))
+    found = tree.withColumn("own", own).withColumn("marked", F.expr(f"locate('{_MARK}/', concat(own, '/'))"))
+    prior = F.when(F.col("marked") > 0, 0.0).when(begin > 0, 1.0).otherwise(0.5)
+    found = found.withColumn("t", (F.col("importance") * F.col("pages") + prior * PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES))
+    whole = found.where((F.col("marked") == F.length("own") - len(_MARK) + 1) & (F.col("t") < HIGH)).select("host", "path")
+    plain = found.where("marked = 0")
     most = plain.select("host", F.explode(F.expr(_PREFIXES)).alias("path"), "t").groupBy("host", "path").agg(F.max("t").alias("t"))
     return whole.union(most.where(F.col("t") < LOW).select("host", "path")).groupBy("host").agg(F.collect_set("path").alias("low"))
 
@@ -270,7 +287,6 @@ def main_text(html: str, low: frozenset[str] = frozenset()) -> str:
     blocks, _ = parse(html)
     landmarks = {path: _landmark(path) for path in {b.path for b in blocks}}
     deciding = {path: _marked(path) or path for path in landmarks}
-    # an article in a marked branch is decided on with it
     inner = [b for b in blocks if landmarks[b.path] and deciding[b.path] == b.path]
     whole = not any(b.path not in low for b in inner) or any(landmarks[b.path] in low for b in inner)
     kept = {id(b) for b in blocks if deciding[b.path] not in low} | {id(b) for b in inner if whole}
