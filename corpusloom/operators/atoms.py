@@ -53,6 +53,15 @@ def structure_scores(truth: DataFrame, predicted: DataFrame, by: list[str] | Non
     )
 
 
+def version_scores(truth: DataFrame, predicted: DataFrame, versions: list[str]) -> DataFrame:
+    """H4: the scores of each version of the predictions (version, case_id, ...) against one truth."""
+    out = None
+    for version in versions:
+        one = structure_scores(truth, predicted.where(F.col("version") == version)).withColumn("version", F.lit(version))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def decision(scores: DataFrame) -> DataFrame:
     """H7: thresholds met, and CONTINUE if all are, else INVESTIGATE."""
     met = None

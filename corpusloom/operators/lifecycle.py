@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.datasets import positions
+
 BASELINE = ("quiz", "flashcards")
 #: Allowed next states of a document's indexing.
 TRANSITIONS = {"stored": ("indexing",), "indexing": ("indexed", "failed"), "failed": ("indexing",), "indexed": ("indexing",)}
@@ -129,6 +131,12 @@ def newest_first(documents: DataFrame) -> DataFrame:
     return documents.orderBy(F.desc("created_at"), "document_id")
 
 
+def placed_newest_first(documents: DataFrame) -> DataFrame:
+    """The documents with their ``place`` in that order, from 1; documents without a time come last. No task sorts all of them."""
+    ordered = documents.withColumn("__age", F.coalesce(-F.unix_micros(F.col("created_at").cast("timestamp")), F.lit((1 << 63) - 1)))
+    return positions(ordered, ["__age", "document_id"]).withColumn("place", F.col("position") + 1).drop("__age", "position")
+
+
 def active_documents(documents: DataFrame) -> DataFrame:
     """Documents (status, is_active) that are stored and active."""
     return documents.where((F.col("status") == "stored") & F.coalesce("is_active", F.lit(False)))

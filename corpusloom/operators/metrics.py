@@ -320,3 +320,21 @@ def batch_findings(batch: DataFrame, truth: DataFrame, filter_mode: str, size: i
 def focus(rows: DataFrame, ids: list, key: str = "case_id") -> DataFrame:
     """The rows of a fixed list of ids."""
     return rows.where(F.col(key).isin(*ids))
+
+
+def compare_runs(scores: DataFrame, runs: list[str]) -> DataFrame:
+    """A row a run of (case_id, run, value): cases, mean, zero_cases, delta_first, delta_previous, better and worse (cases, against the first run).
+
+    All runs are compared in one pass over the cases; a case that a run lacks counts in none of its numbers.
+    """
+    wide = scores.groupBy("case_id").pivot("run", runs).agg(F.first("value"))
+    of = lambda run: F.col(f"`{run}`")
+    sums = wide.agg(
+        *[F.struct(F.count(of(x)).alias("cases"), F.avg(of(x)).alias("mean"), F.count_if(of(x) == 0).alias("zero_cases"), F.count_if(of(x) > of(runs[0])).alias("better"), F.count_if(of(x) < of(runs[0])).alias("worse")).alias(x) for x in runs]
+    )
+    rows = []
+    for place, run in enumerate(runs):
+        delta = lambda other: F.round(of(run)["mean"] - of(other)["mean"], 6)  # noqa: B023, E731
+        told = [of(run)[c].alias(c) for c in ("cases", "zero_cases", "better", "worse")]
+        rows.append(F.struct(F.lit(run).alias("run"), F.round(of(run)["mean"], 6).alias("mean"), *told, delta(runs[0]).alias("delta_first"), delta(runs[max(0, place - 1)]).alias("delta_previous")))
+    return sums.select(F.inline(F.array(*rows)))

@@ -120,23 +120,31 @@ SELECT case_id, any_review, CASE WHEN case_id IN (7, 8) THEN 'high' WHEN any_rev
 
 
 def structural(spark, sf_dir):
-    """Units of contents in all four formats made of the documents."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", *[F.coalesce(F.get("l", F.lit(i)), F.lit("")).alias(f"l{i}") for i in range(4)])
+    """Units of contents in all four formats, made of all lines of the documents."""
+    lines = F.split("text", "\n")
     kind = F.expr("CASE doc_id % 4 WHEN 0 THEN 'quiz' WHEN 1 THEN 'flashcards' WHEN 2 THEN 'tldr' ELSE 'video_script' END")
-    c = F.col
-    rows = docs.withColumn("format", kind).select(
-        c("doc_id").alias("content_id"), "format",
-        F.when(c("format") == "quiz", F.struct(F.array(F.struct(c("l0").alias("question"), F.array("l2", "l3").alias("options"), c("l1").alias("correct_answer"), c("l2").alias("explanation"))).alias("questions"))).alias("quiz"),
-        F.when(c("format") == "flashcards", F.struct(F.array(F.struct(c("l0").alias("front"), c("l1").alias("back"))).alias("cards"))).alias("flashcards"),
-        F.when(c("format") == "tldr", F.struct(c("l3").alias("title"), c("l0").alias("summary"), F.array("l1", "l2").alias("key_points"), c("l3").alias("conclusion"))).alias("tldr"),
-        F.when(c("format") == "video_script", F.struct(F.array(F.struct(c("l1").alias("visual_description"), c("l0").alias("narration"))).alias("scenes"))).alias("video_script"),
-    )
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", lines.alias("l"), kind.alias("format"))
+    line = lambda i: F.coalesce(F.get("l", i), F.lit(""))
+    each = lambda size: F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / size).cast("int")), lambda k: k * size)
+    question = lambda i: F.struct(line(i).alias("question"), F.array(line(i + 2), line(i + 3)).alias("options"), line(i + 1).alias("correct_answer"), line(i + 2).alias("explanation"))
+    is_ = lambda name, value: F.when(F.col("format") == name, value).alias(name)
+    rows = docs.select(
+        F.col("doc_id").alias("content_id"),
+        "format",
+        is_("quiz", F.struct(F.transform(each(4), question).alias("questions"))),
+        is_("flashcards", F.struct(F.transform(each(2), lambda i: F.struct(line(i).alias("front"), line(i + 1).alias("back"))).alias("cards"))),
+        is_("tldr", F.struct(F.lit("title").alias("title"), line(F.lit(0)).alias("summary"), F.slice("l", 2, F.size("l")).alias("key_points"), F.element_at("l", -1).alias("conclusion"))),
+        is_("video_script", F.struct(F.transform(each(2), lambda i: F.struct(line(i + 1).alias("visual_description"), line(i).alias("narration"))).alias("scenes"))),
+    )
     return structural_units(rows).select("content_id", "unit_type", "role", "position", F.md5("text").alias("text_md5"))
 
 
-STRUCTURAL = """WITH d AS (SELECT doc_id, list_transform(range(1, 5), lambda i: coalesce(string_split(text, chr(10))[i], '')) AS l FROM documents),
-u AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN [['question', 'prompt', l[1]], ['correct_answer', 'factual', l[2]], ['explanation', 'factual', l[3]]] WHEN 1 THEN [['front', 'prompt', l[1]], ['back', 'factual', l[2]]]
-  WHEN 2 THEN [['summary', 'factual', l[1]], ['key_point', 'factual', l[2]], ['key_point', 'factual', l[3]], ['conclusion', 'factual', l[4]]] ELSE [['narration', 'factual', l[1]]] END AS us FROM d)
+STRUCTURAL = """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+u AS (SELECT doc_id, CASE doc_id % 4
+  WHEN 0 THEN flatten(list_transform(range(0, len(l), 4), lambda k: [['question', 'prompt', l[k + 1]], ['correct_answer', 'factual', coalesce(l[k + 2], '')], ['explanation', 'factual', coalesce(l[k + 3], '')]]))
+  WHEN 1 THEN flatten(list_transform(range(0, len(l), 2), lambda k: [['front', 'prompt', l[k + 1]], ['back', 'factual', coalesce(l[k + 2], '')]]))
+  WHEN 2 THEN list_concat(list_concat([['summary', 'factual', l[1]]], list_transform(l[2:], lambda x: ['key_point', 'factual', x])), [['conclusion', 'factual', l[-1]]])
+  ELSE list_transform(range(0, len(l), 2), lambda k: ['narration', 'factual', l[k + 1]]) END AS us FROM d)
 SELECT doc_id AS content_id, x[1] AS unit_type, x[2] AS role, CAST(i - 1 AS INT) AS position, md5(x[3]) AS text_md5 FROM (SELECT doc_id, unnest(us) AS x, generate_subscripts(us, 1) AS i FROM u)"""
 
 

@@ -1,8 +1,8 @@
-"""Sinks (A15, A17)."""
+"""Sinks (A15, A17) and stored objects."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,3 +20,14 @@ def write_packages(stable: DataFrame, path: str) -> None:
 def write_csv(rows: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header. ``single_file`` is for small reports only, as one task then writes all rows."""
     (rows.coalesce(1) if single_file else rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def stored_objects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of an object, or of all below a folder, of any store that Spark reaches."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
+
+
+def delete_object(spark: SparkSession, path: str) -> bool:
+    """Delete one object of any store that Spark reaches; False if there is none. A folder that is not empty is refused."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False)

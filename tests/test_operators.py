@@ -127,6 +127,8 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.write_csv(spark.range(3), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
     assert readers.text_columns(["Back", "text", "x"]) == ["text", "Back"]
+    assert [bytes(r.content) for r in sinks.stored_objects(spark, str(tmp_path / "q.json")).collect()] == [b"{}"]
+    assert sinks.delete_object(spark, str(tmp_path / "q.json")) and not sinks.delete_object(spark, str(tmp_path / "q.json"))
 
 
 def test_html_markdown():
