@@ -32,7 +32,6 @@ from corpusloom.llm.storage import table
 SAMPLE_ROWS = 500
 SAMPLE_ALL = 8000
 SAMPLE_TEXT_BYTES = 1 << 16
-MOST_LANGUAGES = 32
 #: Weights are held in a table of this many rows.
 BUCKETS = 1 << 16
 AFFIXES = (1, 2, 3, 4)
@@ -187,10 +186,11 @@ def fit_crf(texts: list[str], languages: list[str], epochs: int = 4, seed: int =
 def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
     """Whole texts and languages of an expected ``sample_rows`` rows a language, chosen by a hash of the id.
 
-    Learned are the ``MOST_LANGUAGES`` languages of the most rows, from texts of at most ``SAMPLE_TEXT_BYTES``.
+    All languages are learned, from texts of at most ``SAMPLE_TEXT_BYTES``; of so many that ``SAMPLE_ALL`` rows do not
+    suffice for all, each has its expected share of them.
     """
     learn = docs.where("lang is not null and text is not null").where(fold() != 1)
-    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not sizes:
         return [], []
     wanted = min(sample_rows, SAMPLE_ALL / len(sizes))

@@ -82,7 +82,29 @@ def record(headers: dict[str, object], block: bytes) -> bytes:
     return packer.compress(b"WARC/1.1\r\n" + lines.encode() + _CRLF + block + b"\r\n\r\n") + packer.flush()
 
 
-def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+class Headers(dict):
+    """Values by name, whatever its case; of a name that comes twice the last."""
+
+    def __init__(self, lines: list[str]):
+        for name, colon, value in (line.partition(":") for line in lines):
+            if colon:
+                self[name.strip().lower()] = value.strip()
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+    def number(self, name: str) -> int | None:
+        """A number that may be absent."""
+        value = self.get(name)
+        if value is not None and not value.isascii() or value is not None and not value.isdigit():
+            raise ValueError(f"{name} is no number")
+        return None if value is None else int(value)
+
+
+def records(archive: bytes) -> Iterator[tuple[Headers, bytes]]:
     """Headers and block of every record of an archive."""
     view = memoryview(archive)
     while len(view):
@@ -92,8 +114,9 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("a record is cut off")
         view = view[len(view) - len(member.unused_data) :]
         head, end, rest = raw.partition(b"\r\n\r\n")
-        headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        if not head.startswith(b"WARC/") or not end or len(rest) != int(headers["Content-Length"]) + 4:
+        headers = Headers(head.decode("utf-8", "replace").split("\r\n")[1:])
+        length = headers.number("Content-Length")
+        if not head.startswith(b"WARC/") or not end or length is None or len(rest) != length + 4:
             raise ValueError("the length of a record differs")
         yield headers, rest[:-4]
 
@@ -163,12 +186,32 @@ def _payload(kind: str, block: bytes | None, error: str | None, stated: str | No
     return (payload, None) if stated in (None, digest(payload)) else (None, "the digest differs")
 
 
-def _readable(archive: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """The records up to the first damage, then one of type damaged that holds the error."""
+def _damaged(error: Exception, record_id: str | None = None) -> tuple:
+    return record_id, None, None, "damaged", None, None, None, None, None, None, None, f"{error}"
+
+
+def _row(h: Headers, block: bytes) -> tuple:
+    """A record as a row; a record whose headers cannot be understood is damaged, and the ones after it are read."""
+    own_id = h.get("WARC-Record-ID")
+    try:
+        if own_id is None or h.get("WARC-Type") is None:
+            raise ValueError("a record has no id" if own_id is None else "a record has no type")
+        number, total, stated = map(h.number, ("WARC-Segment-Number", "WARC-Segment-Total-Length", "X-Payload-Bytes"))
+        own = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
+        kind = h["WARC-Type"].lower()
+        content = (block, None, None) if number else (None, *_payload(kind, block, None, own))
+        return h.get("WARC-Segment-Origin-ID", own_id), h.get("X-Page-ID"), h.get("WARC-Target-URI"), kind, h.get("X-Refers-To-Page-ID"), own, stated, number, total, *content
+    except ValueError as e:
+        return _damaged(e, own_id)
+
+
+def _rows(archive: bytes) -> Iterator[tuple]:
+    """The records up to the first damage of the framing, then one of type damaged that holds the error."""
     try:
-        yield from records(archive)
-    except (ValueError, KeyError, zlib.error) as e:
-        yield {"WARC-Type": "damaged", "WARC-Record-ID": None, "error": f"{e}"}, None
+        for headers, block in records(archive):
+            yield _row(headers, block)
+    except (ValueError, zlib.error) as e:
+        yield _damaged(e)
 
 
 def read_records(archives: DataFrame) -> DataFrame:
@@ -179,16 +222,7 @@ def read_records(archives: DataFrame) -> DataFrame:
         kinds = [pa.string()] * 6 + [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
         for batch in batches:
             for data in batch.column("data"):
-                rows = []
-                for h, block in _readable(data.as_py() or b""):
-                    number = h.get("WARC-Segment-Number")
-                    total, stated = h.get("WARC-Segment-Total-Length"), h.get("X-Payload-Bytes")
-                    own = h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-                    content = (block, None, None) if number else (None, *_payload(h["WARC-Type"], block, h.get("error"), own))
-                    rows.append((
-                        h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), h.get("X-Page-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], h.get("X-Refers-To-Page-ID"),
-                        own, stated and int(stated), number and int(number), total and int(total), *content,
-                    ))
+                rows = list(_rows(data.as_py() or b""))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
