@@ -338,3 +338,19 @@ def compare_runs(scores: DataFrame, runs: list[str]) -> DataFrame:
         told = [of(run)[c].alias(c) for c in ("cases", "zero_cases", "better", "worse")]
         rows.append(F.struct(F.lit(run).alias("run"), F.round(of(run)["mean"], 6).alias("mean"), *told, delta(runs[0]).alias("delta_first"), delta(runs[max(0, place - 1)]).alias("delta_previous")))
     return sums.select(F.inline(F.array(*rows)))
+
+
+def case_rows(cases: DataFrame, results: DataFrame) -> DataFrame:
+    """Cases (case_id, keywords, expected) with coverage, hit, token_recall, chunk_ids and scores of their results.
+
+    results: (case_id, rank, chunk_id, score, text), the few best of a case by contract. A case without results has
+    coverage 0 and empty lists.
+    """
+    item = F.struct("rank", "chunk_id", F.round("score", 4).alias("score"), "text")
+    listed = results.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("r"))
+    rows = cases.join(listed, "case_id", "left")
+    of = lambda name, kind: F.coalesce(F.transform("r", lambda x: x[name]), F.array().cast(f"array<{kind}>"))
+    kind = results.schema["chunk_id"].dataType.simpleString()
+    rows = rows.select("case_id", "keywords", "expected", F.array_join(of("text", "string"), "\n").alias("__got"), of("chunk_id", kind).alias("chunk_ids"), of("score", "double").alias("scores"))
+    coverage = evidence_coverage(F.col("keywords"), F.col("__got"))
+    return rows.select("case_id", F.round(coverage, 6).alias("coverage"), (coverage >= EVIDENCE_HIT).alias("hit"), F.round(token_recall(F.col("expected"), F.col("__got")), 6).alias("token_recall"), "chunk_ids", "scores")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -103,6 +104,27 @@ def decide(heuristic: Column, semantic: Column) -> Column:
     return F.when(semantic.isNull(), heuristic).when(heuristic.isNull(), semantic).when(heuristic == semantic, heuristic).otherwise("requires_revision")
 
 
+def evaluate_contents(contents: DataFrame, key: str, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """heuristic scores, a judge's scores and the verdict of both, a row a content.
+
+    contents: as for ``heuristic_scores``, with a key that is unique. ``judge`` adds status, answer (JSON of the four scores) and
+    error_code to rows (key, text), as ``providers.call_provider`` does. An answer that has not all four scores is a
+    failure, ``INVALID_MODEL_OUTPUT``; whatever the judge did, the heuristic stands.
+    """
+    rows = rubric(heuristic_scores(contents)).select(key, *SCORES, "unsupported", english_verdict(F.col("verdict")).alias("heuristic"))
+    told = judge(contents.select(key, F.col("content_text").alias("text"))).select(key, "status", "error_code", parse_scores(F.col("answer")).alias("__s"))
+    scores = [F.col(f"__s.{c}") for c in ("relevance", "coherence", "adaptation", "support")]
+    whole = reduce(Column.__and__, [c.isNotNull() for c in scores])
+    ok, useless = (F.col("status") == "success") & whole, (F.col("status") == "success") & ~F.coalesce(whole, F.lit(False))
+    told = told.select(
+        key,
+        F.when(useless, "failed").otherwise(F.col("status")).alias("semantic_status"),
+        F.when(useless, "INVALID_MODEL_OUTPUT").otherwise(F.col("error_code")).alias("error_code"),
+        F.when(ok, semantic_verdict(scores)).alias("semantic"),
+    )
+    return rows.join(told, key, "left").withColumn("verdict", decide(F.col("heuristic"), F.col("semantic")))
+
+
 def reviewer_feedback(issues: Column) -> Column:
     """issues (struct severity, text) sorted by severity, equals in their order."""
     order = lambda x: F.when(x.severity == "high", 0).when(x.severity == "medium", 1).otherwise(2)

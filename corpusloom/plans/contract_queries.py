@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as t
 from corpusloom.operators import atoms, lifecycle
 from corpusloom.operators import metrics as m
 from corpusloom.operators import quality as q
 from corpusloom.operators import retrieval as r
 from corpusloom.plans.evaluation_queries import _ATOMS, _atoms
-from corpusloom.plans.retrieval_queries import _LEGS, SIGNALS, _corpus, _queries, _rrf, _vectors, signals
+from corpusloom.plans.retrieval_queries import _LEGS, SIGNALS, _bm25, _corpus, _queries, _rrf, _vectors, signals
 from corpusloom.sources.tables import read_table
 
 
@@ -136,7 +137,29 @@ _VERSION = "SELECT '{0}' AS version, count(*) AS cases, round(count(ps) FILTER (
 ATOM_VERSIONS = f"{_ATOMS} " + " UNION ALL ".join(_VERSION.format(*v) for v in (("v1", 3), ("v2", 7), ("v3", 101)))
 
 
+def case_rows(spark, sf_dir):
+    """The first five of the BM25 leg for each item; its evidence are its words of more than six letters, its text is expected."""
+    items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("expected"))
+    cases = items.withColumn("keywords", F.array_distinct(F.filter(t.plain_words(F.col("expected")), lambda w: F.length(w) > 6)))
+    corpus = _corpus(spark, sf_dir).select("chunk_id", "text")
+    hits = r.bm25_topk(corpus, items.select(F.col("case_id").alias("query_id"), F.col("expected").alias("text")), r.TOP_K)
+    results = hits.select(F.col("query_id").alias("case_id"), F.col("bm25_rank").alias("rank"), "chunk_id", "score").join(corpus, "chunk_id")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    found = m.case_rows(cases, results)
+    return found.select("case_id", "coverage", "hit", "token_recall", joined("chunk_ids").alias("chunk_ids"), F.size("scores").alias("n_scores"), F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 4).alias("score_sum"))
+
+
+_PLAIN = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}_]+')"
+_FLAT = r"regexp_replace(strip_accents(lower({})), '\s+', ' ', 'g')"
+CASE_ROWS = rf"""WITH {_bm25('0')}, h AS (SELECT query_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY bm25_rank) AS ids, count(*) AS n, round(sum(round(score, 4)), 4) AS total, string_agg(text, chr(10) ORDER BY bm25_rank) AS got FROM bm JOIN documents ON doc_id = chunk_id WHERE bm25_rank <= 5 GROUP BY query_id),
+c AS (SELECT item_id AS case_id, list_distinct(list_filter({_PLAIN.format('text')}, lambda x: length(x) > 6)) AS k, list_distinct({_PLAIN.format('text')}) AS a, coalesce(got, '') AS got, ids, n, total FROM benchmark LEFT JOIN h ON query_id = item_id),
+e AS (SELECT *, {_FLAT.format('got')} AS flat, {_PLAIN.format('got')} AS b FROM c),
+f AS (SELECT *, CASE WHEN len(k) > 0 THEN len(list_filter(k, lambda x: contains(flat, x))) / len(k) ELSE 0 END AS cov FROM e)
+SELECT case_id, round(cov, 6) AS coverage, cov >= 0.5 AS hit, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 6) ELSE 0 END AS token_recall, coalesce(ids, '') AS chunk_ids, CAST(coalesce(n, 0) AS INT) AS n_scores, coalesce(total, 0) AS score_sum FROM f"""
+
+
 QUERIES = {
+    "case_rows": (case_rows, CASE_ROWS),
     "run_comparison": (run_comparison, RUN_COMPARISON),
     "atom_versions": (atom_versions, ATOM_VERSIONS),
     "retrieval_contracts": (retrieval_contracts, RETRIEVAL_CONTRACTS),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import functions as F
 
 from corpusloom.operators import metrics as m
 from corpusloom.operators import providers as p
-from corpusloom.plans.evaluation_queries import _RATES
+from corpusloom.operators import quality as q
+from corpusloom.plans.evaluation_queries import _RATES, _SCORED, _pairs
 from corpusloom.sources.tables import read_table
 
 _QUICK = p.Policy(concurrency=4, timeout_s=5.0, tries=3, backoff_s=0.0)
@@ -74,7 +76,36 @@ c AS (SELECT lang, count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p
 SELECT *, {_RATES} FROM c"""
 
 
+def fake_judge():
+    """Scores from the digits of a text's MD5; some texts fail, and some answers are no JSON."""
+
+    def answer(text: str, seconds: float) -> str:
+        digest = hashlib.md5(text.encode()).hexdigest()
+        if digest[4] == "0":
+            raise p.ApiError(503, "UNAVAILABLE", "busy")
+        if digest[5] == "0":
+            return "no json"
+        return json.dumps({name: int(digest[i], 16) % 5 + 1.0 for i, name in enumerate(("relevance", "coherence", "adaptation", "support"))})
+
+    return answer
+
+
+def judged_contents(spark, sf_dir):
+    """Documents as contents, through the heuristic, the judge and the decision."""
+    found = q.evaluate_contents(_pairs(spark, sf_dir), "doc_id", lambda rows: p.call_provider(rows, fake_judge, policy=_QUICK))
+    return found.select("doc_id", *q.SCORES, "heuristic", "semantic_status", "error_code", "semantic", "verdict")
+
+
+_DIGIT = "('0x' || substr(m, {}, 1))::INT % 5 + 1"
+JUDGED_CONTENTS = f"""{_SCORED}, h AS (SELECT r.*, CASE verdict WHEN 'aprobado' THEN 'approved' WHEN 'rechazado' THEN 'rejected' ELSE 'requires_revision' END AS heuristic, md5(text) AS m FROM r JOIN documents USING (doc_id)),
+k AS (SELECT *, CASE WHEN substr(m, 5, 1) = '0' THEN 'PROVIDER_UNAVAILABLE' WHEN substr(m, 6, 1) = '0' THEN 'INVALID_MODEL_OUTPUT' END AS error_code, least({", ".join(_DIGIT.format(i) for i in (1, 2, 3, 4))}) AS low FROM h),
+j AS (SELECT *, CASE WHEN error_code IS NULL THEN CASE WHEN low <= 2 THEN 'rejected' WHEN low < 4 THEN 'requires_revision' ELSE 'approved' END END AS semantic FROM k)
+SELECT doc_id, relevance, coherence, adaptation, support, heuristic, CASE WHEN error_code IS NULL THEN 'success' ELSE 'failed' END AS semantic_status, error_code, semantic,
+  CASE WHEN semantic IS NULL OR semantic = heuristic THEN heuristic ELSE 'requires_revision' END AS verdict FROM j"""
+
+
 QUERIES = {
+    "judged_contents": (judged_contents, JUDGED_CONTENTS),
     "provider_calls": (provider_calls, PROVIDER_CALLS),
     "autoaccepted_confusion": (autoaccepted_confusion, AUTOACCEPTED_CONFUSION),
     "autoaccepted_latencies": (autoaccepted_latencies, AUTOACCEPTED_LATENCIES),
