@@ -185,13 +185,10 @@ def string_ids(spark, sf_dir):
     name = F.concat(F.lit("d_CH_"), F.lpad(F.col("vec_id").cast("string"), 6, "0"))
     vectors = read_table(spark, sf_dir, "embeddings").select(name.alias("chunk_id"), "embedding", "label", "vec_id")
     queries = vectors.where("vec_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    found = r.vector_topk(vectors, queries, 6).where("vector_rank > 1").select(F.col("query_id").alias("case_id"), F.col("vector_rank").alias("rank"), "chunk_id")
-    payloads = m.retrieved_ids(found).withColumn("status", F.when(F.substring("case_id", -3, 3) == "050", "error").otherwise("success"))
-    labels = vectors.select("chunk_id", "label")
-    # of the relevant ids only those that were found or are counted matter, but the contract is the whole list
-    truth = labels.where(F.col("chunk_id").isNotNull()).groupBy("label").agg(F.collect_list("chunk_id").alias("relevant"))
-    truth = queries.select(F.col("query_id").alias("case_id")).join(labels, F.col("case_id") == labels["chunk_id"]).join(truth, "label").select("case_id", F.lit("all").alias("category"), "relevant")
-    return m.evaluate_cases(payloads, truth)
+    found = r.vector_topk(vectors, queries, 6).where("vector_rank > 1").select(F.col("query_id").alias("case_id"), (F.col("vector_rank") - 1).alias("rank"), "chunk_id")
+    status = F.when(F.substring("case_id", -3, 3) == "050", "error").otherwise("success")
+    cases = vectors.where("vec_id % 50 = 0").select(F.col("chunk_id").alias("case_id"), F.lit("all").alias("category"), "label").withColumn("status", status)
+    return m.evaluate_by_label(cases, found, vectors.select("chunk_id", "label"))
 
 
 STRING_IDS = """WITH v AS (SELECT 'd_CH_' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS id, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
