@@ -53,17 +53,19 @@ def evaluate_cases(payloads: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def evaluate_by_label(cases: DataFrame, results: DataFrame, labels: DataFrame) -> DataFrame:
+def evaluate_by_label(cases: DataFrame, results: DataFrame, labels: DataFrame, among: bool = False) -> DataFrame:
     """E1-E4 where the chunks (chunk_id, label) of a case's label are relevant: no list of them is made.
 
     cases: (case_id, category, status, label), each once; results: (case_id, rank from 1, chunk_id). Hits are found by joining
     the first results to their labels, and relevant chunks are counted; the metrics are those of ``evaluate_cases``.
+    With ``among`` each case is a chunk too, which is not relevant to itself.
     """
     known = labels.where("chunk_id IS NOT NULL AND label IS NOT NULL").select("chunk_id", F.col("label").alias("__label")).dropDuplicates(["chunk_id"])
     sizes = known.groupBy(F.col("__label").alias("label")).agg(F.count("*").alias("__n"))
     found = results.where("rank <= 5").join(known, "chunk_id").join(cases.where("status = 'success'").select("case_id", "label"), "case_id").where("label = __label")
     hits = found.groupBy("case_id").agg(F.count_if(F.col("rank") <= 3).alias("__h3"), F.count("*").alias("__h5"))
     rows = cases.join(sizes, "label", "left").join(hits, "case_id", "left")
+    rows = rows.withColumn("__n", F.col("__n") - int(among))
     eligible = F.col("status") != "error"
     metric = lambda h, of, name: F.when(eligible, F.round(F.coalesce(F.try_divide(F.coalesce(h, F.lit(0)), of), F.lit(0.0)), 6)).alias(name)
     return rows.select(

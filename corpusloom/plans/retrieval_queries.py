@@ -188,16 +188,16 @@ def upsert_delete(spark, sf_dir):
 UPSERT_DELETE = "SELECT doc_id AS chunk_id, source AS document_id, lang, CAST(CASE WHEN lang = 'en' THEN -length(text) ELSE length(text) END AS INT) AS n FROM documents WHERE source <> 'src0'"
 
 
-def _cases(spark, sf_dir):
-    """Payloads and truth of the vector search: errors and empty results by rule, relevance by label."""
+def _scored_cases(spark, sf_dir, skipped: int = 0):
+    """Cases of the vector search: errors and empty results by rule, relevance by label; the first results can be skipped."""
     vectors = _vectors(spark, sf_dir)
-    queries = vectors.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    found = r.vector_topk(vectors, queries, 6).where("vector_rank > 1").select(F.col("query_id").alias("case_id"), (F.col("vector_rank") - 1).alias("rank"), "chunk_id")
-    payloads = m.retrieved_ids(found).withColumn("status", F.expr("CASE WHEN case_id % 150 = 0 THEN 'error' WHEN case_id % 200 = 0 THEN 'no_results' ELSE 'success' END"))
-    labels = vectors.select("chunk_id", "label")
-    truth = labels.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("case_id"), "label").join(labels, "label").where("case_id <> chunk_id")
-    truth = truth.groupBy("case_id", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("category")).agg(F.collect_list("chunk_id").alias("relevant"))
-    return payloads, truth
+    asked = vectors.where("chunk_id % 50 = 0")
+    found = r.vector_topk(vectors, asked.select(F.col("chunk_id").alias("query_id"), "embedding"), 6).where("vector_rank > 1")
+    found = found.select(F.col("query_id").alias("case_id"), (F.col("vector_rank") - 1 - skipped).alias("rank"), "chunk_id").where("rank > 0")
+    status = F.expr("CASE WHEN case_id % 150 = 0 THEN 'error' WHEN case_id % 200 = 0 THEN 'no_results' ELSE 'success' END")
+    category = F.concat(F.lit("c"), (F.col("label") % 3).cast("string"))
+    cases = asked.select(F.col("chunk_id").alias("case_id"), category.alias("category"), "label").withColumn("status", status)
+    return m.evaluate_by_label(cases, found, vectors.select("chunk_id", "label"), among=True)
 
 
 _EVAL = f"""WITH {_vec(_VECTOR_QUERIES, 6)}, p AS (SELECT query_id AS case_id, list(chunk_id ORDER BY vector_rank) AS ret, CASE WHEN query_id % 150 = 0 THEN 'error' WHEN query_id % 200 = 0 THEN 'no_results' ELSE 'success' END AS status FROM ve WHERE vector_rank > 1 GROUP BY query_id),
@@ -209,28 +209,28 @@ for _k in (3, 5):
 
 
 def recall_precision(spark, sf_dir):
-    return m.evaluate_cases(*_cases(spark, sf_dir)).withColumn("failure", m.failure_class(F.col("recall_at_5")))
+    return _scored_cases(spark, sf_dir).withColumn("failure", m.failure_class(F.col("recall_at_5")))
 
 
 RECALL_PRECISION = f"{_EVAL} SELECT *, CASE WHEN recall_at_5 = 0 THEN 'total_failure' WHEN recall_at_5 < 1 THEN 'partial_retrieval' WHEN recall_at_5 IS NOT NULL THEN 'complete_retrieval' ELSE 'complete_retrieval' END AS failure FROM ev"
 
 
 def metric_summary(spark, sf_dir):
-    return m.metric_summary(m.evaluate_cases(*_cases(spark, sf_dir)))
+    return m.metric_summary(_scored_cases(spark, sf_dir))
 
 
 METRIC_SUMMARY = _EVAL + " UNION ALL ".join(f" SELECT '{x}' AS metric, round(avg({x}), 6) AS mean FROM ev WHERE eligible" for x in m.METRICS)
 
 
 def status_summary(spark, sf_dir):
-    return m.status_summary(m.evaluate_cases(*_cases(spark, sf_dir)))
+    return m.status_summary(_scored_cases(spark, sf_dir))
 
 
 STATUS_SUMMARY = f"{_EVAL} SELECT status, count(*) AS cases, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM ev GROUP BY status"
 
 
 def category_summary(spark, sf_dir):
-    return m.category_summary(m.evaluate_cases(*_cases(spark, sf_dir)))
+    return m.category_summary(_scored_cases(spark, sf_dir))
 
 
 CATEGORY_SUMMARY = f"{_EVAL} SELECT category, count(*) AS cases, {', '.join(f'round(avg({x}), 6) AS {x}' for x in m.METRICS)} FROM ev WHERE eligible GROUP BY category"
@@ -389,9 +389,7 @@ SELECT *, CASE WHEN cross_rank <= 5 THEN 'retrieved_in_final_top5' WHEN vector_r
 
 def category_deltas(spark, sf_dir):
     """The vector search against itself without the first hit."""
-    payloads, truth = _cases(spark, sf_dir)
-    before = m.category_summary(m.evaluate_cases(payloads, truth))
-    after = m.category_summary(m.evaluate_cases(payloads.withColumn("retrieved", F.slice("retrieved", 2, 100)), truth))
+    before, after = m.category_summary(_scored_cases(spark, sf_dir)), m.category_summary(_scored_cases(spark, sf_dir, 1))
     return m.category_deltas(before, after)
 
 
@@ -402,9 +400,8 @@ SELECT a.*, {', '.join(f'{x}_before' for x in m.METRICS)}, {', '.join(f'round({x
 
 def condition_pivot(spark, sf_dir):
     """Recall of two cuts of the ranking side by side."""
-    payloads, truth = _cases(spark, sf_dir)
-    rows = m.evaluate_cases(payloads, truth).select("case_id", F.lit("full").alias("condition"), "recall_at_5")
-    rows = rows.unionByName(m.evaluate_cases(payloads.withColumn("retrieved", F.slice("retrieved", 2, 100)), truth).select("case_id", F.lit("cut").alias("condition"), "recall_at_5"))
+    rows = [_scored_cases(spark, sf_dir, n).select("case_id", F.lit(name).alias("condition"), "recall_at_5") for name, n in (("full", 0), ("cut", 1))]
+    rows = rows[0].unionByName(rows[1])
     return m.condition_pivot(rows, ["full", "cut"], "recall_at_5")
 
 
