@@ -37,7 +37,7 @@ LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 #: Terms of a shard, and sources of a tile, about.
 SHARD_TERMS, TILE_SOURCES = 1 << 14, 128
 #: Bytes of text worked on at a time, of shards in one broadcast block, and of dense counts that a task holds.
-SLICE_BYTES, BLOCK_BYTES, DENSE_BYTES = 4 << 20, 32 << 20, 128 << 20
+SLICE_BYTES, BLOCK_BYTES, DENSE_BYTES = 2 << 20, 32 << 20, 48 << 20
 #: Rows of one Arrow batch of counts.
 ROWS_AT_ONCE = 1 << 16
 #: Bits a term of a level, and levels; terms that are left share all their hashes and are found by their bytes.
