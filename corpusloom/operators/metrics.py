@@ -119,9 +119,33 @@ def evidence_matches(keywords: Column, text: Column) -> Column:
     return t.let(t.retrieval_key(text), lambda body: F.filter(keywords, lambda k: F.contains(body, t.retrieval_key(k))))
 
 
+_WORD = r"[\p{L}\p{N}_]+"
+
+
+def _no_two_equal(keys: Column) -> Column:
+    return (F.size(F.array_distinct(keys)) == F.size(keys)) & F.forall(keys, lambda k: k.isNotNull())
+
+
+def _held(keys: Column, body: Column) -> Column:
+    """How many of the keys, normalised, the normalised body holds.
+
+    Keys that are words of the body are told by hashing; a word that is none of them can only be within a longer word, so
+    the others are looked for in those alone, and keys that are no words in the body.
+    """
+    def count(z: Column) -> Column:
+        longer = lambda r: t.let(F.array_min(F.transform(r, F.length)), lambda n: F.filter(z.words, lambda w: F.length(w) > n))
+        seek = lambda r: F.size(F.filter(r.rest, lambda k: F.contains(F.when(k.rlike(f"^{_WORD}$"), r.longer).otherwise(z.body), k)))
+        rest = t.let(F.array_except(z["keys"], z.words), lambda r: t.let(F.struct(r.alias("rest"), F.array_join(longer(r), " ").alias("longer")), seek))
+        hashed = F.size(F.array_intersect(z["keys"], z.words)) + rest
+        return F.when(_no_two_equal(z["keys"]), hashed).otherwise(F.size(F.filter(z["keys"], lambda k: F.contains(z.body, k))))
+
+    both = t.let(body, lambda x: F.struct(keys.alias("keys"), x.alias("body"), F.array_distinct(F.regexp_extract_all(x, F.lit(_WORD), F.lit(0))).alias("words")))
+    return t.let(both, lambda z: F.when(z.body.isNull(), 0).otherwise(count(z)))
+
+
 def evidence_coverage(keywords: Column, text: Column) -> Column:
     n = F.size(keywords)
-    return F.when(n > 0, F.size(evidence_matches(keywords, text)) / n).otherwise(0.0)
+    return F.when(n > 0, _held(t.retrieval_keys(keywords), t.retrieval_key(text)) / n).otherwise(0.0)
 
 
 def token_recall(reference: Column, retrieved: Column) -> Column:
@@ -136,32 +160,56 @@ def lexical_overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t.diagnosis_tokens(text))) / F.size(q)).otherwise(0.0)
 
 
-def running_coverage(rankings: DataFrame) -> DataFrame:
-    """Coverage of the joined texts up to each rank, and the first ranks with any and with enough.
+def list_coverage(cases: DataFrame) -> DataFrame:
+    """E22, E23, E24, E29 of cases (case_id, keywords, texts, ...), the texts in the order of their ranks.
 
-    rankings: (case_id, rank, text, keywords), the keywords those of the case. The texts are joined before they are
-    searched, so a keyword that spans two of them counts: each keyword is looked up once in all the texts, and is held
-    by those ranks at which its first occurrence has ended. A case's ranking is one row meanwhile, as one document is.
+    Adds ``covered``, an array of (coverage, running) of each text, and ``any_at`` and ``enough_at``, the first places from 1
+    with any and with enough. The texts are joined before they are searched, so a keyword that spans two of them counts:
+    each keyword is looked up once in all the texts, and is held by those places at which its first occurrence has
+    ended. A case is one row, as one document is, and has its keywords once.
     """
-    others = [c for c in rankings.columns if c not in ("case_id", "rank")]
     key = lambda c: F.coalesce(t.retrieval_key(c), F.lit(""))
-    rows = rankings.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", *others))).alias("__r"), F.first("keywords").alias("__keywords"))
-    rows = t.bind(rows, __k=F.transform("__keywords", t.retrieval_key), __t=F.transform("__r", lambda r: key(r.text)))
+    rows = t.bind(cases, __k=t.retrieval_keys(F.col("keywords")), __t=F.transform("texts", key))
+    rows = t.bind(rows, __w=F.transform("__t", lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(_WORD), F.lit(0)))))
+    # a keyword that is a word, and not within a longer word of the case, is told by hashing; the others are loose
+    plain = F.when(_no_two_equal(F.col("__k")), F.filter("__k", lambda k: k.rlike(f"^{_WORD}$"))).otherwise(F.filter("__k", lambda k: F.lit(False)))
+    rows = t.bind(rows, __v=F.array_distinct(F.flatten("__w")), __plain=plain)
+    rows = t.bind(rows, __least=F.array_min(F.transform("__plain", F.length)))
+    rows = t.bind(rows, __longer=F.filter("__v", lambda w: F.length(w) > F.col("__least")))
+    inside = F.concat_ws(" ", F.transform("__longer", lambda w: F.substring(w, F.lit(2), F.length(w))), F.transform("__longer", lambda w: F.substring(w, F.lit(1), F.length(w) - 1)))
+    rows = t.bind(rows.drop("__v", "__least"), __inside=inside)
+    rows = t.bind(rows, __tight=F.filter("__plain", lambda k: ~F.contains("__inside", k)))
+    rows = t.bind(rows, __loose=F.when(F.size("__tight") == 0, F.col("__k")).otherwise(F.array_except("__k", "__tight")))
     last = lambda e: F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0))
     step = lambda e, x: F.array_append(e, last(e) + F.length(x) + ((last(e) > 0) & (x != "")).cast("int"))
     whole = F.array_join(F.filter("__t", lambda x: x != ""), " ")
-    rows = t.bind(rows, __to=F.aggregate("__t", F.array().cast("array<int>"), step), __whole=whole)
-    found = F.transform("__k", lambda k: F.struct(F.instr("__whole", k).alias("at"), F.length(k).alias("n")))
+    left = lambda s, w: t.let(F.array_except(s.rest, w), lambda r: F.struct(r.alias("rest"), F.array_append(s.left, F.size(r)).alias("left")))
+    start = F.struct(F.col("__tight").alias("rest"), F.array().cast("array<int>").alias("left"))
+    rows = t.bind(rows, __to=F.aggregate("__t", F.array().cast("array<int>"), step), __whole=whole, __left=F.aggregate("__w", start, left, lambda s: s.left))
+    found = F.transform("__loose", lambda k: F.struct(F.instr("__whole", k).alias("at"), F.length(k).alias("n")))
     rows = t.bind(rows, __ends=F.transform(F.filter(found, lambda x: x.at > 0), lambda x: x.at + x.n - 1))
-    share = lambda held: F.when(F.size("__k") > 0, F.size(held) / F.size("__k")).otherwise(0.0)
-    scored = F.transform("__r", lambda r, i: F.struct(
-        *[r[c].alias(c) for c in ("rank", *others)], share(F.filter("__k", lambda k: F.contains(F.get("__t", i), k))).alias("coverage"),
-        share(F.filter("__ends", lambda e: e <= F.get("__to", i))).alias("running"),
-    ))
-    rows = t.bind(rows.select("case_id", "__r", "__k", "__t", "__to", "__ends"), __s=scored)
-    first = lambda held: F.array_min(F.transform(F.filter("__s", held), lambda x: x.rank))
-    return rows.select("case_id", first(lambda x: x.coverage > 0).alias("first_any"), first(lambda x: x.running >= EVIDENCE_HIT).alias("first_enough"), F.explode("__s").alias("__x")).select(
-        "case_id", "__x.*", "first_any", "first_enough"
+    share = lambda n: F.when(F.size("__k") > 0, n / F.size("__k")).otherwise(0.0)
+    here = lambda x, i: F.size(F.array_intersect(F.get("__w", i), F.col("__tight"))) + F.size(F.filter("__loose", lambda k: F.contains(x, k)))
+    upto = lambda i: F.size("__tight") - F.get("__left", i) + F.size(F.filter("__ends", lambda e: e <= F.get("__to", i)))
+    rows = t.bind(rows, covered=F.transform("__t", lambda x, i: F.struct(share(here(x, i)).alias("coverage"), share(upto(i)).alias("running"))))
+    first = lambda held: F.nullif(F.array_position(F.transform("covered", held), F.lit(True)), F.lit(0)).cast("int")
+    rows = t.bind(rows, any_at=first(lambda x: x.coverage > 0), enough_at=first(lambda x: x.running >= EVIDENCE_HIT))
+    return rows.select(*cases.columns, "covered", "any_at", "enough_at")
+
+
+def running_coverage(rankings: DataFrame) -> DataFrame:
+    """Coverage of the joined texts up to each rank, and the first ranks with any and with enough.
+
+    rankings: (case_id, rank, text, keywords), the keywords those of the case. A case's ranking is one row meanwhile; see
+    ``list_coverage``, which takes cases that are such rows already.
+    """
+    others = [c for c in rankings.columns if c not in ("case_id", "rank", "keywords")]
+    rows = rankings.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", *others))).alias("__r"), F.first("keywords").alias("keywords"))
+    rows = list_coverage(rows.withColumn("texts", F.transform("__r", lambda r: r.text)))
+    scored = F.transform("__r", lambda r, i: F.struct(*[r[c].alias(c) for c in ("rank", *others)], F.get("covered", i).coverage.alias("coverage"), F.get("covered", i).running.alias("running")))
+    at = lambda place: F.get("__r", F.col(place) - 1).rank
+    return rows.select("case_id", "keywords", at("any_at").alias("first_any"), at("enough_at").alias("first_enough"), F.explode(scored).alias("__x")).select(
+        "case_id", "__x.*", "keywords", "first_any", "first_enough"
     )
 
 
@@ -243,9 +291,17 @@ def condition_pivot(rows: DataFrame, conditions: list[str], metric: str) -> Data
     return rows.groupBy("case_id").pivot("condition", conditions).agg(F.first(metric))
 
 
+#: Cases whose first characters are the same are joined first, so that a cause is put together of pieces.
+CASE_PREFIX = 6
+
+
 def cause_summary(rows: DataFrame, cause: str, case: str, group: str) -> DataFrame:
     """Cases of each cause, joined in order, and its distinct groups, sorted."""
-    return rows.groupBy(cause).agg(F.count("*").alias("cases"), F.array_join(F.array_sort(F.collect_list(case)), ";").alias("case_ids"), F.array_join(F.array_sort(F.collect_set(group)), ";").alias("groups"))
+    prefix = F.substring(F.col(case).cast("string"), 1, CASE_PREFIX)
+    ids = F.array_join(F.array_sort(F.collect_list(case)), ";")
+    pieces = rows.groupBy(cause, prefix.alias("__prefix")).agg(F.count("*").alias("__n"), F.when(F.count(case) > 0, F.struct(F.col("__prefix").alias("p"), ids.alias("ids"))).alias("__piece"), F.collect_set(group).alias("__groups"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("__piece")), lambda x: x.ids), ";")
+    return pieces.groupBy(cause).agg(F.sum("__n").alias("cases"), joined.alias("case_ids"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__groups")))), ";").alias("groups"))
 
 
 def crosstab(rows: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
