@@ -299,9 +299,10 @@ def term_reasons(contents: DataFrame, key: str, presentation: list[str]) -> Data
     # sets are told by hashed differences; each term is then looked up among the few that are left
     sets = t.bind(terms.select(key, "__own", "__source", "__context"), __missing=F.array_except("__own", "__source"))
     sets = t.bind(sets, __alone=F.array_except("__missing", "__context"))
-    each = sets.select(key, "__missing", "__alone", F.explode("__own").alias("term")).groupBy(key, "term", "__missing", "__alone").agg(F.count("*").alias("n"))
-    reason = F.when(~F.array_contains("__missing", F.col("term")), "source").when(~F.array_contains("__alone", F.col("term")), "context").when(F.array_contains(form, F.col("term")), "presentation").otherwise("unsupported")
-    return each.select(key, "term", "n", reason.alias("reason"))
+    reason = lambda x: F.when(~F.array_contains("__missing", x), "source").when(~F.array_contains("__alone", x), "context").when(F.array_contains(form, x), "presentation").otherwise("unsupported")
+    # the reason goes with the term, so that no row of a term has the lists of its content
+    each = sets.select(key, F.explode(F.transform("__own", lambda x: F.struct(x.alias("term"), reason(x).alias("reason")))).alias("x"))
+    return each.groupBy(key, "x.term", "x.reason").agg(F.count("*").alias("n")).select(key, "term", "n", "reason")
 
 
 def variant_ratios(reasons: DataFrame, key: str) -> DataFrame:
