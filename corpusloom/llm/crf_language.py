@@ -38,6 +38,8 @@ AFFIXES = (1, 2, 3, 4)
 CHUNK = 32
 #: Bytes of text labelled at a time; forward-backward holds many numbers a word.
 SLICE_BYTES = 1 << 20
+#: Runs of words whose tables are held at once in training.
+PIECE_RUNS = 50
 UNKNOWN = "und"
 
 
@@ -131,6 +133,16 @@ class Crf:
         return p, (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
+def in_pieces(model: Crf, emissions: np.ndarray, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``marginals`` of the emissions of coded words, some runs at a time: each is on its own, and the driver holds the tables of one piece."""
+    p, moves = np.empty((len(code), len(model.languages))), np.zeros_like(model.transitions)
+    for first in range(0, len(at) - 1, PIECE_RUNS):
+        some = at[first : first + PIECE_RUNS + 1]
+        p[some[0] : some[-1]], more = model.marginals(emissions[code[some[0] : some[-1]]], some - some[0])
+        moves += more
+    return p, moves
+
+
 def fit_crf(texts: list[str], languages: list[str], epochs: int = 4, seed: int = 5) -> Crf:
     """Learn weights and transitions from whole texts with one language each."""
     names = sorted(set(languages))
@@ -167,7 +179,7 @@ def fit_crf(texts: list[str], languages: list[str], epochs: int = 4, seed: int =
             code_, label_ = code[mixed], label[mixed]
             at = np.append(np.arange(0, len(code), 400), len(code))
             emissions = np.column_stack([np.bincount(owner, model.weights[buckets, y], minlength=n) for y in range(k)])
-            p, moves = model.marginals(emissions[code_], at)
+            p, moves = in_pieces(model, emissions, code_, at)
             wrong = -p
             wrong[np.arange(len(p)), label_] += 1
             per_word = np.column_stack([np.bincount(code_, wrong[:, y], minlength=n) for y in range(k)])
