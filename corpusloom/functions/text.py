@@ -79,24 +79,35 @@ def _ascii(c: Column) -> Column:
 def _by_parts(c: Column, pattern: str, table: dict[str, str]) -> Column:
     """The text with each of the parts that the pattern finds replaced by the table; only for texts that have such parts.
 
-    What lies between two of them is one part, as each part is looked for in the whole table.
+    What lies between two of them is one part; parts no longer than the longest of the table are looked for in it.
     """
     known = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?:{pattern})|(?:(?!{pattern}).)++"), F.lit(0)), lambda x: F.coalesce(F.try_element_at(known, x), x)), "")
+    longest = max(map(len, table))
+    told = lambda x: F.when(F.length(x) <= longest, F.coalesce(F.try_element_at(known, x), x)).otherwise(x)
+    # a part has a sign beyond ASCII at its start or next to it, so signs between two of ASCII are passed without the pattern
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(rf"(?s)(?:{pattern})|(?:[\x00-\x7F](?=[\x00-\x7F]|\z)|(?!{pattern}).)++"), F.lit(0)), told), "")
 
 
 def _one_of(characters) -> str:
-    """A class of characters, by their runs of code points."""
+    """A class of characters, by their runs of code points: a tree, as a class tries its runs one by one."""
     points = sorted(map(ord, characters))
-    runs = [p for p, before in zip(points, [-2, *points]) if p != before + 1], [p for p, after in zip(points, [*points[1:], -2]) if after != p + 1]
-    return "[" + "".join(f"\\x{{{p:X}}}-\\x{{{q:X}}}" for p, q in zip(*runs)) + "]"
+    runs = list(zip([p for p, before in zip(points, [-2, *points]) if p != before + 1], [p for p, after in zip(points, [*points[1:], -2]) if after != p + 1]))
+    span = lambda p, q: f"\\x{{{p:X}}}-\\x{{{q:X}}}"
+
+    def tree(some) -> str:
+        if len(some) <= 4:
+            return "".join(span(*r) for r in some)
+        half = len(some) // 2
+        return "".join(f"[{span(part[0][0], part[-1][1])}&&[{tree(part)}]]" for part in (some[:half], some[half:]))
+
+    return f"[{tree(runs)}]"
 
 
 def _rewritten(c: Column, one: str, others: str, several: dict[str, str], then) -> Column:
     """Characters rewritten one by one; texts of Latin letters alone, as most are, by a table of those."""
     small = [(x, y) for x, y in zip_longest(one, others) if ord(x) < _LATIN]
     small.sort(key=lambda xy: xy[1] is None)
-    latin = "[^" + _one_of(set(map(chr, range(_LATIN))) - set(several))[1:-1] + "\\x{2012}-\\x{2015}\\x{2018}-\\x{201F}]"
+    latin = f"[[^\\x00-\\x7F]&&[^{_one_of(set(map(chr, range(_LATIN))) - set(several))}\\x{{2012}}-\\x{{2015}}\\x{{2018}}-\\x{{201F}}]]"
 
     def all_of(x: Column) -> Column:
         parts = F.when(x.rlike(_one_of(several)), _by_parts(x, _one_of(several), several)).otherwise(x)
@@ -133,7 +144,8 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    # single spaces stay as they are, and only spaces are left at the ends
+    return F.trim(F.regexp_replace(c, r"\s{2,}|[^\S ]", " "))
 
 
 def clean_text(c: Column) -> Column:
@@ -248,8 +260,7 @@ def diagnosis_key(c: Column) -> Column:
 
 def diagnosis_tokens(c: Column) -> Column:
     """The distinct tokens of more than two characters that are no stop words."""
-    stop = F.array(*map(F.lit, DIAGNOSIS_STOPWORDS))
-    return F.array_distinct(F.filter(F.split(diagnosis_key(c), " "), lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x)))
+    return F.filter(F.array_distinct(F.split(diagnosis_key(c), " ")), lambda x: (F.length(x) > 2) & ~x.isin(*DIAGNOSIS_STOPWORDS))
 
 
 def words(c: Column) -> Column:
@@ -264,8 +275,7 @@ def plain_words(c: Column) -> Column:
 
 def significant_words(c: Column) -> Column:
     """Words of more than three characters that are no stop words, with repetitions."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(plain_words(c), lambda x: (F.length(x) > 3) & ~F.array_contains(stop, x))
+    return F.filter(plain_words(c), lambda x: (F.length(x) > 3) & ~x.isin(*STOPWORDS))
 
 
 def singular(token: Column) -> Column:
@@ -281,8 +291,11 @@ _BETWEEN = "\x1f"
 
 def _over_words(words: Column, rewrite) -> Column:
     """A list of words after a rewriting that keeps their borders: one pass over all of them, not one a word."""
-    joined = F.array_join(F.filter(words, lambda x: x.isNotNull()), _BETWEEN)
-    return F.when(F.size(words) > 0, F.split(rewrite(joined), _BETWEEN)).when(words.isNotNull(), F.array().cast("array<string>"))
+    def whole(w: Column) -> Column:
+        joined = F.array_join(F.filter(w, lambda x: x.isNotNull()), _BETWEEN)
+        return F.when(F.size(w) > 0, F.split(rewrite(joined), _BETWEEN)).when(w.isNotNull(), F.array().cast("array<string>"))
+
+    return let(words, whole)
 
 
 def singular_words(words: Column) -> Column:
@@ -314,7 +327,7 @@ def stem(token: Column) -> Column:
 def normalize_terms(terms: Column) -> Column:
     """Stems of the terms that are not neutral, each once, in order of first occurrence."""
     neutral = F.array(*map(F.lit, NEUTRAL_TERMS))
-    plain = _over_words(terms, lambda c: strip_accents(F.lower(c)))
+    plain = _over_words(F.array_distinct(terms), lambda c: strip_accents(F.lower(c)))
     kept = F.filter(plain, lambda x: ~F.array_contains(neutral, x))
     return F.array_distinct(F.filter(_over_words(kept, _cut_endings), lambda x: x != ""))
 
@@ -372,5 +385,5 @@ def as_bool(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays as sets; 1 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    share = lambda z: F.when(z.n == 0, 1.0).otherwise(F.size(F.array_intersect(z.a, z.b)) / z.n)
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: let(F.struct(x.a.alias("a"), x.b.alias("b"), F.size(F.array_union(x.a, x.b)).alias("n")), share))
