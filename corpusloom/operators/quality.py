@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions import text as t
 
@@ -29,13 +31,21 @@ def evaluable_text(units: Column) -> Column:
     return F.array_join(F.transform(units, lambda u: u.text), " ")
 
 
+#: Missing terms that are looked up one by one.
+FEW_TERMS = 32
+
+
 def support_ratio(terms: Column, source_terms: Column) -> Column:
     """Share of the occurrences of terms that the source lacks; null without terms."""
     def share(z: Column) -> Column:
-        missing = F.size(F.filter(z.terms, lambda x: F.array_contains(z.missing, x)))
-        return F.when(F.size(z.terms) > 0, missing / F.size(z.terms))
-
-    # array_except hashes; only the few distinct terms that are missing are then looked up one by one
+        few = F.size(F.filter(z.terms, lambda x: F.array_contains(z.missing, x)))
+        # of many, each is followed by its occurrences in one sorted list
+        marked = F.array_sort(F.concat(F.transform(z.missing, lambda x: F.struct(x.alias("t"), F.lit(0).alias("own"))), F.transform(z.terms, lambda x: F.struct(x.alias("t"), F.lit(1).alias("own")))))
+        step = lambda s, x: F.when(x.own == 0, F.struct(x.t.alias("t"), s.n.alias("n"))).otherwise(F.struct(s.t.alias("t"), (s.n + F.coalesce((s.t == x.t).cast("int"), F.lit(0))).alias("n")))
+        many = F.aggregate(marked, F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n")), step, lambda s: s.n)
+        return F.when(F.size(z.terms) > 0, F.when(F.size(z.missing) <= FEW_TERMS, few).otherwise(many) / F.size(z.terms))
+
+    # array_except hashes
     both = t.let(terms, lambda x: F.struct(x.alias("terms"), F.array_except(x, source_terms).alias("missing")))
     return t.let(both, share)
 
@@ -343,27 +353,41 @@ def evaluation_response(rows: DataFrame, evaluator_version: str, rubric_version:
     return rows.select("document_id", response.alias("response"))
 
 
+def _routed(kept: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The claims of a stream sorted by case, sources first, with the shares of their terms that the source lacks."""
+    known: dict = {}
+    for batch in batches:
+        cases, own = batch.column("case_id").to_pylist(), batch.column("__own").to_pylist()
+        shares = []
+        for router in ("legacy", "normalized"):
+            found = []
+            for i, terms in enumerate(batch.column(f"__{router}").to_pylist()):
+                if known.get(router, (None, None))[0] != cases[i]:
+                    known[router] = (cases[i], set())
+                if own[i] == 0:
+                    known[router][1].update(terms)
+                else:
+                    found.append(sum(x not in known[router][1] for x in terms) / len(terms) if terms and cases[i] is not None else None)
+            shares.append(pa.array(found, pa.float64()))
+        claims = batch.filter(pa.array([x == 1 for x in own], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*(claims.column(c) for c in kept), *shares], names=[*kept, "legacy_ratio", "normalized_ratio"])
+
+
 def route_claims(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """Claims (case_id, claim_id, role, text) with the ratio, status and review flag of two routers: legacy and normalized.
 
-    sources: (case_id, source_text). Terms are rows, looked up among the distinct terms of the case's source by a
-    join, so neither a case of many claims nor a long source is held at once; legacy counts the occurrences of a
-    term, normalized its distinct stems. A claim without terms, or of null text, has no ratio and is supported; in a
-    case without a source nothing is supported.
+    sources: (case_id, source_text), any number a case. The texts of a case come as one stream, its sources first, of which
+    only the terms are held, so a case can have any number of claims and no term is a row; legacy counts the
+    occurrences of a term, normalized its distinct stems. A claim without terms, without a case, or of null text has no ratio and
+    is supported; in a case without a source nothing is supported.
     """
-    def both(column: str):
-        words = t.significant_words(F.coalesce(F.col(column), F.lit("")))
-        return t.let(words, lambda x: F.array(F.struct(F.lit("legacy").alias("router"), x.alias("terms")), F.struct(F.lit("normalized").alias("router"), t.normalize_terms(x).alias("terms"))))
-
-    def terms(df: DataFrame, column: str, *keys: str) -> DataFrame:
-        return df.select(*keys, F.explode(both(column)).alias("x")).select(*keys, "x.router", F.explode("x.terms").alias("term"))
-
-    known = terms(sources, "source_text", "case_id").distinct().withColumn("known", F.lit(True))
-    own = terms(claims, "text", "case_id", "claim_id").groupBy("case_id", "claim_id", "router", "term").agg(F.count("*").alias("n"))
-    share = lambda router: F.sum(F.when((F.col("router") == router) & F.col("known").isNull(), F.col("n"))) / F.sum(F.when(F.col("router") == router, F.col("n")))
-    has = lambda router: F.count_if(F.col("router") == router) > 0
-    ratios = own.join(known, ["case_id", "router", "term"], "left").groupBy("case_id", "claim_id").agg(*[F.when(has(r), F.coalesce(share(r), F.lit(0.0))).alias(f"{r}_ratio") for r in ("legacy", "normalized")])
-    rows = claims.join(ratios, ["case_id", "claim_id"], "left")
+    stream = claims.withColumn("__own", F.lit(1)).unionByName(sources.select("case_id", F.col("source_text").alias("__text"), F.lit(0).alias("__own")), allowMissingColumns=True)
+    stream = stream.repartition("case_id").sortWithinPartitions("case_id", "__own")
+    text = F.coalesce(F.when(F.col("__own") == 1, F.col("text")).otherwise(F.col("__text")), F.lit(""))
+    words = t.bind(stream, __legacy=t.let(t.significant_words(text), lambda x: F.when(F.col("__own") == 1, x).otherwise(F.array_distinct(x))))
+    words = words.select(*claims.columns, "__own", "__legacy", t.normalize_terms(F.col("__legacy")).alias("__normalized"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in claims.schema), *(T.StructField(f"{r}_ratio", T.DoubleType()) for r in ("legacy", "normalized"))])
+    rows = words.mapInArrow(partial(_routed, claims.columns), schema)
     for router in ("legacy", "normalized"):
         status = lexical_status(F.col(f"{router}_ratio"))
         rows = rows.withColumn(f"{router}_status", status).withColumn(f"{router}_review", F.coalesce(requires_review(F.col("role"), F.col(f"{router}_status")), F.lit(False)))

@@ -17,9 +17,26 @@ from corpusloom.operators.chunking import structural_units
 from corpusloom.sources.tables import read_table
 
 
+#: Ids of a run: documents of one source and language are put in order run by run, so that no task has all of them.
+_RUN = 1 << 13
+
+
+def _with_next(docs):
+    """The documents with ``__after``, the text of the next one of the same source and language, by id."""
+    docs = docs.withColumn("__run", F.struct("source", "lang", F.floor(F.col("doc_id") / _RUN).alias("n")))
+    within = Window.partitionBy("__run").orderBy("doc_id")
+    rows = docs.withColumn("__next", F.lead(F.struct("text")).over(within))
+    # the last of a run is followed by the first of the next one
+    firsts = docs.select("__run", "text", F.row_number().over(within).alias("__at")).where("__at = 1")
+    runs = Window.partitionBy("__run.source", "__run.lang").orderBy("__run.n")
+    firsts = firsts.select("__run", F.lead(F.struct("text")).over(runs).alias("__other"))
+    after = F.when(F.col("__next").isNotNull(), F.col("__next.text")).otherwise(F.col("__other.text"))
+    return rows.join(firsts, "__run", "left").withColumn("__after", after).drop("__run", "__next", "__other")
+
+
 def _pairs(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    nxt = F.lead("text").over(Window.partitionBy("source", "lang").orderBy("doc_id"))
+    docs = _with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    nxt = F.col("__after")
     return docs.select(
         "doc_id", "source", "lang", F.col("text").alias("content_text"), F.col("text").alias("factual_text"), F.concat(F.col("text").substr(F.lit(1), (F.length("text") * 3 / 4).cast("int")), F.lit(" "), F.coalesce(nxt, F.lit(""))).alias("source_text"),
         F.when(F.col("lang") == "en", F.coalesce(nxt, F.lit(""))).otherwise("generic niche words").alias("context"), F.when(F.col("doc_id") % 2 == 0, "Principiante").otherwise("experto").alias("profile"), F.when(F.col("doc_id") % 3 == 0, "high").alias("detail_level"),
@@ -63,8 +80,9 @@ SELECT doc_id, heuristic, semantic, CASE WHEN semantic IS NULL THEN hh WHEN hh I
 
 def lexical_support(spark, sf_dir):
     """Raw and stemmed support of each document by its source."""
-    raw, source = t.significant_words(F.col("factual_text")), t.significant_words(F.col("source_text"))
-    rows = _pairs(spark, sf_dir).select("doc_id", q.support_ratio(raw, F.array_distinct(source)).alias("legacy"), q.support_ratio(t.normalize_terms(raw), t.normalize_terms(source)).alias("normalized"))
+    words = {"__own": t.significant_words(F.col("factual_text")), "__source": F.array_distinct(t.significant_words(F.col("source_text")))}
+    rows = t.bind(_pairs(spark, sf_dir).select("doc_id", "factual_text", "source_text"), **words)
+    rows = rows.select("doc_id", q.support_ratio(F.col("__own"), F.col("__source")).alias("legacy"), q.support_ratio(t.normalize_terms(F.col("__own")), t.normalize_terms(F.col("__source"))).alias("normalized"))
     return rows.select("doc_id", F.round("legacy", 6).alias("legacy"), F.round("normalized", 6).alias("normalized"), q.lexical_status(F.col("legacy")).alias("legacy_status"), q.lexical_status(F.col("normalized")).alias("normalized_status"))
 
 
