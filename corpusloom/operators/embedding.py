@@ -56,8 +56,9 @@ def hashed_counts(rows: DataFrame, text: str = "text", width: int = WIDTH) -> Da
 def feature_embeddings(rows: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """Adds ``embedding``, the signed counts of the words in ``width`` dimensions at unit length; empty texts have zeros."""
     norm = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    unit = F.transform("counts", lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
-    return hashed_counts(rows, text, width).withColumn("embedding", unit).drop("counts")
+    # bound first: within the lambda the length would be summed anew for every element
+    counted = t.bind(hashed_counts(rows, text, width), __norm=F.greatest(norm, F.lit(1.0)))  # of whole numbers: 0 or at least 1
+    return counted.withColumn("embedding", F.transform("counts", lambda x: (x / F.col("__norm")).cast("float"))).drop("counts", "__norm")
 
 
 def read_store(spark: SparkSession, path: str, schema) -> DataFrame:
