@@ -144,20 +144,17 @@ def _held(keys: Column, body: Column) -> Column:
 
 
 def evidence_coverage(keywords: Column, text: Column) -> Column:
-    n = F.size(keywords)
-    return F.when(n > 0, _held(t.retrieval_keys(keywords), t.retrieval_key(text)) / n).otherwise(0.0)
+    return t.let(keywords, lambda k: F.when(F.size(k) > 0, _held(t.retrieval_keys(k), t.retrieval_key(text)) / F.size(k)).otherwise(0.0))
 
 
 def token_recall(reference: Column, retrieved: Column) -> Column:
     """Share of the reference's distinct tokens that the retrieved text has."""
-    a = F.array_distinct(t.plain_words(reference))
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, t.plain_words(retrieved))) / F.size(a)).otherwise(0.0)
+    return t.let(F.array_distinct(t.plain_words(reference)), lambda a: F.when(F.size(a) > 0, F.size(F.array_intersect(a, t.plain_words(retrieved))) / F.size(a)).otherwise(0.0))
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:
     """E30."""
-    q = t.diagnosis_tokens(query)
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t.diagnosis_tokens(text))) / F.size(q)).otherwise(0.0)
+    return t.let(t.diagnosis_tokens(query), lambda q: F.when(F.size(q) > 0, F.size(F.array_intersect(q, t.diagnosis_tokens(text))) / F.size(q)).otherwise(0.0))
 
 
 def list_coverage(cases: DataFrame) -> DataFrame:
@@ -249,7 +246,8 @@ def line_similarities(docs: DataFrame) -> DataFrame:
 def format_similarity(texts: DataFrame, formats: list[str]) -> DataFrame:
     """Similarity of every pair of formats of a case, length of each and whether it has text, of (case_id, text in each format)."""
     texts = texts.select("case_id", *[F.trim(F.regexp_replace(f, r"\s+", " ")).alias(f) for f in formats])
-    pairs = [_similarity(F.col(a), F.col(b)).alias(f"{a}_{b}_jaccard") for i, a in enumerate(formats) for b in formats[i + 1 :]]
+    texts = t.bind(texts, **{f"__{f}": _word_set(F.col(f)) for f in formats})
+    pairs = [F.round(t.jaccard(F.col(f"__{a}"), F.col(f"__{b}")), 6).alias(f"{a}_{b}_jaccard") for i, a in enumerate(formats) for b in formats[i + 1 :]]
     return texts.select("case_id", *pairs, *[F.length(f).alias(f"{f}_chars") for f in formats], *[(F.length(f) > 0).alias(f"{f}_nonempty") for f in formats])
 
 
@@ -259,7 +257,8 @@ def chunk_structure(chunks: DataFrame, formats: list[str]) -> DataFrame:
     A similarity is null where one of the two formats has no chunk or an empty one.
     """
     wide = chunks.groupBy("case_id", "chunk_order").pivot("format", formats).agg(F.first("text")).fillna("", formats)
-    pairs = [F.when((F.col(a) != "") & (F.col(b) != ""), _similarity(F.col(a), F.col(b))).alias(f"{a}_{b}_jaccard") for i, a in enumerate(formats) for b in formats[i + 1 :]]
+    wide = t.bind(wide, **{f"__{f}": _word_set(F.col(f)) for f in formats})
+    pairs = [F.when((F.col(a) != "") & (F.col(b) != ""), F.round(t.jaccard(F.col(f"__{a}"), F.col(f"__{b}")), 6)).alias(f"{a}_{b}_jaccard") for i, a in enumerate(formats) for b in formats[i + 1 :]]
     return wide.select("case_id", "chunk_order", *[(F.col(f) != "").alias(f"{f}_chunk_exists") for f in formats], *pairs, *[F.length(f).alias(f"{f}_chars") for f in formats])
 
 
