@@ -26,14 +26,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The share is the largest among the learned languages, so with three or fewer it is never below 1/3. It does not
     measure whether a text fits none of them: such a text stays.
     """
-    model = crf_language.fit_crf(*crf_language.training_rows(docs))
+    model = crf_language.learned(docs)
     found = crf_language.predict(docs, model, prefix="__")
     return found.where((F.col("__lang_pred") != crf_language.UNKNOWN) & (F.col("__lang_score") >= LEAST_LANGUAGE_SHARE)).select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts that are not toxic."""
-    model = ordinal.fit_ordinal(*ordinal.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = ordinal.learned(docs, table(spark, sf_dir, "labels"))
     return ordinal.score(docs, model, prefix="__").where("NOT __toxic").select(docs.columns)
 
 

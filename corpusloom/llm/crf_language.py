@@ -32,14 +32,15 @@ from corpusloom.llm.storage import table
 SAMPLE_ROWS = 500
 SAMPLE_ALL = 8000
 SAMPLE_TEXT_BYTES = 1 << 16
-#: Weights are held in a table of this many rows.
+#: Weights are held in a table of this many rows; training keeps their numbers in 16 bits.
 BUCKETS = 1 << 16
 AFFIXES = (1, 2, 3, 4)
 CHUNK = 32
 #: Bytes of text labelled at a time; forward-backward holds many numbers a word.
 SLICE_BYTES = 1 << 20
-#: Runs of words whose tables are held at once in training.
+#: Runs of words whose tables are held at once in training, and bytes of text whose words are hashed at once.
 PIECE_RUNS = 50
+PIECE_BYTES = 1 << 18
 UNKNOWN = "und"
 
 
@@ -50,18 +51,20 @@ def _word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _features(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the features of all given words, and the word of each."""
-    spans, n = vectext.Hasher(low), np.arange(len(starts))
-    found, owner = [spans.spans(starts, ends)], [n]
+    """Buckets of the features of all given words, and the word of each, in small types: they are many."""
+    spans, n = vectext.Hasher(low), np.arange(len(starts), dtype=np.int32)
+    bucket = lambda hashes: (hashes % np.uint64(BUCKETS)).astype(np.uint16)
+    found, owner = [bucket(spans.spans(starts, ends))], [n]
     for size in AFFIXES:
-        found += [vectext.mix(spans.spans(starts, np.minimum(ends, starts + size)) + np.uint64(size)), vectext.mix(spans.spans(np.maximum(starts, ends - size), ends) + np.uint64(16 + size))]
+        found.append(bucket(vectext.mix(spans.spans(starts, np.minimum(ends, starts + size)) + np.uint64(size))))
+        found.append(bucket(vectext.mix(spans.spans(np.maximum(starts, ends - size), ends) + np.uint64(16 + size))))
         owner += [n, n]
     grams = np.maximum(0, ends - starts - 2)
     of = np.repeat(n, grams)
     at = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(grams) - grams, grams)
-    found.append(vectext.mix(spans.spans(at, at + 3) + np.uint64(64)))
+    found.append(bucket(vectext.mix(spans.spans(at, at + 3) + np.uint64(64))))
     owner.append(of)
-    return (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owner)
+    return np.concatenate(found), np.concatenate(owner)
 
 
 @dataclass
@@ -134,7 +137,7 @@ class Crf:
 
 
 def in_pieces(model: Crf, emissions: np.ndarray, code: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``marginals`` of the emissions of coded words, some runs at a time: each is on its own, and the driver holds the tables of one piece."""
+    """``marginals`` of the emissions of coded words, some runs at a time: each is on its own, and the tables of one piece are held."""
     p, moves = np.empty((len(code), len(model.languages))), np.zeros_like(model.transitions)
     for first in range(0, len(at) - 1, PIECE_RUNS):
         some = at[first : first + PIECE_RUNS + 1]
@@ -143,6 +146,30 @@ def in_pieces(model: Crf, emissions: np.ndarray, code: np.ndarray, at: np.ndarra
     return p, moves
 
 
+def _learned(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """(buckets, word of each, distinct word of each word of the texts, its label, number of distinct words) of a slice.
+
+    Words are hashed a piece at a time and only distinct ones are cut into features, as those of all slices are held
+    at once.
+    """
+    lows, starts, sizes, hashes, labels, base = [], [], [], [], [], 0
+    for piece in vectext.slices([part], "text", PIECE_BYTES):
+        low, first, ends, at, found = _word_hashes(*vectext.utf8(piece.column("text")))
+        lows.append(low)
+        starts.append(first + base)
+        sizes.append(ends - first)
+        hashes.append(found)
+        labels.append(np.repeat(piece.column("label").to_numpy().astype(np.int32), np.diff(at)))
+        base += len(low)
+    low, starts, sizes = np.concatenate(lows), np.concatenate(starts), np.concatenate(sizes)
+    _, some, code = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    starts, sizes = starts[some], sizes[some]
+    ends = np.cumsum(sizes)
+    own = low[np.repeat(starts - (ends - sizes), sizes) + np.arange(sizes.sum())]
+    buckets, owner = _features(own, ends - sizes, ends)
+    return buckets, owner, code.astype(np.int32), np.concatenate(labels), len(some)
+
+
 def fit_crf(texts: list[str], languages: list[str], epochs: int = 4, seed: int = 5) -> Crf:
     """Learn weights and transitions from whole texts with one language each."""
     names = sorted(set(languages))
@@ -155,9 +182,7 @@ def fit_crf(texts: list[str], languages: list[str], epochs: int = 4, seed: int =
     labels = np.searchsorted(names, languages)
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string()), pa.array(labels)], names=["text", "label"])
     for part in vectext.slices([batch], "text"):
-        low, starts, ends, at, hashes = _word_hashes(*vectext.utf8(part.column("text")))
-        _, some, code = np.unique(hashes, return_index=True, return_inverse=True)
-        parts.append((*_features(low, starts[some], ends[some]), code, np.repeat(part.column("label").to_numpy(), np.diff(at)), len(some)))
+        parts.append(_learned(part))
     # start from the log odds of the features, then follow the gradient of the chain's likelihood
     table = np.full((BUCKETS, k), 0.5)
     for buckets, owner, code, label, n in parts:
@@ -180,7 +205,7 @@ def fit_crf(texts: list[str], languages: list[str], epochs: int = 4, seed: int =
             at = np.append(np.arange(0, len(code), 400), len(code))
             emissions = np.column_stack([np.bincount(owner, model.weights[buckets, y], minlength=n) for y in range(k)])
             p, moves = in_pieces(model, emissions, code_, at)
-            wrong = -p
+            wrong = np.negative(p, out=p)
             wrong[np.arange(len(p)), label_] += 1
             per_word = np.column_stack([np.bincount(code_, wrong[:, y], minlength=n) for y in range(k)])
             inside = np.ones(len(code), bool)
@@ -195,22 +220,46 @@ def fit_crf(texts: list[str], languages: list[str], epochs: int = 4, seed: int =
     return model
 
 
-def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """Whole texts and languages of an expected ``sample_rows`` rows a language, chosen by a hash of the id.
+def training_sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, lang): whole texts of an expected ``sample_rows`` rows a language, chosen by a hash of the id.
 
     All languages are learned, from texts of at most ``SAMPLE_TEXT_BYTES``; of so many that ``SAMPLE_ALL`` rows do not
     suffice for all, each has its expected share of them.
     """
     learn = docs.where("lang is not null and text is not null").where(fold() != 1)
     sizes = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
-    if not sizes:
-        return [], []
-    wanted = min(sample_rows, SAMPLE_ALL / len(sizes))
-    share = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, min(1.0, wanted / n))])
-    rows = learn.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).where(F.expr("pmod(xxhash64(doc_id, 'language'), 1000000) / 1e6") < share[F.col("lang")]).select("text", "lang").toArrow()
+    wanted = min(sample_rows, SAMPLE_ALL / max(1, len(sizes)))
+    share = F.create_map(*[F.lit(v) for name, n in sizes.items() for v in (name, min(1.0, wanted / n))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    rows = learn.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).where(F.expr("pmod(xxhash64(doc_id, 'language'), 1000000) / 1e6") < share[F.col("lang")])
+    return rows.select("doc_id", "text", "lang")
+
+
+def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
+    """Texts and languages of the sample, in the memory of the driver."""
+    rows = training_sample(docs, sample_rows).select("text", "lang").toArrow()
     return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
 
 
+def learned(docs: DataFrame) -> Crf:
+    """A model of the sample's texts, fitted in one task: the sample is bounded, and the driver gets only the model.
+
+    The texts are learned from in the order of their ids, however the table is cut.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        model = fit_crf(*[[x for batch in rows for x in batch.column(c).to_pylist()] for c in ("text", "lang")])
+        columns = [pa.array([model.languages], pa.list_(pa.string())), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.transitions.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["languages", "weights", "transitions"])
+
+    sample = training_sample(docs).repartition(1).sortWithinPartitions("doc_id", "lang", "text").select("text", "lang")
+    found = sample.mapInArrow(run, "languages array<string>, weights binary, transitions binary").first()
+    if found is None:
+        return fit_crf([], [])
+    k = len(found["languages"])
+    return Crf(list(found["languages"]), np.frombuffer(found["weights"]).reshape(BUCKETS, k), np.frombuffer(found["transitions"]).reshape(k, k))
+
+
 def fold(key: str = "doc_id"):
     """crc32 of the id as text, modulo 3; null for a null id."""
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(3))
@@ -273,6 +322,6 @@ def predict(docs: DataFrame, model: Crf, text: str = "text", prefix: str = "") -
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_crf(*training_rows(docs))
+    model = learned(docs)
     found = predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", F.coalesce(fold() == 1, F.lit(True)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -33,6 +33,8 @@ GRADES = 4
 #: Bounds of the training sample: expected number of labelled rows of each class, and bytes of a text to be learned from.
 SAMPLE_ROWS = 2500
 SAMPLE_TEXT_BYTES = 1 << 16
+#: Bytes of text whose features are held at once in training.
+PIECE_BYTES = 1 << 19
 PREFIXES = (4, 5)
 #: Weight of the ridge in the last fit.
 RIDGE = 0.5
@@ -143,7 +145,7 @@ def fit_ordinal(texts: list[str], low: np.ndarray, high: np.ndarray, rounds: int
         return none
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
     parts, base = [], 0
-    for part in vectext.slices([batch], "text"):
+    for part in vectext.slices([batch], "text", PIECE_BYTES):
         parts.append((part, base))
         base += part.num_rows
     names, total, in_toxic = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
@@ -176,24 +178,48 @@ def fit_ordinal(texts: list[str], low: np.ndarray, high: np.ndarray, rounds: int
     return OrdinalModel(model.features[chosen], w, _shared_out(z, t, low, high))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts of an expected ``sample_rows`` rows of each class, chosen by a hash of the document id, and the bounds of their grades.
+def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, bool]:
+    """(doc_id, text, grade): texts of an expected ``sample_rows`` rows of each class, chosen by a hash of the document id, and whether grades are told apart.
 
-    Grades are told apart only where a label is above 1. Texts above ``SAMPLE_TEXT_BYTES`` are not learned from.
+    They are only where a label is above 1. Texts above ``SAMPLE_TEXT_BYTES`` are not learned from.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("grade"))
     marks = marks.select("doc_id", F.expr(f"cast(greatest(0, least({GRADES - 1}, ceil(grade))) as int)").alias("grade"))
     sizes = {r["grade"]: r["count"] for r in marks.groupBy("grade").count().collect()}
-    if not sizes:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     toxic = sum(n for grade, n in sizes.items() if grade)
     chance = F.expr("pmod(xxhash64(doc_id, 'toxicity'), 1000000) / 1e6")
     chosen = marks.where(chance < F.when(F.col("grade") > 0, min(1.0, sample_rows / max(1, toxic))).otherwise(min(1.0, sample_rows / max(1, sizes.get(0, 0)))))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "grade").toArrow()
-    low = rows.column("grade").to_numpy().astype(np.int64)
-    high = low if max(sizes) > 1 else np.where(low > 0, GRADES - 1, 0)
-    return rows.column("text").to_pylist(), low, high
+    return rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade"), max(sizes, default=0) > 1
+
+
+def _bounds(grade: np.ndarray, graded: bool) -> tuple[np.ndarray, np.ndarray]:
+    low = grade.astype(np.int64)
+    return low, low if graded else np.where(low > 0, GRADES - 1, 0)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts of the sample and the bounds of their grades, in the memory of the driver."""
+    sample, graded = training_sample(docs, labels, sample_rows)
+    rows = sample.select("text", "grade").toArrow()
+    return rows.column("text").to_pylist(), *_bounds(rows.column("grade").to_numpy(), graded)
+
+
+def learned(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
+    """A model of the sample's texts, in the order of their ids, fitted in one task: the sample is bounded, and the driver gets only the model."""
+    sample, graded = training_sample(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        texts, grade = [[x for batch in rows for x in batch.column(c).to_pylist()] for c in ("text", "grade")]
+        model = fit_ordinal(texts, *_bounds(np.array(grade, np.int64), graded))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.features, model.weights, model.thresholds)], names=["features", "weights", "thresholds"])
+
+    rows = sample.repartition(1).sortWithinPartitions("doc_id", "grade", "text").select("text", "grade")
+    found = rows.mapInArrow(run, "features binary, weights binary, thresholds binary").first()
+    if found is None:
+        return fit_ordinal([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return OrdinalModel(np.frombuffer(found["features"], np.uint64), np.frombuffer(found["weights"]), np.frombuffer(found["thresholds"]))
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", prefix: str = "") -> DataFrame:
@@ -218,5 +244,5 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", prefix: str
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit_ordinal(*training_rows(docs, table(spark, sf_dir, "labels")))
+    model = learned(docs, table(spark, sf_dir, "labels"))
     return score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "grade", "toxic")

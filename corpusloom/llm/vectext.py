@@ -50,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, min(2 * n, SLICE_BYTES + 1))
         made = []
         for base in (_BASE, _BASE_INVERSE):
             table = np.full(size, base, dtype=np.uint64)
