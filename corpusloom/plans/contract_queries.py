@@ -143,7 +143,7 @@ def case_rows(spark, sf_dir):
     cases = items.withColumn("keywords", F.array_distinct(F.filter(t.plain_words(F.col("expected")), lambda w: F.length(w) > 6)))
     corpus = _corpus(spark, sf_dir).select("chunk_id", "text")
     hits = r.bm25_topk(corpus, items.select(F.col("case_id").alias("query_id"), F.col("expected").alias("text")), r.TOP_K)
-    results = hits.select(F.col("query_id").alias("case_id"), F.col("bm25_rank").alias("rank"), "chunk_id", "score").join(corpus, "chunk_id")
+    results = r.with_texts(hits.select(F.col("query_id").alias("case_id"), F.col("bm25_rank").alias("rank"), "chunk_id", "score"), corpus)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     found = m.case_rows(cases, results)
     return found.select("case_id", "coverage", "hit", "token_recall", joined("chunk_ids").alias("chunk_ids"), F.size("scores").alias("n_scores"), F.round(F.aggregate("scores", F.lit(0.0), lambda s, x: s + x), 4).alias("score_sum"))
