@@ -268,6 +268,11 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def spaced_words(c: Column) -> Column:
+    """B18 as one text: the words with a space between them, and where the text begins or ends with other signs."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " ")
+
+
 def plain_words(c: Column) -> Column:
     """Words without marks."""
     return F.regexp_extract_all(retrieval_key(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,36 +29,53 @@ def token_place(token: str, width: int = WIDTH) -> tuple[int, int]:
     return int(digest[:8], 16) % width, 1 if int(digest[8], 16) % 2 else -1
 
 
-def hashed_counts(rows: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
+def token_places(tokens: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """``token_place`` of many tokens; an empty one has sign 0."""
+    known = tokens.cast(pa.binary()).to_pylist()
+    digests = np.frombuffer(b"".join([hashlib.md5(token).digest() for token in known]), np.uint8).reshape(-1, 16)
+    place = np.ascontiguousarray(digests[:, :4]).view(">u4").ravel().astype(np.int64) % width
+    sign = np.where(digests[:, 4] >> 4 & 1, 1, -1)
+    return place, np.where(np.asarray(pc.binary_length(tokens)) > 0, sign, 0)
+
+
+def hashed_counts(rows: DataFrame, text: str = "text", width: int = WIDTH, digest: str | None = None) -> DataFrame:
     """The rows and ``counts``, the signed counts of their words by dimension; null and empty texts have zeros.
 
-    Words are found in the JVM; each distinct word of a batch is hashed once, and the counts are array operations.
+    Words are found in the JVM and go to Python as one text with spaces between them; each distinct word of a batch is
+    hashed once, and the counts are array operations. ``digest`` names a column for the SHA-256 of the counts.
     """
-    kept = [c for c in rows.columns if c != "counts"]
-    words = rows.select(*kept, t.words(F.coalesce(F.col(text), F.lit(""))).alias("__words"))
+    kept = [c for c in rows.columns if c not in ("counts", digest)]
+    words = rows.select(*kept, t.spaced_words(F.coalesce(F.col(text), F.lit(""))).alias("__words"))
+    more = [digest] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("__words")
+            lists = pc.split_pattern(batch.column("__words"), " ")
             coded = lists.flatten().dictionary_encode()
-            places = np.array([token_place(w, width) for w in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)
+            # an empty part, before the first word or after the last, counts as nothing
+            place, sign = token_places(coded.dictionary, width)
             sizes = np.diff(np.asarray(lists.offsets))
             at = np.repeat(np.arange(len(lists)), sizes) * width
-            index = np.asarray(coded.indices).astype(np.int64)
-            sums = np.zeros(len(lists) * width, np.int64)
-            np.add.at(sums, at + places[index, 0], places[index, 1])
+            index = np.asarray(coded.indices)
+            sums = np.bincount(at + place[index], sign[index], len(lists) * width).astype(np.int64)
             offsets = pa.array(np.arange(len(lists) + 1) * width, pa.int32())
-            made = pa.ListArray.from_arrays(offsets, pa.array(sums))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, "counts"])
+            made = [pa.ListArray.from_arrays(offsets, pa.array(sums))]
+            if digest:
+                made.append(pa.array([hashlib.sha256(x).digest() for x in sums.reshape(-1, width)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, "counts", *more])
 
-    return words.mapInArrow(run, rows.select(*kept).schema.add("counts", T.ArrayType(T.LongType())))
+    schema = rows.select(*kept).schema.add("counts", T.ArrayType(T.LongType()))
+    return words.mapInArrow(run, schema.add(digest, T.BinaryType()) if digest else schema)
 
 
-def feature_embeddings(rows: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """Adds ``embedding``, the signed counts of the words in ``width`` dimensions at unit length; empty texts have zeros."""
+def feature_embeddings(rows: DataFrame, text: str = "text", width: int = WIDTH, digest: str | None = None) -> DataFrame:
+    """Adds ``embedding``, the signed counts of the words in ``width`` dimensions at unit length; empty texts have zeros.
+
+    ``digest`` names a column that is equal for equal counts, and so for embeddings of equal texts.
+    """
     norm = F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     # bound first: within the lambda the length would be summed anew for every element
-    counted = t.bind(hashed_counts(rows, text, width), __norm=F.greatest(norm, F.lit(1.0)))  # of whole numbers: 0 or at least 1
+    counted = t.bind(hashed_counts(rows, text, width, digest), __norm=F.greatest(norm, F.lit(1.0)))  # of whole numbers: 0 or at least 1
     return counted.withColumn("embedding", F.transform("counts", lambda x: (x / F.col("__norm")).cast("float"))).drop("counts", "__norm")
 
 

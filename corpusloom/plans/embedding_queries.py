@@ -70,9 +70,9 @@ SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER B
 
 def embedded_search(spark, sf_dir):
     """Every document whose id is divisible by 50 against all of them, by hashed embeddings."""
-    docs = staged(e.feature_embeddings(_corpus(spark, sf_dir).select("chunk_id", "text")).select("chunk_id", "embedding"), "embedded")
-    queries = docs.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return r.vector_topk(docs, queries, N).withColumn("vector_rank", F.col("vector_rank").cast("long"))
+    docs = staged(e.feature_embeddings(_corpus(spark, sf_dir).select("chunk_id", "text"), digest="key").select("chunk_id", "embedding", "key"), "embedded")
+    queries = docs.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", "key")
+    return r.different_topk(docs, queries, N).withColumn("vector_rank", F.col("vector_rank").cast("long"))
 
 
 QUERIES = {
